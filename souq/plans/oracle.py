@@ -32,6 +32,14 @@ def _card(top_sql: str, order_by: str) -> str:
     ORDER BY {order_by}"""
 
 
+_SELF_OR_CHILDREN = "SELECT category_id FROM m_categories WHERE parent_id = 2 OR category_id = 2"
+
+_SEARCHED = f"""
+    SELECT p.*, t.description
+    FROM m_products p LEFT JOIN m_product_text t ON t.product_id = p.product_id
+    WHERE (p.name ILIKE '%red%' OR t.description ILIKE '%red%')
+      AND p.category_id IN ({_SELF_OR_CHILDREN})"""
+
 SQL: dict[str, str] = {
     "top_deals": _card(f"""
         SELECT {_P_COLS}, b.business_name,
@@ -61,6 +69,51 @@ SQL: dict[str, str] = {
         FROM m_businesses b LEFT JOIN m_products p ON b.business_id = p.business_id
         GROUP BY ALL""",
     "first_images": _FIRST_IMAGE,
+    "category_tree": """
+        SELECT r.category_id AS root_id, r.category_name AS root_name,
+               c.category_id AS child_id, c.category_name AS child_name,
+               CASE WHEN c.category_id IS NULL THEN NULL
+                    ELSE ROW_NUMBER() OVER (PARTITION BY r.category_id
+                                            ORDER BY lower(c.category_name), c.category_id) END
+                 AS child_position
+        FROM m_categories r LEFT JOIN m_categories c ON c.parent_id = r.category_id
+        WHERE r.parent_id IS NULL OR r.parent_id = 0""",
+    "category_names": """
+        SELECT category_id, category_name, parent_id FROM m_categories
+        ORDER BY lower(category_name), category_id""",
+    "category_products": f"""
+        SELECT p.product_id, p.business_id, p.category_id, p.name, p.price, p.created_at
+        FROM m_products p WHERE p.category_id IN ({_SELF_OR_CHILDREN})""",
+    "category_product_counts": """
+        SELECT c.category_id, c.category_name, COUNT(p.product_id) AS product_count
+        FROM m_categories c
+        LEFT JOIN m_categories k ON k.parent_id = c.category_id OR k.category_id = c.category_id
+        LEFT JOIN m_products p ON p.category_id = k.category_id
+        GROUP BY ALL""",
+    "catalog_page": """
+        SELECT x.*, c.category_name FROM (
+            SELECT p.*, t.description,
+                   ROW_NUMBER() OVER (PARTITION BY p.business_id
+                                      ORDER BY p.created_at DESC, p.product_id) - 10 AS page_position
+            FROM m_products p LEFT JOIN m_product_text t ON t.product_id = p.product_id) x
+        LEFT JOIN m_categories c ON c.category_id = x.category_id
+        WHERE x.page_position BETWEEN 1 AND 10""",
+    "catalog_search": f"""
+        SELECT x.*, c.category_name FROM (
+            SELECT s.*, ROW_NUMBER() OVER (PARTITION BY s.business_id
+                                           ORDER BY s.created_at DESC, s.product_id) AS page_position
+            FROM ({_SEARCHED}) s) x
+        LEFT JOIN m_categories c ON c.category_id = x.category_id
+        WHERE x.page_position <= 10""",
+    "catalog_count": f"""
+        SELECT b.business_id, COUNT(f.product_id) AS total_products,
+               CAST(ceil(COUNT(f.product_id) / 10.0) AS BIGINT) AS total_pages
+        FROM m_businesses b LEFT JOIN ({_SEARCHED}) f ON f.business_id = b.business_id
+        GROUP BY b.business_id""",
+    "sellers_without_business": """
+        SELECT u.user_id, u.username, u.email FROM m_users u
+        WHERE u.role = 'business_owner'
+          AND NOT EXISTS (SELECT 1 FROM m_businesses b WHERE b.user_id = u.user_id)""",
 }
 
 

@@ -11,12 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souq.operators import discovery
+from souq.operators import catalog, discovery, taxonomy
 from souq.sources.views import MarketViews
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 TRENDING_SEED = 42
+# Seller-catalog request used by the batch (all sellers) catalog queries.
+SEARCH_TEXT = "red"
+SEARCH_CATEGORY = 2          # a root category: itself plus its children
+CATALOG_PAGE = 2
 
 
 def _mv(spark: SparkSession, d: str) -> MarketViews:
@@ -54,6 +58,48 @@ def q_product_images(spark, d):
     return discovery.first_image(v.product_images)
 
 
+def q_category_tree(spark, d):
+    return taxonomy.category_tree_rows(_mv(spark, d).categories, order_by_name=True)
+
+
+def q_category_names(spark, d):
+    return taxonomy.category_names(_mv(spark, d).categories)
+
+
+def q_category_products(spark, d):
+    v = _mv(spark, d)
+    return taxonomy.filter_by_category(v.products, v.categories, SEARCH_CATEGORY) \
+                   .select("product_id", "business_id", "category_id", "name", "price", "created_at")
+
+
+def q_category_product_counts(spark, d):
+    v = _mv(spark, d)
+    return taxonomy.category_product_counts(v.products, v.categories)
+
+
+def q_catalog_page(spark, d):
+    v = _mv(spark, d)
+    return catalog.catalog_pages_all(v.products, v.categories, page=CATALOG_PAGE,
+                                     product_text=v.product_text)
+
+
+def q_catalog_search(spark, d):
+    v = _mv(spark, d)
+    return catalog.catalog_pages_all(v.products, v.categories, search=SEARCH_TEXT,
+                                     category=SEARCH_CATEGORY, page=1, product_text=v.product_text)
+
+
+def q_catalog_count(spark, d):
+    v = _mv(spark, d)
+    return catalog.catalog_counts_all(v.businesses, v.products, v.categories, search=SEARCH_TEXT,
+                                      category=SEARCH_CATEGORY, product_text=v.product_text)
+
+
+def q_sellers_without_business(spark, d):
+    v = _mv(spark, d)
+    return catalog.sellers_without_business(v.users, v.businesses)
+
+
 QUERIES: dict[str, QueryFn] = {
     "top_deals": q_top_deals,
     "newest_products": q_newest_products,
@@ -61,4 +107,12 @@ QUERIES: dict[str, QueryFn] = {
     "newest_businesses": q_newest_businesses,
     "business_product_counts": q_business_product_counts,
     "first_images": q_product_images,
+    "category_tree": q_category_tree,
+    "category_names": q_category_names,
+    "category_products": q_category_products,
+    "category_product_counts": q_category_product_counts,
+    "catalog_page": q_catalog_page,
+    "catalog_search": q_catalog_search,
+    "catalog_count": q_catalog_count,
+    "sellers_without_business": q_sellers_without_business,
 }
