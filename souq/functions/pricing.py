@@ -56,7 +56,12 @@ def discount_label(pct: Column | str) -> Column:
 
 
 def discount_badge(pct: Column | str) -> Column:
-    """Seller badge: the raw value with a percent sign when positive, else ``-``."""
+    """Seller badge: the stored decimal text plus ``% OFF`` when positive, else ``-``."""
     pct = as_col(pct)
-    return F.when(pct > 0, F.concat(F.round(pct, 0).cast("int").cast("string"), F.lit("%"))) \
-            .otherwise(F.lit("-"))
+    return F.when(pct > 0, F.concat(pct.cast("string"), F.lit("% OFF"))).otherwise(F.lit("-"))
+
+
+def seller_deal_label(price: Column | str, pct: Column | str) -> Column:
+    """Seller page discounted price (X-02 then X-04); NULL when there is no discount."""
+    pct = as_col(pct)
+    return F.when(pct > 0, seller_price_label(discounted_price_exact(price, pct)))

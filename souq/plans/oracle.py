@@ -40,6 +40,21 @@ _SEARCHED = f"""
     WHERE (p.name ILIKE '%red%' OR t.description ILIKE '%red%')
       AND p.category_id IN ({_SELF_OR_CHILDREN})"""
 
+_FMT = "format('{{:,.2f}}', {x})"
+
+
+def _money(x: str) -> str:
+    return "'₹' || " + _FMT.format(x=f"round({x}, 2)")
+
+
+# X-06 with byte semantics: keep the longest character prefix of at most 100
+# UTF-8 bytes, back up to its last space, append '...'.
+_TEASER = """CASE WHEN t.description IS NULL THEN NULL
+     WHEN strlen(t.description) <= 100 THEN t.description
+     ELSE regexp_extract(substr(t.description, 1,
+              list_max(list_filter(range(0, 101), lambda i: strlen(substr(t.description, 1, i)) <= 100))),
+              '(?s)^(.*) ', 1) || '...' END"""
+
 SQL: dict[str, str] = {
     "top_deals": _card(f"""
         SELECT {_P_COLS}, b.business_name,
@@ -110,6 +125,32 @@ SQL: dict[str, str] = {
                CAST(ceil(COUNT(f.product_id) / 10.0) AS BIGINT) AS total_pages
         FROM m_businesses b LEFT JOIN ({_SEARCHED}) f ON f.business_id = b.business_id
         GROUP BY b.business_id""",
+    "listing_labels": f"""
+        SELECT p.product_id,
+               {_money('p.price * 75')} AS price_label,
+               {_money('CAST(ROUND(p.price * (1 - coalesce(p.discount_percent, 0) * 0.01), 2) AS DECIMAL(18,2)) * 75')}
+                 AS deal_price_label,
+               {_money('p.price')} AS seller_price_label,
+               CASE WHEN coalesce(p.discount_percent, 0) > 0
+                    THEN {_money('p.price - p.price * (coalesce(p.discount_percent, 0) * 0.01)')} END
+                 AS seller_deal_label,
+               CAST(CAST(round(coalesce(p.discount_percent, 0), 0) AS INTEGER) AS VARCHAR) || '% OFF'
+                 AS discount_label,
+               CASE WHEN coalesce(p.discount_percent, 0) > 0
+                    THEN CAST(coalesce(p.discount_percent, 0) AS VARCHAR) || '% OFF' ELSE '-' END
+                 AS discount_badge,
+               strftime(p.created_at, '%b %-d, %Y') AS date_label,
+               {_TEASER} AS teaser,
+               lower(trim(regexp_replace(p.name, '[^a-zA-Z0-9-]+', '-', 'g'), '-')) AS name_slug
+        FROM m_products p LEFT JOIN m_product_text t ON t.product_id = p.product_id""",
+    "product_ratings": """
+        SELECT p.product_id,
+               CAST(coalesce(((r.s * 20000 + r.n) // (r.n * 2) + 500) // 1000, 0) * 0.1 AS DECIMAL(4,1))
+                 AS avg_rating,
+               coalesce(r.c, 0) AS review_count
+        FROM m_products p LEFT JOIN (
+            SELECT product_id, CAST(sum(rating) AS BIGINT) AS s, count(rating) AS n, count(*) AS c
+            FROM m_product_reviews GROUP BY product_id) r ON r.product_id = p.product_id""",
     "sellers_without_business": """
         SELECT u.user_id, u.username, u.email FROM m_users u
         WHERE u.role = 'business_owner'

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souq.operators import catalog, discovery, taxonomy
+from souq.operators import catalog, discovery, labels, reviews, taxonomy
 from souq.sources.views import MarketViews
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,16 @@ def q_sellers_without_business(spark, d):
     return catalog.sellers_without_business(v.users, v.businesses)
 
 
+def q_listing_labels(spark, d):
+    v = _mv(spark, d)
+    return labels.listing_labels(v.products_with_description())
+
+
+def q_product_ratings(spark, d):
+    v = _mv(spark, d)
+    return reviews.product_ratings(v.products, v.product_reviews)
+
+
 QUERIES: dict[str, QueryFn] = {
     "top_deals": q_top_deals,
     "newest_products": q_newest_products,
@@ -115,4 +125,6 @@ QUERIES: dict[str, QueryFn] = {
     "catalog_search": q_catalog_search,
     "catalog_count": q_catalog_count,
     "sellers_without_business": q_sellers_without_business,
+    "listing_labels": q_listing_labels,
+    "product_ratings": q_product_ratings,
 }
