@@ -55,6 +55,64 @@ _TEASER = """CASE WHEN t.description IS NULL THEN NULL
               list_max(list_filter(range(0, 101), lambda i: strlen(substr(t.description, 1, i)) <= 100))),
               '(?s)^(.*) ', 1) || '...' END"""
 
+_TRIM_RE = r"'^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$'"
+
+
+def _esc(x: str) -> str:
+    """htmlspecialchars(trim(x), ENT_QUOTES)"""
+    t = f"regexp_replace({x}, {_TRIM_RE}, '', 'g')"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#039;")):
+        t = f"replace({t}, '{a}', '{b}')"
+    return t
+
+
+def _empty(x: str) -> str:
+    return f"({x} IS NULL OR {x} = '' OR {x} = '0')"
+
+
+_FLOATVAL = (r"coalesce(TRY_CAST(regexp_extract({x}, '^[ \t\n\r\x0B\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)"
+             r"([eE][+-]?[0-9]+)?)', 1) AS DOUBLE), 0.0)")
+_INTVAL = r"coalesce(TRY_CAST(regexp_extract({x}, '^[ \t\n\r\x0B\f]*([+-]?[0-9]+)', 1) AS BIGINT), 0)"
+
+_PRODUCT_CANDIDATES = """
+    SELECT p_partkey AS arrival_no, p_partkey % 100 AS business_id,
+           CASE WHEN p_partkey % 11 = 0 THEN '  ' ELSE p_name END AS name,
+           d.text AS description,
+           CASE WHEN p_partkey % 13 = 0 THEN 'x' || p_brand ELSE substr(p_brand, 7, 10) END AS category,
+           CASE WHEN p_partkey % 17 = 0 THEN '-' ELSE '' END || CAST(p_size AS VARCHAR) || '.'
+             || CAST(p_partkey % 100 AS VARCHAR) || CASE WHEN p_partkey % 4 = 0 THEN 'usd' ELSE '' END AS price,
+           CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size * 3 AS VARCHAR) END AS discount,
+           CASE WHEN p_partkey % 19 = 0 THEN NULL
+                ELSE lower(p_type) || ' ' || CAST(p_partkey AS VARCHAR) || '.jpg' END AS image_name,
+           CASE WHEN p_partkey % 7 = 0 THEN 'image/gif' ELSE 'image/jpeg' END AS image_type,
+           CAST(p_size * 120000 AS BIGINT) AS image_size
+    FROM part LEFT JOIN documents d ON d.doc_id = p_partkey"""
+
+_USER_CANDIDATES = """
+    SELECT c_custkey AS arrival_no,
+           CASE WHEN c_custkey % 23 = 0 THEN '' ELSE c_name END AS first_name,
+           c_mktsegment AS last_name,
+           CASE WHEN c_custkey % 3 = 0 THEN upper('u' || CAST(c_custkey AS VARCHAR) || '@example.com ')
+                WHEN c_custkey % 3 = 1 THEN 'new' || CAST(c_custkey % 500 AS VARCHAR) || '@Example.com'
+                ELSE 'bad-email-' || CAST(c_custkey AS VARCHAR) END AS email,
+           CASE WHEN c_custkey % 7 = 0 THEN '555-' || CAST(c_custkey AS VARCHAR)
+                ELSE CAST(5550000 + c_custkey AS VARCHAR) END AS phone,
+           CASE WHEN c_custkey % 11 = 0 THEN 'short' ELSE 'pw' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END
+             AS password,
+           CASE WHEN c_custkey % 13 = 0 THEN 'mismatch!'
+                WHEN c_custkey % 11 = 0 THEN 'short' ELSE 'pw' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END
+             AS confirm_password,
+           CASE WHEN c_mktsegment = 'MACHINERY' THEN 'business' ELSE 'customer' END AS registration_type
+    FROM customer"""
+
+_EMAIL_RE = ("'^[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]{1,64}@[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+             "(\\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+$'")
+
+
+def _ekey(x: str) -> str:
+    return f"lower(strip_accents(rtrim({x})))"
+
+
 SQL: dict[str, str] = {
     "top_deals": _card(f"""
         SELECT {_P_COLS}, b.business_name,
@@ -151,6 +209,69 @@ SQL: dict[str, str] = {
         FROM m_products p LEFT JOIN (
             SELECT product_id, CAST(sum(rating) AS BIGINT) AS s, count(rating) AS n, count(*) AS c
             FROM m_product_reviews GROUP BY product_id) r ON r.product_id = p.product_id""",
+    "product_intake": f"""
+        WITH c AS (
+            SELECT arrival_no, {_esc("coalesce(name, '')")} AS name,
+                   {_esc("coalesce(description, '')")} AS description,
+                   {_INTVAL.format(x="category")} AS category_id,
+                   {_FLOATVAL.format(x="price")} AS price,
+                   CASE WHEN discount IS NULL THEN 0.0 ELSE {_FLOATVAL.format(x="discount")} END AS discount,
+                   image_name, image_type, image_size
+            FROM ({_PRODUCT_CANDIDATES}) x),
+        e AS (
+            SELECT *, list_filter([
+                CASE WHEN {_empty("name")} THEN 'name_required' END,
+                CASE WHEN {_empty("description")} THEN 'description_required' END,
+                CASE WHEN category_id <= 0 THEN 'category_invalid' END,
+                CASE WHEN price <= 0 THEN 'price_invalid' END,
+                CASE WHEN discount < 0 OR discount > 100 THEN 'discount_out_of_range' END,
+                CASE WHEN image_name IS NULL THEN 'image_required' END,
+                CASE WHEN image_name IS NOT NULL
+                      AND coalesce(image_type NOT IN ('image/jpeg', 'image/png', 'image/jpg'), TRUE)
+                     THEN 'image_type_invalid' END,
+                CASE WHEN image_name IS NOT NULL AND coalesce(image_size, 0) > 5000000
+                     THEN 'image_too_large' END], lambda x: x IS NOT NULL) AS errs
+            FROM c)
+        SELECT arrival_no, name, category_id, price, discount,
+               array_to_string(errs, ',') AS error_codes, len(errs) = 0 AS is_valid
+        FROM e""",
+    "user_intake": f"""
+        WITH c AS (
+            SELECT arrival_no, {_esc("first_name")} AS first_name, {_esc("last_name")} AS last_name,
+                   {_esc("email")} AS email, {_esc("phone")} AS phone, password, confirm_password,
+                   registration_type
+            FROM ({_USER_CANDIDATES}) x),
+        r AS (
+            SELECT *, CASE
+                WHEN {_empty("first_name")} OR {_empty("last_name")} OR {_empty("email")} OR {_empty("phone")}
+                  OR {_empty("password")} OR {_empty("confirm_password")} THEN 'fields_required'
+                WHEN NOT coalesce(regexp_full_match(email, {_EMAIL_RE}) AND NOT starts_with(email, '.')
+                          AND position('..' IN email) = 0 AND NOT contains(email, '.@'), FALSE)
+                  THEN 'email_invalid'
+                WHEN NOT coalesce(regexp_full_match(phone, '[0-9]+'), FALSE) THEN 'phone_invalid'
+                WHEN strlen(password) < 8 THEN 'password_too_short'
+                WHEN password <> confirm_password THEN 'password_mismatch' END AS rule_error
+            FROM c),
+        w AS (
+            SELECT min(arrival_no) AS arrival_no FROM r
+            WHERE rule_error IS NULL
+              AND {_ekey("email")} NOT IN (SELECT {_ekey("email")} FROM m_users)
+            GROUP BY {_ekey("email")})
+        SELECT r.arrival_no, first_name, last_name, email, phone,
+               CASE WHEN registration_type = 'business' THEN 'business_owner' ELSE 'customer' END AS role,
+               CASE WHEN rule_error IS NULL AND w.arrival_no IS NOT NULL THEN
+                 lower(first_name || '.' || last_name
+                       || CAST(100 + ('0x' || substr(md5(email), 1, 8))::BIGINT % 900 AS VARCHAR)) END AS username,
+               CASE WHEN rule_error IS NOT NULL THEN rule_error
+                    WHEN w.arrival_no IS NULL THEN 'email_in_use' END AS error
+        FROM r LEFT JOIN w ON w.arrival_no = r.arrival_no""",
+    "slug_collisions": """
+        SELECT slug, count(*) AS rows, slug = '' AS is_empty
+        FROM (SELECT lower(trim(regexp_replace(name, '[^a-zA-Z0-9-]+', '-', 'g'), '-')) AS slug
+              FROM m_products) s
+        GROUP BY slug HAVING count(*) > 1 OR slug = ''""",
+    "role_counts": """
+        SELECT role, count(*) AS users FROM m_users GROUP BY role""",
     "sellers_without_business": """
         SELECT u.user_id, u.username, u.email FROM m_users u
         WHERE u.role = 'business_owner'

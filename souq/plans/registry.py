@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from souq.operators import catalog, discovery, labels, reviews, taxonomy
+from souq.functions.text import slugify
+from souq.operators import catalog, discovery, intake, labels, reviews, taxonomy
+from souq.plans import candidates
 from souq.sources.views import MarketViews
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +113,29 @@ def q_product_ratings(spark, d):
     return reviews.product_ratings(v.products, v.product_reviews)
 
 
+def q_product_intake(spark, d):
+    v = _mv(spark, d)
+    val = intake.validate_products(candidates.product_candidates(v))
+    return val.select("arrival_no", "name", "category_id", F.col("price_value").alias("price"),
+                      F.col("discount_value").alias("discount"),
+                      F.array_join("errors", ",").alias("error_codes"),
+                      (F.size("errors") == 0).alias("is_valid"))
+
+
+def q_user_intake(spark, d):
+    v = _mv(spark, d)
+    return intake.validate_users(candidates.user_candidates(v), v.users)
+
+
+def q_slug_collisions(spark, d):
+    v = _mv(spark, d)
+    return intake.slug_report(v.products, "name", "product_id")
+
+
+def q_role_counts(spark, d):
+    return intake.role_counts(_mv(spark, d).users)
+
+
 QUERIES: dict[str, QueryFn] = {
     "top_deals": q_top_deals,
     "newest_products": q_newest_products,
@@ -127,4 +153,8 @@ QUERIES: dict[str, QueryFn] = {
     "sellers_without_business": q_sellers_without_business,
     "listing_labels": q_listing_labels,
     "product_ratings": q_product_ratings,
+    "product_intake": q_product_intake,
+    "user_intake": q_user_intake,
+    "slug_collisions": q_slug_collisions,
+    "role_counts": q_role_counts,
 }
