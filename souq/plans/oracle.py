@@ -113,6 +113,103 @@ def _ekey(x: str) -> str:
     return f"lower(strip_accents(rtrim({x})))"
 
 
+from souq.operators.integrity import (DECIMAL_SHAPES, ENUMS, FOREIGN_KEYS, NOT_NULL,  # noqa: E402
+                                      PRIMARY_KEYS, UNIQUE_KEYS, VARCHAR_LIMITS)
+
+MAPPED = {"users", "businesses", "categories", "products", "product_images", "product_reviews",
+          "orders", "order_items", "cart_items", "wishlist_items", "forum_topics", "forum_posts"}
+_FKS = [fk for fk in FOREIGN_KEYS if fk.child in MAPPED and fk.parent in MAPPED]
+_COLLATED = {"username", "email", "category_slug", "business_slug", "slug"}
+
+
+def _orphans() -> str:
+    parts = [f"""SELECT '{fk.child}' AS child_table, '{fk.column}' AS child_column,
+                        '{fk.parent}' AS parent_table, count(DISTINCT c.{fk.column}) AS orphan_keys,
+                        count(*) AS orphan_rows
+                 FROM m_{fk.child} c
+                 WHERE c.{fk.column} IS NOT NULL
+                   AND c.{fk.column} NOT IN (SELECT {fk.parent_key} FROM m_{fk.parent}
+                                             WHERE {fk.parent_key} IS NOT NULL)""" for fk in _FKS]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _dup_keys() -> str:
+    keys = [(t, (k,), "primary") for t, k in PRIMARY_KEYS.items()] + [(t, c, "unique") for t, c in UNIQUE_KEYS]
+    parts = []
+    for t, cols, kind in keys:
+        if t not in MAPPED:
+            continue
+        exprs = ", ".join(_ekey(c) if c in _COLLATED else c for c in cols)
+        parts.append(f"""SELECT '{t}' AS table_name, '{",".join(cols)}' AS key_name, '{kind}' AS key_kind,
+                            count(*) AS duplicate_keys, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess_rows
+                         FROM (SELECT count(*) AS n FROM m_{t} GROUP BY {exprs} HAVING count(*) > 1) g""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _enums() -> str:
+    parts = []
+    for (t, c), dom in ENUMS.items():
+        if t not in MAPPED:
+            continue
+        vals = ", ".join(f"'{x}'" for x in dom)
+        parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
+                            count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) AS bad_rows
+                         FROM m_{t}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _per_column(spec: dict, cond) -> str:
+    parts = []
+    for t, cols in spec.items():
+        if t not in MAPPED:
+            continue
+        for c in cols:
+            parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
+                                count(*) FILTER (WHERE {cond(t, c)}) AS {{name}} FROM m_{t}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _len_cond(t, c):
+    if c in VARCHAR_LIMITS.get(t, {}):
+        return f"length({c}) > {VARCHAR_LIMITS[t][c]}"
+    p, s = DECIMAL_SHAPES[t][c]
+    return f"{c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL({p},{s})) IS NULL"
+
+
+_LEN_SPEC: dict = {}
+for _t, _c in VARCHAR_LIMITS.items():
+    _LEN_SPEC.setdefault(_t, []).extend(_c)
+for _t, _c in DECIMAL_SHAPES.items():
+    _LEN_SPEC.setdefault(_t, []).extend(_c)
+
+
+def _delete_plan() -> str:
+    act = {"cascade": "delete", "set_null": "set_null", "restrict": "restrict"}
+    edges = "\nUNION ALL\n".join(
+        f"SELECT '{fk.child}' AS ct, {PRIMARY_KEYS[fk.child]} AS ck, '{fk.parent}' AS pt, {fk.column} AS pk, "
+        f"'{act[fk.on_delete]}' AS action, '{fk.child}.{fk.column}' AS via FROM m_{fk.child}" for fk in _FKS)
+    return f"""
+        WITH RECURSIVE edges AS ({edges}),
+        closure(root_key, table_name, key, via) AS (
+            SELECT user_id, 'users', user_id, CAST(NULL AS VARCHAR) FROM m_users WHERE NOT is_verified
+            UNION
+            SELECT c.root_key, e.ct, e.ck, e.via
+            FROM closure c JOIN edges e ON e.pt = c.table_name AND e.pk = c.key AND e.action = 'delete'),
+        plan AS (
+            SELECT DISTINCT root_key, table_name, key, 'delete' AS action, via FROM closure
+            UNION
+            SELECT DISTINCT c.root_key, e.ct, e.ck, e.action, e.via
+            FROM closure c JOIN edges e ON e.pt = c.table_name AND e.pk = c.key
+            WHERE e.action IN ('set_null', 'restrict')),
+        blocked AS (
+            SELECT DISTINCT r.root_key FROM plan r
+            WHERE r.action = 'restrict'
+              AND NOT EXISTS (SELECT 1 FROM plan d WHERE d.action = 'delete' AND d.root_key = r.root_key
+                                AND d.table_name = r.table_name AND d.key = r.key))
+        SELECT p.*, b.root_key IS NOT NULL AS blocked
+        FROM plan p LEFT JOIN blocked b ON b.root_key = p.root_key"""
+
+
 SQL: dict[str, str] = {
     "top_deals": _card(f"""
         SELECT {_P_COLS}, b.business_name,
@@ -272,6 +369,26 @@ SQL: dict[str, str] = {
         GROUP BY slug HAVING count(*) > 1 OR slug = ''""",
     "role_counts": """
         SELECT role, count(*) AS users FROM m_users GROUP BY role""",
+    "orphans": _orphans(),
+    "duplicate_keys": _dup_keys(),
+    "enum_violations": _enums(),
+    "null_violations": _per_column(NOT_NULL, lambda t, c: f"{c} IS NULL").replace("{name}", "null_rows"),
+    "length_violations": _per_column(_LEN_SPEC, _len_cond).replace("{name}", "bad_rows"),
+    "delete_plan": _delete_plan(),
+    "owned_delete": """
+        SELECT r.product_id, r.business_id,
+               CASE WHEN p.product_id IS NULL THEN 'not_owned'
+                    WHEN EXISTS (SELECT 1 FROM m_order_items oi WHERE oi.product_id = r.product_id) THEN 'blocked'
+                    ELSE 'deleted' END AS status
+        FROM (SELECT DISTINCT product_id, business_id FROM m_order_items WHERE status = 'returned') r
+        LEFT JOIN m_products p ON p.product_id = r.product_id AND p.business_id = r.business_id""",
+    "discount_migration": """
+        SELECT product_id,
+               CASE WHEN d = 0 AND discount_percent > 0 THEN discount_percent ELSE d END AS discount
+        FROM (SELECT product_id, discount_percent,
+                     CAST(CASE WHEN product_id % 3 = 0 THEN 0 WHEN product_id % 3 = 1 THEN NULL
+                               ELSE stock_quantity END AS DECIMAL(5,2)) AS d
+              FROM m_products) x""",
     "sellers_without_business": """
         SELECT u.user_id, u.username, u.email FROM m_users u
         WHERE u.role = 'business_owner'

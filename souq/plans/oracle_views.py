@@ -127,6 +127,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used)
     body = sql.strip()
-    if body[:4].upper() == "WITH":
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    m = re.match(r"(?is)^WITH(\s+RECURSIVE)?\s+", body)
+    if m:
+        head = "WITH RECURSIVE" if m.group(1) else "WITH"
+        return f"{head} {ctes},\n{body[m.end():]}"
     return f"WITH {ctes}\n{body}"

@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from souq.functions.text import slugify
-from souq.operators import catalog, discovery, intake, labels, reviews, taxonomy
+from souq.operators import catalog, discovery, intake, integrity, labels, reviews, taxonomy
 from souq.plans import candidates
 from souq.sources.views import MarketViews
 
@@ -136,6 +137,58 @@ def q_role_counts(spark, d):
     return intake.role_counts(_mv(spark, d).users)
 
 
+MAPPED_TABLES = ["users", "businesses", "categories", "products", "product_images", "product_reviews",
+                 "orders", "order_items", "cart_items", "wishlist_items", "forum_topics", "forum_posts"]
+
+
+def _tables(v: MarketViews) -> dict[str, DataFrame]:
+    return {t: v.table(t) for t in MAPPED_TABLES}
+
+
+def q_orphans(spark, d):
+    return integrity.orphan_audit(_tables(_mv(spark, d)))
+
+
+def q_duplicate_keys(spark, d):
+    return integrity.key_audit(_tables(_mv(spark, d)))
+
+
+def q_enum_violations(spark, d):
+    return integrity.enum_audit(_tables(_mv(spark, d)))
+
+
+def q_null_violations(spark, d):
+    return integrity.null_audit(_tables(_mv(spark, d)))
+
+
+def q_length_violations(spark, d):
+    return integrity.length_audit(_tables(_mv(spark, d)))
+
+
+def q_delete_plan(spark, d):
+    """Deleting every unverified user: cascades, SET NULLs and RESTRICT blocks."""
+    v = _mv(spark, d)
+    victims = v.users.where(~F.col("is_verified")).select("user_id")
+    return integrity.plan_delete(_tables(v), "users", victims)
+
+
+def q_owned_delete(spark, d):
+    """Delete requests (product, seller) taken from returned order lines."""
+    v = _mv(spark, d)
+    req = v.order_items.where(F.col("status") == "returned").select("product_id", "business_id").distinct()
+    return integrity.owned_delete(v.products, v.order_items, req)
+
+
+def q_discount_migration(spark, d):
+    """Second-dialect products (both discount columns) migrated to ``discount``."""
+    v = _mv(spark, d)
+    k = F.col("product_id")
+    legacy = F.when(k % 3 == 0, F.lit(0)).when(k % 3 == 1, F.lit(None)) \
+              .otherwise(F.col("stock_quantity")).cast(DecimalType(5, 2))
+    both = v.products.withColumn("discount", legacy)
+    return integrity.discount_migration(both).select("product_id", "discount")
+
+
 QUERIES: dict[str, QueryFn] = {
     "top_deals": q_top_deals,
     "newest_products": q_newest_products,
@@ -157,4 +210,12 @@ QUERIES: dict[str, QueryFn] = {
     "user_intake": q_user_intake,
     "slug_collisions": q_slug_collisions,
     "role_counts": q_role_counts,
+    "orphans": q_orphans,
+    "duplicate_keys": q_duplicate_keys,
+    "enum_violations": q_enum_violations,
+    "null_violations": q_null_violations,
+    "length_violations": q_length_violations,
+    "delete_plan": q_delete_plan,
+    "owned_delete": q_owned_delete,
+    "discount_migration": q_discount_migration,
 }
