@@ -139,21 +139,36 @@ def _spark(tables: dict[str, DataFrame]) -> SparkSession:
 # -- I-01 ---------------------------------------------------------------------------------
 def orphan_audit(tables: dict[str, DataFrame], fks: list[ForeignKey] = FOREIGN_KEYS) -> DataFrame:
     """(child_table, child_column, parent_table, orphan_keys, orphan_rows) for each key whose
-    tables are both present.  NULL references are legal and not counted."""
+    tables are both present.  NULL references are legal and not counted.
+
+    All references to one parent table are tagged, unioned and counted per
+    (key, reference) first, then meet the parent's keys in a single anti-join:
+    one join per parent table instead of one per foreign key, and each
+    parent is read once.
+    """
+    spark = _spark(tables)
+    present = [fk for fk in fks if fk.child in tables and fk.parent in tables]
     parts = []
-    for fk in fks:
-        if fk.child not in tables or fk.parent not in tables:
-            continue
-        child = tables[fk.child].where(F.col(fk.column).isNotNull()) \
-                                .groupBy(F.col(fk.column).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-        parent = tables[fk.parent].select(F.col(fk.parent_key).alias("_k"))
-        orphans = child.join(parent, "_k", "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphan_keys"),
-                                 F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("orphan_rows"))
-                     .select(F.lit(fk.child).alias("child_table"), F.lit(fk.column).alias("child_column"),
-                             F.lit(fk.parent).alias("parent_table"), "orphan_keys", "orphan_rows"))
-    return _union(parts, _spark(tables), "child_table string, child_column string, parent_table string, "
-                                         "orphan_keys bigint, orphan_rows bigint")
+    for parent in dict.fromkeys(fk.parent for fk in present):
+        group = [(i, fk) for i, fk in enumerate(present) if fk.parent == parent]
+        refs = reduce(lambda a, b: a.unionByName(b), [
+            tables[fk.child].where(F.col(fk.column).isNotNull())
+                            .select(F.lit(i).alias("fk_no"), F.col(fk.column).cast("bigint").alias("_k"))
+            for i, fk in group])
+        counted = refs.groupBy("fk_no", "_k").agg(F.count(F.lit(1)).alias("_n"))
+        keys = tables[parent].select(F.col(group[0][1].parent_key).cast("bigint").alias("_k"))
+        parts.append(counted.join(keys, "_k", "left_anti"))
+    meta = spark.createDataFrame([(i, fk.child, fk.column, fk.parent) for i, fk in enumerate(present)],
+                                 "fk_no int, child_table string, child_column string, parent_table string")
+    if not parts:
+        return meta.drop("fk_no").withColumns({"orphan_keys": F.lit(0).cast("bigint"),
+                                               "orphan_rows": F.lit(0).cast("bigint")})
+    per_fk = reduce(lambda a, b: a.unionByName(b), parts) \
+        .groupBy("fk_no").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("_n").alias("orphan_rows"))
+    return meta.join(per_fk, "fk_no", "left").select(
+        "child_table", "child_column", "parent_table",
+        F.coalesce("orphan_keys", F.lit(0)).cast("bigint").alias("orphan_keys"),
+        F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows"))
 
 
 # -- I-02 ---------------------------------------------------------------------------------

@@ -389,6 +389,87 @@ SQL: dict[str, str] = {
                      CAST(CASE WHEN product_id % 3 = 0 THEN 0 WHEN product_id % 3 = 1 THEN NULL
                                ELSE stock_quantity END AS DECIMAL(5,2)) AS d
               FROM m_products) x""",
+    "browse_facets": """
+        SELECT count(*) FILTER (WHERE discount_percent > 0) AS deal_products,
+               count(*) FILTER (WHERE is_featured) AS featured_products,
+               count(*) FILTER (WHERE is_active) AS active_products,
+               count(*) AS all_products
+        FROM m_products""",
+    "trending_by_sales": """
+        SELECT product_id, name, total_sales FROM m_products
+        ORDER BY total_sales DESC, product_id LIMIT 8""",
+    "category_page": """
+        SELECT p.product_id, p.name, p.price, p.category_id, c.category_name
+        FROM m_products p LEFT JOIN m_categories c ON c.category_id = p.category_id
+        WHERE p.category_id IN (
+            SELECT k.category_id FROM m_categories k JOIN m_categories s
+              ON (k.parent_id = s.category_id OR k.category_id = s.category_id)
+            WHERE s.category_slug = 'america')""",
+    "product_detail": f"""
+        SELECT p.product_id, p.name,
+               (SELECT count(*) FROM m_product_images i WHERE i.product_id = p.product_id) AS image_count,
+               img.image AS primary_image,
+               CAST(coalesce(((r.s * 20000 + r.n) // (r.n * 2) + 500) // 1000, 0) * 0.1 AS DECIMAL(4,1))
+                 AS avg_rating,
+               coalesce(r.c, 0) AS review_count
+        FROM m_products p
+        LEFT JOIN ({_FIRST_IMAGE}) img ON img.product_id = p.product_id
+        LEFT JOIN (SELECT product_id, CAST(sum(rating) AS BIGINT) AS s, count(rating) AS n, count(*) AS c
+                   FROM m_product_reviews GROUP BY product_id) r ON r.product_id = p.product_id""",
+    "cart_totals": """
+        SELECT c.user_id, count(*) AS cart_lines, CAST(sum(c.quantity) AS BIGINT) AS cart_units,
+               CAST(sum(c.quantity * p.price) AS DECIMAL(18,2)) AS cart_value
+        FROM m_cart_items c LEFT JOIN m_products p ON p.product_id = c.product_id
+        GROUP BY c.user_id""",
+    "order_history": """
+        SELECT o.user_id, count(*) AS orders, min(o.created_at) AS first_order_at,
+               max(o.created_at) AS last_order_at, CAST(sum(o.total_amount) AS DECIMAL(18,2)) AS total_spent,
+               CAST(coalesce(sum((SELECT count(*) FROM m_order_items i WHERE i.order_id = o.order_id)), 0)
+                    AS BIGINT) AS order_lines
+        FROM m_orders o GROUP BY o.user_id""",
+    "order_funnel": """
+        SELECT order_status, payment_status, count(*) AS orders,
+               CAST(sum(total_amount) AS DECIMAL(18,2)) AS amount
+        FROM m_orders GROUP BY order_status, payment_status""",
+    "order_reconciliation": """
+        SELECT order_id, subtotal, items_total, CAST(subtotal - items_total AS DECIMAL(18,2)) AS items_gap,
+               CAST(total_amount - (subtotal + shipping_cost + tax_amount - discount_amount) AS DECIMAL(18,2))
+                 AS total_gap
+        FROM (SELECT o.*, CAST(coalesce((SELECT sum(i.total_amount) FROM m_order_items i
+                                         WHERE i.order_id = o.order_id), 0) AS DECIMAL(18,2)) AS items_total
+              FROM m_orders o) x
+        WHERE subtotal - items_total <> 0
+           OR total_amount - (subtotal + shipping_cost + tax_amount - discount_amount) <> 0""",
+    "seller_sales": """
+        SELECT business_id, CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue,
+               CAST(sum(quantity) AS BIGINT) AS units, count(DISTINCT order_id) AS orders
+        FROM m_order_items WHERE status NOT IN ('cancelled', 'returned')
+        GROUP BY business_id""",
+    "total_sales_refresh": """
+        SELECT p.product_id, CAST(coalesce(sum(i.quantity), 0) AS BIGINT) AS total_sales
+        FROM m_products p LEFT JOIN m_order_items i
+          ON i.product_id = p.product_id AND i.status NOT IN ('cancelled', 'returned')
+        GROUP BY p.product_id""",
+    "platform_stats": """
+        SELECT 'users_by_role' AS metric_group, role AS metric_key, count(*) AS value FROM m_users GROUP BY role
+        UNION ALL
+        SELECT 'businesses_by_status', status, count(*) FROM m_businesses GROUP BY status
+        UNION ALL
+        SELECT 'orders_by_status', order_status, count(*) FROM m_orders GROUP BY order_status""",
+    "verified_reviews": """
+        SELECT r.review_id,
+               EXISTS (SELECT 1 FROM m_orders o JOIN m_order_items i ON i.order_id = o.order_id
+                       WHERE o.user_id = r.user_id AND i.product_id = r.product_id) AS verified_purchase
+        FROM m_product_reviews r""",
+    "topic_activity": """
+        SELECT t.topic_id, t.title, t.is_sticky, count(p.post_id) AS posts, max(p.created_at) AS last_post_at
+        FROM m_forum_topics t LEFT JOIN m_forum_posts p ON p.topic_id = t.topic_id
+        GROUP BY t.topic_id, t.title, t.is_sticky""",
+    "wishlist_top": """
+        SELECT w.product_id, p.name, w.wishes
+        FROM (SELECT product_id, count(*) AS wishes FROM m_wishlist_items GROUP BY product_id
+              ORDER BY wishes DESC, product_id LIMIT 10) w
+        LEFT JOIN m_products p ON p.product_id = w.product_id""",
     "sellers_without_business": """
         SELECT u.user_id, u.username, u.email FROM m_users u
         WHERE u.role = 'business_owner'

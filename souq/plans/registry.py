@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from souq.functions.text import slugify
-from souq.operators import catalog, discovery, intake, integrity, labels, reviews, taxonomy
+from souq.operators import (catalog, discovery, intake, integrity, labels, reports, reviews,
+                            taxonomy)
 from souq.plans import candidates
 from souq.sources.views import MarketViews
 
@@ -189,6 +190,75 @@ def q_discount_migration(spark, d):
     return integrity.discount_migration(both).select("product_id", "discount")
 
 
+CATEGORY_SLUG = "america"
+
+
+def q_browse_facets(spark, d):
+    return reports.browse_facets(_mv(spark, d).products)
+
+
+def q_trending_by_sales(spark, d):
+    return reports.trending_by_sales(_mv(spark, d).products, k=8)
+
+
+def q_category_page(spark, d):
+    v = _mv(spark, d)
+    return reports.category_page(v.products, v.categories, CATEGORY_SLUG)
+
+
+def q_product_detail(spark, d):
+    v = _mv(spark, d)
+    return reports.product_detail(v.products, v.product_images, v.product_reviews)
+
+
+def q_cart_totals(spark, d):
+    v = _mv(spark, d)
+    return reports.cart_totals(v.cart_items, v.products)
+
+
+def q_order_history(spark, d):
+    v = _mv(spark, d)
+    return reports.order_history(v.orders, v.order_items)
+
+
+def q_order_funnel(spark, d):
+    return reports.order_funnel(_mv(spark, d).orders)
+
+
+def q_order_reconciliation(spark, d):
+    v = _mv(spark, d)
+    return reports.order_reconciliation(v.orders, v.order_items)
+
+
+def q_seller_sales(spark, d):
+    return reports.seller_sales(_mv(spark, d).order_items)
+
+
+def q_total_sales_refresh(spark, d):
+    v = _mv(spark, d)
+    return reports.refresh_total_sales(v.products, v.order_items)
+
+
+def q_platform_stats(spark, d):
+    v = _mv(spark, d)
+    return reports.platform_stats(v.users, v.businesses, v.orders)
+
+
+def q_verified_reviews(spark, d):
+    v = _mv(spark, d)
+    return reports.verified_reviews(v.product_reviews, v.orders, v.order_items)
+
+
+def q_topic_activity(spark, d):
+    v = _mv(spark, d)
+    return reports.topic_activity(v.forum_topics, v.forum_posts)
+
+
+def q_wishlist_top(spark, d):
+    v = _mv(spark, d)
+    return reports.wishlist_popularity(v.wishlist_items, v.products, k=10)
+
+
 QUERIES: dict[str, QueryFn] = {
     "top_deals": q_top_deals,
     "newest_products": q_newest_products,
@@ -218,4 +288,18 @@ QUERIES: dict[str, QueryFn] = {
     "delete_plan": q_delete_plan,
     "owned_delete": q_owned_delete,
     "discount_migration": q_discount_migration,
+    "browse_facets": q_browse_facets,
+    "trending_by_sales": q_trending_by_sales,
+    "category_page": q_category_page,
+    "product_detail": q_product_detail,
+    "cart_totals": q_cart_totals,
+    "order_history": q_order_history,
+    "order_funnel": q_order_funnel,
+    "order_reconciliation": q_order_reconciliation,
+    "seller_sales": q_seller_sales,
+    "total_sales_refresh": q_total_sales_refresh,
+    "platform_stats": q_platform_stats,
+    "verified_reviews": q_verified_reviews,
+    "topic_activity": q_topic_activity,
+    "wishlist_top": q_wishlist_top,
 }
