@@ -172,26 +172,58 @@ def orphan_audit(tables: dict[str, DataFrame], fks: list[ForeignKey] = FOREIGN_K
 
 
 # -- I-02 ---------------------------------------------------------------------------------
-def _key_col(c: str) -> Column:
-    return F.collate(F.col(c), KEY_COLLATION).alias(c) if c in COLLATED_KEYS else F.col(c)
-
-
 def key_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, key_name, duplicate_keys, excess_rows) for every primary and unique key."""
+    """(table_name, key_name, key_kind, duplicate_keys, excess_rows) for every primary and unique key.
+
+    Each table is read once: its keys are emitted as tagged rows
+    (key_name, numeric parts, collated text part) and every key of every
+    table is counted in a single grouped aggregation, i.e. one shuffle in
+    total, with map-side combining of repeated values.
+    """
+    spark = _spark(tables)
     keys = [(t, (k,), "primary") for t, k in PRIMARY_KEYS.items()] + \
            [(t, cols, "unique") for t, cols in UNIQUE_KEYS]
-    parts = []
-    for table, cols, kind in keys:
-        if table not in tables or not set(cols) <= set(tables[table].columns):
-            continue
-        g = tables[table].select(*[_key_col(c) for c in cols]) \
-                         .groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        parts.append(g.agg(F.count(F.lit(1)).alias("duplicate_keys"),
-                           F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("excess_rows"))
-                     .select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_name"),
-                             F.lit(kind).alias("key_kind"), "duplicate_keys", "excess_rows"))
-    return _union(parts, _spark(tables), "table_name string, key_name string, key_kind string, "
+    keys = [k for k in keys if k[0] in tables and set(k[1]) <= set(tables[k[0]].columns)]
+    if not keys:
+        return spark.createDataFrame([], "table_name string, key_name string, key_kind string, "
                                          "duplicate_keys bigint, excess_rows bigint")
+    numeric, textual = [], []
+    for table in dict.fromkeys(k[0] for k in keys):
+        df = tables[table]
+        types = dict(df.dtypes)
+        num_e, txt_e = [], []
+        for _, cols, _ in [k for k in keys if k[0] == table]:
+            name = F.lit(",".join(cols)).alias("key_name")
+            if any(c in COLLATED_KEYS or types[c] == "string" for c in cols):
+                txt_e.append(F.struct(name, F.col(cols[0]).cast("string").alias("t1")))
+            else:
+                num_e.append(F.struct(name, F.col(cols[0]).cast("bigint").alias("n1"),
+                                      (F.col(cols[1]).cast("bigint") if len(cols) > 1
+                                       else F.lit(None).cast("bigint")).alias("n2")))
+        for entries, sink in ((num_e, numeric), (txt_e, textual)):
+            if entries:
+                sink.append(df.select(F.lit(table).alias("table_name"),
+                                      F.explode(F.array(*entries)).alias("e")).select("table_name", "e.*"))
+
+    def dup_counts(parts, cols):
+        if not parts:
+            return None
+        u = reduce(lambda a, b: a.unionByName(b), parts)
+        return u.groupBy("table_name", "key_name", *cols).agg(F.count(F.lit(1)).alias("_n")) \
+                .where("_n > 1").groupBy("table_name", "key_name") \
+                .agg(F.count(F.lit(1)).alias("duplicate_keys"), F.sum(F.col("_n") - 1).alias("excess_rows"))
+
+    # numeric keys: a plain hash aggregate; text keys: grouped under the collation
+    found = [d for d in (dup_counts(numeric, ["n1", "n2"]),
+                         dup_counts([t.withColumn("t1", F.collate(F.col("t1"), KEY_COLLATION))
+                                     for t in textual], ["t1"])) if d is not None]
+    dups = reduce(lambda a, b: a.unionByName(b), found)
+    meta = spark.createDataFrame([(t, ",".join(c), kind) for t, c, kind in keys],
+                                 "table_name string, key_name string, key_kind string")
+    return meta.join(dups, ["table_name", "key_name"], "left").select(
+        "table_name", "key_name", "key_kind",
+        F.coalesce("duplicate_keys", F.lit(0)).cast("bigint").alias("duplicate_keys"),
+        F.coalesce("excess_rows", F.lit(0)).cast("bigint").alias("excess_rows"))
 
 
 # -- I-03, I-04, I-05 -----------------------------------------------------------------------
@@ -262,7 +294,9 @@ def _cascade(tables, table: str, frontier: DataFrame, fks, out: list, depth: int
         child_pk = PRIMARY_KEYS[fk.child]
         refs = tables[fk.child].select(F.col(child_pk).alias("key"), F.col(fk.column).alias("_ref"))
         hit = refs.join(frontier.withColumnRenamed("key", "_ref"), "_ref").select("root_key", "key")
-        if fk.on_delete == "cascade":
+        recurses = fk.on_delete == "cascade" and any(
+            g.parent == fk.child and g.child in tables for g in fks)
+        if recurses:
             # the frontier feeds this level's output and every deeper level:
             # materialise it once (reliable checkpoint in the shared folder)
             hit = hit.checkpoint(eager=True)
@@ -270,7 +304,7 @@ def _cascade(tables, table: str, frontier: DataFrame, fks, out: list, depth: int
                               F.lit({"cascade": "delete", "set_null": "set_null",
                                      "restrict": "restrict"}[fk.on_delete]).alias("action"),
                               F.lit(f"{fk.child}.{fk.column}").alias("via")))
-        if fk.on_delete == "cascade":
+        if recurses:
             _cascade(tables, fk.child, hit, fks, out, depth + 1)
 
 

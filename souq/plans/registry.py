@@ -29,7 +29,7 @@ CATALOG_PAGE = 2
 
 
 def _mv(spark: SparkSession, d: str) -> MarketViews:
-    return MarketViews(spark, d)
+    return MarketViews.shared(spark, d)
 
 
 def q_top_deals(spark, d):
