@@ -128,12 +128,12 @@ def validate_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
                                 ("first_name", "last_name", "email", "phone")})
     c = c.withColumn("error", user_rule_code()).withColumn("_ek", email_key("email"))
     passing = c.where(F.col("error").isNull()).select("_ek", "arrival_no")
+    # earliest arrival per email first: a grouped min combines on the map
+    # side, so one email repeated in a third of the batch is one row per task
+    # before the anti-join against the table (which only looks at the key)
+    first = passing.groupBy("_ek").agg(F.min("arrival_no").alias("arrival_no"))
     taken = users.select(email_key("email").alias("_ek"))
-    fresh = passing.join(taken, "_ek", "left_anti")
-    # earliest arrival per email: a grouped min combines on the map side, so
-    # one email repeated in a third of the batch is still one row per task
-    winners = fresh.groupBy("_ek").agg(F.min("arrival_no").alias("arrival_no")) \
-                   .select("arrival_no", F.lit(True).alias("_win"))
+    winners = first.join(taken, "_ek", "left_anti").select("arrival_no", F.lit(True).alias("_win"))
     out = c.join(winners, "arrival_no", "left")
     err = F.when(F.col("error").isNotNull(), F.col("error")) \
            .when(F.col("_win").isNull(), F.lit("email_in_use"))

@@ -127,10 +127,17 @@ def platform_stats(users: DataFrame, businesses: DataFrame, orders: DataFrame) -
 
 
 def verified_reviews(reviews: DataFrame, orders: DataFrame, order_items: DataFrame) -> DataFrame:
-    """C-11: a review is a verified purchase when its author ordered that product."""
-    bought = order_items.select("order_id", "product_id") \
-        .join(orders.select("order_id", "user_id"), "order_id") \
-        .select("user_id", "product_id").distinct().withColumn("_bought", F.lit(True))
+    """C-11: a review is a verified purchase when its author ordered that product.
+
+    Order lines are first cut to reviewed products (a semi-join against the
+    distinct reviewed product ids), so only relevant lines meet the orders.
+    """
+    pairs = reviews.select("user_id", "product_id").distinct()
+    lines = order_items.select("order_id", "product_id") \
+                       .join(pairs.select("product_id").distinct(), "product_id", "left_semi")
+    bought = lines.join(orders.select("order_id", "user_id"), "order_id") \
+                  .join(pairs, ["user_id", "product_id"], "left_semi") \
+                  .distinct().withColumn("_bought", F.lit(True))
     r = reviews.select("review_id", "user_id", "product_id").join(bought, ["user_id", "product_id"], "left")
     return r.select("review_id", F.coalesce("_bought", F.lit(False)).alias("verified_purchase"))
 
