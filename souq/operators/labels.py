@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souq.functions.labels import (BUSINESS_PLACEHOLDER, business_category_label,
+                                   image_or_placeholder, location_label)
 from souq.functions.pricing import (discount_badge, discount_label, discounted_price,
                                     home_price_label, seller_deal_label, seller_price_label)
 from souq.functions.text import date_label, slugify, truncate_text
@@ -33,3 +35,16 @@ def teasers(texts: DataFrame, column: str = "description", length: int = 100) ->
     """X-06 over a text table: whole texts in, one teaser per row out."""
     return texts.select("product_id", truncate_text(column, length).alias("teaser"),
                         F.octet_length(column).alias("text_bytes"))
+
+
+def business_cards(businesses: DataFrame) -> DataFrame:
+    """X-13 + J-10 for the business cards: logo or placeholder, location text
+    and the category badge (no badge when the business has no category code)."""
+    logo = F.col("logo_path") if "logo_path" in businesses.columns else F.lit(None).cast("string")
+    code = F.col("business_category") if "business_category" in businesses.columns \
+        else F.lit(None).cast("string")
+    return businesses.select(
+        "business_id", "business_name",
+        image_or_placeholder(logo, BUSINESS_PLACEHOLDER).alias("logo"),
+        location_label("city", "state").alias("location"),
+        business_category_label(code, badge=True).alias("category_badge"))

@@ -470,6 +470,16 @@ SQL: dict[str, str] = {
         FROM (SELECT product_id, count(*) AS wishes FROM m_wishlist_items GROUP BY product_id
               ORDER BY wishes DESC, product_id LIMIT 10) w
         LEFT JOIN m_products p ON p.product_id = w.product_id""",
+    "seller_business": """
+        SELECT u.user_id, b.business_id, b.business_id IS NULL AS needs_profile
+        FROM m_users u LEFT JOIN m_businesses b ON b.user_id = u.user_id
+        WHERE u.role = 'business_owner'""",
+    "business_cards": """
+        SELECT business_id, business_name, 'assets/images/business-placeholder.jpg' AS logo,
+               CASE WHEN city IS NOT NULL AND state IS NOT NULL THEN city || ', ' || state
+                    ELSE 'Location not specified' END AS location,
+               CAST(NULL AS VARCHAR) AS category_badge
+        FROM m_businesses""",
     "sellers_without_business": """
         SELECT u.user_id, u.username, u.email FROM m_users u
         WHERE u.role = 'business_owner'

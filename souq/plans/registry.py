@@ -259,6 +259,15 @@ def q_wishlist_top(spark, d):
     return reports.wishlist_popularity(v.wishlist_items, v.products, k=10)
 
 
+def q_seller_business(spark, d):
+    v = _mv(spark, d)
+    return catalog.seller_business(v.users, v.businesses)
+
+
+def q_business_cards(spark, d):
+    return labels.business_cards(_mv(spark, d).businesses)
+
+
 QUERIES: dict[str, QueryFn] = {
     "top_deals": q_top_deals,
     "newest_products": q_newest_products,
@@ -274,6 +283,8 @@ QUERIES: dict[str, QueryFn] = {
     "catalog_search": q_catalog_search,
     "catalog_count": q_catalog_count,
     "sellers_without_business": q_sellers_without_business,
+    "seller_business": q_seller_business,
+    "business_cards": q_business_cards,
     "listing_labels": q_listing_labels,
     "product_ratings": q_product_ratings,
     "product_intake": q_product_intake,
