@@ -58,3 +58,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def scale_settings(input_bytes: int, total_cores: int,
+                   partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings that keep partitions a few hundred MB at a given input size.
+
+    Shuffles start with enough partitions for the input (never fewer than two
+    per core) and AQE coalesces them down after measuring the real map
+    output; skewed partitions beyond 4x the median and 1 GB are split.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    mb = f"{partition_bytes // (1024 * 1024)}m"
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    }

@@ -241,3 +241,61 @@ class MarketViews:
     def table(self, name: str) -> DataFrame:
         """A marketplace table by name (the S-01 scan over the mapping)."""
         return getattr(self, name)
+
+
+VIEW_NAMES = ["users", "businesses", "categories", "products", "product_images", "product_reviews",
+              "orders", "order_items", "cart_items", "wishlist_items", "forum_topics", "forum_posts"]
+
+# Sort key inside each written file: row-group min/max statistics then let
+# ``key IN (...)`` and range predicates skip most of a file.
+LAYOUT_KEYS = {
+    "users": "user_id", "businesses": "business_id", "categories": "category_id",
+    "products": "product_id", "product_images": "product_id", "product_reviews": "product_id",
+    "orders": "order_id", "order_items": "order_id", "cart_items": "user_id",
+    "wishlist_items": "product_id", "forum_topics": "topic_id", "forum_posts": "topic_id",
+}
+
+
+class StoredViews:
+    """Marketplace views read back from a folder written by ``materialize``.
+
+    Same interface as ``MarketViews`` (attribute access, ``table``,
+    ``products_with_description``); names that were not written (and
+    ``product_text``, a plain projection of the raw documents) come from the
+    lazy views.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fallback: MarketViews, names: list[str]):
+        self.spark, self.path, self.fallback, self.names = spark, path, fallback, set(names)
+
+    def table(self, name: str) -> DataFrame:
+        if name in self.names:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.fallback.table(name)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in VIEW_NAMES or name == "product_text":
+            return self.table(name)
+        raise AttributeError(name)
+
+    def products_with_description(self) -> DataFrame:
+        return self.table("products").join(self.fallback.product_text, "product_id", "left")
+
+
+def materialize(views: MarketViews, path: str, names: list[str] | None = None) -> StoredViews:
+    """Write derived views once (e.g. to the shared checkpoint folder) and read them back.
+
+    The expensive derivations (the lineitem rollup behind ``products``, the
+    event rollups behind carts and wishlists) then run once for a whole
+    workload instead of once per query.  Files are sorted by their lookup key
+    within each task's output (no extra shuffle), which keeps row-group
+    statistics narrow for key lookups.
+    """
+    names = list(names or VIEW_NAMES)
+    for n in names:
+        df = views.table(n)
+        key = LAYOUT_KEYS.get(n)
+        if key:
+            df = df.sortWithinPartitions(key)
+        df.write.mode("overwrite").parquet(f"{path}/{n}")
+    return StoredViews(views.spark, path, views, names)
