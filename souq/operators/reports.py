@@ -44,18 +44,32 @@ def category_page(products: DataFrame, categories: DataFrame, slug: str) -> Data
     return with_category_name(p, categories).select("product_id", "name", "price", "category_id", "category_name")
 
 
-def product_detail(products: DataFrame, images: DataFrame, reviews: DataFrame) -> DataFrame:
-    """C-03: per product image count, card image and rating summary."""
-    img_n = images.groupBy("product_id").agg(F.count(F.lit(1)).alias("image_count"))
+def product_detail(products: DataFrame, images: DataFrame, reviews: DataFrame,
+                   attributes: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
+    """C-03: per product image count, card image, rating summary and (when the
+    tables are given) attribute and tag counts.
+
+    Child tables are reduced to one row per product before the joins; no
+    per-product list is gathered, so a product with a huge number of child
+    rows costs no more than any other.
+    """
+    def counted(df, name):
+        return df.groupBy("product_id").agg(F.count(F.lit(1)).alias(name))
     stats = with_mean_rating(rating_stats(reviews)).select("product_id", "avg_rating", "review_count")
     p = products.select("product_id", "name") \
-                .join(img_n, "product_id", "left").join(first_image(images), "product_id", "left") \
+                .join(counted(images, "image_count"), "product_id", "left") \
+                .join(first_image(images), "product_id", "left") \
                 .join(stats, "product_id", "left")
+    extra = []
+    for df, name in ((attributes, "attribute_count"), (tags, "tag_count")):
+        if df is not None:
+            p = p.join(counted(df, name), "product_id", "left")
+            extra.append(F.coalesce(name, F.lit(0).cast("bigint")).alias(name))
     return p.select("product_id", "name",
                     F.coalesce("image_count", F.lit(0).cast("bigint")).alias("image_count"),
                     F.col("image").alias("primary_image"),
                     F.coalesce("avg_rating", F.lit(0).cast("decimal(4,1)")).alias("avg_rating"),
-                    F.coalesce("review_count", F.lit(0).cast("bigint")).alias("review_count"))
+                    F.coalesce("review_count", F.lit(0).cast("bigint")).alias("review_count"), *extra)
 
 
 def cart_totals(cart_items: DataFrame, products: DataFrame) -> DataFrame:

@@ -43,11 +43,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is used as is.  Only
-    when it is unset (local tests) a private scratch folder is created.
+    On a cluster the setting names shared storage and is used as is (and is
+    required).  Only a local-mode session without it (tests) gets a private
+    scratch folder.
     """
     path = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder on shared storage; "
+                               "a machine-local folder cannot hold checkpoints on a cluster")
         path = tempfile.mkdtemp(prefix="souq-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -9,6 +9,7 @@ accounts.  Password hashes are left out.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Root categories (name, slug, description, icon, display_order).
 ROOT_CATEGORIES = [
@@ -46,6 +47,11 @@ EXAMPLE_USERS = [
     ("business", "Business", "Owner", "business@localconnect.com", None, "business_owner", True),
 ]
 
+# The example business created for a new example seller
+# (name, email, phone, address, city, state, zip, description).
+EXAMPLE_BUSINESS = ("Local Store", "business@localconnect.com", "1234567890", "123 Main St",
+                    "Cityville", "State", "12345", "An example local business")
+
 CATEGORY_SCHEMA = ("category_id bigint, category_name string, category_slug string, "
                    "category_description string, category_icon string, parent_id bigint, "
                    "is_active boolean, display_order int")
@@ -72,3 +78,27 @@ def flat_categories(spark: SparkSession) -> DataFrame:
 def example_users(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EXAMPLE_USERS, "username string, first_name string, last_name string, "
                                                 "email string, phone string, role string, is_verified boolean")
+
+
+def missing_example_accounts(spark: SparkSession, users: DataFrame,
+                             businesses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S-02 + P-09: example accounts to append, only for roles nobody has yet.
+
+    Returns (users_to_add, businesses_to_add): the admin if no admin exists,
+    the example seller if no business owner exists, and the example business
+    for a seller created here.  Role presence is an anti-join, nothing is
+    collected; new keys continue after the current maxima.
+    """
+    from souq.sources.sinks import assign_keys
+    seed = example_users(spark).withColumn(
+        "arrival_no", F.when(F.col("role") == "admin", 1).otherwise(2).cast("bigint"))
+    present = users.select("role").where(F.col("role").isin("admin", "business_owner"))
+    add = assign_keys(seed.join(present, "role", "left_anti"), users, "user_id").drop("arrival_no")
+    name, email, phone, addr, city, state, zip_code, desc = EXAMPLE_BUSINESS
+    biz = add.where(F.col("role") == "business_owner").select(
+        "user_id", F.lit(name).alias("business_name"), F.lit(email).alias("business_email"),
+        F.lit(phone).alias("business_phone"), F.lit(addr).alias("address_line1"),
+        F.lit(city).alias("city"), F.lit(state).alias("state"), F.lit(zip_code).alias("postal_code"),
+        F.lit(desc).alias("description"), F.lit(1).cast("bigint").alias("arrival_no"))
+    biz = assign_keys(biz, businesses, "business_id").drop("arrival_no")
+    return add, biz

@@ -45,3 +45,15 @@ def test_unread_counts_and_wishlist(spark):
     wl = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, 1, 11)], "wishlist_id long, user_id long, product_id long")
     prods = spark.createDataFrame([(10, "A"), (11, "B")], "product_id long, name string")
     assert [(r.product_id, r.wishes) for r in rp.wishlist_popularity(wl, prods, k=1).collect()] == [(10, 2)]
+
+
+def test_product_detail_with_attributes_and_tags(spark):
+    products = spark.createDataFrame([(1, "A"), (2, "B")], "product_id long, name string")
+    images = spark.createDataFrame([(1, 1, "a.jpg", True, 0)],
+                                   "image_id long, product_id long, image_path string, is_primary boolean, display_order int")
+    revs = spark.createDataFrame([(1, 1, 4)], "review_id long, product_id long, rating int")
+    attrs = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "attribute_id long, product_id long")
+    tags = spark.createDataFrame([(1, 2)], "tag_id long, product_id long")
+    got = {r.product_id: (r.image_count, r.primary_image, str(r.avg_rating), r.review_count, r.attribute_count,
+                          r.tag_count) for r in rp.product_detail(products, images, revs, attrs, tags).collect()}
+    assert got == {1: (1, "a.jpg", "4.0", 1, 2, 0), 2: (0, None, "0.0", 0, 1, 1)}

@@ -81,3 +81,16 @@ def test_accent_insensitive_search(spark):
     df = spark.createDataFrame([(1, "Crème brûlée", None)], "product_id long, name string, description string")
     assert df.where(cat.search_predicate("CREME", accent_insensitive=True)).count() == 1
     assert df.where(cat.search_predicate("CREME")).count() == 0
+
+
+def test_example_accounts_only_when_absent(spark):
+    users = spark.createDataFrame([(5, "admin"), (6, "customer")], "user_id long, role string")
+    biz = spark.createDataFrame([(3, 6)], "business_id long, user_id long")
+    add_u, add_b = seeds.missing_example_accounts(spark, users, biz)
+    u = add_u.collect()
+    assert [(r.username, r.role, r.user_id) for r in u] == [("business", "business_owner", 8)]
+    b = add_b.collect()
+    assert [(r.business_id, r.user_id, r.business_name) for r in b] == [(4, 8, "Local Store")]
+    none_u, none_b = seeds.missing_example_accounts(
+        spark, users.unionByName(spark.createDataFrame([(9, "business_owner")], "user_id long, role string")), biz)
+    assert none_u.count() == 0 and none_b.count() == 0
