@@ -19,6 +19,21 @@ def php_empty(c: Column | str) -> Column:
     return c.isNull() | (c == "") | (c == "0")
 
 
+# PHP trim()'s character set: space, tab, LF, CR, NUL, VT.
+_TRIMMED = "[ \\t\\n\\r\\u0000\\u000B]*"
+
+
+def php_blank(c: Column | str) -> Column:
+    """``empty(trim(x))`` (and so ``empty(htmlspecialchars(trim(x)))``) without building
+    the trimmed text: NULL, only trim characters, or a lone ``0`` between them.
+
+    The anchored pattern fails at the first other character, so long texts
+    cost almost nothing.
+    """
+    c = as_col(c)
+    return c.isNull() | c.rlike("^" + _TRIMMED + "0?" + _TRIMMED + "$")
+
+
 def to_int_prefix(c: Column | str) -> Column:
     """``intval``: the leading integer, 0 when there is none (never raises)."""
     digits = F.regexp_extract(as_col(c).cast("string"), _INT_PREFIX, 1)

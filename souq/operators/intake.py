@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from souq.functions.coerce import php_empty, to_float_prefix, to_int_prefix
+from souq.functions.coerce import php_blank, php_empty, to_float_prefix, to_int_prefix
 from souq.functions.text import html_escape, is_digits, is_valid_email, slugify, upload_name
 from souq.sources.sinks import assign_keys
 
@@ -46,11 +46,16 @@ def clean_product_candidates(c: DataFrame) -> DataFrame:
 
 
 def product_errors() -> Column:
-    """Every failing rule of the product form, in the source's order."""
+    """Every failing rule of the product form, in the source's order.
+
+    The emptiness rules read the raw ``_name``/``_description`` (escaping
+    cannot change whether the trimmed text is empty), so the escaped text is
+    only computed when it is actually output.
+    """
     no_image = F.col("image_name").isNull()
     return F.array_compact(F.array(
-        _rule(php_empty("name"), "name_required"),
-        _rule(php_empty("description"), "description_required"),
+        _rule(php_blank("_name"), "name_required"),
+        _rule(php_blank("_description"), "description_required"),
         _rule(F.col("category_id") <= 0, "category_invalid"),
         _rule(F.col("price_value") <= 0, "price_invalid"),
         _rule((F.col("discount_value") < 0) | (F.col("discount_value") > 100), "discount_out_of_range"),
@@ -63,7 +68,9 @@ def product_errors() -> Column:
 
 def validate_products(candidates: DataFrame) -> DataFrame:
     """V-01: the cleaned candidates with ``errors`` (empty array = valid)."""
-    return clean_product_candidates(candidates).withColumn("errors", product_errors())
+    raw = candidates.withColumns({"_name": F.col("name"), "_description": F.col("description")})
+    return clean_product_candidates(raw).withColumn("errors", product_errors()) \
+                                        .drop("_name", "_description")
 
 
 def accepted_products(validated: DataFrame, existing_products: DataFrame, *,

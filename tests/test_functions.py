@@ -89,3 +89,13 @@ def test_lookup_labels(spark):
 def test_date_label(spark):
     df = spark.sql("select timestamp_ntz'2024-01-05 10:00:00' as v")
     assert df.select(date_label("v").alias("r")).first().r == "Jan 5, 2024"
+
+
+def test_php_blank_matches_empty_after_trim(spark):
+    from souq.functions.coerce import php_blank
+    cases = {None: True, "": True, "  \t\n": True, " 0 ": True, "0": True, "00": False, " a ": False,
+             "0a": False, "\x00": True, "x" * 10000 + " ": False}
+    for value, want in cases.items():
+        assert one(spark, php_blank, value) is want, repr(value)[:20]
+        if value is not None:
+            assert one(spark, lambda c: php_empty(html_escape(c)), value) is want
