@@ -55,7 +55,10 @@ def category_tree(categories: DataFrame, zero_is_root: bool = True,
                   order_by_name: bool = False) -> DataFrame:
     """J-05 nested: one row per root with ``children: array<struct<category_id, category_name>>``.
 
-    Roots without children keep an empty array.
+    Roots without children keep an empty array.  This gathers each root's
+    children into one row, which is only meant for a taxonomy (tens to
+    thousands of categories, the form's dropdown); anything that grows with
+    the data should use the flat ``category_tree_rows``.
     """
     rows = category_tree_rows(categories, zero_is_root, order_by_name)
     child = F.when(F.col("child_id").isNotNull(),

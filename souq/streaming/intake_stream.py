@@ -84,7 +84,7 @@ def start_user_intake(spark: SparkSession, inbox: str, users_path: str, rejects_
         users = read_table(batch.sparkSession, users_path, existing_schema)
         validated = intake.validate_users(batch, users.select("user_id", "email"))
         accepted = intake.accepted_users(validated, users.select("user_id"))
-        _write_batch(accepted.select(*[c for c in accepted.columns]), users_path, batch_id)
+        _write_batch(accepted, users_path, batch_id)
         _write_batch(validated.where(F.col("error").isNotNull()).select("arrival_no", "error"),
                      rejects_path, batch_id)
 
