@@ -85,3 +85,24 @@ def test_dialects_and_migration(spark):
     assert sorted(r.missing_column for r in rep.collect()) == ["business_id", "category_id", "description",
                                                                "image", "name", "price"]
     assert dialect.schema_contract(spark, {}).first().missing_column is None
+
+
+def test_dialect2_tables_run_through_the_operators(spark):
+    from datetime import datetime as dt
+
+    from souq.operators import catalog, discovery, taxonomy
+    cats2 = spark.createDataFrame([(1, "Electronics", None), (2, "Phones", 1)], "id long, name string, parent_id long")
+    prods2 = spark.createDataFrame(
+        [(7, 3, 2, "Phone X", "desc", D("100.00"), D("0"), D("20"), "up/x.jpg", dt(2024, 1, 1))],
+        "id long, business_id long, category_id long, name string, description string, price decimal(10,2), "
+        "discount decimal(5,2), discount_percent decimal(5,2), image string, created_at timestamp_ntz")
+    biz2 = spark.createDataFrame([(3, 30, "Shop")], "id long, user_id long, name string")
+    cats = dialect.resolve_columns(cats2, "categories")
+    prods = dialect.resolve_columns(dialect.migrate_discount(prods2), "products")
+    biz = dialect.resolve_columns(biz2, "businesses")
+    assert [r.product_id for r in taxonomy.filter_by_category(prods, cats, 1).collect()] == [7]
+    page = catalog.catalog_page(prods, cats, business_id=3).first()
+    assert page.category_name == "Phones" and page.discount_percent == D("20.00")
+    images = prods.select("product_id", "image_path").withColumn("image_id", prods.product_id)
+    deal = discovery.top_deals(prods, biz, images).first()
+    assert (deal.business_name, deal.image, str(deal.discounted_price)) == ("Shop", "up/x.jpg", "80.00")
