@@ -47,15 +47,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     required).  Only a local-mode session without it (tests) gets a private
     scratch folder.
     """
-    path = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:              # Spark Connect: the server owns the setting
+        sc = None
+    path = spark.conf.get(_CKPT_KEY, None) or (sc.getConf().get(_CKPT_KEY, None) if sc else None)
+    if sc is None:
+        if not path:
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder on shared storage")
+        return path
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError(f"set {_CKPT_KEY} to a folder on shared storage; "
                                "a machine-local folder cannot hold checkpoints on a cluster")
         path = tempfile.mkdtemp(prefix="souq-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 

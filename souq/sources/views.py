@@ -49,7 +49,11 @@ class MarketViews:
         are saved, never data.  Files added to the folder later are not seen
         by an existing handle: use a new ``MarketViews`` for changing tables.
         """
-        key = (spark.sparkContext.applicationId, base)
+        try:
+            app = spark.sparkContext.applicationId
+        except Exception:          # Spark Connect sessions have no SparkContext
+            app = str(id(spark))
+        key = (app, base)
         mv = cls._shared.get(key)
         if mv is None or mv.spark is not spark:
             mv = cls._shared[key] = cls(spark, base)
