@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from souq.functions.coerce import php_blank, php_empty, to_float_prefix, to_int_prefix
-from souq.functions.text import html_escape, is_digits, is_valid_email, slugify, upload_name
+from souq.functions.text import html_escape, is_digits, is_valid_email, php_trim, slugify, upload_name
 from souq.sources.sinks import assign_keys
 
 # Fixed values of the reference: accepted upload types and the size limit.
@@ -48,13 +48,13 @@ def clean_product_candidates(c: DataFrame) -> DataFrame:
 def product_errors() -> Column:
     """Every failing rule of the product form, in the source's order.
 
-    The emptiness rules read the raw ``_name``/``_description`` (escaping
+    The emptiness rules read the raw ``raw_name``/``_description`` (escaping
     cannot change whether the trimmed text is empty), so the escaped text is
     only computed when it is actually output.
     """
     no_image = F.col("image_name").isNull()
     return F.array_compact(F.array(
-        _rule(php_blank("_name"), "name_required"),
+        _rule(php_blank("raw_name"), "name_required"),
         _rule(php_blank("_description"), "description_required"),
         _rule(F.col("category_id") <= 0, "category_invalid"),
         _rule(F.col("price_value") <= 0, "price_invalid"),
@@ -67,10 +67,13 @@ def product_errors() -> Column:
 
 
 def validate_products(candidates: DataFrame) -> DataFrame:
-    """V-01: the cleaned candidates with ``errors`` (empty array = valid)."""
-    raw = candidates.withColumns({"_name": F.col("name"), "_description": F.col("description")})
-    return clean_product_candidates(raw).withColumn("errors", product_errors()) \
-                                        .drop("_name", "_description")
+    """V-01: the cleaned candidates with ``errors`` (empty array = valid).
+
+    ``raw_name`` keeps the submitted name (for the slug); the stored ``name``
+    and ``description`` are escaped.
+    """
+    raw = candidates.withColumns({"raw_name": F.col("name"), "_description": F.col("description")})
+    return clean_product_candidates(raw).withColumn("errors", product_errors()).drop("_description")
 
 
 def accepted_products(validated: DataFrame, existing_products: DataFrame, *,
@@ -85,11 +88,11 @@ def accepted_products(validated: DataFrame, existing_products: DataFrame, *,
     disc = (disc.cast("int") if truncate_discount else disc).cast(DecimalType(5, 2))
     rows = ok.select(
         "arrival_no", F.col("business_id").cast("bigint").alias("business_id"),
-        "category_id", "name", slugify("name").alias("slug"), "description",
+        "category_id", "name", slugify(php_trim("raw_name")).alias("slug"), "description",
         F.col("price_value").cast(DecimalType(10, 2)).alias("price"),
         disc.alias("discount_percent"),
         F.concat(F.lit(UPLOAD_DIR), upload_name("image_name", epoch)).alias("image_path"),
-        F.current_timestamp().alias("created_at"))
+        F.localtimestamp().alias("created_at"))           # NOW(): session-local, no zone
     return assign_keys(rows, existing_products, "product_id")
 
 
@@ -156,7 +159,7 @@ def validate_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
 def accepted_users(validated: DataFrame, existing_users: DataFrame) -> DataFrame:
     """S-05: rows to append for accepted registrations (``created_at = NOW()``)."""
     ok = validated.where(F.col("error").isNull()).drop("error")
-    ok = ok.withColumns({"is_verified": F.lit(False), "created_at": F.current_timestamp()})
+    ok = ok.withColumns({"is_verified": F.lit(False), "created_at": F.localtimestamp()})
     return assign_keys(ok, existing_users, "user_id")
 
 

@@ -72,3 +72,11 @@ def test_slug_report_and_roles(spark):
     u = spark.createDataFrame([("admin",), ("customer",), ("customer",)], "role string")
     assert {r.role: r.users for r in intake.role_counts(u).collect()} == {"admin": 1, "customer": 2}
     assert intake.has_role(u, "business_owner").count() == 0
+
+
+def test_accepted_product_slug_uses_the_submitted_name(spark):
+    rows = [(1, 7, "  Tom & Jerry's Mug ", "d", "3", "5", None, "m.png", "image/png", 10)]
+    val = intake.validate_products(spark.createDataFrame(rows, PC_SCHEMA))
+    new = intake.accepted_products(val, spark.createDataFrame([], "product_id long")).first()
+    assert new.slug == "tom-jerry-s-mug" and new.name == "Tom &amp; Jerry&#039;s Mug"
+    assert dict(intake.accepted_products(val, spark.createDataFrame([], "product_id long")).dtypes)["created_at"] == "timestamp_ntz"
