@@ -36,6 +36,12 @@ def page_offset(page: int | None, page_size: int = PAGE_SIZE) -> int:
     return (p - 1) * page_size
 
 
+def _text_match(c: str, search: str, accent_insensitive: bool) -> Column:
+    if accent_insensitive:
+        return F.coalesce(F.contains(F.collate(F.col(c), "UNICODE_CI_AI"), F.lit(search)), F.lit(False))
+    return F.col(c).ilike(f"%{search}%")
+
+
 def search_predicate(search: str, accent_insensitive: bool = False) -> Column:
     """P-03: ``name LIKE %q% OR description LIKE %q%``.
 
@@ -44,12 +50,26 @@ def search_predicate(search: str, accent_insensitive: bool = False) -> Column:
     compares under the ``UNICODE_CI_AI`` collation with literal containment
     instead, closer to MySQL's general_ci (T-03).
     """
-    if accent_insensitive:
-        def hit(c):
-            return F.contains(F.collate(F.col(c), "UNICODE_CI_AI"), F.lit(search))
-        return F.coalesce(hit("name"), F.lit(False)) | F.coalesce(hit("description"), F.lit(False))
-    pattern = f"%{search}%"
-    return F.col("name").ilike(pattern) | F.col("description").ilike(pattern)
+    return _text_match("name", search, accent_insensitive) | \
+        _text_match("description", search, accent_insensitive)
+
+
+def search_products(products: DataFrame, search: str, product_text: DataFrame | None = None,
+                    accent_insensitive: bool = False) -> DataFrame:
+    """P-03 over products whose description lives in a separate text table.
+
+    The description predicate runs at the text scan and only the ids of
+    matching texts are shuffled (deduplicated, map-side first); texts never
+    move.  The OR with the name match is then evaluated on the product rows.
+    """
+    if "description" in products.columns or product_text is None:
+        return products.where(search_predicate(search, accent_insensitive))
+    hits = product_text.where(_text_match("description", search, accent_insensitive)) \
+                       .select("product_id").distinct().withColumn("_text_hit", F.lit(True))
+    return products.join(hits, "product_id", "left") \
+                   .where(_text_match("name", search, accent_insensitive)
+                          | F.coalesce(F.col("_text_hit"), F.lit(False))) \
+                   .drop("_text_hit")
 
 
 def with_text(products: DataFrame, product_text: DataFrame | None) -> DataFrame:
@@ -65,8 +85,8 @@ def catalog_filter(products: DataFrame, categories: DataFrame, *, business_id: i
                    product_text: DataFrame | None = None) -> DataFrame:
     """P-02 + P-08 composition: seller, optional search, optional category (J-06).
 
-    The cheap predicates (seller, category) run before the description text
-    is joined in; the text is read only when a search needs it.
+    The cheap predicates (seller, category) run first; a search reads the
+    description texts only to find matching ids (see ``search_products``).
     """
     p = products
     if business_id is not None:
@@ -74,7 +94,7 @@ def catalog_filter(products: DataFrame, categories: DataFrame, *, business_id: i
     p = filter_by_category(p, categories, int(category or 0))
     s = clean_search(search)
     if s:
-        p = with_text(p, product_text).where(search_predicate(s, accent_insensitive))
+        p = search_products(p, s, product_text, accent_insensitive)
     return p
 
 

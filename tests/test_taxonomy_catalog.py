@@ -94,3 +94,15 @@ def test_example_accounts_only_when_absent(spark):
     none_u, none_b = seeds.missing_example_accounts(
         spark, users.unionByName(spark.createDataFrame([(9, "business_owner")], "user_id long, role string")), biz)
     assert none_u.count() == 0 and none_b.count() == 0
+
+
+def test_search_with_separate_text_table(spark):
+    t = tables(spark)
+    p = t["products"].drop("description")
+    text = t["products"].select("product_id", "description")
+    got = sorted(r.product_id for r in cat.search_products(p, "red", text).collect())
+    assert got == [1, 3]                                  # 1 and 3 match by name (1 also by text)
+    got = sorted(r.product_id for r in cat.search_products(p, "_bread", text).collect())
+    assert got == [4]                                     # text-only match, '_' a wildcard
+    page = cat.catalog_page(p, t["categories"], business_id=2, search="cotton", product_text=text).collect()
+    assert [(r.product_id, r.description) for r in page] == [(3, "cotton 100%")]
