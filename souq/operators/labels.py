@@ -13,10 +13,24 @@ from souq.functions.pricing import (discount_badge, discount_label, discounted_p
 from souq.functions.text import date_label, slugify, truncate_text
 
 
-def listing_labels(products: DataFrame, teaser_length: int = 100) -> DataFrame:
-    """X-01 .. X-07, X-12 for each product (``description`` column optional)."""
+def listing_labels(products: DataFrame, product_text: DataFrame | None = None,
+                   teaser_length: int = 100) -> DataFrame:
+    """X-01 .. X-07, X-12 for each product.
+
+    The teaser comes from ``products.description`` when present, else from
+    ``product_text``: there it is cut at the text scan, so only teasers of at
+    most ``teaser_length`` bytes (plus the marker) are shuffled to the join,
+    never whole texts.
+    """
+    if "description" not in products.columns and product_text is not None:
+        teaser = product_text.select("product_id", truncate_text("description", teaser_length).alias("_teaser"))
+        products = products.join(teaser, "product_id", "left")
+        desc_teaser = F.col("_teaser")
+    elif "description" in products.columns:
+        desc_teaser = truncate_text("description", teaser_length)
+    else:
+        desc_teaser = F.lit(None).cast("string")
     pct = F.coalesce(F.col("discount_percent"), F.lit(0))   # X-13: a missing discount is 0
-    desc = F.col("description") if "description" in products.columns else F.lit(None).cast("string")
     return products.select(
         "product_id",
         home_price_label("price").alias("price_label"),
@@ -26,7 +40,7 @@ def listing_labels(products: DataFrame, teaser_length: int = 100) -> DataFrame:
         discount_label(pct).alias("discount_label"),
         discount_badge(pct).alias("discount_badge"),
         date_label("created_at").alias("date_label"),
-        truncate_text(desc, teaser_length).alias("teaser"),
+        desc_teaser.alias("teaser"),
         slugify("name").alias("name_slug"),
     )
 

@@ -107,7 +107,7 @@ def q_sellers_without_business(spark, d):
 
 def q_listing_labels(spark, d):
     v = _mv(spark, d)
-    return labels.listing_labels(v.products_with_description())
+    return labels.listing_labels(v.products, v.product_text)
 
 
 def q_product_ratings(spark, d):
