@@ -36,10 +36,35 @@ def page_offset(page: int | None, page_size: int = PAGE_SIZE) -> int:
     return (p - 1) * page_size
 
 
+def like_pattern(search: str) -> str:
+    """``%search%`` with MySQL's default LIKE escaping made explicit.
+
+    ``%`` and ``_`` stay wildcards; ``\\%``, ``\\_`` and ``\\\\`` stay escaped
+    literals; a backslash before any other character (which Spark rejects)
+    stands for that character, and a trailing backslash for itself.
+    """
+    out, i = [], 0
+    while i < len(search):
+        ch = search[i]
+        if ch == "\\":
+            nxt = search[i + 1] if i + 1 < len(search) else None
+            if nxt is None:
+                out.append("\\\\")
+            elif nxt in "%_\\":
+                out.append("\\" + nxt)
+            else:
+                out.append(nxt)
+            i += 2
+            continue
+        out.append(ch)
+        i += 1
+    return "%" + "".join(out) + "%"
+
+
 def _text_match(c: str, search: str, accent_insensitive: bool) -> Column:
     if accent_insensitive:
         return F.coalesce(F.contains(F.collate(F.col(c), "UNICODE_CI_AI"), F.lit(search)), F.lit(False))
-    return F.col(c).ilike(f"%{search}%")
+    return F.col(c).ilike(like_pattern(search))
 
 
 def search_predicate(search: str, accent_insensitive: bool = False) -> Column:

@@ -106,3 +106,13 @@ def test_search_with_separate_text_table(spark):
     assert got == [4]                                     # text-only match, '_' a wildcard
     page = cat.catalog_page(p, t["categories"], business_id=2, search="cotton", product_text=text).collect()
     assert [(r.product_id, r.description) for r in page] == [(3, "cotton 100%")]
+
+
+def test_like_pattern_backslashes(spark):
+    assert cat.like_pattern("a\\%b") == "%a\\%b%"
+    assert cat.like_pattern("a\\bc") == "%abc%"          # Spark would reject '\\b'
+    assert cat.like_pattern("end\\") == "%end\\\\%"
+    df = spark.createDataFrame([(1, "50% off", None), (2, "C:\\dir", None), (3, "abc", None)],
+                               "product_id long, name string, description string")
+    ids = lambda q: sorted(r.product_id for r in df.where(cat.search_predicate(q)).collect())
+    assert ids("0\\%") == [1] and ids("a\\bc") == [3] and ids("C:\\\\d") == [2] and ids(":\\") == [2]
