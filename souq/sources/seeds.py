@@ -41,15 +41,17 @@ CHILD_CATEGORIES = [
 FLAT_CATEGORIES = ["Electronics", "Clothing", "Home & Kitchen", "Books", "Toys & Games",
                    "Beauty & Personal Care", "Sports & Outdoors", "Grocery", "Health", "Automotive"]
 
-# Example accounts (username, first, last, email, phone, role, is_verified).
+# Example accounts (username, first, last, email, phone, role, is_verified).
+# The mail domain of the demo accounts is ours (no result depends on it).
+EXAMPLE_EMAIL_DOMAIN = "example.com"
 EXAMPLE_USERS = [
-    ("admin", "Admin", "User", "admin@localconnect.com", "1234567890", "admin", True),
-    ("business", "Business", "Owner", "business@localconnect.com", None, "business_owner", True),
+    ("admin", "Admin", "User", f"admin@{EXAMPLE_EMAIL_DOMAIN}", "1234567890", "admin", True),
+    ("business", "Business", "Owner", f"business@{EXAMPLE_EMAIL_DOMAIN}", None, "business_owner", True),
 ]
 
 # The example business created for a new example seller
 # (name, email, phone, address, city, state, zip, description).
-EXAMPLE_BUSINESS = ("Local Store", "business@localconnect.com", "1234567890", "123 Main St",
+EXAMPLE_BUSINESS = ("Local Store", f"business@{EXAMPLE_EMAIL_DOMAIN}", "1234567890", "123 Main St",
                     "Cityville", "State", "12345", "An example local business")
 
 CATEGORY_SCHEMA = ("category_id bigint, category_name string, category_slug string, "
