@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from souq.operators.taxonomy import filter_by_category
 
-PAGE_SIZE = 10          # business/products.php uses 10 (the constant 12 is unused)
+PAGE_SIZE = 10          # the seller page shows 10 rows (a configured 12 is never used)
 
 _PHP_TRIM = " \t\n\r\x00\x0b"
 
