@@ -106,3 +106,18 @@ def test_dialect2_tables_run_through_the_operators(spark):
     images = prods.select("product_id", "image_path").withColumn("image_id", prods.product_id)
     deal = discovery.top_deals(prods, biz, images).first()
     assert (deal.business_name, deal.image, str(deal.discounted_price)) == ("Shop", "up/x.jpg", "80.00")
+
+
+def test_sinks_append_and_snapshot(spark):
+    import tempfile
+
+    from souq.sources import sinks
+    root = tempfile.mkdtemp(prefix="souq-sink-")
+    t = _tables(spark)
+    sinks.append(t["products"], root + "/products", partition_by=["category_id"])
+    sinks.append(t["products"].limit(1), root + "/products", partition_by=["category_id"])
+    assert spark.read.parquet(root + "/products").count() == 5
+    req = spark.createDataFrame([(103, 99)], "product_id long, business_id long")
+    after = ig.products_after_delete(t["products"], ig.owned_delete(t["products"], t["order_items"], req))
+    sinks.write_snapshot(after, root + "/products_v2")
+    assert sorted(r.product_id for r in spark.read.parquet(root + "/products_v2").collect()) == [100, 101, 102]
