@@ -41,9 +41,10 @@ def _image_order(images: DataFrame) -> Column:
 def first_image(images: DataFrame, primary_only: bool | None = None) -> DataFrame:
     """J-04 for every product: (product_id, image).
 
-    A grouped ``min_by`` rather than a window: the hash aggregate combines on
-    the map side, so a product with a huge number of images costs one row per
-    task before the shuffle.
+    A grouped ``min_by`` rather than a window: the aggregate (sort-based,
+    since the ordering key is a struct) still combines partially on the map
+    side, so a product with a huge number of images costs one row per task
+    before the shuffle.
     """
     imgs = primary_images(images, primary_only)
     return imgs.groupBy("product_id").agg(F.min_by("image_path", _image_order(imgs)).alias("image"))
