@@ -279,34 +279,37 @@ def length_audit(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 # -- I-06 delete planning -------------------------------------------------------------------
-def _cascade(tables, table: str, frontier: DataFrame, fks, out: list, depth: int = 0) -> None:
-    """Walk the FK graph from ``frontier`` (root_key, key) rows of ``table``.
+_ACTION = {"cascade": "delete", "set_null": "set_null", "restrict": "restrict"}
 
-    The graph of cascading keys is acyclic (the only self reference is
-    SET NULL), so the walk is a fixed, metadata-sized recursion; no data is
-    looked at on the driver.  Each cascading frontier (the victims' closure
-    at that level, not a whole table) is checkpointed once.
+# Frontiers (deleted keys per root) up to this many rows are broadcast into
+# the joins with the referencing tables, which are then streamed, never
+# shuffled; larger frontiers take the planner's shuffle join.
+BROADCAST_FRONTIER_ROWS = 1_000_000
+
+
+def _row_bound(df: DataFrame, limit: int) -> int:
+    """Rows of a checkpointed frame, counted only up to ``limit + 1``."""
+    return df.limit(limit + 1).count()
+
+
+def _dependency_order(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> list[str]:
+    """Tables ordered so every referenced table comes before its referencing tables.
+
+    Self references (only SET NULL in the schema) impose no order.  The order
+    is computed from metadata only.
     """
-    if depth > len(fks):
-        raise ValueError("cascade cycle in foreign-key metadata")
-    for fk in fks:
-        if fk.parent != table or fk.child not in tables:
-            continue
-        child_pk = PRIMARY_KEYS[fk.child]
-        refs = tables[fk.child].select(F.col(child_pk).alias("key"), F.col(fk.column).alias("_ref"))
-        hit = refs.join(frontier.withColumnRenamed("key", "_ref"), "_ref").select("root_key", "key")
-        recurses = fk.on_delete == "cascade" and any(
-            g.parent == fk.child and g.child in tables for g in fks)
-        if recurses:
-            # the frontier feeds this level's output and every deeper level:
-            # materialise it once (reliable checkpoint in the shared folder)
-            hit = hit.checkpoint(eager=True)
-        out.append(hit.select("root_key", F.lit(fk.child).alias("table_name"), "key",
-                              F.lit({"cascade": "delete", "set_null": "set_null",
-                                     "restrict": "restrict"}[fk.on_delete]).alias("action"),
-                              F.lit(f"{fk.child}.{fk.column}").alias("via")))
-        if recurses:
-            _cascade(tables, fk.child, hit, fks, out, depth + 1)
+    names = list(tables)
+    deps = {t: {fk.parent for fk in fks if fk.child == t and fk.parent in tables and fk.parent != t}
+            for t in names}
+    order: list[str] = []
+    while deps:
+        ready = [t for t, d in deps.items() if not d - set(order)]
+        if not ready:
+            raise ValueError("cycle in foreign-key metadata")
+        for t in ready:
+            order.append(t)
+            del deps[t]
+    return order
 
 
 def plan_delete(tables: dict[str, DataFrame], table: str, victims: DataFrame,
@@ -319,14 +322,47 @@ def plan_delete(tables: dict[str, DataFrame], table: str, victims: DataFrame,
     references, ``restrict`` for referencing rows under RESTRICT.  A root is
     ``blocked`` when one of its restrict rows is not itself deleted by the
     same root (a row that goes away with the cascade does not block, T-15).
+
+    Tables are visited in dependency order.  Each referencing table is read
+    once: its foreign keys are exploded into tagged (fk, reference) rows and
+    joined in one go against the union of the deleted-row frontiers of the
+    tables they point to.  A frontier that later tables depend on (the
+    victims' closure in that table, not the table) is checkpointed once into
+    the shared checkpoint folder.
     """
     ensure_checkpoint_dir(victims.sparkSession)
+    live = [fk for fk in fks if fk.child in tables and fk.parent in tables]
     pk = PRIMARY_KEYS[table]
     roots = victims.select(F.col(pk).alias("root_key"), F.col(pk).alias("key")).distinct() \
                    .checkpoint(eager=True)
+    frontiers = {table: roots}
+    sizes = {table: _row_bound(roots, BROADCAST_FRONTIER_ROWS)}
     out = [roots.select("root_key", F.lit(table).alias("table_name"), "key",
                         F.lit("delete").alias("action"), F.lit(None).cast("string").alias("via"))]
-    _cascade(tables, table, roots, fks, out)
+    for child in _dependency_order(tables, live):
+        edges = [fk for fk in live if fk.child == child and fk.parent in frontiers]
+        if not edges:
+            continue
+        refs = tables[child].select(
+            F.col(PRIMARY_KEYS[child]).alias("key"),
+            F.explode(F.array(*[F.struct(F.lit(i).alias("fk_no"), F.col(fk.column).cast("bigint").alias("_ref"))
+                                for i, fk in enumerate(edges)])).alias("e")).select("key", "e.*")
+        front = reduce(lambda a, b: a.unionByName(b), [
+            frontiers[fk.parent].select(F.lit(i).alias("fk_no"), F.col("key").alias("_ref"), "root_key")
+            for i, fk in enumerate(edges)])
+        if sum(sizes[fk.parent] for fk in edges) <= BROADCAST_FRONTIER_ROWS:   # size checked above
+            front = F.broadcast(front)
+        action = F.element_at(F.array(*[F.lit(_ACTION[fk.on_delete]) for fk in edges]), F.col("fk_no") + 1)
+        via = F.element_at(F.array(*[F.lit(f"{fk.child}.{fk.column}") for fk in edges]), F.col("fk_no") + 1)
+        rows = refs.join(front, ["fk_no", "_ref"]).select(
+            "root_key", F.lit(child).alias("table_name"), "key", action.alias("action"), via.alias("via"))
+        feeds_later = any(fk.parent == child and fk.child != child for fk in live)
+        if feeds_later and any(fk.on_delete == "cascade" for fk in edges):
+            rows = rows.checkpoint(eager=True)
+            # an upper bound of the frontier's size: all rows found for this table
+            sizes[child] = _row_bound(rows, BROADCAST_FRONTIER_ROWS)
+            frontiers[child] = rows.where("action = 'delete'").select("root_key", "key").distinct()
+        out.append(rows)
     plan = reduce(lambda a, b: a.unionByName(b), out).distinct().checkpoint(eager=True)
     deleted = plan.where("action = 'delete'").select("root_key", "table_name", "key")
     blockers = plan.where("action = 'restrict'").select("root_key", "table_name", "key") \
