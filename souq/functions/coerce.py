@@ -35,9 +35,16 @@ def php_blank(c: Column | str) -> Column:
 
 
 def to_int_prefix(c: Column | str) -> Column:
-    """``intval``: the leading integer, 0 when there is none (never raises)."""
-    digits = F.regexp_extract(as_col(c).cast("string"), _INT_PREFIX, 1)
-    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """``intval``: the leading integer, 0 when there is none (never raises).
+
+    A leading number with an exponent (``"1e3"``) converts through its float
+    value, as PHP does; plain digits are parsed exactly as integers.
+    """
+    text = as_col(c).cast("string")
+    digits = F.regexp_extract(text, _INT_PREFIX, 1)
+    number = F.regexp_extract(text, _FLOAT_PREFIX, 1)
+    via_float = F.when(number.rlike("[eE]"), number.try_cast("double").try_cast("bigint"))
+    return F.coalesce(via_float, digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def to_float_prefix(c: Column | str) -> Column:

@@ -42,6 +42,8 @@ def test_php_coercion(spark):
     assert one(spark, to_int_prefix, "abc") == 0
     assert one(spark, to_int_prefix, "  -7x") == -7
     assert one(spark, to_int_prefix, None) == 0
+    assert one(spark, to_int_prefix, "1e3kg") == 1000           # exponent: through the float
+    assert one(spark, to_int_prefix, "12.9") == 12
     assert one(spark, to_float_prefix, "12.5kg") == 12.5
     assert one(spark, to_float_prefix, ".5") == 0.5
     assert one(spark, to_float_prefix, "1e3") == 1000.0
