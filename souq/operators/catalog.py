@@ -160,6 +160,26 @@ def catalog_count(products: DataFrame, categories: DataFrame, *, business_id: in
             .withColumn("total_pages", F.ceil(F.col("total_products") / F.lit(page_size)).cast("bigint"))
 
 
+def seller_catalog(products: DataFrame, categories: DataFrame, *, business_id: int,
+                   search: str | None = "", category: int | None = 0, page: int | None = 1,
+                   page_size: int = PAGE_SIZE, accent_insensitive: bool = False,
+                   product_text: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The seller page request: one filtered plan feeding both the count and the page.
+
+    Returns ``{"count": (total_products, total_pages), "page": rows}``.  The
+    two are separate actions over the same lazy filter (the source also runs
+    its WHERE clause twice); persist the filter only if measurements say so.
+    """
+    f = catalog_filter(products, categories, business_id=business_id, search=search,
+                       category=category, accent_insensitive=accent_insensitive,
+                       product_text=product_text)
+    count = f.agg(F.count(F.lit(1)).alias("total_products")) \
+             .withColumn("total_pages", F.ceil(F.col("total_products") / F.lit(page_size)).cast("bigint"))
+    top = f.orderBy(*_newest()).offset(page_offset(page, page_size)).limit(page_size)
+    page_rows = with_category_name(with_text(top, product_text), categories).orderBy(*_newest())
+    return {"count": count, "page": page_rows}
+
+
 def catalog_pages_all(products: DataFrame, categories: DataFrame, *, search: str | None = "",
                       category: int | None = 0, page: int | None = 1, page_size: int = PAGE_SIZE,
                       accent_insensitive: bool = False,

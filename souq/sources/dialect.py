@@ -50,16 +50,21 @@ def migrate_discount(products: DataFrame) -> DataFrame:
     ).drop("discount_percent")
 
 
-def schema_contract(spark: SparkSession, tables: dict[str, DataFrame | None],
+def schema_contract(spark: SparkSession, tables: dict[str, DataFrame | None] | None = None,
                     required: dict[str, list[str]] | None = None) -> DataFrame:
     """S-08: one row (table_name, missing_column) per missing table or column.
 
-    A missing table reports ``missing_column = NULL``.  Only schemas are read.
+    Tables not given in ``tables`` are looked up in the session catalog
+    (``spark.catalog.tableExists``).  A missing table reports
+    ``missing_column = NULL``.  Only schemas are read, never data.
     """
     required = required or {"products": PRODUCT_FORM_COLUMNS}
+    tables = dict(tables or {})
     rows = []
     for table, cols in required.items():
         df = tables.get(table)
+        if df is None and table not in tables and spark.catalog.tableExists(table):
+            df = spark.table(table)
         if df is None:
             rows.append((table, None))
             continue

@@ -116,3 +116,16 @@ def test_like_pattern_backslashes(spark):
                                "product_id long, name string, description string")
     ids = lambda q: sorted(r.product_id for r in df.where(cat.search_predicate(q)).collect())
     assert ids("0\\%") == [1] and ids("a\\bc") == [3] and ids("C:\\\\d") == [2] and ids(":\\") == [2]
+
+
+def test_seller_catalog_request_and_catalog_contract(spark):
+    from souq.sources import dialect
+    t = tables(spark)
+    r = cat.seller_catalog(t["products"], t["categories"], business_id=1, page=1, page_size=2)
+    assert (r["count"].first().total_products, r["count"].first().total_pages) == (3, 2)
+    assert [x.product_id for x in r["page"].collect()] == [2, 6]
+    t["products"].createOrReplaceTempView("products")
+    rep = dialect.schema_contract(spark)
+    assert sorted(x.missing_column for x in rep.collect()) == ["discount", "image"]
+    spark.catalog.dropTempView("products")
+    assert dialect.schema_contract(spark).first().missing_column is None
