@@ -183,6 +183,22 @@ for _t, _c in DECIMAL_SHAPES.items():
     _LEN_SPEC.setdefault(_t, []).extend(_c)
 
 
+def _column_violations() -> str:
+    parts = []
+    for t in MAPPED:
+        for c in NOT_NULL.get(t, []):
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'not_null' AS \"check\", "
+                         f"count(*) FILTER (WHERE {c} IS NULL) AS bad_rows FROM m_{t}")
+        for c in _LEN_SPEC.get(t, []):
+            parts.append(f"SELECT '{t}', '{c}', 'length', count(*) FILTER (WHERE {_len_cond(t, c)}) FROM m_{t}")
+        for (et, c), dom in ENUMS.items():
+            if et == t:
+                vals = ", ".join(f"'{x}'" for x in dom)
+                parts.append(f"SELECT '{t}', '{c}', 'enum', "
+                             f"count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) FROM m_{t}")
+    return "\nUNION ALL\n".join(parts)
+
+
 def _delete_plan() -> str:
     act = {"cascade": "delete", "set_null": "set_null", "restrict": "restrict"}
     edges = "\nUNION ALL\n".join(
@@ -374,6 +390,7 @@ SQL: dict[str, str] = {
     "enum_violations": _enums(),
     "null_violations": _per_column(NOT_NULL, lambda t, c: f"{c} IS NULL").replace("{name}", "null_rows"),
     "length_violations": _per_column(_LEN_SPEC, _len_cond).replace("{name}", "bad_rows"),
+    "column_violations": _column_violations(),
     "delete_plan": _delete_plan(),
     "owned_delete": """
         SELECT r.product_id, r.business_id,

@@ -166,6 +166,10 @@ def q_length_violations(spark, d):
     return integrity.length_audit(_tables(_mv(spark, d)))
 
 
+def q_column_violations(spark, d):
+    return integrity.column_audit(_tables(_mv(spark, d)))
+
+
 def q_delete_plan(spark, d):
     """Deleting every unverified user: cascades, SET NULLs and RESTRICT blocks."""
     v = _mv(spark, d)
@@ -296,6 +300,7 @@ QUERIES: dict[str, QueryFn] = {
     "enum_violations": q_enum_violations,
     "null_violations": q_null_violations,
     "length_violations": q_length_violations,
+    "column_violations": q_column_violations,
     "delete_plan": q_delete_plan,
     "owned_delete": q_owned_delete,
     "discount_migration": q_discount_migration,

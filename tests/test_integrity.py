@@ -1,5 +1,7 @@
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
 from souq.operators import integrity as ig
 from souq.sources import dialect
 
@@ -121,3 +123,16 @@ def test_sinks_append_and_snapshot(spark):
     after = ig.products_after_delete(t["products"], ig.owned_delete(t["products"], t["order_items"], req))
     sinks.write_snapshot(after, root + "/products_v2")
     assert sorted(r.product_id for r in spark.read.parquet(root + "/products_v2").collect()) == [100, 101, 102]
+
+
+def test_column_audit_matches_the_separate_audits(spark):
+    t = _tables(spark)
+    t["users"] = t["users"].withColumn("first_name", F.lit("x" * 60))
+    combined = {(r.table_name, r.column_name, r.check): r.bad_rows for r in ig.column_audit(t).collect()}
+    for r in ig.null_audit(t).collect():
+        assert combined[(r.table_name, r.column_name, "not_null")] == r.null_rows
+    for r in ig.length_audit(t).collect():
+        assert combined[(r.table_name, r.column_name, "length")] == r.bad_rows
+    for r in ig.enum_audit(t).collect():
+        assert combined[(r.table_name, r.column_name, "enum")] == r.bad_rows
+    assert combined[("users", "first_name", "length")] == 3
