@@ -228,54 +228,62 @@ def key_audit(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 # -- I-03, I-04, I-05 -----------------------------------------------------------------------
-def enum_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, bad_rows): values outside the declared domain (NULL aside)."""
-    parts = []
-    for (table, col), domain in ENUMS.items():
-        if table not in tables or col not in tables[table].columns:
-            continue
-        bad = F.col(col).isNotNull() & ~F.col(col).isin(domain)
-        parts.append(tables[table].agg(F.count_if(bad).alias("bad_rows"))
-                     .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"), "bad_rows"))
-    return _union(parts, _spark(tables), "table_name string, column_name string, bad_rows bigint")
+# The column checks are generated as SQL expression strings: one parse per
+# table on the JVM instead of several Python-to-JVM calls per Column object.
+
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _lit(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _checks(table: str, cols: set[str], kinds: tuple[str, ...]) -> list[tuple[str, str, str]]:
+    """(column, check, SQL condition that marks a bad row) for one table."""
+    out = []
+    if "not_null" in kinds:
+        out += [(c, "not_null", f"{_q(c)} IS NULL") for c in NOT_NULL.get(table, []) if c in cols]
+    if "length" in kinds:
+        out += [(c, "length", f"char_length({_q(c)}) > {n}")
+                for c, n in VARCHAR_LIMITS.get(table, {}).items() if c in cols]
+        out += [(c, "length", f"{_q(c)} IS NOT NULL AND try_cast({_q(c)} AS decimal({p},{sc})) IS NULL")
+                for c, (p, sc) in DECIMAL_SHAPES.get(table, {}).items() if c in cols]
+    if "enum" in kinds:
+        out += [(c, "enum", f"{_q(c)} IS NOT NULL AND {_q(c)} NOT IN ({', '.join(_lit(x) for x in dom)})")
+                for (t, c), dom in ENUMS.items() if t == table and c in cols]
+    return out
 
 
-def _column_counts(tables: dict[str, DataFrame], spec: dict[str, list[str]],
-                   pred, name: str) -> DataFrame:
-    """One aggregate per table counting ``pred(col)`` for each listed column, unpivoted."""
+def _audit(tables: dict[str, DataFrame], kinds: tuple[str, ...]) -> DataFrame:
+    """One aggregate per table over its checks, unpivoted to
+    (table_name, column_name, check, bad_rows)."""
     parts = []
-    for table, cols in spec.items():
-        if table not in tables:
-            continue
-        cols = [c for c in cols if c in tables[table].columns]
-        if not cols:
+    for table, df in tables.items():
+        checks = _checks(table, set(df.columns), kinds)
+        if not checks:
             continue
-        wide = tables[table].agg(*[F.count_if(pred(table, c)).alias(c) for c in cols])
-        long = wide.unpivot([], cols, "column_name", name)
-        parts.append(long.select(F.lit(table).alias("table_name"), "column_name",
-                                 F.col(name).cast("bigint").alias(name)))
-    return _union(parts, _spark(tables), f"table_name string, column_name string, {name} bigint")
+        wide = df.selectExpr(*[f"count_if({cond}) AS _{i}" for i, (_, _, cond) in enumerate(checks)])
+        rows = ", ".join(f"{_lit(c)}, {_lit(k)}, CAST(_{i} AS BIGINT)" for i, (c, k, _) in enumerate(checks))
+        parts.append(wide.selectExpr(
+            f"{_lit(table)} AS table_name",
+            f"stack({len(checks)}, {rows}) AS (column_name, check, bad_rows)"))
+    return _union(parts, _spark(tables), "table_name string, column_name string, check string, bad_rows bigint")
+
+
+def enum_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """I-03: (table_name, column_name, bad_rows): values outside the declared domain (NULL aside)."""
+    return _audit(tables, ("enum",)).drop("check")
 
 
 def null_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """I-04: (table_name, column_name, null_rows) for NOT NULL columns, one pass per table."""
-    return _column_counts(tables, NOT_NULL, lambda t, c: F.col(c).isNull(), "null_rows")
+    return _audit(tables, ("not_null",)).drop("check").withColumnRenamed("bad_rows", "null_rows")
 
 
 def length_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """I-05: (table_name, column_name, bad_rows): too-long text or decimals that do not fit."""
-    spec: dict[str, list[str]] = {}
-    for t, cols in VARCHAR_LIMITS.items():
-        spec.setdefault(t, []).extend(cols)
-    for t, cols in DECIMAL_SHAPES.items():
-        spec.setdefault(t, []).extend(cols)
-
-    def bad(t, c):
-        if c in VARCHAR_LIMITS.get(t, {}):
-            return F.char_length(c) > VARCHAR_LIMITS[t][c]
-        p, s = DECIMAL_SHAPES[t][c]
-        return F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{s})").isNull()
-    return _column_counts(tables, spec, bad, "bad_rows")
+    return _audit(tables, ("length",)).drop("check")
 
 
 def column_audit(tables: dict[str, DataFrame]) -> DataFrame:
@@ -285,32 +293,7 @@ def column_audit(tables: dict[str, DataFrame]) -> DataFrame:
     table is one aggregate over a single scan, instead of three scans when
     the audits run separately.
     """
-    spark = _spark(tables)
-    parts = []
-    for table, df in tables.items():
-        cols = set(df.columns)
-        checks = []
-        for c in NOT_NULL.get(table, []):
-            if c in cols:
-                checks.append((c, "not_null", F.col(c).isNull()))
-        for c, n in VARCHAR_LIMITS.get(table, {}).items():
-            if c in cols:
-                checks.append((c, "length", F.char_length(c) > n))
-        for c, (p, sc) in DECIMAL_SHAPES.get(table, {}).items():
-            if c in cols:
-                checks.append((c, "length", F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{sc})").isNull()))
-        for (t, c), dom in ENUMS.items():
-            if t == table and c in cols:
-                checks.append((c, "enum", F.col(c).isNotNull() & ~F.col(c).isin(dom)))
-        if not checks:
-            continue
-        wide = df.agg(*[F.count_if(cond).alias(f"_{i}") for i, (_, _, cond) in enumerate(checks)])
-        meta = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("check"),
-                                  F.col(f"_{i}").cast("bigint").alias("bad_rows"))
-                         for i, (c, k, _) in enumerate(checks)])
-        parts.append(wide.select(F.explode(meta).alias("r"))
-                         .select(F.lit(table).alias("table_name"), "r.*"))
-    return _union(parts, spark, "table_name string, column_name string, check string, bad_rows bigint")
+    return _audit(tables, ("not_null", "length", "enum"))
 
 
 # -- I-06 delete planning -------------------------------------------------------------------
