@@ -194,17 +194,18 @@ def key_audit(tables: dict[str, DataFrame]) -> DataFrame:
         types = dict(df.dtypes)
         num_e, txt_e = [], []
         for _, cols, _ in [k for k in keys if k[0] == table]:
-            name = F.lit(",".join(cols)).alias("key_name")
+            name = _lit(",".join(cols))
             if any(c in COLLATED_KEYS or types[c] == "string" for c in cols):
-                txt_e.append(F.struct(name, F.col(cols[0]).cast("string").alias("t1")))
+                txt_e.append(f"named_struct('key_name', {name}, 't1', CAST({_q(cols[0])} AS STRING))")
             else:
-                num_e.append(F.struct(name, F.col(cols[0]).cast("bigint").alias("n1"),
-                                      (F.col(cols[1]).cast("bigint") if len(cols) > 1
-                                       else F.lit(None).cast("bigint")).alias("n2")))
+                second = f"CAST({_q(cols[1])} AS BIGINT)" if len(cols) > 1 else "CAST(NULL AS BIGINT)"
+                num_e.append(f"named_struct('key_name', {name}, 'n1', CAST({_q(cols[0])} AS BIGINT), "
+                             f"'n2', {second})")
         for entries, sink in ((num_e, numeric), (txt_e, textual)):
             if entries:
-                sink.append(df.select(F.lit(table).alias("table_name"),
-                                      F.explode(F.array(*entries)).alias("e")).select("table_name", "e.*"))
+                sink.append(df.selectExpr(f"{_lit(table)} AS table_name",
+                                          f"explode(array({', '.join(entries)})) AS e")
+                              .selectExpr("table_name", "e.*"))
 
     def dup_counts(parts, cols):
         if not parts:
