@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import mixing, quality_rules
+from souq.llm import decontamination, license_scan, mixing, quality_rules
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select(F.col("key").alias("doc_id"), "item_id", "score", "question_overlap", "answer_overlap")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -25,9 +30,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "n_lines", "n_removed")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "line", "license", "reduction", "n_missing", "n_added",
+                        "exact", "missing", "added")
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op7_source_mixing": op7_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES = {
