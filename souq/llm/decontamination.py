@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +46,16 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.7
 OVERLAP = 0.8
 NGRAM = 3
-BLOCK = 16                        # items a block
+BLOCK = 8                         # items a block
 INDEX_BYTES = 32 << 20
-MARKS = re.compile(r"[^\w]+|_+")
+MARKS = re.compile(r"[^\w\s]+|_+")
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
                     T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased words with marks removed; words of marks alone vanish."""
-    return [w for w in (MARKS.sub("", x) for x in (text or "").lower().split()) if w]
+    return MARKS.sub("", (text or "").lower()).split()
 
 
 def question_answer(text: str) -> tuple[str, str]:
@@ -75,9 +76,8 @@ def _grams(w: list, n: int) -> set:
 class Index:
     """Inverted lists of a bounded set of items, with an upper bound for each term and block."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float,
-                 longest: int):
-        self.longest = max(1, longest)
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float):
+        self.longest = max([1, *(len(words_of(t)) for _, t in items)])
         self.ids, self.parts, postings = [], [], {}
         for item, text in items:
             w = words_of(text)
@@ -122,10 +122,8 @@ def _spread(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def search(index: Index, text: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
     """Verified hits of one text: (item, score, question overlap, answer overlap), best window of each item."""
-    get = index.term.get
-    w = text.lower().split()
-    ids = [get(x, -1) if x.isalnum() else get(MARKS.sub("", x), -1) for x in w]
-    ids = np.array(ids, dtype=np.int64)
+    w = words_of(text)
+    ids = np.fromiter(map(index.term.get, w, repeat(-1)), dtype=np.int64, count=len(w))
     at = np.flatnonzero(ids >= 0)
     if not len(at):
         return []
@@ -152,7 +150,7 @@ def search(index: Index, text: str, threshold: float = THRESHOLD, overlap: float
             if not len(found):
                 continue
             begin = (lo + s) * m
-            window = [x for x in (MARKS.sub("", y) for y in w[begin:begin + 2 * m]) if x]
+            window = w[begin:begin + 2 * m]
             grams = {n: _grams(window, n) for n in range(1, NGRAM + 1)}
             for k in found:
                 shares = []
@@ -179,7 +177,7 @@ def build_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text
         return
     n_shards = -(-size[0] // max(1, index_bytes - (size[1] or 0)))
     words = items.select("item", F.size(F.regexp_extract_all(plain, F.lit(f"({WORD})"), F.lit(1))).alias("n"))
-    n_items, mean, longest = words.where("n > 0").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n_items, mean = words.where("n > 0").agg(F.count("*"), F.avg("n")).first()
     for shard in range(n_shards):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(n_shards)) == shard) if n_shards > 1 else items
         rows = sorted((r["item"], r["text"]) for r in own.toLocalIterator())
@@ -194,7 +192,7 @@ def build_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text
                     .toLocalIterator():
                 if batch["w"] in df:
                     df[batch["w"]] = batch["count"]
-        yield Index(rows, df, n_items or 0, mean or 0.0, 1 + (longest or 0))
+        yield Index(rows, df, n_items or 0, mean or 0.0)
 
 
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
