@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import decontamination, license_scan, mixing, quality_rules
+from souq.llm import decontamination, html_wrappers, license_scan, mixing, quality_rules, token_rollup
+from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
 
+#: A public byte-level vocabulary; any tiktoken file does.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,6 +23,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("key").alias("doc_id"), "item_id", "score", "question_overlap", "answer_overlap")
 
 
+def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", "n_chars")
+
+
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after loading all documents, a replay of that batch (without effect) and a takedown of toxic ones."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_rollup.TokenRollup(spark, work_folder(spark, "rollup"), TOKENIZER, "byte_bpe_50k")
+    rollup.commit("load", docs)
+    rollup.commit("load", docs)
+    rollup.commit("takedown", token_rollup.takedown(docs, table(spark, sf_dir, "labels")), op="op")
+    return rollup.totals()
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -38,6 +58,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_html_wrappers": op3_html_wrappers,
+    "op6_token_rollup": op6_token_rollup,
     "op7_source_mixing": op7_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
