@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import decontamination, html_wrappers, license_scan, mixing, quality_rules, token_rollup
+from souq.llm import decontamination, html_wrappers, license_scan, line_dedup, mixing, quality_rules, token_rollup
 from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
@@ -23,6 +23,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("key").alias("doc_id"), "item_id", "score", "question_overlap", "answer_overlap")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup(docs, removed_lines="n_removed_lines")
+    return out.select("doc_id", "n_removed_lines", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+                      .alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", "n_chars")
@@ -58,6 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_html_wrappers": op3_html_wrappers,
     "op6_token_rollup": op6_token_rollup,
     "op7_source_mixing": op7_source_mixing,
