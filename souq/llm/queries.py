@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import decontamination, html_wrappers, license_scan, line_dedup, mixing, quality_rules, token_rollup
+from souq.llm import decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, token_rollup
 from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
@@ -35,6 +35,11 @@ def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", "n_chars")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after loading all documents, a replay of that batch (without effect) and a takedown of toxic ones."""
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_html_wrappers": op3_html_wrappers,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_token_rollup": op6_token_rollup,
     "op7_source_mixing": op7_source_mixing,
     "op9_quality_rules": op9_quality_rules,
