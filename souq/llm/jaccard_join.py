@@ -3,26 +3,29 @@
 A text's set is its distinct 5-word shingles (A-Z lower-cased; with fewer
 words the whole sequence is one shingle; without words the set is empty and
 linked with nothing).  Two texts link when 100 * |intersection| >= 80 *
-|union|.  For such a pair, under any order of all shingles, the first
-n - ceil(0.8 n) + 1 shingles of both sets (their prefixes) have one in common;
-so candidates must share a prefix shingle under every one of ``ORDERS``
-orders before they are verified on whole sets.
-
-* Texts of equal sets are one node from the start (the smallest id labels it).
-* The first order is by hash with *hot* shingles last: those that more than
-  ``HOT`` sets have in their window (a prefix with some room to spare).  A
-  node with enough cold shingles in its window has only cold ones in its
-  prefix, so pairs of such nodes come from small cold groups alone.
-* Nodes made up of hot shingles (members of large groups of near copies, or
-  texts of common lines) keep their prefix by plain hash order.  Their hot
-  groups are first tied to one member each (a pair per member, not per pair
-  of members); after the components of these verified links are known, only
-  pairs of *different* components that share a hot prefix shingle are left,
-  and all of those are tried.  No pair is dropped: a pair inside a component
-  cannot change it.
-* Candidates that do not share a prefix shingle under the other orders, or
-  whose sizes differ too much, fall away; the rest are verified exactly on
-  the sets.
+|union|.  Two texts of sizes x and y that link have at least ceil(0.8 max(x, y))
+shingles in common.  Two global orders of all shingles filter candidates:
+
+* First order, by hash: a set's *window* is its first prefix_length(n) + room
+  shingles.  The windows of two linked sets have at least ``needed(n)``
+  shingles in common (with a room of 0 that is the usual prefix filter's one).
+* Second order, by the number of windows a shingle is in, rare ones first:
+  the rarest shingle that both windows have stands among the first
+  |window| - needed(n) + 1 of each window in this order.  So linked sets share a
+  shingle of these prefixes, and a set with fewer than needed(n) shingles
+  in its window that any other window has needs none: it has no partner.
+* Pairs must further share a prefix shingle under ``ORDERS`` - 2 more orders
+  (by other hashes) and have sizes that fit, before they are verified exactly
+  on whole sets.
+
+Texts of equal sets are one node from the start (the smallest id labels it).
+A shingle in more than ``BIG`` prefixes belongs to a large group of near
+copies.  The members of such groups get new prefixes from their whole sets,
+rarest first among themselves, and are tied to a few members each (some pairs
+per member, not one per pair of members), in turns while that joins
+components; then only pairs of *different* components that share such a
+shingle are left, and all of those are tried.  No pair is dropped: a pair
+inside a component cannot change it.
 
 Result: every row with its set size and its component, named by the smallest
 id that links reach.  Null texts count as empty.  Rows without an id get a
@@ -44,9 +47,11 @@ from souq.llm.common import as_long, components, fresh_name, hashed_words, mix,
 
 SHINGLE = 5
 PERCENT = 80
-ORDERS = 3
-HOT = 64
-_SALTS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
+ORDERS = 4
+BIG = 32
+TIES = 4
+ROOM = 40
+_SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -56,7 +61,18 @@ def prefix_length(n: int) -> int:
 
 def window_length(n: int) -> int:
     p = prefix_length(n)
-    return min(n, p + p // 4 + 8)
+    return min(n, p + p // 4 + ROOM)
+
+
+def needed(n: int) -> int:
+    """Shingles that the windows of a set of n and any set it links with have in common, at least.
+
+    Linked sets of x and y have x - prefix_length(x) + 1 or more shingles in
+    common, so the first window_length - prefix_length + 1 of these stand in
+    the window; the smallest fitting partner has the smallest window.
+    """
+    m = -(-PERCENT * n // 100)
+    return window_length(m) - prefix_length(m) + 1
 
 
 def shingle_sets(column) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,11 +97,6 @@ def shingle_sets(column) -> Iterator[tuple[int, np.ndarray]]:
                 yield lo + i, np.zeros(0, np.uint64)
 
 
-def _order(tokens: np.ndarray, order: int) -> np.ndarray:
-    """The tokens' places in the given order, as sortable values (0: by hash)."""
-    return tokens if order == 0 else mix(tokens ^ _SALTS[order - 1])
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     at = np.cumsum([0] + [len(p) for p in parts])
@@ -93,7 +104,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size, two fingerprints of the set, and the window of the first order."""
+    """Set size, two fingerprints of the set, what its windows need in common, and the window."""
     for b in batches:
         take, n, fa, fb, win = [], [], [], [], []
 
@@ -101,8 +112,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays(
                 [b.column("key").take(pa.array(take, pa.int64())), pa.array(n, pa.int64()),
                  pa.array(np.array(fa, dtype=np.uint64).view(np.int64)),
-                 pa.array(np.array(fb, dtype=np.uint64).view(np.int64)), _lists(win)],
-                names=["key", "n", "fa", "fb", "win"])
+                 pa.array(np.array(fb, dtype=np.uint64).view(np.int64)),
+                 pa.array([needed(x) for x in n], pa.int32()), _lists(win)],
+                names=["key", "n", "fa", "fb", "need", "win"])
         for i, t in shingle_sets(b.column("text")):
             take.append(i)
             n.append(len(t))
@@ -120,26 +132,26 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints, the whole set, and its prefixes under the further orders."""
     for b in batches:
         n, fa, fb, whole = [], [], [], []
-        pre: list[list] = [[] for _ in range(ORDERS - 1)]
+        pre: list[list] = [[] for _ in range(ORDERS - 2)]
 
         def out():
             return pa.RecordBatch.from_arrays(
                 [pa.array(n, pa.int64()), pa.array(np.array(fa, dtype=np.uint64).view(np.int64)),
                  pa.array(np.array(fb, dtype=np.uint64).view(np.int64)), _lists(whole), *map(_lists, pre)],
-                names=["n", "fa", "fb", "tokens", *[f"pre{k}" for k in range(1, ORDERS)]])
+                names=["n", "fa", "fb", "tokens", *[f"pre{k}" for k in range(1, ORDERS - 1)]])
         for _, t in shingle_sets(b.column("text")):
             n.append(len(t))
             fa.append(t.sum(dtype=np.uint64))
             fb.append(np.bitwise_xor.reduce(mix(t ^ _SALTS[0])) if len(t) else np.uint64(0))
             whole.append(t)
-            for k in range(1, ORDERS):
-                place = _order(t, k)
+            for k in range(1, ORDERS - 1):
+                place = mix(t ^ _SALTS[k])
                 p = prefix_length(len(t))
                 pre[k - 1].append(t[np.argpartition(place, p - 1)[:p]] if p < len(t) else t)
             if len(n) >= 500:
                 yield out()
                 n, fa, fb, whole = [], [], [], []
-                pre = [[] for _ in range(ORDERS - 1)]
+                pre = [[] for _ in range(ORDERS - 2)]
         if n:
             yield out()
 
@@ -155,49 +167,47 @@ class _Join:
         self.folder = work_folder(docs.sparkSession, "jaccard")
         self.docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
         kind = dict(self.docs.dtypes)["key"]
-        rows = self.docs.mapInArrow(_signatures, f"key {kind}, n bigint, fa bigint, fb bigint, win array<bigint>")
+        rows = self.docs.mapInArrow(_signatures, f"key {kind}, n bigint, fa bigint, fb bigint, need int, "
+                                    "win array<bigint>")
         self.rows = write_table(rows, self.folder, "rows")
         nodes = self.rows.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("key").alias("label"),
+                                                                     F.any_value("need").alias("need"),
                                                                      F.any_value("win").alias("win"))
         self.nodes = write_table(nodes.withColumn("node", F.monotonically_increasing_id()), self.folder, "nodes")
 
     def prefixes(self) -> tuple[DataFrame, DataFrame]:
-        """(cold, hot): prefix postings (token, node, n, [common]) of the first order that can meet another."""
-        posts = self.nodes.select("node", "n", F.posexplode("win").alias("place", "token"))
+        """(small, big): postings (token, node, n) of the second order's prefixes, by the size of their group."""
+        posts = self.nodes.select("node", "n", "need", F.explode("win").alias("token"))
         shared = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
         shared = write_table(shared, self.folder, "shared")
-        p = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
-        wide = F.least(F.col("n"), p + F.floor(p / 4) + 8)
-        # places of every node's hot shingles (as many as its window at most)
-        hot = shared.where(F.col("c") > HOT).groupBy(F.col("node").alias("hot_node")).agg(
-            F.collect_list("place").alias("hot_places"))
-        x = shared.join(hot, F.col("node") == F.col("hot_node"), "left")
-        before = F.size(F.filter(F.coalesce("hot_places", F.array().cast("array<int>")), lambda k: k < F.col("place")))
-        cold_in_window = wide - F.coalesce(F.size("hot_places"), F.lit(0))
-        x = x.select("token", "node", "n", "place", (F.col("c") > HOT).alias("hot"),
-                     (cold_in_window < p).alias("common"), p.alias("p"), before.alias("before"))
-        keep = F.when(F.col("common") | F.col("hot"), F.col("place") < F.col("p")).otherwise(
-            F.col("place") - F.col("before") < F.col("p"))
-        x = write_table(x.where(keep), self.folder, "postings")
-        return (x.where("not hot").select("token", "node", "n"),
-                x.where("hot").select("token", "node", "n", "common"))
-
-    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link, of distinct candidates."""
-        pairs = write_table(pairs, self.folder, f"{name}-candidates")
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # shingles of no other window come first in the second order, and cannot be shared
+        enough = shared.groupBy(F.col("node").alias("m")).agg(F.count("*").cast("int").alias("have"))
+        x = shared.join(enough, F.col("node") == F.col("m")).where("have >= need")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
+        x = x.withColumn("r", rank).where("r <= have - need + 1").select("token", "node", "n")
+        x = x.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+        x = write_table(x, self.folder, "postings")
+        return x.where(F.col("size") <= BIG), x.where(F.col("size") > BIG)
+
+    def whole_sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(node, n, tokens, pre1..) of the nodes in ``ids(node)``: their texts are read again by label."""
         wanted = write_table(self.nodes.select("node", "fa", "fb", "n", "label").join(ids, "node", "left_semi"),
                              self.folder, f"{name}-wanted")
         labels = wanted.select(F.col("label").alias("w")).distinct()
         texts = self.docs.join(labels, null_safe(F.col("key"), F.col("w")), "left_semi").select("text")
         sets = texts.mapInArrow(_whole_sets, "n bigint, fa bigint, fb bigint, tokens array<bigint>"
-                                + "".join(f", pre{k} array<bigint>" for k in range(1, ORDERS)))
+                                + "".join(f", pre{k} array<bigint>" for k in range(1, ORDERS - 1)))
         sets = sets.join(wanted.select("node", "fa", "fb", "n"), ["fa", "fb", "n"]).drop("fa", "fb")
-        sets = write_table(sets.dropDuplicates(["node"]), self.folder, f"{name}-sets")
+        return write_table(sets.dropDuplicates(["node"]), self.folder, f"{name}-sets")
+
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, of distinct candidates."""
+        pairs = write_table(pairs, self.folder, f"{name}-candidates")
+        sets = self.whole_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), name)
         a = sets.select(*[F.col(c).alias(f"a_{c}") for c in sets.columns])
         b = sets.select(*[F.col(c).alias(f"b_{c}") for c in sets.columns])
         x = pairs.join(b, F.col("b") == F.col("b_node")).join(a, F.col("a") == F.col("a_node"))
-        for k in range(1, ORDERS):
+        for k in range(1, ORDERS - 1):
             x = x.where(F.arrays_overlap(f"a_pre{k}", f"b_pre{k}"))
         x = x.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
         x = x.where(100 * F.col("common") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("common")))
@@ -205,45 +215,88 @@ class _Join:
 
     def links(self) -> DataFrame:
         """Links (a, b) of nodes, enough of them that their components are those of all links."""
-        cold, hot = self.prefixes()
-        x, y = _sides(cold)
+        small, big = self.prefixes()
+        x, y = _sides(small)
         pairs = x.join(y, F.col("token") == F.col("token2")).where("node < node2").where(
             _sizes_fit(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        # every hot group with a common node: its smallest such node with each member
-        tie = hot.where("common").groupBy("token").agg(F.min(F.struct("node", "n")).alias("t"))
-        tie = tie.select(F.col("token").alias("token2"), F.col("t.node").alias("node2"), F.col("t.n").alias("n2"))
-        tied = hot.join(tie, F.col("token") == F.col("token2")).where("node <> node2").where(
-            _sizes_fit(F.col("n"), F.col("n2"))).select(F.least("node", "node2").alias("a"),
-                                                        F.greatest("node", "node2").alias("b"))
-        first = write_table(pairs.union(tied).distinct(), self.folder, "first-pairs")
-        links = self.verify(first, "first")
-        comps = write_table(components(links, self.folder, "first-comps"), self.folder, "first-components")
-        return links.union(self.verify(self.across(hot, comps, first), "second"))
-
-    def across(self, hot: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-        """Untried pairs of different components that share a hot prefix shingle, one of them a common node."""
-        h = hot.join(comps.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").select(
-            "token", "node", "n", "common", F.coalesce("comp", "node").alias("comp"))
-        h = write_table(h, self.folder, "hot")
-        # groups of one component are done; in the others, components are paired first, then their members
-        by = h.groupBy("token", "comp").agg(F.max("common").alias("any_common"))
-        x = by.where("any_common").select(F.col("token").alias("t"), F.col("comp").alias("ca"))
-        y = by.select(F.col("token").alias("t2"), F.col("comp").alias("cb"), F.col("any_common").alias("common_b"))
-        both = x.join(y, F.col("t") == F.col("t2")).where("ca <> cb and (ca < cb or not common_b)").select(
-            "t", "ca", "cb")
+        tried = write_table(pairs.distinct(), self.folder, "pairs")
+        links = self.verify(tried, "small")
+        comps = write_table(components(links, self.folder, "comps0"), self.folder, "components0")
+        h = self.open_groups(big, comps, "open0")
+        if not h.limit(1).count():
+            return links
+        big, before, turn = self.refined(h), None, 0
+        while True:
+            h = self.open_groups(big, comps, f"open{turn + 1}")
+            left = h.agg(F.countDistinct("comp")).first()[0]
+            # go on tying while a turn joins at least a tenth of the open components
+            if not left or before is not None and left > 0.9 * before:
+                break
+            before, turn = left, turn + 1
+            more = write_table(self.ties(h, turn).join(tried, ["a", "b"], "left_anti"), self.folder, f"ties{turn}")
+            tried = tried.union(more)
+            links = links.union(self.verify(more, f"turn{turn}"))
+            comps = write_table(components(links, self.folder, f"comps{turn}"), self.folder, f"components{turn}")
+        if not left:
+            return links
+        return links.union(self.verify(self.across(h).join(tried, ["a", "b"], "left_anti"), "last"))
+
+    def refined(self, h: DataFrame) -> DataFrame:
+        """Postings (token, node, n) of the open nodes again, their windows now their whole sets.
+
+        The second order counts the open nodes' sets only, so shingles that a
+        copy does not share with the other members come first: a member whose
+        own changes are more than the similarity allows has no posting left.
+        """
+        sets = self.whole_sets(h.select("node").distinct(), "open")
+        posts = sets.select("node", "n", F.explode("tokens").alias("token"))
+        shared = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
+        shared = write_table(shared, self.folder, "open-shared")
+        need = F.ceil(F.col("n") * PERCENT / 100)
+        enough = shared.groupBy(F.col("node").alias("m")).agg(F.count("*").cast("int").alias("have"))
+        x = shared.join(enough, F.col("node") == F.col("m")).where(F.col("have") >= need)
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
+        return write_table(x.withColumn("r", rank).where(F.col("r") <= F.col("have") - need + 1)
+                           .select("token", "node", "n"), self.folder, "open-postings")
+
+    def open_groups(self, big: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+        """Postings (with their component) of the large groups that have more than one component."""
+        h = big.join(comps.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").select(
+            "token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        mixed = h.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        return write_table(h.join(mixed.select("token"), "token", "left_semi"), self.folder, name)
+
+    def ties(self, h: DataFrame, turn: int) -> DataFrame:
+        """Pairs of every member of an open group with its TIES nodes that come first by this turn's hash.
+
+        All groups use the same hash, so groups with the same members choose the same nodes.
+        """
+        pick = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+        to = h.withColumn("r", pick).where(F.col("r") <= TIES).select(
+            F.col("token").alias("t2"), F.col("node").alias("node2"), F.col("n").alias("n2"),
+            F.col("comp").alias("comp2"))
+        x = h.join(to, F.col("token") == F.col("t2")).where("comp <> comp2").where(_sizes_fit(F.col("n"), F.col("n2")))
+        return x.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+    def across(self, h: DataFrame) -> DataFrame:
+        """All pairs of different components that share a shingle of a large group."""
+        # components are paired first, then their members: pairs inside one never arise
+        by = h.select("token", "comp").distinct()
+        both = by.select(F.col("token").alias("t"), F.col("comp").alias("ca")).join(
+            by.select(F.col("token").alias("t2"), F.col("comp").alias("cb")), F.col("t") == F.col("t2"))
+        both = both.where("ca < cb").select("t", "ca", "cb")
         a = h.select(F.col("token").alias("ta"), F.col("comp").alias("xa"), F.col("node").alias("na"),
-                     F.col("n").alias("sa"), F.col("common").alias("fa"))
+                     F.col("n").alias("sa"))
         b = h.select(F.col("token").alias("tb"), F.col("comp").alias("xb"), F.col("node").alias("nb"),
-                     F.col("n").alias("sb"), F.col("common").alias("fb"))
+                     F.col("n").alias("sb"))
         z = both.join(a, (F.col("t") == F.col("ta")) & (F.col("ca") == F.col("xa")))
         z = z.join(b, (F.col("t") == F.col("tb")) & (F.col("cb") == F.col("xb")))
-        z = z.where(F.col("fa") | F.col("fb")).where(_sizes_fit(F.col("sa"), F.col("sb")))
-        z = z.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-        return z.join(tried, ["a", "b"], "left_anti")
+        z = z.where(_sizes_fit(F.col("sa"), F.col("sb")))
+        return z.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
 
-def _sides(cold: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return cold, cold.select(F.col("token").alias("token2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
+def _sides(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return posts, posts.select(F.col("token").alias("token2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
