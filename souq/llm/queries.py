@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, token_rollup
+from souq.llm import class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, token_rollup
 from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
@@ -55,6 +55,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     j = quality_rules.judge(d, prefix="")
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op6_token_rollup": op6_token_rollup,
     "op7_source_mixing": op7_source_mixing,
+    "op8_class_lm": op8_class_lm,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
