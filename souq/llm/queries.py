@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, token_rollup
+from souq.llm import class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, token_rollup
 from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
@@ -40,6 +40,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after loading all documents, a replay of that batch (without effect) and a takedown of toxic ones."""
     docs = table(spark, sf_dir, "documents")
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_html_wrappers": op3_html_wrappers,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_rollup": op6_token_rollup,
     "op7_source_mixing": op7_source_mixing,
     "op8_class_lm": op8_class_lm,
