@@ -43,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souq.llm.common import as_long, components, fresh_name, hashed_words, mix, null_safe, work_folder, write_table
+from souq.llm.common import as_long, components, drop_table, fresh_name, hashed_words, mix, null_safe, work_folder, write_table
 
 SHINGLE = 5
 PERCENT = 80
-ORDERS = 4
+ORDERS = 3
 BIG = 32
 TIES = 4
-ROOM = 40
+ROOM = 32
 _SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
@@ -164,22 +164,23 @@ class _Join:
     """The steps of one join; every table named here is written to shared storage."""
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        self.folder = work_folder(docs.sparkSession, "jaccard")
+        self.spark = docs.sparkSession
+        self.folder = work_folder(self.spark, "jaccard")
         self.docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
         kind = dict(self.docs.dtypes)["key"]
         rows = self.docs.mapInArrow(_signatures, f"key {kind}, n bigint, fa bigint, fb bigint, need int, "
                                     "win array<bigint>")
-        self.rows = write_table(rows, self.folder, "rows")
-        nodes = self.rows.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("key").alias("label"),
-                                                                     F.any_value("need").alias("need"),
-                                                                     F.any_value("win").alias("win"))
-        self.nodes = write_table(nodes.withColumn("node", F.monotonically_increasing_id()), self.folder, "nodes")
+        self.rows = write_table(rows.withColumn("row", F.monotonically_increasing_id()), self.folder, "rows")
+        nodes = self.rows.where("n > 0").groupBy("fa", "fb", "n", "need").agg(F.min("key").alias("label"),
+                                                                             F.min("row").alias("node"))
+        self.nodes = write_table(nodes, self.folder, "nodes")
 
     def prefixes(self) -> tuple[DataFrame, DataFrame]:
         """(small, big): postings (token, node, n) of the second order's prefixes, by the size of their group."""
-        posts = self.nodes.select("node", "n", "need", F.explode("win").alias("token"))
+        # every row's window is counted (any count gives an order); then the nodes' postings go on
+        posts = self.rows.select(F.col("row").alias("node"), F.explode("win").alias("token"))
         shared = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-        shared = write_table(shared, self.folder, "shared")
+        shared = write_table(shared.join(self.nodes.select("node", "n", "need"), "node"), self.folder, "shared")
         # shingles of no other window come first in the second order, and cannot be shared
         enough = shared.groupBy(F.col("node").alias("m")).agg(F.count("*").cast("int").alias("have"))
         x = shared.join(enough, F.col("node") == F.col("m")).where("have >= need")
@@ -187,6 +188,7 @@ class _Join:
         x = x.withColumn("r", rank).where("r <= have - need + 1").select("token", "node", "n")
         x = x.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
         x = write_table(x, self.folder, "postings")
+        drop_table(self.spark, self.folder, "shared")
         return x.where(F.col("size") <= BIG), x.where(F.col("size") > BIG)
 
     def whole_sets(self, ids: DataFrame, name: str) -> DataFrame:
@@ -211,7 +213,9 @@ class _Join:
             x = x.where(F.arrays_overlap(f"a_pre{k}", f"b_pre{k}"))
         x = x.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
         x = x.where(100 * F.col("common") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("common")))
-        return write_table(x.select("a", "b"), self.folder, f"{name}-links")
+        links = write_table(x.select("a", "b"), self.folder, f"{name}-links")
+        drop_table(self.spark, self.folder, f"{name}-sets")
+        return links
 
     def links(self) -> DataFrame:
         """Links (a, b) of nodes, enough of them that their components are those of all links."""
