@@ -211,17 +211,12 @@ def _windows(raw: bytes, before: int) -> np.ndarray:
     return mix(_span(_sums(d), at, at + LENGTH) + (at - before).astype(np.uint64))
 
 
-def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs [start, end) that windows at the sorted ``starts`` cover."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > LENGTH)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + LENGTH).tolist()))
+def repeated_run(contexts: list[bytes], befores: list[int], counts: list[int]) -> list[tuple[int, int] | None]:
+    """For every distinct context of one anchor: the byte run covered by strings that another place has too.
 
-
-def repeated_spans(contexts: list[bytes], befores: list[int], counts: list[int]) -> list[list[tuple[int, int]]]:
-    """For every distinct context of one anchor: the byte runs covered by strings that another place has too."""
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    All strings of a context contain its anchor, so what they cover is one run.
+    """
+    out: list[tuple[int, int] | None] = [None] * len(contexts)
     keep = worth_comparing(contexts)
     chosen = [i for i, k in enumerate(keep) if k or counts[i] > 1]
     if not chosen:
@@ -233,22 +228,22 @@ def repeated_spans(contexts: list[bytes], befores: list[int], counts: list[int])
     twice = np.bincount(inverse, weights=weight)[inverse] > 1 if len(flat) else np.zeros(0, bool)
     lo = 0
     for i, x in zip(chosen, hashes):
-        out[i] = _spans(np.flatnonzero(twice[lo:lo + len(x)]))
+        if len(hit := np.flatnonzero(twice[lo:lo + len(x)])):
+            out[i] = int(hit[0]), int(hit[-1]) + LENGTH
         lo += len(x)
     return out
 
 
-MARKS = "h bigint, ctx bigint, spans array<struct<a: int, b: int>>"
+MARKS = "h bigint, ctx bigint, a int, b int"
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans, relative to the anchor, of the contexts of each anchor; input sorted by anchor."""
+    """Runs, relative to the anchor, of the contexts of each anchor; input sorted by anchor."""
     held: list[dict] = []
 
     def flush(rows: list[dict]) -> list[tuple]:
-        spans = repeated_spans([r["bytes"] for r in rows], [r["before"] for r in rows], [r["n"] for r in rows])
-        return [(r["h"], r["ctx"], [{"a": a - r["before"], "b": b - r["before"]} for a, b in s])
-                for r, s in zip(rows, spans) if s]
+        runs = repeated_run([r["bytes"] for r in rows], [r["before"] for r in rows], [r["n"] for r in rows])
+        return [(r["h"], r["ctx"], s[0] - r["before"], s[1] - r["before"]) for r, s in zip(rows, runs) if s]
     for batch in batches:
         out: list[tuple] = []
         for r in batch.to_pylist():
@@ -262,10 +257,9 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(rows: list[tuple]) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                       pa.array([r[1] for r in rows], pa.int64()),
-                                       pa.array([r[2] for r in rows], kind)], names=["h", "ctx", "spans"])
+    kinds = {"h": pa.int64(), "ctx": pa.int64(), "a": pa.int32(), "b": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())],
+                                      names=list(kinds))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +288,8 @@ def spans(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text")
     one = write_table(one, folder, "contexts")
     kinds = one.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("kinds"))
     one = one.join(kinds, F.col("h") == F.col("h2"))
-    whole = one.where("kinds = 1").select("h", "ctx", F.array(F.struct(
-        (-F.col("at.before")).cast("int").alias("a"), (F.col("at.after") + GRAM).cast("int").alias("b"))).alias("spans"))
+    whole = one.where("kinds = 1").select(
+        "h", "ctx", (-F.col("at.before")).cast("int").alias("a"), (F.col("at.after") + GRAM).cast("int").alias("b"))
     # the bytes of each distinct context are read from one text that has it
     mixed = write_table(one.where("kinds > 1").select("h", "ctx", "n", "kinds", "at"), folder, "mixed")
     asked = mixed.groupBy(F.col("at.key").alias("k"), F.col("at.th").alias("t")).agg(F.collect_list(F.struct(
@@ -314,12 +308,12 @@ def spans(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text")
         _window_rows, "h bigint, ctx bigint, a int, w bigint, n bigint")
     again = many.groupBy(F.col("w").alias("w2")).agg(F.sum("n").alias("k")).where("k > 1").select("w2")
     many = many.join(again, F.col("w") == F.col("w2"), "left_semi").groupBy("h", "ctx").agg(
-        F.transform(F.sort_array(F.collect_set("a")), lambda a: F.struct(a.alias("a"), (a + LENGTH).alias("b"))).alias("spans"))
+        F.min("a").alias("a"), (F.max("a") + LENGTH).cast("int").alias("b"))
     marks = write_table(whole.unionByName(found).unionByName(many), folder, "marks")
-    marks = marks.select(F.col("h").alias("h2"), F.col("ctx").alias("c2"), "spans")
+    marks = marks.select(F.col("h").alias("h2"), F.col("ctx").alias("c2"), "a", "b")
     own = sites.join(marks, (F.col("h") == F.col("h2")) & (F.col("ctx") == F.col("c2")))
-    own = own.select("key", "th", F.explode(F.transform("spans", lambda s: F.struct(
-        (s["a"] + F.col("pos")).cast("bigint").alias("a"), (s["b"] + F.col("pos")).cast("bigint").alias("b")))).alias("s"))
+    own = own.select("key", "th", F.struct((F.col("a") + F.col("pos")).alias("a"), (F.col("b") + F.col("pos")).alias("b"))
+                     .alias("s"))
     # bounded by the text itself: about one anchor for 100 bytes
     return own.groupBy("key", "th").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
