@@ -31,7 +31,7 @@ def php_blank(c: Column | str) -> Column:
     cost almost nothing.
     """
     c = as_col(c)
-    return c.isNull() | c.rlike("^" + _TRIMMED + "0?" + _TRIMMED + "$")
+    return c.isNull() | c.rlike("^" + _TRIMMED + "0?" + _TRIMMED + "\\z")
 
 
 def to_int_prefix(c: Column | str) -> Column:
@@ -44,7 +44,10 @@ def to_int_prefix(c: Column | str) -> Column:
     digits = F.regexp_extract(text, _INT_PREFIX, 1)
     number = F.regexp_extract(text, _FLOAT_PREFIX, 1)
     via_float = F.when(number.rlike("[eE]"), number.try_cast("double").try_cast("bigint"))
-    return F.coalesce(via_float, digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+    # beyond 64 bits PHP saturates
+    limit = F.when(digits.contains("-"), F.lit(-2**63)).otherwise(F.lit(2**63 - 1))
+    return F.coalesce(via_float, digits.try_cast("bigint"),
+                      F.when(F.length(digits) > 18, limit), F.lit(0).cast("bigint"))
 
 
 def to_float_prefix(c: Column | str) -> Column:

@@ -52,8 +52,8 @@ def image_or_placeholder(path: Column | str, placeholder: str = PRODUCT_PLACEHOL
     return F.coalesce(as_col(path), F.lit(placeholder))
 
 
-def location_label(city: Column | str, state: Column | str) -> Column:
-    """X-13: ``city, state`` when both are set, else the fixed fallback text."""
+def location_label(city: Column | str, state: Column | str, location: Column | str | None = None) -> Column:
+    """X-13: ``city, state`` when both are set, else ``location`` if set, else the fixed text."""
     city, state = as_col(city), as_col(state)
-    return F.when(city.isNotNull() & state.isNotNull(), F.concat_ws(", ", city, state)) \
-            .otherwise(F.lit(NO_LOCATION))
+    rest = F.lit(NO_LOCATION) if location is None else F.coalesce(as_col(location), F.lit(NO_LOCATION))
+    return F.when(city.isNotNull() & state.isNotNull(), F.concat_ws(", ", city, state)).otherwise(rest)

@@ -55,7 +55,7 @@ def truncate_text(c: Column | str, length: int = 100, append: str = "...") -> Co
 EMAIL_PATTERN = (
     "^(?!\\.)(?!.*\\.\\.)[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]{1,64}(?<!\\.)"
     "@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-    "(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+$"
+    "(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+\\z"
 )
 
 
@@ -65,8 +65,8 @@ def is_valid_email(c: Column | str) -> Column:
 
 
 def is_digits(c: Column | str) -> Column:
-    """X-10 ``preg_match('/^[0-9]+$/')`` (NULL counts as no match)."""
-    return F.coalesce(as_col(c).rlike("^[0-9]+$"), F.lit(False))
+    """X-10 ``preg_match('/^[0-9]+$/')``: a final line feed is allowed (NULL counts as no match)."""
+    return F.coalesce(as_col(c).rlike("^[0-9]+\\n?\\z"), F.lit(False))
 
 
 def date_label(c: Column | str) -> Column:

@@ -76,6 +76,18 @@ def validate_products(candidates: DataFrame) -> DataFrame:
     return clean_product_candidates(raw).withColumn("errors", product_errors()).drop("_description")
 
 
+def _storable() -> Column:
+    """The price and discount fit their decimal columns (the source's INSERT fails otherwise)."""
+    fits = lambda c, p: F.col(c).isNull() | F.col(c).try_cast(DecimalType(p, 2)).isNotNull()
+    return fits("price_value", 10) & fits("discount_value", 5)
+
+
+def unstorable_products(validated: DataFrame) -> DataFrame:
+    """(arrival_no, error_codes) of valid candidates whose numbers are too large for their columns."""
+    return validated.where((F.size("errors") == 0) & ~_storable()).select(
+        "arrival_no", F.lit("value_out_of_range").alias("error_codes"))
+
+
 def accepted_products(validated: DataFrame, existing_products: DataFrame, *,
                       truncate_discount: bool = True, epoch: Column | None = None) -> DataFrame:
     """S-04: rows to append for the valid candidates.
@@ -83,13 +95,13 @@ def accepted_products(validated: DataFrame, existing_products: DataFrame, *,
     ``truncate_discount`` reproduces the integer bind of the insert (T-09):
     a 12.5 discount is stored as 12.
     """
-    ok = validated.where(F.size("errors") == 0)
+    ok = validated.where((F.size("errors") == 0) & _storable())
     disc = F.col("discount_value")
-    disc = (disc.cast("int") if truncate_discount else disc).cast(DecimalType(5, 2))
+    disc = (disc.try_cast("int") if truncate_discount else disc).try_cast(DecimalType(5, 2))
     rows = ok.select(
         "arrival_no", F.col("business_id").cast("bigint").alias("business_id"),
         "category_id", "name", slugify(php_trim("raw_name")).alias("slug"), "description",
-        F.col("price_value").cast(DecimalType(10, 2)).alias("price"),
+        F.col("price_value").try_cast(DecimalType(10, 2)).alias("price"),
         disc.alias("discount_percent"),
         F.concat(F.lit(UPLOAD_DIR), upload_name("image_name", epoch)).alias("image_path"),
         F.localtimestamp().alias("created_at"))           # NOW(): session-local, no zone

@@ -176,10 +176,10 @@ def orphan_audit(tables: dict[str, DataFrame], fks: list[ForeignKey] = FOREIGN_K
 def key_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, key_name, key_kind, duplicate_keys, excess_rows) for every primary and unique key.
 
-    Each table is read once: its keys are emitted as tagged rows
-    (key_name, numeric parts, collated text part) and every key of every
-    table is counted in a single grouped aggregation, i.e. one shuffle in
-    total, with map-side combining of repeated values.
+    Keys are emitted as tagged rows (key_name and two numeric or two collated
+    text parts) and counted in one grouped aggregation for numeric keys and
+    one for text keys, with map-side combining of repeated values.  A table
+    with keys of both kinds is read for each.
     """
     spark = _spark(tables)
     keys = [(t, (k,), "primary") for t, k in PRIMARY_KEYS.items()] + \
@@ -196,7 +196,9 @@ def key_audit(tables: dict[str, DataFrame]) -> DataFrame:
         for _, cols, _ in [k for k in keys if k[0] == table]:
             name = _lit(",".join(cols))
             if any(c in COLLATED_KEYS or types[c] == "string" for c in cols):
-                txt_e.append(f"named_struct('key_name', {name}, 't1', CAST({_q(cols[0])} AS STRING))")
+                second = f"CAST({_q(cols[1])} AS STRING)" if len(cols) > 1 else "CAST(NULL AS STRING)"
+                txt_e.append(f"named_struct('key_name', {name}, 't1', CAST({_q(cols[0])} AS STRING), "
+                             f"'t2', {second})")
             else:
                 second = f"CAST({_q(cols[1])} AS BIGINT)" if len(cols) > 1 else "CAST(NULL AS BIGINT)"
                 num_e.append(f"named_struct('key_name', {name}, 'n1', CAST({_q(cols[0])} AS BIGINT), "
@@ -217,8 +219,8 @@ def key_audit(tables: dict[str, DataFrame]) -> DataFrame:
 
     # numeric keys: a plain hash aggregate; text keys: grouped under the collation
     found = [d for d in (dup_counts(numeric, ["n1", "n2"]),
-                         dup_counts([t.withColumn("t1", F.collate(F.col("t1"), KEY_COLLATION))
-                                     for t in textual], ["t1"])) if d is not None]
+                         dup_counts([t.withColumns({c: F.collate(F.col(c), KEY_COLLATION) for c in ("t1", "t2")})
+                                     for t in textual], ["t1", "t2"])) if d is not None]
     dups = reduce(lambda a, b: a.unionByName(b), found)
     meta = spark.createDataFrame([(t, ",".join(c), kind) for t, c, kind in keys],
                                  "table_name string, key_name string, key_kind string")
@@ -300,17 +302,6 @@ def column_audit(tables: dict[str, DataFrame]) -> DataFrame:
 # -- I-06 delete planning -------------------------------------------------------------------
 _ACTION = {"cascade": "delete", "set_null": "set_null", "restrict": "restrict"}
 
-# Frontiers (deleted keys per root) up to this many rows are broadcast into
-# the joins with the referencing tables, which are then streamed, never
-# shuffled; larger frontiers take the planner's shuffle join.
-BROADCAST_FRONTIER_ROWS = 1_000_000
-
-
-def _row_bound(df: DataFrame, limit: int) -> int:
-    """Rows of a checkpointed frame, counted only up to ``limit + 1``."""
-    return df.limit(limit + 1).count()
-
-
 def _dependency_order(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> list[str]:
     """Tables ordered so every referenced table comes before its referencing tables.
 
@@ -342,12 +333,12 @@ def plan_delete(tables: dict[str, DataFrame], table: str, victims: DataFrame,
     ``blocked`` when one of its restrict rows is not itself deleted by the
     same root (a row that goes away with the cascade does not block, T-15).
 
-    Tables are visited in dependency order.  Each referencing table is read
-    once: its foreign keys are exploded into tagged (fk, reference) rows and
-    joined in one go against the union of the deleted-row frontiers of the
-    tables they point to.  A frontier that later tables depend on (the
-    victims' closure in that table, not the table) is checkpointed once into
-    the shared checkpoint folder.
+    Tables are visited in dependency order, with one narrow join (key,
+    reference) per foreign key whose parent has deleted rows; the size of the
+    deleted-row frontier decides its strategy at run time.  A frontier that
+    later tables depend on (the victims' closure in that table, not the
+    table) is checkpointed into the shared checkpoint folder.  Rows are
+    named by primary key, which has to be unique (``key_audit`` tells).
     """
     ensure_checkpoint_dir(victims.sparkSession)
     live = [fk for fk in fks if fk.child in tables and fk.parent in tables]
@@ -355,34 +346,24 @@ def plan_delete(tables: dict[str, DataFrame], table: str, victims: DataFrame,
     roots = victims.select(F.col(pk).alias("root_key"), F.col(pk).alias("key")).distinct() \
                    .checkpoint(eager=True)
     frontiers = {table: roots}
-    sizes = {table: _row_bound(roots, BROADCAST_FRONTIER_ROWS)}
     out = [roots.select("root_key", F.lit(table).alias("table_name"), "key",
                         F.lit("delete").alias("action"), F.lit(None).cast("string").alias("via"))]
     for child in _dependency_order(tables, live):
         edges = [fk for fk in live if fk.child == child and fk.parent in frontiers]
         if not edges:
             continue
-        refs = tables[child].select(
-            F.col(PRIMARY_KEYS[child]).alias("key"),
-            F.explode(F.array(*[F.struct(F.lit(i).alias("fk_no"), F.col(fk.column).cast("bigint").alias("_ref"))
-                                for i, fk in enumerate(edges)])).alias("e")).select("key", "e.*")
-        front = reduce(lambda a, b: a.unionByName(b), [
-            frontiers[fk.parent].select(F.lit(i).alias("fk_no"), F.col("key").alias("_ref"), "root_key")
-            for i, fk in enumerate(edges)])
-        if sum(sizes[fk.parent] for fk in edges) <= BROADCAST_FRONTIER_ROWS:   # size checked above
-            front = F.broadcast(front)
-        action = F.element_at(F.array(*[F.lit(_ACTION[fk.on_delete]) for fk in edges]), F.col("fk_no") + 1)
-        via = F.element_at(F.array(*[F.lit(f"{fk.child}.{fk.column}") for fk in edges]), F.col("fk_no") + 1)
-        rows = refs.join(front, ["fk_no", "_ref"]).select(
-            "root_key", F.lit(child).alias("table_name"), "key", action.alias("action"), via.alias("via"))
+        rows = reduce(lambda a, b: a.unionByName(b), [
+            tables[child].select(F.col(PRIMARY_KEYS[child]).alias("key"), F.col(fk.column).cast("bigint").alias("_ref"))
+            .join(frontiers[fk.parent].select(F.col("key").alias("_ref"), "root_key"), "_ref")
+            .select("root_key", F.lit(child).alias("table_name"), "key",
+                    F.lit(_ACTION[fk.on_delete]).alias("action"), F.lit(f"{fk.child}.{fk.column}").alias("via"))
+            for fk in edges])
         feeds_later = any(fk.parent == child and fk.child != child for fk in live)
         if feeds_later and any(fk.on_delete == "cascade" for fk in edges):
             rows = rows.checkpoint(eager=True)
-            # an upper bound of the frontier's size: all rows found for this table
-            sizes[child] = _row_bound(rows, BROADCAST_FRONTIER_ROWS)
             frontiers[child] = rows.where("action = 'delete'").select("root_key", "key").distinct()
         out.append(rows)
-    plan = reduce(lambda a, b: a.unionByName(b), out).distinct().checkpoint(eager=True)
+    plan = reduce(lambda a, b: a.unionByName(b), out).distinct().checkpoint(eager=False)
     deleted = plan.where("action = 'delete'").select("root_key", "table_name", "key")
     blockers = plan.where("action = 'restrict'").select("root_key", "table_name", "key") \
                    .join(deleted, ["root_key", "table_name", "key"], "left_anti") \
@@ -392,12 +373,22 @@ def plan_delete(tables: dict[str, DataFrame], table: str, victims: DataFrame,
 
 
 def surviving_rows(tables: dict[str, DataFrame], plan: DataFrame) -> dict[str, DataFrame]:
-    """Apply the unblocked part of a delete plan: every table minus its deleted keys."""
-    done = plan.where("NOT blocked AND action = 'delete'").select("table_name", "key").distinct()
+    """Apply the unblocked part of a delete plan: deleted rows go, SET NULL references become NULL."""
+    done = plan.where("NOT blocked")
+    gone_all = done.where("action = 'delete'").select("table_name", "key").distinct()
+    null_all = done.where("action = 'set_null'").select("via", "key").distinct()
     out = {}
     for t, df in tables.items():
-        gone = done.where(F.col("table_name") == t).select(F.col("key").alias(PRIMARY_KEYS[t]))
-        out[t] = df.join(gone, PRIMARY_KEYS[t], "left_anti")
+        pk = PRIMARY_KEYS[t]
+        gone = gone_all.where(F.col("table_name") == t).select(F.col("key").alias(pk))
+        left = df.join(gone, pk, "left_anti")
+        for fk in FOREIGN_KEYS:
+            if fk.child == t and fk.on_delete == "set_null" and fk.column in df.columns:
+                cleared = null_all.where(F.col("via") == f"{t}.{fk.column}").select(
+                    F.col("key").alias(pk), F.lit(True).alias("_cleared"))
+                left = left.join(cleared, pk, "left").withColumn(
+                    fk.column, F.when(F.col("_cleared").isNull(), F.col(fk.column))).drop("_cleared")
+        out[t] = left.select(*df.columns)
     return out
 
 

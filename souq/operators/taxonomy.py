@@ -126,15 +126,15 @@ def add_children_by_parent_slug(categories: DataFrame, children: DataFrame) -> D
 
     All seed statements run as one join; an unknown slug adds nothing (the
     source's INSERT ... SELECT returns zero rows).  New ids continue after
-    the current maximum in the order of ``seq``.
+    the current maximum: ``max + seq``, increasing, with gaps where a slug is
+    unknown (``seq`` counts from 1; no task sees all rows).
     """
     parents = categories.select(F.col("category_slug").alias("parent_slug"),
                                 F.col("category_id").alias("parent_id"))
     resolved = children.join(parents, "parent_slug")
     # max(category_id) as a scalar subquery: no collect, no join.
     base = categories.agg(F.coalesce(F.max("category_id"), F.lit(0)).cast("bigint")).scalar()
-    w = Window.orderBy("seq")   # seed rows only: a handful, never a table
-    new = resolved.withColumn("category_id", (base + F.row_number().over(w)).cast("bigint"))
+    new = resolved.withColumn("category_id", (base + F.col("seq")).cast("bigint"))
     cols = categories.columns
     return categories.unionByName(new.select(*[c if c in new.columns else F.lit(None).alias(c)
                                                for c in cols]), allowMissingColumns=True)

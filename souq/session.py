@@ -74,21 +74,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
-def scale_settings(input_bytes: int, total_cores: int,
-                   partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+def scale_settings(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024,
+                   shuffled_share: float = 0.05, max_reducers: int = 20_000) -> dict[str, str]:
     """Settings that keep partitions a few hundred MB at a given input size.
 
-    Shuffles start with enough partitions for the input (never fewer than two
-    per core) and AQE coalesces them down after measuring the real map
-    output; skewed partitions beyond 4x the median and 1 GB are split.
+    Shuffles carry a few pruned columns, so reducers are sized from the bytes
+    that are shuffled (``shuffled_share`` of the input), never fewer than two
+    per core and never more than ``max_reducers`` (map output metadata grows
+    with mappers times reducers).  Input splits grow so that there are about
+    a hundred per core at most.  AQE coalesces reducers after measuring the
+    real map output; skewed partitions beyond 4x the median and 1 GB are split.
     """
-    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    parts = max(2 * total_cores, min(max_reducers, -(-int(input_bytes * shuffled_share) // partition_bytes)))
+    split = max(partition_bytes, -(-input_bytes // (100 * total_cores)))
+    split_mb = f"{-(-split // (1024 * 1024))}m"
     mb = f"{partition_bytes // (1024 * 1024)}m"
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
-        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.files.maxPartitionBytes": split_mb,
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
     }

@@ -34,31 +34,10 @@ def _days_after(base: str, n: F.Column) -> F.Column:
 class MarketViews:
     """Lazy marketplace views over one folder of driver tables."""
 
-    _shared: dict[tuple[str, str], "MarketViews"] = {}
-
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
 
-    @classmethod
-    def shared(cls, spark: SparkSession, base: str) -> "MarketViews":
-        """One set of view handles per Spark application and folder.
-
-        A view is an immutable, lazy plan (like a catalog table handle), so
-        queries can share it; only file listing, footer reads and analysis
-        are saved, never data.  Files added to the folder later are not seen
-        by an existing handle: use a new ``MarketViews`` for changing tables.
-        """
-        try:
-            app = spark.sparkContext.applicationId
-        except Exception:          # Spark Connect sessions have no SparkContext
-            app = str(id(spark))
-        key = (app, base)
-        mv = cls._shared.get(key)
-        if mv is None or mv.spark is not spark:
-            mv = cls._shared[key] = cls(spark, base)
-        return mv
-
     def raw(self, name: str) -> DataFrame:
         return scan(self.spark, self.base, name)
 

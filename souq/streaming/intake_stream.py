@@ -29,13 +29,16 @@ USER_CANDIDATE_SCHEMA = ("arrival_no long, first_name string, last_name string,
                          "phone string, password string, confirm_password string, registration_type string")
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The current content of an appended table (empty with ``schema`` if absent).
+def read_table(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The content of an appended table (empty with ``schema`` if absent).
 
+    With ``before`` only the output of earlier micro-batches is read, so a
+    batch that runs again neither meets nor overwrites its own input.
     Existence is probed through Spark, so any shared file system works.
     """
     try:
-        return spark.read.parquet(path)
+        table = spark.read.parquet(path)
+        return table if before is None or "batch_id" not in table.columns else table.where(F.col("batch_id") < before)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
@@ -59,11 +62,11 @@ def start_product_intake(spark: SparkSession, inbox: str, products_path: str, re
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         validated = intake.validate_products(batch)
-        existing = read_table(batch.sparkSession, products_path, existing_schema)
+        existing = read_table(batch.sparkSession, products_path, existing_schema, before=batch_id)
         _write_batch(intake.accepted_products(validated, existing), products_path, batch_id)
-        _write_batch(validated.where(F.size("errors") > 0)
-                     .select("arrival_no", F.array_join("errors", ",").alias("error_codes")),
-                     rejects_path, batch_id)
+        rejects = validated.where(F.size("errors") > 0).select(
+            "arrival_no", F.array_join("errors", ",").alias("error_codes"))
+        _write_batch(rejects.unionByName(intake.unstorable_products(validated)), rejects_path, batch_id)
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation",
                                                        _checkpoint(spark, "product_intake", checkpoint))
@@ -81,7 +84,7 @@ def start_user_intake(spark: SparkSession, inbox: str, users_path: str, rejects_
     stream = reader.parquet(inbox)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        users = read_table(batch.sparkSession, users_path, existing_schema)
+        users = read_table(batch.sparkSession, users_path, existing_schema, before=batch_id)
         validated = intake.validate_users(batch, users.select("user_id", "email"))
         accepted = intake.accepted_users(validated, users.select("user_id"))
         _write_batch(accepted, users_path, batch_id)

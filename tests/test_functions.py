@@ -101,3 +101,17 @@ def test_php_blank_matches_empty_after_trim(spark):
         assert one(spark, php_blank, value) is want, repr(value)[:20]
         if value is not None:
             assert one(spark, lambda c: php_empty(html_escape(c)), value) is want
+
+
+def test_line_separators_do_not_end_a_value(spark):
+    from souq.functions.coerce import php_blank, to_int_prefix
+    df = spark.createDataFrame([("123 ",), ("0\u0085",), ("a@b.com\u0085",), ("123\n",), ("99999999999999999999",),
+                                ("-99999999999999999999",)], "v string")
+    got = [tuple(r) for r in df.select(is_digits("v"), is_valid_email("v"), php_blank("v"), to_int_prefix("v")).collect()]
+    assert got == [(False, False, False, 123), (False, False, False, 0), (False, False, False, 0),
+                   (True, False, False, 123), (True, False, False, 2**63 - 1), (False, False, False, -2**63)]
+
+
+def test_location_branch(spark):
+    df = spark.createDataFrame([("A", "B", "C"), (None, "B", "C"), (None, None, None)], "c string, s string, l string")
+    assert [r[0] for r in df.select(location_label("c", "s", "l")).collect()] == ["A, B", "C", "Location not specified"]

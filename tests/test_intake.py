@@ -80,3 +80,14 @@ def test_accepted_product_slug_uses_the_submitted_name(spark):
     new = intake.accepted_products(val, spark.createDataFrame([], "product_id long")).first()
     assert new.slug == "tom-jerry-s-mug" and new.name == "Tom &amp; Jerry&#039;s Mug"
     assert dict(intake.accepted_products(val, spark.createDataFrame([], "product_id long")).dtypes)["created_at"] == "timestamp_ntz"
+
+
+def test_too_large_a_price_is_one_reject(spark):
+    from souq.operators import intake
+    from souq.streaming.intake_stream import PRODUCT_CANDIDATE_SCHEMA
+    rows = [(1, 5, "Lamp", "desc", "3", "100000000", None, "a.png", "image/png", 10),
+            (2, 5, "Lamp", "desc", "3", "10", None, "a.png", "image/png", 10)]
+    v = intake.validate_products(spark.createDataFrame(rows, PRODUCT_CANDIDATE_SCHEMA))
+    none = spark.createDataFrame([], "product_id bigint")
+    assert [r["arrival_no"] for r in intake.accepted_products(v, none).collect()] == [2]
+    assert [tuple(r) for r in intake.unstorable_products(v).collect()] == [(1, "value_out_of_range")]

@@ -136,3 +136,19 @@ def test_column_audit_matches_the_separate_audits(spark):
     for r in ig.enum_audit(t).collect():
         assert combined[(r.table_name, r.column_name, "enum")] == r.bad_rows
     assert combined[("users", "first_name", "length")] == 3
+
+
+def test_set_null_is_applied(spark):
+    cats = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "category_id bigint, parent_id bigint")
+    victims = spark.createDataFrame([(1,)], "category_id bigint")
+    t = {"categories": cats}
+    left = ig.surviving_rows(t, ig.plan_delete(t, "categories", victims))
+    assert sorted(left["categories"].collect()) == [(2, None), (3, 2)]
+    assert all(r["orphan_rows"] == 0 for r in ig.orphan_audit(left).collect())
+
+
+def test_composite_text_key_counts_every_part(spark):
+    t = {"cart_items": spark.createDataFrame([(1, "u1", "p1"), (2, "u1", "p2"), (3, "u1", "p2")],
+                                             "cart_item_id bigint, user_id string, product_id string")}
+    got = {r["key_name"]: (r["duplicate_keys"], r["excess_rows"]) for r in ig.key_audit(t).collect()}
+    assert all(v == (1, 1) for k, v in got.items() if "," in k)

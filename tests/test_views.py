@@ -24,17 +24,24 @@ def test_materialized_views_give_the_same_answers(spark):
 
 def test_scale_settings():
     s = scale_settings(100 * 1024 ** 4, 8000)
-    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert int(s["spark.sql.shuffle.partitions"]) == 20_000     # from shuffled, not input bytes
     assert scale_settings(10, 8)["spark.sql.shuffle.partitions"] == "16"
 
 
-def test_shared_handles_are_per_folder(spark):
+def test_queries_see_appended_files(spark):
     if not os.path.isdir(SF):
         return
-    a = MarketViews.shared(spark, SF)
-    assert MarketViews.shared(spark, SF) is a
-    assert MarketViews.shared(spark, "/root/testdata/sf0.01") is not a
-    assert a.products is a.products                    # a view is built once per handle
+    from souq.plans.registry import QUERIES
+    base = tempfile.mkdtemp(prefix="souq-append-")
+    customer = spark.read.parquet(f"{SF}/customer.parquet")
+    customer.write.parquet(f"{base}/customer.parquet")
+    for t in ("supplier", "nation", "region", "orders"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{base}/{t}.parquet")
+    total = lambda: sum(r[c] for r in QUERIES["role_counts"](spark, base).collect()
+                        for c in r.asDict() if isinstance(r[c], int))
+    before = total()
+    customer.write.mode("append").parquet(f"{base}/customer.parquet")
+    assert total() > before
 
 
 def test_stored_views_fall_back_and_reject_unknown_names(spark):
