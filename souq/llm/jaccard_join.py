@@ -217,18 +217,17 @@ class _Join:
         drop_table(self.spark, self.folder, f"{name}-sets")
         return links
 
-    def links(self) -> DataFrame:
-        """Links (a, b) of nodes, enough of them that their components are those of all links."""
+    def components(self) -> DataFrame:
+        """(node, comp) of all linked nodes."""
         small, big = self.prefixes()
         x, y = _sides(small)
         pairs = x.join(y, F.col("token") == F.col("token2")).where("node < node2").where(
             _sizes_fit(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
         tried = write_table(pairs.distinct(), self.folder, "pairs")
-        links = self.verify(tried, "small")
-        comps = write_table(components(links, self.folder, "comps0"), self.folder, "components0")
+        comps = write_table(components(self.verify(tried, "small"), self.folder, "comps0"), self.folder, "components0")
         h = self.open_groups(big, comps, "open0")
         if not h.limit(1).count():
-            return links
+            return comps
         big, before, turn = self.refined(h), None, 0
         while True:
             h = self.open_groups(big, comps, f"open{turn + 1}")
@@ -239,11 +238,19 @@ class _Join:
             before, turn = left, turn + 1
             more = write_table(self.ties(h, turn).join(tried, ["a", "b"], "left_anti"), self.folder, f"ties{turn}")
             tried = tried.union(more)
-            links = links.union(self.verify(more, f"turn{turn}"))
-            comps = write_table(components(links, self.folder, f"comps{turn}"), self.folder, f"components{turn}")
+            comps = self.joined(comps, self.verify(more, f"turn{turn}"), f"comps{turn}")
         if not left:
-            return links
-        return links.union(self.verify(self.across(h).join(tried, ["a", "b"], "left_anti"), "last"))
+            return comps
+        rest = self.across(h).join(tried, ["a", "b"], "left_anti")
+        return self.joined(comps, self.verify(rest, "last"), "last-comps")
+
+    def joined(self, comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Components after ``links``: only links between different components, each once, are new edges."""
+        side = lambda c: comps.select(F.col("node").alias(f"n{c}"), F.col("comp").alias(f"c{c}"))
+        new = links.join(side("a"), F.col("a") == F.col("na"), "left").join(side("b"), F.col("b") == F.col("nb"), "left")
+        new = new.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+        stars = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        return write_table(components(stars.union(new), self.folder, name), self.folder, f"{name}-table")
 
     def refined(self, h: DataFrame) -> DataFrame:
         """Postings (token, node, n, left) of the open nodes again, their windows now their whole sets.
@@ -310,7 +317,7 @@ def _sides(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component) for every row of ``docs``."""
     j = _Join(docs, key, text)
-    comps = components(j.links(), j.folder, "comps")
+    comps = j.components()
     named = j.nodes.select("fa", "fb", "n", "node", "label").join(
         comps.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left")
     named = write_table(named.select("fa", "fb", "n", "label", F.coalesce("comp", "node").alias("comp")),
