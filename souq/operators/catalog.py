@@ -98,10 +98,16 @@ def search_products(products: DataFrame, search: str, product_text: DataFrame |
 
 
 def with_text(products: DataFrame, product_text: DataFrame | None) -> DataFrame:
-    """Add ``description`` (a left join on product_id) unless it is already there."""
+    """Add ``description`` (a left join on product_id) unless it is already there.
+
+    Texts are first reduced to the wanted products (a semi-join, whose small
+    side can be broadcast), so the other texts are never shuffled.
+    """
     if product_text is None or "description" in products.columns:
         return products
-    return products.join(product_text.select("product_id", "description"), "product_id", "left")
+    texts = product_text.select("product_id", "description").join(
+        products.select("product_id").distinct(), "product_id", "left_semi")
+    return products.join(texts, "product_id", "left")
 
 
 def catalog_filter(products: DataFrame, categories: DataFrame, *, business_id: int | None = None,
