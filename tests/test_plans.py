@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from souq.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -35,7 +36,7 @@ def test_search_does_not_move_texts(spark):
             assert "text#" not in line
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loops_cartesians_or_python(spark, name):
     p = plan(spark, name)
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
