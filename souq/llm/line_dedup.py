@@ -120,7 +120,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
     gone = write_table(removals(docs, folder, key, text), folder, "removals")
     k, t, r = (fresh_name(docs, x) for x in ("line_key", "line_th", "line_removed"))
     gone = gone.select(F.col("key").alias(k), F.col("th").alias(t), F.col("removed").alias(r))
-    out = docs.join(gone, null_safe(F.col(f"`{key}`").cast("bigint"), F.col(k))
+    # one plan at every size: the list of removals grows with the corpus and is never broadcast
+    out = docs.join(gone.hint("merge"), null_safe(F.col(f"`{key}`").cast("bigint"), F.col(k))
                     & (F.xxhash64(f"`{text}`") == F.col(t)), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     drop = F.flatten(F.transform(F.col(r), lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1)))
