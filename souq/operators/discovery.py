@@ -1,17 +1,17 @@
 """Home-page discovery queries (O-01 .. O-04, J-01, J-02, J-04, A-01, P-01, P-04, P-10).
 
-Plan shape used throughout: filter and join the product table, pick the k
-rows (``TakeOrderedAndProject``: each task keeps its own top k, the driver
-merges k x tasks rows), and only then look up images and descriptions for
-those k keys, with ``IN (keys)`` pushed into the scans.  Only per-key lookup
-results are broadcast, so the broadcast size is bounded by k, not by the data.  The products/businesses
-join carries no hint: the planner (and AQE at runtime) broadcasts businesses
-only while its measured size is under the threshold and falls back to a
-sort-merge join beyond it.
+Plan shape used throughout, all of it lazy: filter and join the product
+table, pick the k rows (``TakeOrderedAndProject``: each task keeps its own top
+k), and only then look up images and descriptions, each reduced to those k
+keys by a semi-join before it is grouped or joined.  No join carries a hint:
+the planner and AQE broadcast a side (the k rows, the businesses) only while
+its size is under the threshold and fall back to a sort-merge join beyond it.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,44 +50,22 @@ def first_image(images: DataFrame, primary_only: bool | None = None) -> DataFram
     return imgs.groupBy("product_id").agg(F.min_by("image_path", _image_order(imgs)).alias("image"))
 
 
-def bounded_rows(df: DataFrame, bound: int) -> tuple[DataFrame, list]:
-    """Materialise a result that is small by construction (a top-k) as a local relation.
+def attach_first_image(top: DataFrame, images: DataFrame, primary_only: bool | None = None,
+                       name: str = "image") -> DataFrame:
+    """J-04 for the rows of a top-k: one image per row, NULL if none.
 
-    This is the same driver-side merge ``TakeOrderedAndProject`` performs for
-    any ``orderBy().limit(k)``; the bound is checked, never assumed.  The
-    returned keys let later lookups push ``IN (k keys)`` into parquet scans.
+    Images are reduced to the given products by a semi-join first, whose k
+    keys AQE broadcasts, so no other image is shuffled.
     """
-    rows = df.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"expected at most {bound} rows, got more")
-    return df.sparkSession.createDataFrame(rows, df.schema), rows
-
-
-def sort_small(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Order a bounded result in one partition (no range-partitioning sample job)."""
-    return df.coalesce(1).sortWithinPartitions(*order)
-
-
-def attach_first_image(small: DataFrame, images: DataFrame, keys: list,
-                       primary_only: bool | None = None, name: str = "image") -> DataFrame:
-    """J-04 for a bounded frame: one image per row, NULL if none.
-
-    Only images of the given product keys are read and aggregated; the
-    per-key result has at most ``len(keys)`` rows, so broadcasting it is safe.
-    """
-    imgs = primary_images(images, primary_only).where(F.col("product_id").isin(keys))
+    imgs = primary_images(images, primary_only).join(top.select("product_id"), "product_id", "left_semi")
     best = imgs.groupBy("product_id").agg(F.min_by("image_path", _image_order(imgs)).alias(name))
-    return small.join(F.broadcast(best), "product_id", "left")
+    return top.join(best, "product_id", "left")
 
 
-def attach_description(small: DataFrame, product_text: DataFrame, keys: list) -> DataFrame:
-    """Add ``description`` for the given product keys (text keyed by product_id).
-
-    The key filter reaches the parquet scan, so row groups whose key range
-    holds none of the keys are skipped instead of reading every text.
-    """
-    t = product_text.where(F.col("product_id").isin(keys)).select("product_id", "description")
-    return small.join(F.broadcast(t), "product_id", "left")
+def attach_description(top: DataFrame, product_text: DataFrame) -> DataFrame:
+    """Add ``description`` to the rows of a top-k; texts are reduced by a semi-join before they move."""
+    t = product_text.select("product_id", "description").join(top.select("product_id"), "product_id", "left_semi")
+    return top.join(t, "product_id", "left")
 
 
 def with_business_name(products: DataFrame, businesses: DataFrame) -> DataFrame:
@@ -96,13 +74,11 @@ def with_business_name(products: DataFrame, businesses: DataFrame) -> DataFrame:
                    .select(*[F.col(c) for c in products.columns], "business_name")
 
 
-def _decorate(top: DataFrame, k: int, images: DataFrame, product_text: DataFrame | None,
+def _decorate(top: DataFrame, images: DataFrame, product_text: DataFrame | None,
               order: list[Column]) -> DataFrame:
-    out, rows = bounded_rows(top, k)
-    keys = [r["product_id"] for r in rows]
-    if product_text is not None:
-        out = attach_description(out, product_text, keys)
-    return sort_small(attach_first_image(out, images, keys), order)
+    out = top if product_text is None else attach_description(top, product_text)
+    return attach_first_image(out, images).select(
+        *top.columns, *(["description"] if product_text is not None else []), "image").orderBy(*order)
 
 
 def newest_products(products: DataFrame, businesses: DataFrame, images: DataFrame,
@@ -110,7 +86,7 @@ def newest_products(products: DataFrame, businesses: DataFrame, images: DataFram
     """O-01: newest k products with business name and card image."""
     order = [F.desc("created_at"), F.asc("product_id")]
     top = with_business_name(products, businesses).orderBy(*order).limit(k)
-    return _decorate(top, k, images, product_text, order)
+    return _decorate(top, images, product_text, order)
 
 
 def top_deals(products: DataFrame, businesses: DataFrame, images: DataFrame,
@@ -121,7 +97,7 @@ def top_deals(products: DataFrame, businesses: DataFrame, images: DataFrame,
     top = (with_business_name(deals, businesses)
            .withColumn("discounted_price", discounted_price("price", "discount_percent"))
            .orderBy(*order).limit(k))
-    return _decorate(top, k, images, product_text, order)
+    return _decorate(top, images, product_text, order)
 
 
 def trending(products: DataFrame, businesses: DataFrame, images: DataFrame,
@@ -129,16 +105,15 @@ def trending(products: DataFrame, businesses: DataFrame, images: DataFrame,
     """O-04: k random products.
 
     With a seed the order is ``md5(product_id || '-' || seed)``: repeatable and
-    identical in any engine with md5.  ``seed=None`` uses ``rand()`` like the
-    source's ``ORDER BY RAND()``.  Either way it is a top-k, never a full sort.
+    identical in any engine with md5.  ``seed=None`` draws a seed per call, like
+    the source's ``ORDER BY RAND()`` (``rand()`` itself could give every lookup
+    of the lazy plan other rows).  Either way it is a top-k, never a full sort.
     """
-    if seed is None:
-        key = F.rand()
-    else:
-        key = F.md5(F.concat(F.col("product_id").cast("string"), F.lit("-"), F.lit(str(seed))))
+    seed = random.getrandbits(63) if seed is None else seed
+    key = F.md5(F.concat(F.col("product_id").cast("string"), F.lit("-"), F.lit(str(seed))))
     top = (with_business_name(products, businesses).withColumn("_rk", key)
            .orderBy("_rk", "product_id").limit(k))
-    out = _decorate(top, k, images, product_text, [F.col("_rk"), F.col("product_id")])
+    out = _decorate(top, images, product_text, [F.col("_rk"), F.col("product_id")])
     return out.drop("_rk")
 
 
@@ -161,10 +136,8 @@ def newest_businesses(businesses: DataFrame, products: DataFrame, k: int = 4) ->
     businesses are chosen first and only their products are counted.
     """
     order = [F.desc("created_at"), F.asc("business_id")]
-    top, rows = bounded_rows(businesses.orderBy(*order).limit(k), k)
-    keys = [r["business_id"] for r in rows]
-    counts = products.where(F.col("business_id").isin(keys)) \
+    top = businesses.orderBy(*order).limit(k)
+    counts = products.join(top.select("business_id"), "business_id", "left_semi") \
                      .groupBy("business_id").agg(F.count("product_id").alias("product_count"))
-    out = top.join(F.broadcast(counts), "business_id", "left") \
-              .withColumn("product_count", F.coalesce("product_count", F.lit(0).cast("bigint")))
-    return sort_small(out, order)
+    return top.join(counts, "business_id", "left").select(
+        *businesses.columns, F.coalesce("product_count", F.lit(0).cast("bigint")).alias("product_count")).orderBy(*order)

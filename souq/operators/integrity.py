@@ -86,37 +86,56 @@ ENUMS = {
     ("order_items", "status"): ["pending", "processing", "shipped", "delivered", "cancelled", "returned"],
 }
 
-# Fixed values of the schema: NOT NULL columns (of the columns the views carry).
+# Fixed values of the schema: NOT NULL columns of all 17 tables.
 NOT_NULL = {
-    "users": ["user_id", "username", "first_name", "last_name", "email", "role", "is_verified", "created_at"],
-    "businesses": ["business_id", "user_id", "business_name", "business_slug", "city", "state", "status",
-                   "created_at"],
-    "categories": ["category_id", "category_name", "category_slug", "is_active"],
+    "users": ["user_id", "username", "first_name", "last_name", "email", "password_hash", "role", "is_verified",
+              "created_at", "updated_at"],
+    "user_addresses": ["address_id", "user_id", "address_line1", "city", "state", "postal_code", "country",
+                       "is_default", "address_type", "created_at", "updated_at"],
+    "categories": ["category_id", "category_name", "category_slug", "is_active", "created_at", "updated_at"],
+    "businesses": ["business_id", "user_id", "business_name", "business_slug", "address_line1", "city", "state",
+                   "postal_code", "country", "business_phone", "business_email", "is_verified", "status",
+                   "created_at", "updated_at"],
     "products": ["product_id", "business_id", "category_id", "name", "slug", "price", "stock_quantity",
-                 "created_at"],
-    "product_images": ["image_id", "product_id", "image_path"],
-    "product_reviews": ["review_id", "product_id", "user_id", "rating", "created_at"],
-    "orders": ["order_id", "user_id", "order_status", "payment_status", "subtotal", "shipping_cost",
-               "tax_amount", "discount_amount", "total_amount", "created_at"],
+                 "created_at", "updated_at"],
+    "product_images": ["image_id", "product_id", "image_path", "created_at"],
+    "product_reviews": ["review_id", "product_id", "user_id", "rating", "created_at", "updated_at"],
+    "product_attributes": ["attribute_id", "product_id", "attribute_name", "attribute_value"],
+    "product_tags": ["tag_id", "product_id", "tag_name"],
+    "cart_items": ["cart_item_id", "user_id", "product_id", "quantity", "created_at", "updated_at"],
+    "orders": ["order_id", "user_id", "order_status", "shipping_address_id", "billing_address_id",
+               "payment_method", "payment_status", "subtotal", "shipping_cost", "tax_amount", "discount_amount",
+               "total_amount", "created_at", "updated_at"],
     "order_items": ["order_item_id", "order_id", "product_id", "business_id", "quantity", "price",
                     "discount_amount", "total_amount", "status", "created_at"],
-    "cart_items": ["cart_item_id", "user_id", "product_id", "quantity", "created_at"],
     "wishlist_items": ["wishlist_id", "user_id", "product_id", "created_at"],
-    "forum_topics": ["topic_id", "title", "slug", "created_by", "is_sticky", "created_at"],
-    "forum_posts": ["post_id", "topic_id", "user_id", "content", "created_at"],
+    "forum_topics": ["topic_id", "title", "slug", "created_by", "is_locked", "is_sticky", "views", "created_at",
+                     "updated_at"],
+    "forum_posts": ["post_id", "topic_id", "user_id", "content", "is_solution", "created_at"],
+    "messages": ["message_id", "sender_id", "receiver_id", "message_text", "is_read", "created_at"],
+    "notifications": ["notification_id", "user_id", "type", "title", "message", "is_read", "created_at"],
 }
 
 # Fixed values of the schema: varchar limits (characters) and decimal shapes.
 VARCHAR_LIMITS = {
-    "users": {"username": 50, "first_name": 50, "last_name": 50, "email": 100, "phone": 20},
-    "businesses": {"business_name": 100, "business_slug": 100, "city": 100, "state": 100},
-    "categories": {"category_name": 100, "category_slug": 100},
-    "products": {"name": 255, "slug": 255},
+    "users": {"username": 50, "first_name": 50, "last_name": 50, "email": 100, "phone": 20,
+              "password_hash": 255, "verification_token": 255, "reset_token": 255},
+    "user_addresses": {"address_line1": 255, "address_line2": 255, "city": 100, "state": 100, "postal_code": 20,
+                       "country": 100},
+    "categories": {"category_name": 100, "category_slug": 100, "category_icon": 50},
+    "businesses": {"business_name": 100, "business_slug": 100, "logo_path": 255, "banner_path": 255,
+                   "address_line1": 255, "address_line2": 255, "city": 100, "state": 100, "postal_code": 20,
+                   "country": 100, "business_phone": 20, "business_email": 100, "website": 255, "tax_id": 50},
+    "products": {"name": 255, "slug": 255, "sku": 50, "dimensions": 50},
     "product_images": {"image_path": 255},
+    "product_attributes": {"attribute_name": 100, "attribute_value": 255},
+    "product_tags": {"tag_name": 50},
+    "orders": {"payment_method": 50, "tracking_number": 100},
     "forum_topics": {"title": 255, "slug": 255},
+    "notifications": {"type": 50, "title": 255, "link": 255},
 }
 DECIMAL_SHAPES = {
-    "products": {"price": (10, 2), "discount_percent": (5, 2)},
+    "products": {"price": (10, 2), "discount_percent": (5, 2), "weight": (8, 2)},
     "orders": {"subtotal": (10, 2), "shipping_cost": (10, 2), "tax_amount": (10, 2),
                "discount_amount": (10, 2), "total_amount": (10, 2)},
     "order_items": {"price": (10, 2), "discount_amount": (10, 2), "total_amount": (10, 2)},
@@ -200,8 +219,9 @@ def key_audit(tables: dict[str, DataFrame]) -> DataFrame:
                 txt_e.append(f"named_struct('key_name', {name}, 't1', CAST({_q(cols[0])} AS STRING), "
                              f"'t2', {second})")
             else:
-                second = f"CAST({_q(cols[1])} AS BIGINT)" if len(cols) > 1 else "CAST(NULL AS BIGINT)"
-                num_e.append(f"named_struct('key_name', {name}, 'n1', CAST({_q(cols[0])} AS BIGINT), "
+                wide = "DECIMAL(38,0)"      # composite surrogate keys do not fit a long
+                second = f"CAST({_q(cols[1])} AS {wide})" if len(cols) > 1 else f"CAST(NULL AS {wide})"
+                num_e.append(f"named_struct('key_name', {name}, 'n1', CAST({_q(cols[0])} AS {wide}), "
                              f"'n2', {second})")
         for entries, sink in ((num_e, numeric), (txt_e, textual)):
             if entries:
@@ -380,12 +400,13 @@ def surviving_rows(tables: dict[str, DataFrame], plan: DataFrame) -> dict[str, D
     out = {}
     for t, df in tables.items():
         pk = PRIMARY_KEYS[t]
-        gone = gone_all.where(F.col("table_name") == t).select(F.col("key").alias(pk))
+        kind = df.schema[pk].dataType
+        gone = gone_all.where(F.col("table_name") == t).select(F.col("key").cast(kind).alias(pk))
         left = df.join(gone, pk, "left_anti")
         for fk in FOREIGN_KEYS:
             if fk.child == t and fk.on_delete == "set_null" and fk.column in df.columns:
                 cleared = null_all.where(F.col("via") == f"{t}.{fk.column}").select(
-                    F.col("key").alias(pk), F.lit(True).alias("_cleared"))
+                    F.col("key").cast(kind).alias(pk), F.lit(True).alias("_cleared"))
                 left = left.join(cleared, pk, "left").withColumn(
                     fk.column, F.when(F.col("_cleared").isNull(), F.col(fk.column))).drop("_cleared")
         out[t] = left.select(*df.columns)

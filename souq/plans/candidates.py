@@ -55,3 +55,38 @@ def user_candidates(v: MarketViews) -> DataFrame:
         F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("business")).otherwise(F.lit("customer"))
          .alias("registration_type"),
     )
+
+
+def _break(df: DataFrame, **cols) -> DataFrame:
+    """``df`` with some values replaced: column=(condition, broken value)."""
+    return df.withColumns({c: F.when(F.expr(cond), F.expr(bad)).otherwise(F.col(c))
+                           for c, (cond, bad) in cols.items()})
+
+
+def defective_tables(v: MarketViews, names: list[str]) -> dict[str, DataFrame]:
+    """The marketplace tables with values broken by key residue, so that every audit has something to find."""
+    t = {n: v.table(n) for n in names}
+    broken = {
+        "users": dict(first_name=("user_id % 41 = 0", "NULL"), role=("user_id % 50 = 0", "'guest'"),
+                      last_name=("user_id % 47 = 0", "repeat('x', 60)"),
+                      email=("user_id % 53 = 0", "'SHARED' || (user_id % 3) || '@Example.com '")),
+        "businesses": dict(city=("business_id % 3 = 0", "NULL"), status=("business_id % 4 = 0", "'closed'"),
+                           business_name=("business_id % 5 = 0", "repeat('b', 101)"),
+                           user_id=("business_id % 7 = 0", "-business_id")),
+        "products": dict(name=("product_id % 37 = 0", "NULL"),
+                         price=("product_id % 31 = 0", "CAST(123456789012 AS DECIMAL(14,2))"),
+                         category_id=("product_id % 29 = 0", "9000 + product_id % 4"),
+                         slug=("product_id % 23 = 0", "'same'")),
+        "categories": dict(parent_id=("category_id = 101", "77"), category_slug=("category_id = 102", "NULL")),
+        "product_images": dict(image_path=("image_id % 11 = 0", "repeat('p', 300)")),
+        "product_reviews": dict(rating=("review_id % 59 = 0", "NULL"),
+                                product_id=("review_id % 61 = 0", "-1 - review_id % 5")),
+        "orders": dict(order_status=("order_id % 67 = 0", "'lost'"), payment_status=("order_id % 71 = 0", "'void'"),
+                       total_amount=("order_id % 73 = 0", "NULL"), user_id=("order_id % 79 = 0", "-user_id")),
+        "order_items": dict(status=("order_id % 83 = 0", "'gone'"),
+                            price=("order_id % 89 = 0", "CAST(9999999999 AS DECIMAL(12,2))"),
+                            order_id=("order_id % 97 = 0", "-order_id")),
+        "forum_topics": dict(title=("topic_id % 6 = 0", "repeat('t', 256)"), slug=("topic_id % 7 = 0", "'topic'")),
+        "forum_posts": dict(content=("topic_id % 8 = 0", "NULL"), topic_id=("topic_id % 9 = 0", "-topic_id")),
+    }
+    return {n: _break(df, **broken[n]) if n in broken else df for n, df in t.items()}

@@ -8,6 +8,7 @@ made explicit (DuckDB sorts NULLs last by default, Spark and MySQL first).
 
 from __future__ import annotations
 
+from souq.functions.labels import BUSINESS_CATEGORIES, UNKNOWN_LABEL
 from souq.plans.oracle_views import with_views
 
 _FIRST_IMAGE = """
@@ -113,8 +114,48 @@ def _ekey(x: str) -> str:
     return f"lower(strip_accents(rtrim({x})))"
 
 
-from souq.operators.integrity import (DECIMAL_SHAPES, ENUMS, FOREIGN_KEYS, NOT_NULL,  # noqa: E402
-                                      PRIMARY_KEYS, UNIQUE_KEYS, VARCHAR_LIMITS)
+from souq.operators.integrity import FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS  # noqa: E402
+
+# Fixed values of the schema, written down here apart from the operators' lists, for the columns that the
+# views carry: a constraint that is wrong or absent there shows as a difference.
+NOT_NULL = {
+    "users": "user_id username first_name last_name email role is_verified created_at".split(),
+    "businesses": "business_id user_id business_name business_slug city state status created_at".split(),
+    "categories": "category_id category_name category_slug is_active".split(),
+    "products": "product_id business_id category_id name slug price stock_quantity created_at".split(),
+    "product_images": "image_id product_id image_path".split(),
+    "product_reviews": "review_id product_id user_id rating created_at".split(),
+    "orders": ("order_id user_id order_status payment_status subtotal shipping_cost tax_amount discount_amount "
+               "total_amount created_at").split(),
+    "order_items": ("order_item_id order_id product_id business_id quantity price discount_amount total_amount "
+                    "status created_at").split(),
+    "cart_items": "cart_item_id user_id product_id quantity created_at".split(),
+    "wishlist_items": "wishlist_id user_id product_id created_at".split(),
+    "forum_topics": "topic_id title slug created_by is_sticky created_at".split(),
+    "forum_posts": "post_id topic_id user_id content is_solution created_at".split(),
+}
+VARCHAR_LIMITS = {
+    "users": dict(username=50, first_name=50, last_name=50, email=100, phone=20),
+    "businesses": dict(business_name=100, business_slug=100, city=100, state=100),
+    "categories": dict(category_name=100, category_slug=100),
+    "products": dict(name=255, slug=255),
+    "product_images": dict(image_path=255),
+    "forum_topics": dict(title=255, slug=255),
+}
+_MONEY = (10, 2)
+DECIMAL_SHAPES = {
+    "products": dict(price=_MONEY, discount_percent=(5, 2)),
+    "orders": dict(subtotal=_MONEY, shipping_cost=_MONEY, tax_amount=_MONEY, discount_amount=_MONEY,
+                   total_amount=_MONEY),
+    "order_items": dict(price=_MONEY, discount_amount=_MONEY, total_amount=_MONEY),
+}
+ENUMS = {
+    ("users", "role"): ("customer", "business_owner", "admin"),
+    ("businesses", "status"): ("pending", "active", "suspended"),
+    ("orders", "order_status"): ("pending", "processing", "shipped", "delivered", "cancelled"),
+    ("orders", "payment_status"): ("pending", "paid", "failed", "refunded"),
+    ("order_items", "status"): ("pending", "processing", "shipped", "delivered", "cancelled", "returned"),
+}
 
 MAPPED = {"users", "businesses", "categories", "products", "product_images", "product_reviews",
           "orders", "order_items", "cart_items", "wishlist_items", "forum_topics", "forum_posts"}
@@ -126,9 +167,9 @@ def _orphans() -> str:
     parts = [f"""SELECT '{fk.child}' AS child_table, '{fk.column}' AS child_column,
                         '{fk.parent}' AS parent_table, count(DISTINCT c.{fk.column}) AS orphan_keys,
                         count(*) AS orphan_rows
-                 FROM m_{fk.child} c
+                 FROM d_{fk.child} c
                  WHERE c.{fk.column} IS NOT NULL
-                   AND c.{fk.column} NOT IN (SELECT {fk.parent_key} FROM m_{fk.parent}
+                   AND c.{fk.column} NOT IN (SELECT {fk.parent_key} FROM d_{fk.parent}
                                              WHERE {fk.parent_key} IS NOT NULL)""" for fk in _FKS]
     return "\nUNION ALL\n".join(parts)
 
@@ -142,7 +183,7 @@ def _dup_keys() -> str:
         exprs = ", ".join(_ekey(c) if c in _COLLATED else c for c in cols)
         parts.append(f"""SELECT '{t}' AS table_name, '{",".join(cols)}' AS key_name, '{kind}' AS key_kind,
                             count(*) AS duplicate_keys, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess_rows
-                         FROM (SELECT count(*) AS n FROM m_{t} GROUP BY {exprs} HAVING count(*) > 1) g""")
+                         FROM (SELECT count(*) AS n FROM d_{t} GROUP BY {exprs} HAVING count(*) > 1) g""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -154,7 +195,7 @@ def _enums() -> str:
         vals = ", ".join(f"'{x}'" for x in dom)
         parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
                             count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) AS bad_rows
-                         FROM m_{t}""")
+                         FROM d_{t}""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -165,7 +206,7 @@ def _per_column(spec: dict, cond) -> str:
             continue
         for c in cols:
             parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
-                                count(*) FILTER (WHERE {cond(t, c)}) AS {{name}} FROM m_{t}""")
+                                count(*) FILTER (WHERE {cond(t, c)}) AS {{name}} FROM d_{t}""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -188,26 +229,26 @@ def _column_violations() -> str:
     for t in MAPPED:
         for c in NOT_NULL.get(t, []):
             parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'not_null' AS \"check\", "
-                         f"count(*) FILTER (WHERE {c} IS NULL) AS bad_rows FROM m_{t}")
+                         f"count(*) FILTER (WHERE {c} IS NULL) AS bad_rows FROM d_{t}")
         for c in _LEN_SPEC.get(t, []):
-            parts.append(f"SELECT '{t}', '{c}', 'length', count(*) FILTER (WHERE {_len_cond(t, c)}) FROM m_{t}")
+            parts.append(f"SELECT '{t}', '{c}', 'length', count(*) FILTER (WHERE {_len_cond(t, c)}) FROM d_{t}")
         for (et, c), dom in ENUMS.items():
             if et == t:
                 vals = ", ".join(f"'{x}'" for x in dom)
                 parts.append(f"SELECT '{t}', '{c}', 'enum', "
-                             f"count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) FROM m_{t}")
+                             f"count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) FROM d_{t}")
     return "\nUNION ALL\n".join(parts)
 
 
 def _delete_plan() -> str:
     act = {"cascade": "delete", "set_null": "set_null", "restrict": "restrict"}
     edges = "\nUNION ALL\n".join(
-        f"SELECT '{fk.child}' AS ct, {PRIMARY_KEYS[fk.child]} AS ck, '{fk.parent}' AS pt, {fk.column} AS pk, "
+        f"SELECT '{fk.child}' AS ct, CAST({PRIMARY_KEYS[fk.child]} AS DECIMAL(38,0)) AS ck, '{fk.parent}' AS pt, {fk.column} AS pk, "
         f"'{act[fk.on_delete]}' AS action, '{fk.child}.{fk.column}' AS via FROM m_{fk.child}" for fk in _FKS)
     return f"""
         WITH RECURSIVE edges AS ({edges}),
         closure(root_key, table_name, key, via) AS (
-            SELECT user_id, 'users', user_id, CAST(NULL AS VARCHAR) FROM m_users WHERE NOT is_verified
+            SELECT user_id, 'users', CAST(user_id AS DECIMAL(38,0)), CAST(NULL AS VARCHAR) FROM m_users WHERE NOT is_verified
             UNION
             SELECT c.root_key, e.ct, e.ck, e.via
             FROM closure c JOIN edges e ON e.pt = c.table_name AND e.pk = c.key AND e.action = 'delete'),
@@ -226,6 +267,25 @@ def _delete_plan() -> str:
         FROM plan p LEFT JOIN blocked b ON b.root_key = p.root_key"""
 
 
+def _delete_survivors() -> str:
+    """Counts and key sums of what is left; no SET NULL edge is reached from users."""
+    parts = "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, count(*) AS rows, CAST(CAST(sum(CAST({PRIMARY_KEYS[t]} AS HUGEINT)) AS HUGEINT) "
+        f"AS VARCHAR) AS key_sum FROM m_{t} WHERE {PRIMARY_KEYS[t]} NOT IN (SELECT key FROM del WHERE table_name = '{t}')"
+        for t in sorted(MAPPED))
+    plan = _delete_plan().strip()
+    cut = plan.rindex("SELECT p.*")
+    return f"""{plan[:cut].rstrip()},
+        del AS (SELECT p.table_name, p.key FROM plan p WHERE p.action = 'delete'
+                AND p.root_key NOT IN (SELECT root_key FROM blocked))
+        {parts}"""
+
+
+# The badge of every business category code, in the schema's order, then an unknown and an empty code.
+_BADGES = list(BUSINESS_CATEGORIES.values()) + [UNKNOWN_LABEL, None]
+_CARD_BADGES = " ".join(f"WHEN business_id % {len(_BADGES)} = {i} THEN " + ("NULL" if x is None else "'" + x.replace("'", "''") + "'")
+                        for i, x in enumerate(_BADGES))
+
 SQL: dict[str, str] = {
     "top_deals": _card(f"""
         SELECT {_P_COLS}, b.business_name,
@@ -491,18 +551,67 @@ SQL: dict[str, str] = {
         SELECT u.user_id, b.business_id, b.business_id IS NULL AS needs_profile
         FROM m_users u LEFT JOIN m_businesses b ON b.user_id = u.user_id
         WHERE u.role = 'business_owner'""",
-    "business_cards": """
-        SELECT business_id, business_name, 'assets/images/business-placeholder.jpg' AS logo,
-               CASE WHEN city IS NOT NULL AND state IS NOT NULL THEN city || ', ' || state
-                    ELSE 'Location not specified' END AS location,
-               CAST(NULL AS VARCHAR) AS category_badge
+    "business_cards": f"""
+        SELECT business_id, business_name,
+               CASE WHEN business_id % 3 = 0 THEN 'logos/' || business_id
+                    ELSE 'assets/images/business-placeholder.jpg' END AS logo,
+               CASE WHEN business_id % 4 <> 0 AND city IS NOT NULL AND state IS NOT NULL
+                    THEN city || ', ' || state ELSE 'Location not specified' END AS location,
+               CASE {_CARD_BADGES} END AS category_badge
         FROM m_businesses""",
+    "delete_survivors": _delete_survivors(),
+    "seller_page": """
+        SELECT p.*, t.description, c.category_name
+        FROM m_products p LEFT JOIN m_product_text t ON t.product_id = p.product_id
+             LEFT JOIN m_categories c ON c.category_id = p.category_id
+        WHERE p.business_id = 3
+        ORDER BY p.created_at DESC, p.product_id LIMIT 10 OFFSET 10""",
+    "seller_count": """
+        SELECT count(*) AS total_products, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages
+        FROM m_products WHERE business_id = 3""",
+    "category_seed": """
+        SELECT category_id, category_name, category_slug, parent_id FROM m_categories WHERE parent_id IS NULL
+        UNION ALL
+        SELECT (SELECT max(category_id) FROM m_categories WHERE parent_id IS NULL) + n_nationkey + 1, n_name,
+               lower(trim(regexp_replace(n_name, '[^a-zA-Z0-9-]+', '-', 'g'), '-')), c.category_id
+        FROM nation JOIN m_categories c ON c.parent_id IS NULL AND c.category_id = n_regionkey + 1
+        WHERE n_nationkey % 6 <> 5""",
+    "dialect2_catalog": """
+        SELECT c.category_id, c.category_name, count(p.product_id) AS product_count
+        FROM m_categories c
+        LEFT JOIN m_categories k ON k.category_id = c.category_id OR k.parent_id = c.category_id
+        LEFT JOIN m_products p ON p.category_id = k.category_id
+        GROUP BY ALL""",
+    "unread_counts": """
+        WITH m AS (SELECT conv_id AS user_id, count(*) AS n FROM conversations WHERE turn % 2 <> 0 GROUP BY 1),
+             e AS (SELECT user_id, count(*) AS n FROM events
+                   WHERE event_type = 'error' AND event_id % 3 <> 0 GROUP BY 1)
+        SELECT coalesce(m.user_id, e.user_id) AS user_id, coalesce(m.n, 0) AS unread_messages,
+               coalesce(e.n, 0) AS unread_notifications
+        FROM m FULL JOIN e ON e.user_id = m.user_id""",
     "sellers_without_business": """
         SELECT u.user_id, u.username, u.email FROM m_users u
         WHERE u.role = 'business_owner'
           AND NOT EXISTS (SELECT 1 FROM m_businesses b WHERE b.user_id = u.user_id)""",
 }
 
+_SLUG = "lower(trim(regexp_replace({x}, '[^a-zA-Z0-9-]+', '-', 'g'), '-'))"
+SQL["accepted_products"] = f"""
+    WITH ok AS ({SQL["product_intake"]}),
+    raw AS (SELECT arrival_no, business_id, name AS raw_name, description, image_name FROM ({_PRODUCT_CANDIDATES}) x)
+    SELECT (SELECT max(product_id) FROM m_products) + ok.arrival_no AS product_id, raw.business_id, ok.category_id,
+           ok.name, {_SLUG.format(x=f"regexp_replace(raw.raw_name, {_TRIM_RE}, '', 'g')")} AS slug,
+           CAST(ok.price AS DECIMAL(10,2)) AS price,
+           CAST(trunc(ok.discount) AS DECIMAL(5,2)) AS discount_percent,
+           'uploads/products/1700000000_' || replace(raw.image_name, ' ', '_') AS image_path,
+           md5({_esc("coalesce(raw.description, '')")}) AS description_md5
+    FROM ok JOIN raw ON raw.arrival_no = ok.arrival_no WHERE ok.is_valid"""
+SQL["accepted_users"] = f"""
+    WITH ok AS ({SQL["user_intake"]})
+    SELECT (SELECT max(user_id) FROM m_users) + arrival_no AS user_id, first_name, last_name, email, phone, role,
+           username, FALSE AS is_verified
+    FROM ok WHERE error IS NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in SQL.items()}

@@ -82,7 +82,8 @@ VIEWS: dict[str, str] = {
     "m_order_items": """
         SELECT order_item_id, order_id, product_id, business_id, quantity, price, discount_amount,
                CAST(price - discount_amount AS DECIMAL(12,2)) AS total_amount, status, created_at
-        FROM (SELECT l_orderkey * 100 + l_linenumber AS order_item_id, l_orderkey AS order_id,
+        FROM (SELECT CAST((CAST(l_orderkey AS HUGEINT) * 10 + l_linenumber) * 1000000000000000000000000
+                          + CAST(l_partkey AS HUGEINT) * 1000000000000 + l_suppkey AS DECIMAL(38,0)) AS order_item_id, l_orderkey AS order_id,
                      l_partkey AS product_id, l_suppkey AS business_id,
                      CAST(floor(l_quantity) AS INTEGER) AS quantity,
                      CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
@@ -93,13 +94,13 @@ VIEWS: dict[str, str] = {
                      l_shipdate AS created_at
               FROM lineitem) li""",
     "m_cart_items": """
-        SELECT user_id * 1000000 + product_id AS cart_item_id, user_id, product_id,
+        SELECT CAST(CAST(user_id AS HUGEINT) * 1000000000000 + product_id AS DECIMAL(38,0)) AS cart_item_id, user_id, product_id,
                CAST(count(*) AS INTEGER) AS quantity, min(ts) AS created_at
         FROM (SELECT user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS product_id, ts
               FROM events WHERE event_type = 'click') e
         GROUP BY user_id, product_id""",
     "m_wishlist_items": """
-        SELECT user_id * 1000000 + product_id AS wishlist_id, user_id, product_id, min(ts) AS created_at
+        SELECT CAST(CAST(user_id AS HUGEINT) * 1000000000000 + product_id AS DECIMAL(38,0)) AS wishlist_id, user_id, product_id, min(ts) AS created_at
         FROM (SELECT user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS product_id, ts
               FROM events WHERE event_type = 'view') e
         GROUP BY user_id, product_id""",
@@ -117,12 +118,47 @@ VIEWS: dict[str, str] = {
         FROM conversations WHERE turn = 0""",
 }
 
-_NAME = re.compile(r"\bm_[a-z_]+\b")
+# Defective copies for the audits: the same rows with values broken by key residue
+# (the Spark side derives them in ``souq.plans.candidates``).
+DEFECTIVE: dict[str, str] = {
+    "users": """(CASE WHEN user_id % 41 = 0 THEN NULL ELSE first_name END) AS first_name,
+        (CASE WHEN user_id % 50 = 0 THEN 'guest' ELSE role END) AS role,
+        (CASE WHEN user_id % 47 = 0 THEN repeat('x', 60) ELSE last_name END) AS last_name,
+        (CASE WHEN user_id % 53 = 0 THEN 'SHARED' || (user_id % 3) || '@Example.com ' ELSE email END) AS email""",
+    "businesses": """(CASE WHEN business_id % 3 = 0 THEN NULL ELSE city END) AS city,
+        (CASE WHEN business_id % 4 = 0 THEN 'closed' ELSE status END) AS status,
+        (CASE WHEN business_id % 5 = 0 THEN repeat('b', 101) ELSE business_name END) AS business_name,
+        (CASE WHEN business_id % 7 = 0 THEN -business_id ELSE user_id END) AS user_id""",
+    "products": """(CASE WHEN product_id % 37 = 0 THEN NULL ELSE name END) AS name,
+        (CASE WHEN product_id % 31 = 0 THEN CAST(123456789012 AS DECIMAL(14,2)) ELSE price END) AS price,
+        (CASE WHEN product_id % 29 = 0 THEN 9000 + product_id % 4 ELSE category_id END) AS category_id,
+        (CASE WHEN product_id % 23 = 0 THEN 'same' ELSE slug END) AS slug""",
+    "categories": """(CASE WHEN category_id = 101 THEN 77 ELSE parent_id END) AS parent_id,
+        (CASE WHEN category_id = 102 THEN NULL ELSE category_slug END) AS category_slug""",
+    "product_images": """(CASE WHEN image_id % 11 = 0 THEN repeat('p', 300) ELSE image_path END) AS image_path""",
+    "product_reviews": """(CASE WHEN review_id % 59 = 0 THEN NULL ELSE rating END) AS rating,
+        (CASE WHEN review_id % 61 = 0 THEN -1 - review_id % 5 ELSE product_id END) AS product_id""",
+    "orders": """(CASE WHEN order_id % 67 = 0 THEN 'lost' ELSE order_status END) AS order_status,
+        (CASE WHEN order_id % 71 = 0 THEN 'void' ELSE payment_status END) AS payment_status,
+        (CASE WHEN order_id % 73 = 0 THEN NULL ELSE total_amount END) AS total_amount,
+        (CASE WHEN order_id % 79 = 0 THEN -user_id ELSE user_id END) AS user_id""",
+    "order_items": """(CASE WHEN order_id % 83 = 0 THEN 'gone' ELSE status END) AS status,
+        (CASE WHEN order_id % 89 = 0 THEN CAST(9999999999 AS DECIMAL(12,2)) ELSE price END) AS price,
+        (CASE WHEN order_id % 97 = 0 THEN -order_id ELSE order_id END) AS order_id""",
+    "forum_topics": """(CASE WHEN topic_id % 6 = 0 THEN repeat('t', 256) ELSE title END) AS title,
+        (CASE WHEN topic_id % 7 = 0 THEN 'topic' ELSE slug END) AS slug""",
+    "forum_posts": """(CASE WHEN topic_id % 8 = 0 THEN NULL ELSE content END) AS content,
+        (CASE WHEN topic_id % 9 = 0 THEN -topic_id ELSE topic_id END) AS topic_id""",
+}
+for _t in ("users", "businesses", "categories", "products", "product_images", "product_reviews", "orders",
+           "order_items", "cart_items", "wishlist_items", "forum_topics", "forum_posts"):
+    VIEWS[f"d_{_t}"] = f"SELECT *{' REPLACE (' + DEFECTIVE[_t] + ')' if _t in DEFECTIVE else ''} FROM m_{_t}"
 
 
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the CTEs of every ``m_*`` view it mentions."""
-    used = [n for n in VIEWS if re.search(r"\b" + n + r"\b", sql)]
+    text = "\n".join([sql] + [VIEWS[n] for n in VIEWS if n.startswith("d_") and re.search(r"\b" + n + r"\b", sql)])
+    used = [n for n in VIEWS if re.search(r"\b" + n + r"\b", text)]
     if not used:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used)

@@ -8,15 +8,18 @@ queries, not sampling.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from souq.functions.labels import BUSINESS_CATEGORIES
 from souq.functions.text import slugify
 from souq.operators import (catalog, discovery, intake, integrity, labels, reports, reviews,
                             taxonomy)
 from souq.plans import candidates
+from souq.sources.dialect import resolve_columns
 from souq.sources.views import MarketViews
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +29,7 @@ TRENDING_SEED = 42
 SEARCH_TEXT = "red"
 SEARCH_CATEGORY = 2          # a root category: itself plus its children
 CATALOG_PAGE = 2
+SELLER = 3
 
 
 def _mv(spark: SparkSession, d: str) -> MarketViews:
@@ -146,28 +150,32 @@ def _tables(v: MarketViews) -> dict[str, DataFrame]:
     return {t: v.table(t) for t in MAPPED_TABLES}
 
 
+def _defective(spark, d) -> dict[str, DataFrame]:
+    return candidates.defective_tables(_mv(spark, d), MAPPED_TABLES)
+
+
 def q_orphans(spark, d):
-    return integrity.orphan_audit(_tables(_mv(spark, d)))
+    return integrity.orphan_audit(_defective(spark, d))
 
 
 def q_duplicate_keys(spark, d):
-    return integrity.key_audit(_tables(_mv(spark, d)))
+    return integrity.key_audit(_defective(spark, d))
 
 
 def q_enum_violations(spark, d):
-    return integrity.enum_audit(_tables(_mv(spark, d)))
+    return integrity.enum_audit(_defective(spark, d))
 
 
 def q_null_violations(spark, d):
-    return integrity.null_audit(_tables(_mv(spark, d)))
+    return integrity.null_audit(_defective(spark, d))
 
 
 def q_length_violations(spark, d):
-    return integrity.length_audit(_tables(_mv(spark, d)))
+    return integrity.length_audit(_defective(spark, d))
 
 
 def q_column_violations(spark, d):
-    return integrity.column_audit(_tables(_mv(spark, d)))
+    return integrity.column_audit(_defective(spark, d))
 
 
 def q_delete_plan(spark, d):
@@ -184,6 +192,78 @@ def q_owned_delete(spark, d):
     return integrity.owned_delete(v.products, v.order_items, req)
 
 
+def q_delete_survivors(spark, d):
+    """Rows and remaining references per table after deleting the unblocked victims of ``delete_plan``."""
+    v = _mv(spark, d)
+    t = _tables(v)
+    plan = integrity.plan_delete(t, "users", v.users.where(~F.col("is_verified")).select("user_id"))
+    left = integrity.surviving_rows(t, plan)
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"),
+                    F.sum(F.col(integrity.PRIMARY_KEYS[n]).cast(DecimalType(38, 0))).cast("string").alias("key_sum"))
+             .select(F.lit(n).alias("table_name"), "rows", "key_sum") for n, df in left.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def q_seller_page(spark, d):
+    """One seller's second page (P-02, O-05)."""
+    v = _mv(spark, d)
+    return catalog.seller_catalog(v.products, v.categories, business_id=SELLER, page=CATALOG_PAGE,
+                                  product_text=v.product_text)["page"]
+
+
+def q_seller_count(spark, d):
+    v = _mv(spark, d)
+    return catalog.seller_catalog(v.products, v.categories, business_id=SELLER,
+                                  product_text=v.product_text)["count"]
+
+
+def q_category_seed(spark, d):
+    """S-03: nations appended below the region that their slug names."""
+    v = _mv(spark, d)
+    regions = v.categories.where("parent_id IS NULL")
+    n, r = v.raw("nation"), v.raw("region")
+    children = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        (F.col("n_nationkey") + 1).cast("bigint").alias("seq"), F.col("n_name").alias("category_name"),
+        slugify("n_name").alias("category_slug"),
+        F.when(F.col("n_nationkey") % 6 == 5, F.lit("no-such-slug")).otherwise(slugify("r_name")).alias("parent_slug"))
+    return taxonomy.add_children_by_parent_slug(regions, children).select(
+        "category_id", "category_name", "category_slug", "parent_id")
+
+
+def q_dialect2_catalog(spark, d):
+    """S-06: products with the bare column names of the second dialect, resolved, then counted per category."""
+    v = _mv(spark, d)
+    bare = v.products.withColumnsRenamed({"product_id": "id", "discount_percent": "discount"})
+    cats = v.categories.withColumnsRenamed({"category_id": "id", "category_name": "name"})
+    return taxonomy.category_product_counts(resolve_columns(bare, "products"), resolve_columns(cats, "categories"))
+
+
+def q_accepted_products(spark, d):
+    """S-04 + X-15: rows the intake would append (fixed clock, without NOW())."""
+    v = _mv(spark, d)
+    rows = intake.accepted_products(intake.validate_products(candidates.product_candidates(v)), v.products,
+                                    epoch=F.lit(1700000000))
+    return rows.select("product_id", "business_id", "category_id", "name", "slug", "price", "discount_percent",
+                       "image_path", F.md5("description").alias("description_md5"))
+
+
+def q_accepted_users(spark, d):
+    """S-05: accounts the intake would append (without NOW())."""
+    v = _mv(spark, d)
+    rows = intake.accepted_users(intake.validate_users(candidates.user_candidates(v), v.users), v.users)
+    return rows.select("user_id", "first_name", "last_name", "email", "phone", "role", "username", "is_verified")
+
+
+def q_unread_counts(spark, d):
+    """C-13: conversation turns as messages, error events as notifications."""
+    v = _mv(spark, d)
+    m = v.raw("conversations").select(F.col("conv_id").alias("receiver_id"),
+                                      (F.col("turn") % 2 == 0).cast("int").alias("is_read"))
+    n = v.raw("events").where("event_type = 'error'").select("user_id", (F.col("event_id") % 3 == 0).cast("int")
+                                                             .alias("is_read"))
+    return reports.unread_counts(m, n)
+
+
 def q_discount_migration(spark, d):
     """Second-dialect products (both discount columns) migrated to ``discount``."""
     v = _mv(spark, d)
@@ -269,7 +349,14 @@ def q_seller_business(spark, d):
 
 
 def q_business_cards(spark, d):
-    return labels.business_cards(_mv(spark, d).businesses)
+    """Logos, locations and category codes by key residue, so that every fallback is reached (J-10, X-13)."""
+    k = F.col("business_id")
+    b = _mv(spark, d).businesses.withColumns({
+        "logo_path": F.when(k % 3 == 0, F.concat(F.lit("logos/"), k.cast("string"))),
+        "business_category": F.element_at(F.array(*[F.lit(c) for c in [*BUSINESS_CATEGORIES, "other-code", ""]]),
+                                          (k % (len(BUSINESS_CATEGORIES) + 2) + 1).cast("int")),
+        "city": F.when(k % 4 != 0, F.col("city"))})
+    return labels.business_cards(b)
 
 
 QUERIES: dict[str, QueryFn] = {
@@ -318,4 +405,12 @@ QUERIES: dict[str, QueryFn] = {
     "verified_reviews": q_verified_reviews,
     "topic_activity": q_topic_activity,
     "wishlist_top": q_wishlist_top,
+    "delete_survivors": q_delete_survivors,
+    "seller_page": q_seller_page,
+    "seller_count": q_seller_count,
+    "category_seed": q_category_seed,
+    "dialect2_catalog": q_dialect2_catalog,
+    "accepted_products": q_accepted_products,
+    "accepted_users": q_accepted_users,
+    "unread_counts": q_unread_counts,
 }

@@ -31,6 +31,14 @@ def _days_after(base: str, n: F.Column) -> F.Column:
     return F.date_add(F.lit(base).cast("date"), n.cast("int")).cast("timestamp_ntz")
 
 
+# Surrogate keys packed into decimal digits without loss: (order, line) repeats in lineitem, the
+# four parts together do not (order up to 13 digits, line 1, part and supplier 12 each).
+ORDER_ITEM_ID = ("CAST(concat(CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), "
+                 "lpad(CAST(l_partkey AS STRING), 12, '0'), lpad(CAST(l_suppkey AS STRING), 12, '0')) "
+                 "AS DECIMAL(38,0))")
+USER_PRODUCT_ID = "CAST(concat(CAST(user_id AS STRING), lpad(CAST(product_id AS STRING), 12, '0')) AS DECIMAL(38,0))"
+
+
 class MarketViews:
     """Lazy marketplace views over one folder of driver tables."""
 
@@ -170,7 +178,7 @@ class MarketViews:
         price = F.col("l_extendedprice").cast(DecimalType(12, 2))
         disc = F.round(price * F.col("l_discount").cast(DecimalType(4, 2)), 2).cast(DecimalType(12, 2))
         return li.select(
-            (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("order_item_id"),
+            F.expr(ORDER_ITEM_ID).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("business_id"),
             F.floor("l_quantity").cast("int").alias("quantity"),
@@ -190,13 +198,13 @@ class MarketViews:
     @cached_property
     def cart_items(self) -> DataFrame:
         return self._event_pairs("click").select(
-            (F.col("user_id") * 1000000 + F.col("product_id")).alias("cart_item_id"),
+            F.expr(USER_PRODUCT_ID).alias("cart_item_id"),
             "user_id", "product_id", "quantity", "created_at")
 
     @cached_property
     def wishlist_items(self) -> DataFrame:
         return self._event_pairs("view").select(
-            (F.col("user_id") * 1000000 + F.col("product_id")).alias("wishlist_id"),
+            F.expr(USER_PRODUCT_ID).alias("wishlist_id"),
             "user_id", "product_id", "created_at")
 
     # -- community --------------------------------------------------------------

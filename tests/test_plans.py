@@ -6,7 +6,9 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from souq.operators import discovery
 from souq.plans.registry import QUERIES
+from souq.sources.views import MarketViews
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -16,9 +18,28 @@ def plan(spark, name):
     return E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_top_k_lookups_push_keys_into_the_text_scan(spark):
-    p = plan(spark, "top_deals")
-    assert re.search(r"PushedFilters: \[In\(doc_id, \[", p)
+def test_top_k_is_lazy(spark):
+    v = MarketViews(spark, SF)
+    t = [v.products, v.businesses, v.product_images, v.product_text]      # reads the footers
+    spark.sparkContext.setJobGroup("build-top-k", "top-k")
+    try:
+        frames = [discovery.top_deals(*t), discovery.newest_products(*t), discovery.trending(*t),
+                  discovery.newest_businesses(t[1], t[0])]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build-top-k")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for df in frames:                                                     # the whole query is in the plan
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in p and "l_partkey" in p
+
+
+@pytest.mark.parametrize("name", ["top_deals", "newest_products", "trending_sample"])
+def test_top_k_reduces_texts_by_a_semi_join(spark, name):
+    p = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(re.match(r"[ :+-]*", x).group()) for x in p]
+    text = next(i for i, x in enumerate(p) if "Relation" in x and "text#" in x)
+    above = [p[i] for i in range(text) if depth[i] < depth[text] and "Join" in p[i]]
+    assert "LeftSemi" in above[-1]
 
 
 def test_per_seller_pages_limit_before_the_shuffle(spark):
