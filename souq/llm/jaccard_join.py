@@ -24,8 +24,11 @@ copies.  The members of such groups get new prefixes from their whole sets,
 rarest first among themselves, and are tied to a few members each (some pairs
 per member, not one per pair of members), in turns while that joins
 components; then only pairs of *different* components that share such a
-shingle are left, and all of those are tried.  No pair is dropped: a pair
-inside a component cannot change it.
+shingle are left.  These sets are alike, so what they have in common filters
+nothing; what sets them apart from a centre of their group does: the
+differences are joined by a prefix filter of their own (``across``), and
+all pairs that pass are tried.  No pair is dropped: a pair inside a component
+cannot change it.
 
 Result: every row with its set size and its component, named by the smallest
 id that links reach.  Null texts count as empty.  Rows without an id get a
@@ -241,7 +244,10 @@ class _Join:
             comps = self.joined(comps, self.verify(more, f"turn{turn}"), f"comps{turn}")
         if not left:
             return comps
-        rest = self.across(h).join(tried, ["a", "b"], "left_anti")
+        members = self.around(h)
+        comps = self.joined(comps, members.where("9 * x <= n + cn").select(F.col("node").alias("a"), F.col(
+            "centre").alias("b")), "near-comps")
+        rest = write_table(self.across(members, comps).join(tried, ["a", "b"], "left_anti"), self.folder, "rest")
         return self.joined(comps, self.verify(rest, "last"), "last-comps")
 
     def joined(self, comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -261,7 +267,7 @@ class _Join:
         copy does not share with the other members come first: a member whose
         own changes are more than the similarity allows has no posting left.
         """
-        sets = self.whole_sets(h.select("node").distinct(), "open")
+        self.open_sets = sets = self.whole_sets(h.select("node").distinct(), "open")
         posts = sets.select("node", "n", F.explode("tokens").alias("token"))
         shared = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
         shared = write_table(shared, self.folder, "open-shared")
@@ -291,12 +297,58 @@ class _Join:
         x = h.join(to, (F.col("token") == F.col("t2")) & (F.col("comp") != F.col("comp2")) & _can_link())
         return x.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
-    def across(self, h: DataFrame) -> DataFrame:
-        """All pairs of different components that share a shingle of a large group."""
-        y = h.select(F.col("token").alias("t2"), F.col("node").alias("node2"), F.col("n").alias("n2"),
-                     F.col("left").alias("left2"), F.col("comp").alias("comp2"))
-        x = h.join(y, (F.col("token") == F.col("t2")) & (F.col("comp") < F.col("comp2")) & _can_link())
-        return x.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    def around(self, h: DataFrame) -> DataFrame:
+        """(node, n, centre, cn, x, diff) of the open nodes: what sets them apart from a centre of their groups.
+
+        Every shingle of ``h`` has one centre, a node that its members agree on by
+        two rounds of minima (groups with members in common mostly get the same
+        one); a node has a row for every centre of its shingles.  ``diff`` holds the
+        shingles that only one of the node and the centre has, ``x`` their number.
+        """
+        place = F.struct(F.xxhash64("node", F.lit(-1)).alias("h"), F.col("node").alias("c"))
+        lowest = lambda df, by, at: df.groupBy(by).agg(F.min(at).alias("at"))
+        p = h.select("token", "node")
+        of_node = lowest(p.join(lowest(p, "token", place), "token"), "node", "at")
+        of_token = lowest(p.join(of_node, "node"), "token", "at")
+        rows = p.join(of_token, "token").select("node", F.col("at.c").alias("centre")).distinct()
+        rows = write_table(rows, self.folder, "around")
+        own = self.open_sets.select(F.col("node").alias("o"), "n", "tokens")
+        mid = self.open_sets.select(F.col("node").alias("m"), F.col("n").alias("cn"), F.col("tokens").alias("middle"))
+        x = rows.join(own, F.col("node") == F.col("o")).join(mid, F.col("centre") == F.col("m"))
+        diff = F.concat(F.array_except("tokens", "middle"), F.array_except("middle", "tokens"))
+        x = x.select("node", F.col("n").cast("bigint").alias("n"), "centre", F.col("cn").cast("bigint").alias("cn"),
+                     diff.alias("diff"))
+        return write_table(x.withColumn("x", F.size("diff").cast("bigint")), self.folder, "members")
+
+    def across(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """The pairs of different components that can still link.
+
+        Sets of n and n2 link when 9 times the number d of shingles that only one
+        of them has is n + n2 at most (at 80 percent).  With x and x2 shingles apart
+        from their centre, d = x + x2 - 2 * common ones of the two differences.  If
+        9 (x + x2) <= n + n2 both link to the centre itself and are one component by
+        now; all others have 18 * common >= 9 (x + x2) - (n + n2) > 0.  So
+        the differences, short where sets are alike, are joined by their own
+        rarest-first order: at the first common shingle all common ones are
+        left on both sides.
+        """
+        m = members.join(comps.withColumnRenamed("node", "cnode"), F.col("node") == F.col("cnode"), "left").select(
+            "node", "n", "centre", "x", "diff", F.coalesce("comp", "node").alias("comp"))
+        posts = m.select("node", "n", "centre", "x", "comp", F.explode("diff").alias("token"))
+        shared = posts.withColumn("c", F.count("*").over(Window.partitionBy("centre", "token"))).where("c > 1")
+        shared = write_table(shared, self.folder, "apart")
+        rank = F.row_number().over(Window.partitionBy("centre", "node").orderBy(F.desc("c"), F.desc("token")))
+        # the shingle itself counts: ranked from the most frequent one, its rank is the number left
+        p = shared.withColumn("left", rank).select("centre", "token", "node", "n", "x", "comp", "left")
+        p = write_table(p, self.folder, "apart-postings")
+        q = p.select(F.col("centre").alias("centre2"), F.col("token").alias("t2"), F.col("node").alias("node2"),
+                     F.col("n").alias("n2"), F.col("x").alias("x2"), F.col("comp").alias("comp2"),
+                     F.col("left").alias("left2"))
+        open_pair = 9 * (F.col("x") + F.col("x2")) - (F.col("n") + F.col("n2"))
+        y = p.join(q, (F.col("centre") == F.col("centre2")) & (F.col("token") == F.col("t2"))
+                   & (F.col("comp") < F.col("comp2")) & _sizes_fit(F.col("n"), F.col("n2"))
+                   & (open_pair > 0) & (18 * F.least("left", "left2") >= open_pair))
+        return y.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _can_link() -> Column:

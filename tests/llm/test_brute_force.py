@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from souq.llm import queries
+from souq.llm import jaccard_join, queries
 from souq.llm.decontamination import words_of
 from souq.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -70,6 +70,39 @@ def test_jaccard(spark, docs):
     assert got == {d: (len(sets[d]), root(d)) for d in docs}
 
 
+def test_jaccard_border_group(spark, monkeypatch):
+    """A large group of copies around the similarity: ties leave components open, differences decide the rest."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(160)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rnd.sample(range(160), rnd.randrange(2, 6)):
+            w[at] = rnd.choice([f"v{at}", f"v{at}x", f"u{i}-{at}"])
+        rows.append((i, " ".join(w[rnd.randrange(4):])))
+    sets = {k: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    comp = {k: k for k in sets}
+
+    def top(k):
+        while comp[k] != k:
+            k = comp[k]
+        return k
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                comp[y] = x
+    want = {k: top(k) for k in sets}
+    assert 1 < len(set(want.values())) < 150
+    monkeypatch.setattr(jaccard_join, "TIES", 1)
+    tried = []
+    across = jaccard_join._Join.across
+    monkeypatch.setattr(jaccard_join._Join, "across", lambda self, *a: tried.append(1) or across(self, *a))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert tried
+    assert {r["key"]: r["component"] for r in got} == want
+
+
 def test_repeats(spark, docs):
     size = 400
     texts = {d: (r["text"] or "").encode() for d, r in docs.items()}
