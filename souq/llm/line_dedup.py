@@ -1,19 +1,24 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated runs of lines.
 
-Lines are hashed, and a rolling hash over the last ``SPAN`` line hashes ends a
-chunk wherever it falls into one of ``DIVISOR`` classes, so boundaries depend
-on the lines around them alone and move along when lines are put in before.
-A chunk of two or more lines with a word that occurs elsewhere in the corpus
-(or earlier in its document) is removed everywhere but at its first place.
+A passage is a run of lines that begins and ends at a line with a word and has
+at least two of them, or one line of more than ``LONG_LINE`` words.  Every line
+of a passage that occurs, byte for byte, at an earlier place of the corpus too
+(an earlier document, or earlier in its own) is removed.
 
-Hashes only name candidates: narrow rows (no text) are shuffled and grouped
-to find hashes that occur twice; the texts of those chunks are then grouped
-by their bytes, so a chunk is removed only if an equal one is kept.
+A repeated run of lines is the union of the repeated pairs of neighbouring
+lines with words in it, so the rolling hash over two lines (with what stands
+between them) taken at every line, and that of every long line, finds runs of
+any length with both their ends; no chunk boundary has to fall into them.
 
-The first place is the smallest (key, text hash, chunk number), null keys
-last.  Rows equal in key and text are one document here and share its result.
-Null texts stay null, empty texts empty.  A text of which every line goes
-becomes empty; the row stays.  Other columns pass through.
+Hashes only name candidates: narrow rows (no text) are shuffled and grouped
+to find hashes that occur twice; the texts of those pairs and lines are then
+grouped by their bytes.  The first place of every line's bytes always stays.
+
+Places are ordered by (key, text hash, line), null keys last.  Rows equal in
+key and text are one document here and share its result.  Lines without a word
+go with the line before them, at the start of a text with the one after.  Null
+texts stay null, empty texts empty.  A text of which every line goes becomes
+empty; the row stays.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,22 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souq.llm.common import (_SPACE, as_long, fresh_name, mix, null_safe, pieces, span_hashes, utf8_view,
-                             work_folder, write_table)
+from souq.llm.common import (as_long, fresh_name, null_safe, pieces, span_hashes, utf8_view, word_bounds, work_folder,
+                             write_table)
 
-SPAN = 2
-DIVISOR = 4
-MIN_LINES = 2
+LONG_LINE = 50
 
 
-def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Chunks of the rows of a text column.
+def line_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of neighbouring lines with words, and long lines, of the rows of a text column.
 
-    Returns, for every chunk: its row, first byte, end byte (without the line
-    feed), number in its row, first line, lines, and lines with a word.
+    Returns, for every one: its row, first byte, end byte (without the line
+    feed), number in its row, and the first line and lines that go with it.
     """
     n_rows = len(offsets) - 1
     feeds = np.flatnonzero(data == 10)
@@ -49,70 +53,79 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     starts, rows = starts[order], rows[order]
     last_of_row = np.append(rows[1:] != rows[:-1], True)
     ends = np.where(last_of_row, offsets[rows + 1], np.append(starts[1:], 0) - 1)
-    words = np.concatenate([[0], np.cumsum(~_SPACE[data])])
-    solid = words[ends] > words[starts]
-    h = span_hashes(data, starts, ends)
-    rolling = h.copy()
-    for back in range(1, SPAN):
-        same = np.zeros(len(h), dtype=bool)
-        same[back:] = rows[back:] == rows[:-back]
-        shifted = np.zeros_like(h)
-        shifted[back:] = h[:-back]
-        rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + np.where(same, shifted, np.uint64(0))
-    cut = last_of_row | (mix(rolling) % np.uint64(DIVISOR) == 0)
-    last = np.flatnonzero(cut)
-    first = np.append(0, last[:-1] + 1) if len(last) else last
-    row_first = np.searchsorted(rows[first], np.arange(n_rows))
-    line_first = np.searchsorted(rows, np.arange(n_rows))
-    sums = np.concatenate([[0], np.cumsum(solid)])
-    r = rows[first]
-    return (r, starts[first], ends[last], np.arange(len(first)) - row_first[r], first - line_first[r],
-            last - first + 1, sums[last + 1] - sums[first])
-
-
-def _chunker(with_text: bool):
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = utf8_view(b.column("text"))
-            for lo, hi in pieces(off):
-                part = data[off[lo]:off[hi]]
-                row, start, end, no, line, lines, solid = chunk_bounds(part, off[lo:hi + 1] - off[lo])
-                many = np.flatnonzero(solid >= MIN_LINES)
-                at = pa.array(row[many] + lo)
-                cols = [b.column("key").take(at), b.column("th").take(at), pa.array(no[many].astype(np.int32)),
-                        pa.array(line[many].astype(np.int32)), pa.array(lines[many].astype(np.int32)),
-                        pa.array(as_long(span_hashes(part, start[many], end[many])))]
-                names = ["key", "th", "no", "line", "lines", "h"]
-                if with_text:
-                    cols.append(pa.array([part[s:e].tobytes() for s, e in zip(start[many], end[many])], pa.binary()))
-                    names.append("chunk")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-    return chunks
-
-
-NARROW = "key bigint, th bigint, no int, line int, lines int, h bigint"
+    line = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n_rows))[rows]
+    word_starts = word_bounds(data, offsets)[0]
+    words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+    solid = np.flatnonzero(words)
+    r, at = rows[solid], line[solid]
+    joined = np.append(r[1:] == r[:-1], False)[:len(r)]              # the next line with words is of the same row
+    leads = np.append(True, ~joined[:-1])[:len(r)]
+    n_lines = np.bincount(rows, minlength=n_rows)
+    low = np.where(leads, 0, at)
+    high = np.where(joined, np.append(at[1:], 0)[:len(at)], n_lines[r])
+    pair, alone = np.flatnonzero(joined), np.flatnonzero(words[solid] > LONG_LINE)
+    first, last = np.concatenate([pair, alone]), np.concatenate([pair + 1, alone])
+    no = 2 * at[first] + (first == last)
+    return r[first], starts[solid[first]], ends[solid[last]], no, low[first], high[last] - low[first]
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, off = utf8_view(b.column("text"))
+        for lo, hi in pieces(off):
+            part = data[off[lo]:off[hi]]
+            row, start, end, no, _, _ = line_units(part, off[lo:hi + 1] - off[lo])
+            at = pa.array(row + lo)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key").take(at), b.column("th").take(at), pa.array(no.astype(np.int32)),
+                 pa.array(as_long(span_hashes(part, start, end)))], names=["key", "th", "no", "h"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the units that the column ``wanted`` lists."""
+    for b in batches:
+        data, off = utf8_view(b.column("text"))
+        for lo, hi in pieces(off):
+            part = data[off[lo]:off[hi]]
+            row, start, end, no, line, lines = line_units(part, off[lo:hi + 1] - off[lo])
+            wanted = b.column("wanted").slice(lo, hi - lo)
+            listed = (pc.list_parent_indices(wanted).to_numpy().astype(np.int64) << 32) + \
+                pc.list_flatten(wanted).to_numpy().astype(np.int64)
+            many = np.flatnonzero(np.isin((row.astype(np.int64) << 32) + no, listed))
+            at = pa.array(row[many] + lo)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key").take(at), b.column("th").take(at), pa.array(no[many].astype(np.int32)),
+                 pa.array(line[many].astype(np.int32)), pa.array(lines[many].astype(np.int32)),
+                 pa.array(as_long(span_hashes(part, start[many], end[many]))),
+                 pa.array([part[s:e].tobytes() for s, e in zip(start[many], end[many])], pa.binary())],
+                names=["key", "th", "no", "line", "lines", "h", "passage"])
 
 
 def removals(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, th, removed): the (line, lines) of the chunks to remove from every document that has any."""
+    """(key, th, removed): the (line, lines) of the passages to remove from every document that has any."""
     d = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.xxhash64(f"`{text}`").alias("th"),
                     F.col(f"`{text}`").alias("text")).where("text is not null")
-    twice = d.mapInArrow(_chunker(False), NARROW).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    twice = write_table(twice.select(F.col("h").alias("h2")), folder, "twice")
-    texts = d.mapInArrow(_chunker(True), NARROW + ", chunk binary")
-    texts = write_table(texts.join(twice, F.col("h") == F.col("h2"), "left_semi"), folder, "candidates")
+    units = write_table(d.mapInArrow(_narrow, "key bigint, th bigint, no int, h bigint"), folder, "units")
+    twice = write_table(units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+                        .select(F.col("h").alias("h2")), folder, "twice")
+    # one row per document; a document's own lines bound the list
+    named = units.join(twice.hint("merge"), F.col("h") == F.col("h2"), "left_semi") \
+        .groupBy(F.col("key").alias("key2"), F.col("th").alias("th2")).agg(F.collect_set("no").alias("wanted"))
+    texts = d.join(named.hint("merge"), null_safe(F.col("key"), F.col("key2")) & (F.col("th") == F.col("th2"))) \
+        .select("key", "th", "text", "wanted")
+    texts = write_table(texts.mapInArrow(_texts, "key bigint, th bigint, no int, line int, lines int, h bigint, "
+                                                 "passage binary"), folder, "candidates")
     place = F.struct(F.col("key").isNull().alias("last"), "key", "th", "no")
-    first = texts.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("h").alias("h2"), F.col("chunk").alias("chunk2"), "first")
-    gone = texts.join(first, (F.col("h") == F.col("h2")) & (F.col("chunk") == F.col("chunk2"))) \
+    first = texts.groupBy("h", "passage").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select(F.col("h").alias("h2"), F.col("passage").alias("passage2"), "first")
+    gone = texts.join(first, (F.col("h") == F.col("h2")) & (F.col("passage") == F.col("passage2"))) \
         .where(~null_safe(place, F.col("first")))
-    # one row per document; a document's own chunks bound the list
     return gone.groupBy("key", "th").agg(F.sort_array(F.collect_set(F.struct("line", "lines"))).alias("removed"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars",
           removed_lines: str | None = None) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``; ``n_chars`` follows, if it is there.
+    """``docs`` with repeated passages taken out of ``text``; ``n_chars`` follows, if it is there.
 
     ``removed_lines`` names a further column for the number of lines removed.
     """
@@ -124,7 +137,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
     out = docs.join(gone.hint("merge"), null_safe(F.col(f"`{key}`").cast("bigint"), F.col(k))
                     & (F.xxhash64(f"`{text}`") == F.col(t)), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
-    drop = F.flatten(F.transform(F.col(r), lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1)))
+    drop = F.flatten(F.transform(F.col(r), lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1)))    # may overlap
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
     bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     cleaned = F.when(F.col(r).isNull(), F.col(f"`{text}`")).otherwise(
@@ -141,6 +154,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
         else:
             cols.append(F.col(f"`{c}`"))
     if removed_lines:
-        cols.append(F.coalesce(F.aggregate(F.col(r), F.lit(0).cast("bigint"), lambda a, c: a + c["lines"]),
-                               F.lit(0).cast("bigint")).alias(removed_lines))
+        cols.append(F.when(F.col(r).isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(drop))).cast("bigint")
+                    .alias(removed_lines))
     return out.select(*cols)

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from souq.llm import queries
+from souq.llm import line_dedup, queries
 from souq.llm.decontamination import words_of
 from souq.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -153,3 +153,46 @@ def test_against_sql(spark, name):
     want = sorted((dict(zip(cols, r)) for r in cur.fetchall()), key=lambda r: r["doc_id"])
     got = sorted((r.asDict() for r in queries.QUERIES[name](spark, SF).collect()), key=lambda r: r["doc_id"])
     assert got == want
+
+
+def brute_line_runs(texts):
+    """Lines to remove by key: those in a run of lines (two or more with words, or one of over 50) seen at an earlier place."""
+    first, occurrences = {}, []
+    for k in sorted(texts):
+        lines = texts[k].split("\n")
+        solid = [i for i, x in enumerate(lines) if x.split()]
+        for a, i in enumerate(solid):
+            for j in solid[a:]:
+                if i < j or len(lines[i].split()) > 50:
+                    run = tuple(lines[i:j + 1])
+                    occurrences.append((k, i, j, run))
+                    first.setdefault(run, (k, i))
+    gone = {k: set() for k in texts}
+    for k, i, j, run in occurrences:
+        if first[run] != (k, i):
+            gone[k].update(range(i, j + 1))
+    kept = {}
+    for k, t in texts.items():
+        lines = t.split("\n")
+        solid = [i for i, x in enumerate(lines) if x.split()]
+        owner = [max((s for s in solid if s <= i), default=min(solid, default=None)) for i in range(len(lines))]
+        kept[k] = "\n".join(x for x, o in zip(lines, owner) if o not in gone[k])
+    return kept
+
+
+def test_line_runs(spark):
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.choice([1, 2, 5, 51])))
+    pool = [line() for _ in range(30)] + ["", " "]
+    texts = {i: "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"{line()} {i}" for _ in range(rng.randint(1, 14)))
+             for i in range(120)}
+    for i in range(0, 120, 3):                       # passages of one to six lines put into other texts
+        lines = texts[i].split("\n")
+        at = rng.randrange(len(lines))
+        texts[(i * 7 + 5) % 120] += "\n" + "\n".join(lines[at:at + rng.randint(1, 6)]) + rng.choice(["", "\n", "\nend"])
+    long = " ".join(f"w{i}" for i in range(51))
+    texts |= {200: long, 201: f"before\n{long}\nafter", 202: "x y\nz w", 203: "p\n\nx y\nz w\n\nq", 204: "x y\n\nz w\n"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, n_chars=None).collect()}
+    assert got == brute_line_runs(texts)
+    assert got[201] == "before\nafter" and got[203] == "p\n\nq" and got[204] == texts[204]
