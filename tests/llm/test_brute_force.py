@@ -4,11 +4,12 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import pytest
 
-from souq.llm import line_dedup, queries
+from souq.llm import license_scan, line_dedup, queries
 from souq.llm.decontamination import words_of
 from souq.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -196,3 +197,21 @@ def test_line_runs(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, n_chars=None).collect()}
     assert got == brute_line_runs(texts)
     assert got[201] == "before\nafter" and got[203] == "p\n\nq" and got[204] == texts[204]
+
+
+def test_notices_in_long_lines(spark, docs):
+    rng = random.Random(3)
+    prose = " ".join(r["text"] for _, r in sorted(docs.items()) if r["lang"] == "en" and not re.search(
+        license_scan.CANDIDATE, r["text"])).split()
+    rows, want = [], set()
+    for i, (name, notice) in enumerate(sorted(license_scan.TEMPLATES.items()) * 8):
+        at = rng.randrange(len(prose) - 9_000)
+        length, cut = (150, 800, 3_000, 9_000)[i % 4], rng.randrange(150)
+        rows.append((i, " ".join(prose[at:at + cut] + [notice] + prose[at + cut:at + length])))
+        want.add((i, name, True))
+    many = " ".join(license_scan.TEMPLATES.values())
+    rows.append((1000, f"{many} {' '.join(prose[:500])} {many}"))
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["key"], r["license"], r["exact"]) for r in got if r["key"] < 1000} == want
+    assert collections.Counter(r["license"] for r in got if r["key"] == 1000 and r["exact"]) == \
+        dict.fromkeys(license_scan.TEMPLATES, 2)
