@@ -215,3 +215,25 @@ def test_notices_in_long_lines(spark, docs):
     assert {(r["key"], r["license"], r["exact"]) for r in got if r["key"] < 1000} == want
     assert collections.Counter(r["license"] for r in got if r["key"] == 1000 and r["exact"]) == \
         dict.fromkeys(license_scan.TEMPLATES, 2)
+
+
+def test_wrapped_and_changed_notices(spark):
+    rows, want = [], set()
+    for name, notice in sorted(license_scan.TEMPLATES.items()):
+        words = notice.split()
+        for cut in range(1, len(words)):
+            for mark in ("\n", "\n# ", "\n * "):
+                rows.append((len(rows), f"first line\nbefore{mark}{' '.join(words[:cut])}{mark}{' '.join(words[cut:])}\nafter"))
+                want.add((len(rows) - 1, 2, name, 0, True))
+    for text, name, missing in [
+            (license_scan.TEMPLATES["BSD-3-Clause"].replace("source and ", "", 1).replace("provided", "given"),
+             "BSD-3-Clause", 3),
+            ("Distributed under the MIT License.", "MIT", 1), ("Released under CC BY 4.0.", "CC-BY-4.0", 1),
+            ("Work licensed under the GNU General Public\nLicense, version 2", "GPL-2.0", 2)]:
+        rows.append((len(rows), text))
+        want.add((len(rows) - 1, 0, name, missing, False))
+    rows += [(-1, "Licensed under the Apache License, Version 3.0."), (-2, "Released under the BSD License."),
+             (-3, "All rights\n\nwere reversed.")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["key"], r["line"], r["license"], r["n_missing"], r["exact"]) for r in got} == want
+    assert all(len(r["missing"].split()) == r["n_missing"] for r in got)
