@@ -9,9 +9,11 @@ another, so alignment is a tree of merges: equal page shapes of a host are
 counted together before any shuffle, then merged in groups of at most
 ``FAN_IN`` until every host has one wrapper.  All pages take part.
 
-The wrapper says which of its parts is the article: the outermost parts that
-are marked as such, or without any mark the part with most text outside
-links and fixed texts.  Parts that are furniture by element, role or name
+The wrapper says which of its parts may be the article: the outermost parts
+that are marked as such (articles first, then <main>, then other marks), then
+unmarked parts by their text outside links and fixed texts, richest first.
+Every page takes the first of them in which it has text, as a host may have
+several templates, and a page with none all text outside links and furniture.  Parts that are furniture by element, role or name
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments) are left out, at any depth.  A page is then read against its
 host's wrapper: text is kept where the wrapper's part on the same path is
@@ -88,7 +90,7 @@ def _classify(tag: str, attributes: str) -> tuple[str, str]:
     style = a.get("style", "").replace(" ", "").lower() if "style" in a else ""
     # body, main and article hold furniture but are none, whatever their classes say of the page's layout
     if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" \
-            or "display:none" in style or (tag not in ("html", "body", "main") and parts & FURNITURE_NAMES):
+            or "display:none" in style or (tag not in ("html", "body", "main", "article") and parts & FURNITURE_NAMES):
         return sig, "-"
     if tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody" \
             or (tag in ("div", "section", "td") and parts & ARTICLE_NAMES):
@@ -262,8 +264,12 @@ def _free_text(x: list) -> int:
     return own + sum(map(_free_text, x[KIDS]))
 
 
-def kept_paths(wrapper: list) -> list[str]:
-    """Paths of the wrapper's article parts: the outermost marked ones with text, else the richest part."""
+def kept_paths(wrapper: list) -> list[list[str]]:
+    """Paths of the wrapper's article parts, as alternatives in order of preference.
+
+    Outermost articles, then <main>, then other marks (each cut to the articles inside that hold most of its text, then
+    whole), then the richest part of what is not marked, the next richest, and so on.
+    """
     marked: list[tuple[str, list]] = []
 
     def find(nodes: list, path: str) -> None:
@@ -273,46 +279,69 @@ def kept_paths(wrapper: list) -> list[str]:
                 marked.append((here, x))
             elif x[KIND] != "-" and x[SIG] != "#":
                 find(x[KIDS], here)
+
+    def narrow(path: str, x: list) -> list[str]:         # <main> or a content division around articles: the articles
+        articles: list[tuple[str, list]] = []
+
+        def look(nodes: list, p: str) -> None:
+            for y in nodes:
+                q = p if y[SIG] == "()" else f"{p}/{y[SIG]}"
+                if y[TAG] == "article" and y[KIND] == "+":
+                    articles.append((q, y))
+                elif y[KIND] != "-" and y[SIG] != "#":
+                    look(y[KIDS], q)
+        if x[TAG] != "article":
+            look(x[KIDS], path)
+        if articles and 2 * sum(_free_text(y) for _, y in articles) >= _free_text(x):
+            return [q for q, _ in articles]
+        return [path]
     find(wrapper, "")
-    if marked:                                       # <main> or a content division around articles: the articles
-        inner: list[str] = []
-
-        def narrow(path: str, x: list) -> None:
-            articles: list[tuple[str, list]] = []
-
-            def look(nodes: list, p: str) -> None:
-                for y in nodes:
-                    q = p if y[SIG] == "()" else f"{p}/{y[SIG]}"
-                    if y[TAG] == "article" and y[KIND] == "+":
-                        articles.append((q, y))
-                    elif y[KIND] != "-" and y[SIG] != "#":
-                        look(y[KIDS], q)
-            if x[TAG] != "article":
-                look(x[KIDS], path)
-            if articles and 2 * sum(_free_text(y) for _, y in articles) >= _free_text(x):
-                inner.extend(q for q, _ in articles)
-            else:
-                inner.append(path)
-        best = [(p, x) for p, x in marked if x[TAG] == "article"] or [
-            (p, x) for p, x in marked if x[TAG] == "main" or x[SIG].endswith("@main")] or marked
-        for p, x in best:
-            narrow(p, x)
-        return sorted(set(inner))
-    path, nodes = "", wrapper                         # no marks: go down while one child holds most of the text
-    while True:
-        rich = [(x, _free_text(x)) for x in nodes if x[SIG] != "#"]
-        total = sum(_free_text(x) for x in nodes)
-        top = max(rich, key=lambda r: r[1], default=None)
-        if not top or not total or top[1] < 0.7 * total or top[0][TAG] in ("p", "li", *HEADINGS):
-            return [path] if path and total else []
-        path, nodes = (path if top[0][SIG] == "()" else f"{path}/{top[0][SIG]}"), top[0][KIDS]
+    articles = [(p, x) for p, x in marked if x[TAG] == "article"]
+    mains = [(p, x) for p, x in marked if x[TAG] == "main" or x[SIG].endswith("@main")]
+    out: list[list[str]] = []
+    for group in (articles, mains, [m for m in marked if m not in articles and m not in mains]):
+        for paths in ({q for p, x in group for q in narrow(p, x)}, {p for p, _ in group}):
+            if paths and sorted(paths) not in out:
+                out.append(sorted(paths))
+    gone = [x for _, x in marked]                        # parts that an alternative has
+
+    def free(x: list) -> int:
+        if x[KIND] == "-" or any(x is y for y in gone):
+            return 0
+        return _free_text([*x[:KIDS], []]) + sum(map(free, x[KIDS]))
+    while True:                                          # no marks: go down while one child holds most of the text
+        path, nodes, part = "", wrapper, None
+        while True:
+            rich = [(x, free(x)) for x in nodes if x[SIG] != "#"]
+            total = sum(map(free, nodes))
+            top = max(rich, key=lambda r: r[1], default=None)
+            if not top or not total or top[1] < 0.7 * total or top[0][TAG] in ("p", "li", *HEADINGS):
+                break
+            path, nodes, part = (path if top[0][SIG] == "()" else f"{path}/{top[0][SIG]}"), top[0][KIDS], top[0]
+        if not path or not total:
+            return out
+        if [path] not in out:
+            out.append([path])
+        gone.append(part)
 
 
-def main_text(page: str | None, paths: set[str]) -> str:
-    """The text of the parts of ``page`` that stand on one of ``paths``, furniture left out."""
-    blocks: list[list[str]] = [[]]
-    if not page or not paths:
+def main_text(page: str | None, alternatives: list[list[str]]) -> str:
+    """The text of the parts of ``page`` on the paths of the first alternative that it has, furniture left out.
+
+    A page that has none of them keeps all its text in elements outside links and furniture.
+    """
+    if not page:
         return ""
+    root = parse(page)
+    for paths in alternatives:
+        if text := _text_on(root, set(paths)):
+            return text
+    return _text_on(root, None)
+
+
+def _text_on(root: Element, paths: set[str] | None) -> str:
+    """The text of the parts on ``paths``; None: of all parts but links."""
+    blocks: list[list[str]] = [[]]
 
     def walk(e: Element, path: str, inside: bool, heads_only: bool) -> None:
         for k in e.kids:
@@ -321,10 +350,12 @@ def main_text(page: str | None, paths: set[str]) -> str:
                     blocks[-1].append(k)
                 continue
             here = f"{path}/{k.sig}"
-            keep = inside or here in paths
+            if paths is None and k.tag == "a":
+                continue
+            keep = inside or paths is None or here in paths
             only = heads_only
             if k.kind == "-":
-                if not (keep and k.tag == "header"):
+                if not (keep and k.tag == "header" and paths is not None):
                     continue
                 only = True                            # an article's own header: its headings are text
             if k.tag in HEADINGS:
@@ -337,7 +368,7 @@ def main_text(page: str | None, paths: set[str]) -> str:
                 blocks.append([])
             else:
                 walk(k, here, keep, only)
-    walk(parse(page), "", False, False)
+    walk(root, "", False, False)
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks if b)
     return "\n".join(x for x in lines if x)
 
@@ -414,7 +445,7 @@ def wrappers(pages: DataFrame, folder: str, url: str = "url", html: str = "html"
         w = write_table(dealt.groupBy("host", "group").applyInPandas(_wrap, "host string, wrapper string"),
                         folder, f"wrappers-{step}")
 
-    @F.udf("struct<expression: string, paths: array<string>>", useArrow=True)
+    @F.udf("struct<expression: string, paths: array<array<string>>>", useArrow=True)
     def read(wrapper: str):
         nodes = json.loads(wrapper)
         return expression(nodes), kept_paths(nodes)
@@ -437,7 +468,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     @F.udf("string", useArrow=True)
     def text_of(page, paths):
-        return main_text(page, set(paths) if paths is not None else set())
+        return main_text(page, paths if paths is not None else [])
     out = pages.join(w, null_safe(host_of(url), F.col(h)), "left")
     out = out.withColumn(p, text_of(F.col(f"`{html}`"), F.col(p)))
     rest = [c for c in pages.columns if c != html and c.lower() not in ("text", "n_chars")]

@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from souq.llm import license_scan, line_dedup, queries
+from souq.llm import html_wrappers, license_scan, line_dedup, queries
 from souq.llm.decontamination import words_of
 from souq.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -237,3 +237,20 @@ def test_wrapped_and_changed_notices(spark):
     got = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {(r["key"], r["line"], r["license"], r["n_missing"], r["exact"]) for r in got} == want
     assert all(len(r["missing"].split()) == r["n_missing"] for r in got)
+
+
+def texts_of_pages(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_wrappers.extract(df).collect()}
+
+
+def test_hosts_with_several_templates(spark):
+    page = "<html><body><nav><a href=/>home</a></nav>%s<footer>end</footer></body></html>"
+    kinds = ["<article><p>T%d</p></article>", "<main><p>T%d</p></main>", "<div class=content><p>T%d</p></div>",
+             "<div class=x><p>T%d</p></div>", "<section class=y><p>T%d</p></section>",
+             "<article class='post no-sidebar'><p>T%d</p></article>", "<article class='has-comments'><p>T%d</p></article>",
+             "<main><article><p>T%d</p></article></main>", "<main><div><p>T%d</p></div></main>"]
+    pages = [(u, page % (kinds[i % len(kinds)] % i)) for u in ("http://a.example/", None) for i in range(4 * len(kinds))]
+    want = [f"T{i}" for _ in range(2) for i in range(4 * len(kinds))]
+    got = texts_of_pages(spark, pages)
+    assert [got[i] for i in range(len(pages))] == want
