@@ -29,6 +29,7 @@ one.  Repeated rows are treated alike.  Other columns pass through; a
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -42,7 +43,7 @@ from souq.llm.common import fresh_name, null_safe, work_folder, write_table
 
 FAN_IN = 64
 MAX_PERIOD = 4                       # tokens in a repeated group
-FIXED_PAGES = 3                      # a text is fixed if it is the same on so many pages of a shape or more
+FIXED_PAGES = 3                      # a text is fixed if it is the same on so many differing pages of a shape or more
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
                    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
@@ -211,13 +212,18 @@ def squash(kids: list) -> list:
     return out
 
 
+def _digest(text: str) -> str:
+    """The text itself if it is short, else its hash."""
+    return text if len(text) <= 32 else "#" + hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).hexdigest()
+
+
 def shape(e: Element, linked: bool = False) -> list:
     """A page's stream as tokens with its repetitions folded."""
     out = []
     for k in e.kids:
         if isinstance(k, str):
             if t := " ".join(k.split()):
-                out.append(["#", "", "", False, False, len(t), len(t) if linked else 0, t[:80], []])
+                out.append(["#", "", "", False, False, len(t), len(t) if linked else 0, _digest(t), []])
         elif k.kind == "-":
             out.append([k.sig, k.tag, "-", False, False, 0, 0, None, []])     # furniture is not looked into
         else:
@@ -377,7 +383,10 @@ HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Count the shapes of a batch's pages: a row for each host and shape, with its slots' sums."""
+    """Count the shapes of a batch's pages: a row for each host and shape, with its slots' sums.
+
+    ``pages`` holds hashes of up to FIXED_PAGES pages that differ in a text.
+    """
     for f in frames:
         seen: dict[tuple[str, str], list] = {}
         for host, page in zip(f["host"], f["page"]):
@@ -385,15 +394,18 @@ def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             slots: list = []
             key = (host, json.dumps(_strip(shape(parse(page)), slots), ensure_ascii=False))
+            one = hashlib.blake2b(repr([x[2] for x in slots]).encode(errors="surrogatepass"), digest_size=8)
+            one = int.from_bytes(one.digest(), "big", signed=True)
             if key not in seen:
-                seen[key] = [1, slots]
+                seen[key] = [{one}, slots]
             else:
                 have = seen[key]
-                have[0] += 1
+                if len(have[0]) < FIXED_PAGES:
+                    have[0].add(one)
                 have[1] = [(a + c, b + d, t if t == u else None) for (a, b, t), (c, d, u) in zip(have[1], slots)]
-        yield pd.DataFrame([(h, s, v[0], [x[0] for x in v[1]], [x[1] for x in v[1]], [x[2] for x in v[1]])
+        yield pd.DataFrame([(h, s, sorted(v[0]), [x[0] for x in v[1]], [x[1] for x in v[1]], [x[2] for x in v[1]])
                             for (h, s), v in seen.items()],
-                           columns=["host", "shape", "n", "chars", "linked", "texts"])
+                           columns=["host", "shape", "pages", "chars", "linked", "texts"])
 
 
 def _wrap(f: pd.DataFrame) -> pd.DataFrame:
@@ -421,13 +433,15 @@ def _first_wrapper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def wrappers(pages: DataFrame, folder: str, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper, expression, paths) of every host with a page."""
     src = pages.select(host_of(url).alias("host"), F.col(f"`{html}`").alias("page"))
-    part = src.mapInPandas(_shapes, "host string, shape string, n bigint, chars array<bigint>, "
+    part = src.mapInPandas(_shapes, "host string, shape string, pages array<bigint>, chars array<bigint>, "
                                     "linked array<bigint>, texts array<string>")
     part = write_table(part, folder, "shapes")
-    slots = part.select("host", "shape", "n", F.posexplode(F.arrays_zip("chars", "linked", "texts")).alias("slot", "v"))
+    slots = part.select("host", "shape", "pages", F.posexplode(F.arrays_zip("chars", "linked", "texts")).alias("slot", "v"))
     same = (F.min("v.texts") == F.max("v.texts")) & (F.count("v.texts") == F.count("*"))
     slots = slots.groupBy("host", "shape", "slot").agg(
-        F.sum("n").alias("n"), F.sum("v.chars").alias("chars"), F.sum("v.linked").alias("linked"),
+        # a few hashes of each batch, at the first slot only
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("slot") == 0, F.col("pages")))))).alias("n"),
+        F.sum("v.chars").alias("chars"), F.sum("v.linked").alias("linked"),
         F.min("v.texts").alias("lo"), F.coalesce(same, F.lit(False)).alias("fixed"))
     whole = slots.groupBy("host", "shape").agg(          # bounded by the slots of one shape
         F.max("n").alias("n"), F.collect_list(F.struct("slot", "chars", "linked", "lo", "fixed")).alias("slots"))

@@ -254,3 +254,14 @@ def test_hosts_with_several_templates(spark):
     want = [f"T{i}" for _ in range(2) for i in range(4 * len(kinds))]
     got = texts_of_pages(spark, pages)
     assert [got[i] for i in range(len(pages))] == want
+
+
+def test_fixed_texts_are_whole_texts_of_differing_pages(spark):
+    head = "the same opening words " * 5                      # over 80 characters
+    page = "<html><body><div class=x>%s</div><div class=y><p>%s</p></div></body></html>"
+    menu = "the fixed words of this site " * 40
+    pages = [("http://a.example/", page % (menu, head + f"end {i}")) for i in range(5)]
+    pages += [("http://b.example/", page % ("short", "one page in copies"))] * 4
+    got = texts_of_pages(spark, pages)
+    assert [got[i] for i in range(5)] == [head + f"end {i}" for i in range(5)]
+    assert all("one page in copies" in got[i] for i in range(5, 9)) and len({got[i] for i in range(5, 9)}) == 1
