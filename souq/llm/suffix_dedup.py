@@ -196,7 +196,8 @@ def worth_comparing(contexts: list[bytes]) -> list[bool]:
         # a match also reaches into the phrases before and after the run
         lead = size[s - 1] if s and owner[s - 1] == i else 0
         tail = size[s + run] if s + run < len(size) and owner[s + run] == i else 0
-        if bytes_to[s + run] - bytes_to[s] + lead + tail >= LENGTH:
+        # a cut on a match's last byte depends on the byte after it, so only one of the two texts may have it
+        if bytes_to[s + run] - bytes_to[s] + lead + tail >= LENGTH - 1:
             keep[i] = True
     return keep
 

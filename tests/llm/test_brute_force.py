@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from souq.llm import html_wrappers, license_scan, line_dedup, queries
+from souq.llm import html_wrappers, license_scan, line_dedup, queries, suffix_dedup
 from souq.llm.decontamination import words_of
 from souq.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -265,3 +265,15 @@ def test_fixed_texts_are_whole_texts_of_differing_pages(spark):
     got = texts_of_pages(spark, pages)
     assert [got[i] for i in range(5)] == [head + f"end {i}" for i in range(5)]
     assert all("one page in copies" in got[i] for i in range(5, 9)) and len({got[i] for i in range(5, 9)}) == 1
+
+
+def test_matches_that_end_on_a_first_letter():
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(200))
+    for _ in range(300):
+        shared = text()[:398].rstrip()
+        shared = (shared + "x" * 399)[:398] + " " + rng.choice("abcdefgh")
+        assert len(shared) == suffix_dedup.LENGTH
+        one, other = rng.sample("abcdefgh", 2)
+        pair = [(shared + c + text()[:250]).encode() for c in (one, other)]
+        assert suffix_dedup.worth_comparing(pair) == [True, True]
