@@ -1,11 +1,11 @@
-"""The ten operators over the driver tables: opN_<name>(spark, sf_dir) -> DataFrame."""
+"""The operators over the driver tables: opN_<name>(spark, sf_dir) -> DataFrame."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, token_rollup
+from souq.llm import automaton_dedup, class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, token_rollup
 from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
@@ -76,6 +76,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "exact", "missing", "added")
 
 
+def op11_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = automaton_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_class_lm": op8_class_lm,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_automaton_dedup": op11_automaton_dedup,
 }
 
 ORACLES = {
