@@ -28,9 +28,9 @@ repeated text grows with the corpus, so no bound holds for a broadcast of all
 of it, and streaming every document against every shard would cost documents
 times shards.
 
-The plan has no stored tables: the documents' exchange is shared by the join
-that reads the segments and the one that removes them.  Words are compared by
-64-bit hashes.
+Only the repeated anchors of every document are stored in between; the
+documents' exchange is shared by the join that reads the segments and the one
+that removes them.  Words are compared by 64-bit hashes.
 
 Null and empty texts have no words; texts of fewer than LENGTH words lose none.
 A null id counts as larger than every other, two null ids as equal; rows with
@@ -49,7 +49,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souq.llm.common import _SPACE, as_long, hashed_words, mix, null_safe, pieces, utf8_view, word_bounds
+from souq.llm.common import (_SPACE, as_long, hashed_words, mix, null_safe, pieces, release, utf8_view, word_bounds,
+                             work_folder, write_table)
 
 LENGTH = 13
 GRAM = 6
@@ -103,47 +104,57 @@ def segments(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, words, rows in hashed_words(b.column("text"), lower=False):
-            row, at, size, h = segments(words, rows)
+            row, _, _, h = segments(words, rows)
             take = pa.array(row + lo)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(take), b.column("fp").take(take), pa.array(at.astype(np.int32)),
-                 pa.array(size.astype(np.int16)), pa.array(as_long(h))], names=["id", "fp", "at", "n", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("fp").take(take),
+                                              pa.array(as_long(h))], names=["id", "fp", "h"])
+
+
+def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All elements of a list column, and the place of every row's first one (plus the total)."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.append(0, np.cumsum(n.astype(np.int64)))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word sequences of the segments asked of every text, with the key of their group."""
+    """Word sequences of the segments whose anchors are asked of a text, with the key of their group."""
     for b in batches:
-        asked = b.column("asked")
-        flat, ends = asked.flatten(), np.append(0, np.cumsum(asked.value_lengths().fill_null(0).to_numpy(
-            zero_copy_only=False).astype(np.int64)))
-        at, size, h, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        asked, ends = _flat(b.column("asked"))
+        hot, hot_ends = _flat(b.column("hot"))
+        asked, hot = (x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in (asked, hot))
         for lo, words, rows in hashed_words(b.column("text"), lower=False):
-            part = slice(ends[lo], ends[lo + len(rows) - 1])
-            row = np.repeat(np.arange(len(rows) - 1), np.diff(ends[lo:lo + len(rows)]))
-            a, n, g = at[part].astype(np.int64), size[part].astype(np.int64), h[part].astype(np.int64)
-            many = hot[part].astype(bool)
+            n_rows = len(rows) - 1
+            row, at, size, h = segments(words, rows)
+
+            def among(values: np.ndarray, e: np.ndarray) -> np.ndarray:
+                own = np.repeat(np.arange(n_rows), np.diff(e[lo:lo + n_rows + 1])).astype(np.uint64)
+                return np.isin(mix(h ^ mix(row.astype(np.uint64))), mix(values[e[lo]:e[lo + n_rows]] ^ mix(own)))
+
+            many = among(hot, hot_ends)
+            take = many | among(asked, ends)
+            row, at, size, h, many = row[take], at[take], size[take], as_long(h[take]), many[take]
             if many.any():                             # single windows, each its own group
-                times = np.where(many, n, 1)
+                times = np.where(many, size, 1)
                 step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, a, n, g, many = (np.repeat(x, times) for x in (row, a, n, g, many))
-                a, n = np.where(many, a + step, a), np.where(many, 1, n)
-                start = rows[row[many]] + a[many]
+                row, at, size, h, many = (np.repeat(x, times) for x in (row, at, size, h, many))
+                at, size = np.where(many, at + step, at), np.where(many, 1, size)
+                start = rows[row[many]] + at[many]
                 own = np.zeros(len(start), np.uint64)
                 for j in range(LENGTH):
                     own = own * _STEP + words[start + j]
-                g[many] = as_long(mix(own))
-            start = rows[row] + a
+                h[many] = as_long(mix(own))
+            start = rows[row] + at
             for s in range(0, len(start), ROWS):
                 p = slice(s, s + ROWS)
-                length = n[p] + LENGTH - 1
+                length = size[p] + LENGTH - 1
                 off = np.append(0, np.cumsum(length))
                 index = np.arange(off[-1]) + np.repeat(start[p] - off[:-1], length)
                 raw = pa.Array.from_buffers(pa.binary(), len(length), [
                     None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(words[index])])
-                take = pa.array(row[p] + lo)
+                of = pa.array(row[p] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[p]), raw, b.column("id").take(take), b.column("fp").take(take),
-                     pa.array(a[p].astype(np.int32)), pa.array(n[p].astype(np.int16))],
+                    [pa.array(h[p]), raw, b.column("id").take(of), b.column("fp").take(of),
+                     pa.array(at[p].astype(np.int32)), pa.array(size[p].astype(np.int16))],
                     names=["g", "words", "id", "fp", "at", "n"])
 
 
@@ -269,9 +280,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kept words of every text, joined by one space, and the numbers of words and of removed ones."""
     for b in batches:
         data, off = utf8_view(b.column("text"))
-        spans = b.column("spans")
-        flat, ends = spans.flatten(), np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy(
-            zero_copy_only=False).astype(np.int64)))
+        flat, ends = _flat(b.column("spans"))
         at, bits = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
         kept, n_words, n_removed = [], [], []
         for lo, hi in pieces(off):
@@ -310,31 +319,37 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = H
     """(key, kept, n_words, n_removed) of every row: the text without repeats, words joined by one space."""
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("fp", F.xxhash64("text"))
     kind = d.schema["id"].dataType.simpleString()
-    found = d.mapInArrow(_find, f"id {kind}, fp bigint, at int, n smallint, h bigint")
-    keys = (found.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"),
-                                   F.count("id").alias("known"))
-            .where((F.col("lo") < F.col("hi")) | (F.col("lo").isNotNull() & (F.col("known") < F.col("c"))))
-            .select("h", (F.col("c") > hot).alias("hot")))
-    asked = (found.join(keys, "h").groupBy("fp", "id")
-             .agg(F.collect_set(F.struct("at", "n", "h", "hot")).alias("asked")))
+    folder = work_folder(docs.sparkSession, "automata")
+    asked = write_table(_repeated_anchors(d, kind, hot), folder, "asked")
+    release(docs.sparkSession)
 
     def of_text(right: DataFrame, how: str) -> DataFrame:
         r = right.withColumnsRenamed({"fp": "fp_", "id": "id_"})
         return d.join(r, (F.col("fp") == F.col("fp_")) & null_safe(F.col("id"), F.col("id_")), how).drop("fp_", "id_")
 
-    seen = (of_text(asked, "inner").select("id", "fp", "text", "asked")
+    seen = (of_text(asked, "inner").select("id", "fp", "text", "asked", "hot")
             .mapInArrow(_read, f"g bigint, words binary, id {kind}, fp bigint, at int, n smallint"))
-    seen = seen.withColumn("c", F.xxhash64("words"))
     distinct = seen.groupBy("g", "words").agg(F.min("id").alias("first"))
     matched = (distinct.repartition("g").sortWithinPartitions("g")
                .mapInArrow(partial(_stream_shards, limit=shard), f"g bigint, words binary, first {kind}, bits bigint"))
-    matched = matched.select(F.xxhash64("words").alias("c"), F.col("g").alias("g_"), "first", "bits")
+    matched = matched.select(F.xxhash64("words").alias("c_"), "first", "bits")
     whole = F.expr(f"shiftleft(1L, n + {LENGTH - 1}) - 1L")
-    spans = (seen.drop("words").join(matched.withColumnRenamed("c", "c_"),
-                                     (F.col("c") == F.col("c_")) & (F.col("g") == F.col("g_")))
+    spans = (seen.select(F.xxhash64("words").alias("c"), "id", "fp", "at", "n").join(matched, F.col("c") == F.col("c_"))
              .select("id", "fp", "at", F.when(null_safe(F.col("id"), F.col("first")), F.col("bits"))
                      .otherwise(whole).alias("bits"))
              .where("bits <> 0").groupBy("fp", "id").agg(F.collect_set(F.struct("at", "bits")).alias("spans")))
     return (of_text(spans, "left").select("id", "text", "spans")
             .mapInArrow(_remove, f"id {kind}, kept string, n_words bigint, n_removed bigint")
             .withColumnRenamed("id", "key"))
+
+
+def _repeated_anchors(d: DataFrame, kind: str, hot: int) -> DataFrame:
+    """(fp, id, asked, hot): the anchors of every text that two ids have, and those of them found more than ``hot`` times."""
+    found = d.mapInArrow(_find, f"id {kind}, fp bigint, h bigint")
+    keys = (found.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"),
+                                   F.count("id").alias("known"))
+            .where((F.col("lo") < F.col("hi")) | (F.col("lo").isNotNull() & (F.col("known") < F.col("c"))))
+            .select("h", (F.col("c") > hot).alias("hot")))
+    return (found.join(keys, "h").groupBy("fp", "id")
+            .agg(F.collect_set(F.expr("CASE WHEN NOT hot THEN h END")).alias("asked"),
+                 F.collect_set(F.expr("CASE WHEN hot THEN h END")).alias("hot")))

@@ -8,6 +8,7 @@ a batch is (a single longer text is one piece).
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -54,6 +55,12 @@ def drop_table(spark: SparkSession, folder: str, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished steps deleted: Spark does so when the driver collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

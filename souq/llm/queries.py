@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import automaton_dedup, class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, token_rollup
+from souq.llm import automaton_dedup, class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, spelling, suffix_dedup, token_rollup
 from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
@@ -81,6 +81,10 @@ def op11_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op11_automaton_dedup": op11_automaton_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES = {
