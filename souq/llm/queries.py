@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souq.llm import automaton_dedup, class_lm, decontamination, html_wrappers, jaccard_join, license_scan, line_dedup, mixing, quality_rules, spelling, suffix_dedup, token_rollup
+from souq.llm import (alignment, automaton_dedup, class_lm, decontamination, html_wrappers, jaccard_join, license_scan,
+                      line_dedup, mixing, quality_rules, spelling, suffix_dedup, token_rollup)
 from souq.llm.common import work_folder
 from souq.llm.oracles import MIXING, QUALITY_RULES
 
 
 #: A public byte-level vocabulary; any tiktoken file does.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Folder of the vocabularies to align, read by the driver.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +88,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents"), f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model")
+    return out.withColumnsRenamed({"key": "doc_id", "groups": "groups_sha256"})
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +106,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_automaton_dedup": op11_automaton_dedup,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {
