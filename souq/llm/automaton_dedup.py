@@ -10,9 +10,10 @@ removed.  Windows are judged on the input; matches never cross documents.
   of the anchor, the document and the place.  Only anchors that two ids have
   can hold a repeat; this is counted with partial sums, so a frequent anchor is
   one row a task.
-* Shards.  The surviving segments' word sequences are the reference, equal ones
-  counted together with their smallest id before they are gathered.  They are
-  dealt out by anchor, so whatever can match meets in one shard.  The segments
+* Shards.  Equal sequences of the surviving segments are counted together, as
+  hashes with their smallest id, before any words move.  Where an anchor has
+  one sequence, all of it repeats.  The others' words, each sequence once, are
+  the reference, dealt out by anchor, so whatever can match meets in one shard.  The segments
   of anchors found more than ``HOT`` times go on as single windows, each under
   the hash of all its words: what such a group gathers is one sequence, and the
   frequent anchor's edges, all different, are spread over all shards.
@@ -28,9 +29,8 @@ repeated text grows with the corpus, so no bound holds for a broadcast of all
 of it, and streaming every document against every shard would cost documents
 times shards.
 
-Only the repeated anchors of every document are stored in between; the
-documents' exchange is shared by the join that reads the segments and the one
-that removes them.  Words are compared by 64-bit hashes.
+Steps are stored as narrow tables on shared storage, so a lost executor repeats
+one step at most.  Words are compared by 64-bit hashes.
 
 Null and empty texts have no words; texts of fewer than LENGTH words lose none.
 A null id counts as larger than every other, two null ids as equal; rows with
@@ -46,10 +46,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souq.llm.common import (_SPACE, as_long, hashed_words, mix, null_safe, pieces, release, utf8_view, word_bounds,
+from souq.llm.common import (_BASE, _INV, _SPACE, _pow, as_long, hashed_words, mix, null_safe, pieces, release, utf8_view, word_bounds,
                              work_folder, write_table)
 
 LENGTH = 13
@@ -117,7 +117,7 @@ def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word sequences of the segments whose anchors are asked of a text, with the key of their group."""
+    """Places of the segments whose anchors are asked of a text, the key of their group and the hash of their words."""
     for b in batches:
         asked, ends = _flat(b.column("asked"))
         hot, hot_ends = _flat(b.column("hot"))
@@ -132,30 +132,40 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             many = among(hot, hot_ends)
             take = many | among(asked, ends)
-            row, at, size, h, many = row[take], at[take], size[take], as_long(h[take]), many[take]
-            if many.any():                             # single windows, each its own group
-                times = np.where(many, size, 1)
-                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, at, size, h, many = (np.repeat(x, times) for x in (row, at, size, h, many))
-                at, size = np.where(many, at + step, at), np.where(many, 1, size)
-                start = rows[row[many]] + at[many]
-                own = np.zeros(len(start), np.uint64)
-                for j in range(LENGTH):
-                    own = own * _STEP + words[start + j]
-                h[many] = as_long(mix(own))
+            row, at, size, h, many = row[take], at[take], size[take], h[take], many[take]
+            times = np.where(many, size, 1)            # single windows, each its own group
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, at, size, h, many = (np.repeat(x, times) for x in (row, at, size, h, many))
+            at, size = np.where(many, at + step, at), np.where(many, 1, size)
             start = rows[row] + at
-            for s in range(0, len(start), ROWS):
-                p = slice(s, s + ROWS)
+            sums = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(words * _pow(_BASE, len(words))[:len(words)], out=sums[1:])
+            c = mix((sums[start + size + LENGTH - 1] - sums[start]) * _pow(_INV, len(words) + 1)[start]
+                    + size.astype(np.uint64))
+            of = pa.array(row + lo)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(as_long(np.where(many, c, h))), pa.array(as_long(c)), b.column("id").take(of),
+                 b.column("fp").take(of), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int16))],
+                names=["g", "c", "id", "fp", "at", "n"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes of the sequences that a text is asked for."""
+    for b in batches:
+        flat, ends = _flat(b.column("asked"))
+        at, size, g, c = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+        for lo, words, rows in hashed_words(b.column("text"), lower=False):
+            row = np.repeat(np.arange(len(rows) - 1), np.diff(ends[lo:lo + len(rows)]))
+            for s in range(ends[lo], ends[lo + len(rows) - 1], ROWS):
+                p = slice(s, min(s + ROWS, ends[lo + len(rows) - 1]))
+                of = row[p.start - ends[lo]:p.stop - ends[lo]]
                 length = size[p] + LENGTH - 1
                 off = np.append(0, np.cumsum(length))
-                index = np.arange(off[-1]) + np.repeat(start[p] - off[:-1], length)
+                index = np.arange(off[-1]) + np.repeat(rows[of] + at[p] - off[:-1], length)
                 raw = pa.Array.from_buffers(pa.binary(), len(length), [
                     None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(words[index])])
-                of = pa.array(row[p] + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[p]), raw, b.column("id").take(of), b.column("fp").take(of),
-                     pa.array(at[p].astype(np.int32)), pa.array(size[p].astype(np.int16))],
-                    names=["g", "words", "id", "fp", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[p]), pa.array(c[p]), raw,
+                                                  b.column("id").take(pa.array(of + lo))], names=["g", "c", "words", "first"])
 
 
 class SuffixAutomaton:
@@ -255,22 +265,21 @@ def _stream_shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa
     size, group = 0, None
 
     def flush() -> pa.RecordBatch:
-        order = sorted(range(len(held)), key=lambda i: (held[i][2] is None, held[i][2]))
-        bits = list(stream([(held[i][2], np.frombuffer(held[i][1], np.int64).tolist()) for i in order]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([held[i][0] for i in order], pa.int64()), pa.array([held[i][1] for i in order], pa.binary()),
-             pa.array([held[i][2] for i in order], kind), pa.array(bits, pa.int64())],
-            names=["g", "words", "first", "bits"])
+        held.sort(key=lambda x: (x[2] is None, x[2]))
+        bits = list(stream([(first, np.frombuffer(words, np.int64).tolist()) for _, words, first in held]))
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()),
+                                           pa.array([first for _, _, first in held], kind),
+                                           pa.array(bits, pa.int64())], names=["c", "first", "bits"])
 
     kind = pa.null()
     for b in batches:
         kind = b.schema.field("first").type
-        for g, words, first in zip(*(b.column(c).to_pylist() for c in ("g", "words", "first"))):
+        for g, c, words, first in zip(*(b.column(x).to_pylist() for x in ("g", "c", "words", "first"))):
             if g != group and size >= limit:
                 yield flush()
                 held, size = [], 0
             group = g
-            held.append((g, words, first))
+            held.append((c, words, first))
             size += len(words) // 8
     if held:
         yield flush()
@@ -320,21 +329,31 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = H
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("fp", F.xxhash64("text"))
     kind = d.schema["id"].dataType.simpleString()
     folder = work_folder(docs.sparkSession, "automata")
-    asked = write_table(_repeated_anchors(d, kind, hot), folder, "asked")
-    release(docs.sparkSession)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df = write_table(df, folder, name)
+        release(docs.sparkSession)
+        return df
 
     def of_text(right: DataFrame, how: str) -> DataFrame:
         r = right.withColumnsRenamed({"fp": "fp_", "id": "id_"})
         return d.join(r, (F.col("fp") == F.col("fp_")) & null_safe(F.col("id"), F.col("id_")), how).drop("fp_", "id_")
 
-    seen = (of_text(asked, "inner").select("id", "fp", "text", "asked", "hot")
-            .mapInArrow(_read, f"g bigint, words binary, id {kind}, fp bigint, at int, n smallint"))
-    distinct = seen.groupBy("g", "words").agg(F.min("id").alias("first"))
-    matched = (distinct.repartition("g").sortWithinPartitions("g")
-               .mapInArrow(partial(_stream_shards, limit=shard), f"g bigint, words binary, first {kind}, bits bigint"))
-    matched = matched.select(F.xxhash64("words").alias("c_"), "first", "bits")
+    asked = stored(_repeated_anchors(d, kind, hot), "anchors")
+    seen = stored(of_text(asked, "inner").select("id", "fp", "text", "asked", "hot")
+                  .mapInArrow(_read, f"g bigint, c bigint, id {kind}, fp bigint, at int, n smallint"), "segments")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "fp", "at")).alias("one")
+    distinct = seen.groupBy("g", "c").agg(first, F.max("n").alias("n"))
+    distinct = stored(distinct.select("g", "c", "n", "one.id", "one.fp", "one.at",
+                                      F.count("*").over(Window.partitionBy("g")).alias("k")), "sequences")
+    asked = distinct.where("k > 1").groupBy("fp", "id").agg(F.collect_list(F.struct("at", "n", "g", "c")).alias("asked"))
+    words = (of_text(asked, "inner").select("id", "text", "asked")
+             .mapInArrow(_words, f"g bigint, c bigint, words binary, first {kind}"))
+    matched = stored(words.repartition("g").sortWithinPartitions("g")
+                     .mapInArrow(partial(_stream_shards, limit=shard), f"c bigint, first {kind}, bits bigint"), "matches")
+    alone = distinct.where("k = 1").select("c", F.col("id").alias("first"), F.lit(0).cast("bigint").alias("bits"))
     whole = F.expr(f"shiftleft(1L, n + {LENGTH - 1}) - 1L")
-    spans = (seen.select(F.xxhash64("words").alias("c"), "id", "fp", "at", "n").join(matched, F.col("c") == F.col("c_"))
+    spans = (seen.join(matched.union(alone), "c")
              .select("id", "fp", "at", F.when(null_safe(F.col("id"), F.col("first")), F.col("bits"))
                      .otherwise(whole).alias("bits"))
              .where("bits <> 0").groupBy("fp", "id").agg(F.collect_set(F.struct("at", "bits")).alias("spans")))

@@ -9,6 +9,7 @@ a batch is (a single longer text is one piece).
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,9 +57,14 @@ def drop_table(spark: SparkSession, folder: str, name: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have shuffle files of finished steps deleted: Spark does so when the driver collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have shuffle files of finished steps deleted: Spark does so when the driver collects what refers to them.
+
+    The first round lets go of what Python held, which the JVM hears a moment later; the second collects it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:
