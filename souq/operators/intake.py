@@ -14,6 +14,7 @@ from pyspark.sql.types import DecimalType
 
 from souq.functions.coerce import php_blank, php_empty, to_float_prefix, to_int_prefix
 from souq.functions.text import html_escape, is_digits, is_valid_email, php_trim, slugify, upload_name
+from souq.operators.numbering import free_numbers
 from souq.sources.sinks import assign_keys
 
 # Fixed values of the reference: accepted upload types and the size limit.
@@ -21,6 +22,10 @@ ALLOWED_IMAGE_TYPES = ["image/jpeg", "image/png", "image/jpg"]
 MAX_IMAGE_BYTES = 5000000
 MIN_PASSWORD_BYTES = 8
 UPLOAD_DIR = "uploads/products/"
+FIRST_USERNAME = 100
+# Characters of a username before its number, and of a slug before "-number" (columns of 50 and 255).
+USERNAME_BASE = 38
+NUMBERED_SLUG = 235
 
 # Collation for email identity: case-, accent- and trailing-space-insensitive,
 # the closest Spark collation to MySQL's utf8mb4_general_ci for '=' (T-03).
@@ -168,9 +173,40 @@ def validate_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
         err.alias("error"))
 
 
+def username_base(first: Column, last: Column) -> Column:
+    """``first.last`` in lower case, at most ``USERNAME_BASE`` characters.
+
+    A name that ends in a digit gets a dot after it, so that a username falls
+    into base and number in one way only.
+    """
+    b = F.substring(F.lower(F.concat(first, F.lit("."), last)), 1, USERNAME_BASE)
+    return F.concat(b, F.when(b.rlike("[0-9]\\z"), ".").otherwise(""))
+
+
+def allocate_usernames(accepted: DataFrame, users: DataFrame) -> DataFrame:
+    """X-14 under the unique key users.username: every accepted row gets the next free number of its name.
+
+    The source draws a number from 100 to 999 and lets the insert fail where
+    it is taken.  Here the n-th accepted row of a name, by arrival, gets its
+    n-th free number from 100 on, numbers that the table uses left out; names
+    with more than 900 rows grow a digit.  Names meet under the key's
+    collation.  One name may hold a third of all rows (see ``numbering``).
+    """
+    named = accepted.withColumn("_base", username_base(F.col("first_name"), F.col("last_name")))
+    wanted = named.select(F.collate("_base", EMAIL_COLLATION).alias("_key"), "arrival_no")
+    name = F.rtrim("username")
+    digits = F.regexp_extract(name, "([1-9][0-9]{2,17})\\z", 1)
+    stem = F.regexp_replace(name, "[0-9]+\\z", "")
+    used = users.select(F.collate(stem, EMAIL_COLLATION).alias("_key"), digits.try_cast("bigint").alias("number"),
+                        (F.length(stem) + F.length(digits) == F.length(name)).alias("_whole"))
+    numbers = free_numbers(wanted, used.where("_whole AND number IS NOT NULL"), ["_key"], FIRST_USERNAME)
+    return named.join(numbers.select("arrival_no", "number"), "arrival_no") \
+                .withColumn("username", F.concat("_base", F.col("number").cast("string"))).drop("_base", "number")
+
+
 def accepted_users(validated: DataFrame, existing_users: DataFrame) -> DataFrame:
-    """S-05: rows to append for accepted registrations (``created_at = NOW()``)."""
-    ok = validated.where(F.col("error").isNull()).drop("error")
+    """S-05: rows to append for accepted registrations (``created_at = NOW()``), usernames unique in table and batch."""
+    ok = allocate_usernames(validated.where(F.col("error").isNull()).drop("error"), existing_users)
     ok = ok.withColumns({"is_verified": F.lit(False), "created_at": F.localtimestamp()})
     return assign_keys(ok, existing_users, "user_id")
 
@@ -188,6 +224,35 @@ def slug_report(df: DataFrame, source_col: str, key: str) -> DataFrame:
             .withColumn("is_empty", F.col("slug") == "")
 
 
+def assign_slugs(rows: DataFrame, existing: DataFrame, source_col: str, arrival: str = "arrival_no",
+                 default: str = "product") -> DataFrame:
+    """V-03: (arrival, slug) unique in the batch and against ``existing.slug`` (T-16).
+
+    The first row of a slug that the table lacks keeps it; every other row
+    gets the slug and the next free number from 2 on ("-2", "-3", ...), by
+    arrival, numbers taken in the table or kept by this batch left out.  A
+    slug that reduces to the empty string (or a null source) starts from
+    ``default``.  Numbered slugs are cut so that the number fits the column.
+    """
+    s = F.coalesce(slugify(source_col), F.lit(""))
+    b = rows.select(F.col(arrival).alias("arrival_no"), F.when(s == "", default).otherwise(s).alias("slug"))
+    key = lambda c: F.collate(c, EMAIL_COLLATION).alias("_key")
+    taken = existing.where("slug IS NOT NULL").select("slug")
+    kept = (b.groupBy(key("slug")).agg(F.min("arrival_no").alias("arrival_no"))
+            .join(taken.select(key("slug")), "_key", "left_anti").select("arrival_no"))
+    kept = b.join(kept, "arrival_no", "left_semi")
+    rest = b.join(kept.select("arrival_no"), "arrival_no", "left_anti") \
+            .withColumn("_base", F.substring("slug", 1, NUMBERED_SLUG))
+    parts = "(?s)^(.*)-([1-9][0-9]{0,17})\\z"
+    used = taken.union(kept.select("slug")).select(
+        key(F.regexp_extract("slug", parts, 1)),
+        F.regexp_extract("slug", parts, 2).try_cast("bigint").alias("number")).where("number IS NOT NULL")
+    numbers = free_numbers(rest.select(key("_base"), "arrival_no"), used, ["_key"], 2)
+    numbered = rest.join(numbers.select("arrival_no", "number"), "arrival_no") \
+                   .select("arrival_no", F.concat("_base", F.lit("-"), F.col("number").cast("string")).alias("slug"))
+    return kept.select("arrival_no", "slug").unionByName(numbered).withColumnRenamed("arrival_no", arrival)
+
+
 # -- P-09 role presence -----------------------------------------------------------------
 def role_counts(users: DataFrame) -> DataFrame:
     """P-09 for all roles in one aggregate: (role, users)."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souq.functions.text import slugify
 from souq.sources.views import MarketViews
 
 
@@ -57,6 +58,30 @@ def user_candidates(v: MarketViews) -> DataFrame:
     )
 
 
+def namesake_users(v: MarketViews) -> tuple[DataFrame, DataFrame]:
+    """(accepted registrations, user table) in which a third share one name and the table holds many of its numbers."""
+    k = F.col("user_id")
+    u = v.users
+    first = F.when(k % 3 == 0, F.when(k % 2 == 0, "Ann").otherwise("ANN")).otherwise(F.col("last_name"))
+    last = F.when(k % 3 == 0, "Lee").when(k % 5 == 0, F.lit("Route 66")).otherwise(F.col("last_name"))
+    batch = u.select(k.alias("arrival_no"), first.alias("first_name"), last.alias("last_name"), "email")
+    name = F.when(k % 2 == 0, F.concat(F.lit("ann.lee"), (100 + k % 1300).cast("string"))) \
+            .when(k % 7 == 0, F.concat(F.upper("last_name"), F.lit("."), F.col("last_name"), (100 + k % 50).cast("string"))) \
+            .when(k % 11 == 0, F.concat(F.lit("automobile.route 66."), (90 + k % 30).cast("string"))) \
+            .otherwise(F.col("username"))
+    return batch, u.withColumn("username", name)
+
+
+def namesake_products(v: MarketViews) -> tuple[DataFrame, DataFrame]:
+    """(new products, product table with slugs): one name for a third of all, some without a usable letter."""
+    k = F.col("product_id")
+    p = v.products.select("product_id", F.when(k % 17 == 0, F.lit(" !!! ")).when(k % 3 == 0, F.lit("Hot Item"))
+                          .otherwise(F.col("name")).alias("name"))
+    table = p.where(k % 4 == 0).select("product_id", F.concat(
+        slugify("name"), F.when(k % 8 == 0, "").otherwise(F.concat(F.lit("-"), (2 + k % 40).cast("string")))).alias("slug"))
+    return p.where(k % 4 != 0).withColumnRenamed("product_id", "arrival_no"), table
+
+
 def _break(df: DataFrame, **cols) -> DataFrame:
     """``df`` with some values replaced: column=(condition, broken value)."""
     return df.withColumns({c: F.when(F.expr(cond), F.expr(bad)).otherwise(F.col(c))

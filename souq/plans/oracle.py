@@ -606,11 +606,64 @@ SQL["accepted_products"] = f"""
            'uploads/products/1700000000_' || replace(raw.image_name, ' ', '_') AS image_path,
            md5({_esc("coalesce(raw.description, '')")}) AS description_md5
     FROM ok JOIN raw ON raw.arrival_no = ok.arrival_no WHERE ok.is_valid"""
+
+
+def _free_numbers(wanted: str, used: str, first: int) -> str:
+    """Every row of ``wanted`` (k, arrival_no, base) with the n-th number from ``first`` that ``used`` (k, number) lacks."""
+    return f"""
+    wanted AS ({wanted}), used AS (SELECT DISTINCT k, number FROM ({used}) u0 WHERE number >= {first}),
+    turn AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY arrival_no) AS n FROM wanted),
+    span AS (SELECT t.k, count(*) + (SELECT count(*) FROM used u WHERE u.k = t.k) AS c FROM turn t GROUP BY t.k),
+    free AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) AS n
+             FROM (SELECT k, unnest(range({first}, {first} + c)) AS s FROM span) x
+             WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.k = x.k AND u.number = x.s)),
+    numbered AS (SELECT t.*, f.s AS number FROM turn t JOIN free f ON f.k = t.k AND f.n = t.n)"""
+
+
+_BASE = "substr(lower(first_name || '.' || last_name), 1, 38)"
+_BASE = f"{_BASE} || CASE WHEN regexp_matches({_BASE}, '[0-9]$') THEN '.' ELSE '' END"
+
+
+def _usernames(batch: str, users: str) -> str:
+    return _free_numbers(
+        f"SELECT arrival_no, {_BASE} AS base, {_ekey(_BASE)} AS k FROM {batch}",
+        f"""SELECT {_ekey("regexp_replace(rtrim(username), '[0-9]+$', '')")} AS k,
+                   TRY_CAST(regexp_extract(rtrim(username), '[0-9]+$') AS BIGINT) AS number
+            FROM {users} WHERE regexp_matches(rtrim(username), '[^0-9][1-9][0-9]+$')""", 100)
+
+
 SQL["accepted_users"] = f"""
-    WITH ok AS ({SQL["user_intake"]})
-    SELECT (SELECT max(user_id) FROM m_users) + arrival_no AS user_id, first_name, last_name, email, phone, role,
-           username, FALSE AS is_verified
-    FROM ok WHERE error IS NULL"""
+    WITH ok AS (SELECT * FROM ({SQL["user_intake"]}) i WHERE error IS NULL), {_usernames("ok", "m_users")}
+    SELECT (SELECT max(user_id) FROM m_users) + ok.arrival_no AS user_id, first_name, last_name, email, phone, role,
+           n.base || n.number AS username, FALSE AS is_verified
+    FROM ok JOIN numbered n ON n.arrival_no = ok.arrival_no"""
+SQL["allocated_usernames"] = f"""
+    WITH batch AS (
+        SELECT user_id AS arrival_no,
+               CASE WHEN user_id % 6 = 0 THEN 'Ann' WHEN user_id % 3 = 0 THEN 'ANN' ELSE last_name END AS first_name,
+               CASE WHEN user_id % 3 = 0 THEN 'Lee' WHEN user_id % 5 = 0 THEN 'Route 66' ELSE last_name END AS last_name
+        FROM m_users),
+    u AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ann.lee' || (100 + user_id % 1300)
+                      WHEN user_id % 7 = 0 THEN upper(last_name) || '.' || last_name || (100 + user_id % 50)
+                      WHEN user_id % 11 = 0 THEN 'automobile.route 66.' || (90 + user_id % 30)
+                      ELSE username END AS username FROM m_users),
+    {_usernames("batch", "u")}
+    SELECT arrival_no, base || number AS username FROM numbered"""
+_NAMESAKES = """SELECT product_id, CASE WHEN product_id % 17 = 0 THEN ' !!! ' WHEN product_id % 3 = 0 THEN 'Hot Item'
+                                        ELSE name END AS name FROM m_products"""
+SQL["assigned_slugs"] = f"""
+    WITH s AS (SELECT product_id, {_SLUG.format(x="name")} AS slug FROM ({_NAMESAKES}) p),
+    t AS (SELECT slug || CASE WHEN product_id % 8 = 0 THEN '' ELSE '-' || (2 + product_id % 40) END AS slug
+          FROM s WHERE product_id % 4 = 0),
+    b AS (SELECT product_id AS arrival_no, CASE WHEN slug = '' THEN 'product' ELSE slug END AS slug
+          FROM s WHERE product_id % 4 <> 0),
+    kept AS (SELECT min(arrival_no) AS arrival_no, slug FROM b WHERE slug NOT IN (SELECT slug FROM t) GROUP BY slug),
+    {_free_numbers(
+        "SELECT arrival_no, slug AS base, slug AS k FROM b WHERE arrival_no NOT IN (SELECT arrival_no FROM kept)",
+        """SELECT regexp_extract(slug, '^(.*)-([1-9][0-9]*)$', 1) AS k,
+                  TRY_CAST(regexp_extract(slug, '^(.*)-([1-9][0-9]*)$', 2) AS BIGINT) AS number
+           FROM (SELECT slug FROM t UNION ALL SELECT slug FROM kept) a""", 2)}
+    SELECT arrival_no, slug FROM kept UNION ALL SELECT arrival_no, base || '-' || number FROM numbered"""
 
 
 def oracle_sql() -> dict[str, str]:

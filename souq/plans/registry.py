@@ -254,6 +254,18 @@ def q_accepted_users(spark, d):
     return rows.select("user_id", "first_name", "last_name", "email", "phone", "role", "username", "is_verified")
 
 
+def q_allocated_usernames(spark, d):
+    """S-05 + X-14: usernames of a batch in which a third share one name, against a table that uses many numbers."""
+    batch, users = candidates.namesake_users(_mv(spark, d))
+    return intake.allocate_usernames(batch, users).select("arrival_no", "username")
+
+
+def q_assigned_slugs(spark, d):
+    """V-03: slugs unique in the batch and against the table."""
+    batch, table = candidates.namesake_products(_mv(spark, d))
+    return intake.assign_slugs(batch, table, "name")
+
+
 def q_unread_counts(spark, d):
     """C-13: conversation turns as messages, error events as notifications."""
     v = _mv(spark, d)
@@ -413,4 +425,6 @@ QUERIES: dict[str, QueryFn] = {
     "accepted_products": q_accepted_products,
     "accepted_users": q_accepted_users,
     "unread_counts": q_unread_counts,
+    "allocated_usernames": q_allocated_usernames,
+    "assigned_slugs": q_assigned_slugs,
 }

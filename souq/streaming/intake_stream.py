@@ -33,14 +33,19 @@ def read_table(spark: SparkSession, path: str, schema: str, before: int | None =
     """The content of an appended table (empty with ``schema`` if absent).
 
     With ``before`` only the output of earlier micro-batches is read, so a
-    batch that runs again neither meets nor overwrites its own input.
-    Existence is probed through Spark, so any shared file system works.
+    batch that runs again neither meets nor overwrites its own input; the
+    first one has none.  Existence is probed through Spark, so any shared file
+    system works.  A table that is there but cannot be read is an error.
     """
+    if before == 0:
+        return spark.createDataFrame([], schema)
     try:
         table = spark.read.parquet(path)
-        return table if before is None or "batch_id" not in table.columns else table.where(F.col("batch_id") < before)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
+    return table if before is None or "batch_id" not in table.columns else table.where(F.col("batch_id") < before)
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -75,7 +80,7 @@ def start_product_intake(spark: SparkSession, inbox: str, products_path: str, re
 
 
 def start_user_intake(spark: SparkSession, inbox: str, users_path: str, rejects_path: str, *,
-                      existing_schema: str = "user_id long, email string", checkpoint: str | None = None,
+                      existing_schema: str = "user_id long, username string, email string", checkpoint: str | None = None,
                       available_now: bool = False, files_per_batch: int | None = None) -> StreamingQuery:
     """Validate registrations as they arrive; emails accepted earlier count as in use."""
     reader = spark.readStream.schema(USER_CANDIDATE_SCHEMA)
@@ -86,7 +91,7 @@ def start_user_intake(spark: SparkSession, inbox: str, users_path: str, rejects_
     def handle(batch: DataFrame, batch_id: int) -> None:
         users = read_table(batch.sparkSession, users_path, existing_schema, before=batch_id)
         validated = intake.validate_users(batch, users.select("user_id", "email"))
-        accepted = intake.accepted_users(validated, users.select("user_id"))
+        accepted = intake.accepted_users(validated, users.select("user_id", "username"))
         _write_batch(accepted, users_path, batch_id)
         _write_batch(validated.where(F.col("error").isNotNull()).select("arrival_no", "error"),
                      rejects_path, batch_id)

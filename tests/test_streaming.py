@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from souq.streaming import intake_stream as st
@@ -14,7 +15,7 @@ def test_user_intake_stream_across_batches(spark):
     b1 = [(1, "Ann", "Lee", "ann@x.com", "123", good, good, "customer"),
           (2, "Bob", "Ray", "bad", "123", good, good, "business")]
     b2 = [(3, "Ann", "Two", "ANN@x.com", "123", good, good, "customer"),   # taken by batch 1
-          (4, "Cy", "Oz", "cy@x.com", "123", good, good, "business")]
+          (4, "Ann", "Lee", "cy@x.com", "123", good, good, "business")]
     spark.createDataFrame(b1, st.USER_CANDIDATE_SCHEMA).coalesce(1).write.parquet(os.path.join(inbox, "a"))
     spark.createDataFrame(b2, st.USER_CANDIDATE_SCHEMA).coalesce(1).write.parquet(os.path.join(inbox, "b"))
     # one file per micro-batch, so the second batch sees the first one's users
@@ -27,6 +28,7 @@ def test_user_intake_stream_across_batches(spark):
     rej = {r.arrival_no: r.error for r in spark.read.parquet(rejects).collect()}
     assert rej == {2: "email_invalid", 3: "email_in_use"}
     assert got.select(F.countDistinct("user_id")).first()[0] == 2
+    assert {r.arrival_no: r.username for r in got.collect()} == {1: "ann.lee100", 4: "ann.lee101"}
 
 
 def test_product_intake_stream(spark):
@@ -57,3 +59,11 @@ def test_a_replayed_batch_keeps_its_rows(spark):
             os.remove(os.path.join(ckpt, "commits", f))
     start()
     assert sorted(r.arrival_no for r in spark.read.parquet(users).collect()) == [1, 2]
+
+
+def test_an_unreadable_table_is_an_error(spark, tmp_path):
+    assert st.read_table(spark, str(tmp_path / "absent"), "a int").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        st.read_table(spark, str(tmp_path / "bad"), "a int").count()
