@@ -18,10 +18,8 @@ of the space and the text, else it has no tokens.
   corpus); links of the other, rare pairs are joined by shuffling.  So no pair
   gathers more rows than a rare one has.
 
-Long texts are encoded in stretches cut before a space that follows another
-character; neither vocabulary has a token across such a place (B's is looked
-at, and where it has one, texts are encoded whole).  Null and empty texts have
-no tokens.  Rows of equal or null key are documents of their own.  Vocabularies
+Texts are encoded in parts (see ``Pair``), equal ones once.  Null and empty
+texts have no tokens.  Rows of equal or null key are documents of their own.  Vocabularies
 travel by broadcast, so only the driver reads their files.  Other columns are
 not read.  An empty table gives an empty result.
 """
@@ -33,6 +31,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, filterfalse
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,8 +44,9 @@ from pyspark.sql import functions as F
 from souq.llm.common import pieces, utf8_view, work_folder, write_table
 
 FREQUENT = 1 << 17
-STRETCH = 1 << 16
 PIECE = 1 << 19
+#: Characters of the parts whose tokens a process remembers.
+HELD = 1 << 22
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict = {}
@@ -65,7 +66,7 @@ class Vocabulary:
         self.tokens = tokens
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.names = {}
-        for end in (b",", b"|", b";", b""):
+        for end in (b",", b"|", b";"):
             self.names[end] = np.empty(len(tokens), object)
             self.names[end][:] = [b"%d%s" % (i, end) for i in range(len(tokens))]
 
@@ -74,8 +75,25 @@ class Vocabulary:
         return b"".join([t[i] for i in ids])
 
 
+class Side(NamedTuple):
+    """Tokens of a batch on one side: ids, how many each document has, and where they end, bytes counted through."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    ends: np.ndarray
+
+    def docs(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+
 class Pair:
-    """Both encoders, built from the files' contents."""
+    """Both encoders, built from the files' contents.
+
+    Texts are cut before single spaces between other characters: neither side
+    has a token across such a place (B's vocabulary is looked at; where it has
+    one, texts stay whole).  Equal parts are encoded once; the parts held are
+    bounded by their length.
+    """
 
     def __init__(self, a: bytes, b: bytes) -> None:
         import sentencepiece
@@ -94,28 +112,58 @@ class Pair:
         pieces_b = [self._b.id_to_piece(i) for i in range(n)]
         self.b = Vocabulary([bytes([int(t[3:5], 16)]) if self._b.is_byte(i) else t.replace("▁", " ").encode()
                              for i, t in enumerate(pieces_b)])
-        self._whole = any(re.search("[^▁]▁", t) for t in pieces_b)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        parts, of = [], []
-        for i, t in enumerate(texts):
-            lo = 0
-            if not self._whole:
-                while len(t) - lo > 2 * STRETCH and (cut := _CUT.search(t, lo + STRETCH)):
-                    parts.append(t[lo:cut.start()])
-                    of.append(i)
-                    lo = cut.end()                     # both sides give the space back
-            parts.append(t[lo:])
-            of.append(i)
-        a = [x.ids for x in self._a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = self._b.encode(parts, num_threads=1)
-        if len(parts) == len(texts):
-            return a, b
-        out = ([[] for _ in texts], [[] for _ in texts])
-        for i, x, y in zip(of, a, b):
-            out[0][i].extend(x)
-            out[1][i].extend(y)
-        return out
+        self._cut = not any(re.search("[^▁]▁", t) for t in pieces_b)
+        self._forget()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, Side, Side]:
+        """Which texts have tokens, and the tokens of these."""
+        if self._held > HELD:
+            self._forget()
+        of = [_CUT.split(t) if self._cut else [t] for t in texts]
+        new = list(dict.fromkeys(filterfalse(self._code.__contains__, chain.from_iterable(of))))
+        if new:
+            self._learn(new)
+        parts = np.array([len(x) for x in of])
+        codes = np.fromiter(map(self._code.__getitem__, chain.from_iterable(of)), np.int64, parts.sum())
+        row = np.repeat(np.arange(len(texts)), parts)
+        keep = np.ones(len(texts), bool)
+        for i in np.unique(row[~self._good[codes]]):
+            keep[i] = self._equal(texts[i], codes[row == i])
+        codes, row = codes[keep[row]], (np.cumsum(keep) - 1)[row[keep[row]]]
+        return keep, *(self._gather(side, codes, row, int(keep.sum())) for side in (0, 1))
+
+    def _forget(self) -> None:
+        self._code: dict[str, int] = {}
+        self._good = np.zeros(0, bool)
+        self._held = 0
+        self._ids = [np.zeros(0, np.int32)] * 2       # of all parts, one after the other
+        self._ends = [np.zeros(1, np.int64)] * 2
+
+    def _learn(self, parts: list[str]) -> None:
+        both = ([x.ids for x in self._a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)],
+                self._b.encode(parts, num_threads=1))
+        good = np.ones(len(parts), bool)
+        for side, (v, lists) in enumerate(zip((self.a, self.b), both)):
+            good &= [v.bytes(x) == b" " + p.encode() for x, p in zip(lists, parts)]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter(chain.from_iterable(lists), np.int32, size.sum())
+            self._ids[side] = np.concatenate([self._ids[side], flat])
+            self._ends[side] = np.concatenate([self._ends[side], self._ends[side][-1] + np.cumsum(size)])
+        self._code.update(zip(parts, range(len(self._good), len(self._good) + len(parts))))
+        self._good = np.concatenate([self._good, good])
+        self._held += sum(map(len, parts))
+
+    def _equal(self, text: str, codes: np.ndarray) -> bool:
+        """The rule itself, for texts with a part that differs."""
+        return all(v.bytes(self._gather(side, codes, np.zeros(len(codes), np.int64), 1).ids.tolist())
+                   == b" " + text.encode() for side, v in enumerate((self.a, self.b)))
+
+    def _gather(self, side: int, codes: np.ndarray, row: np.ndarray, n: int) -> Side:
+        first = self._ends[side][codes]
+        length = self._ends[side][codes + 1] - first
+        ids = self._ids[side][np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)]
+        return Side(ids.astype(np.int64), np.bincount(row, length, n).astype(np.int64),
+                    np.cumsum((self.a, self.b)[side].size[ids]))
 
 
 def load(files: Broadcast) -> Pair:
@@ -127,51 +175,46 @@ def load(files: Broadcast) -> Pair:
     return _loaded[name]
 
 
-def _frame(side: str, ids: list[list[int]], size: np.ndarray) -> pd.DataFrame:
-    n = [len(x) for x in ids]
-    flat = np.concatenate([np.array(x, np.int64) for x in ids])
-    end = np.cumsum(size[flat])
-    return pd.DataFrame({"start": end - size[flat], "doc": np.repeat(np.arange(len(ids)), n), f"{side}_end": end,
-                         f"{side}_at": np.arange(len(flat)), side: flat})
+def _frame(name: str, side: Side, size: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"start": side.ends - size[side.ids], "doc": side.docs(), f"{name}_at": np.arange(len(side.ids)),
+                         f"{name}_end": side.ends})
 
 
-def overlaps_of(a: list[list[int]], b: list[list[int]], sizes: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
-    """(doc, a_at, b_at, a, b, a_end, b_end): all pairs of tokens that share a byte, places counted over the batch.
+def overlaps_of(a: Side, b: Side, pair: Pair) -> pd.DataFrame:
+    """(a_at, b_at, linked): all pairs of tokens that share a byte, places counted over the batch.
 
     Documents' bytes are counted through, equally on both sides.
     """
-    left, right = _frame("a", a, sizes[0]), _frame("b", b, sizes[1])
+    left, right = _frame("a", a, pair.a.size), _frame("b", b, pair.b.size)
     one = pd.merge_asof(left, right, on="start", by="doc")
     two = pd.merge_asof(right, left.assign(a_start=left["start"]), on="start", by="doc")
-    two = two[two["start"] != two["a_start"]]           # those that start together are in both
-    cols = ["doc", "a_at", "b_at", "a", "b", "a_end", "b_end"]
-    return pd.concat([one[cols], two[cols]], ignore_index=True)
-
-
-def _groups(pair: Pair, links: pd.DataFrame, a: list[list[int]], b: list[list[int]]) -> list[bytes]:
-    """``a1,a2|b1;a3|b2,b3`` of every document."""
-    ends = np.sort(links["a_end"].to_numpy())
-    doc, group, last, names = [], [], [], []
-    for side, (ids, vocabulary) in enumerate(((a, pair.a), (b, pair.b))):
-        flat = np.concatenate([np.array(x, np.int64) for x in ids])
-        g = np.searchsorted(ends, np.cumsum(vocabulary.size[flat]))
-        doc.append(np.repeat(np.arange(len(ids)), [len(x) for x in ids]))
-        group.append(g * 2 + side)
-        end = np.append(g[1:] != g[:-1], True)
-        names.append(np.where(end, vocabulary.names[b";" if side else b"|"][flat], vocabulary.names[b","][flat]))
-        last.append(end)
+    two = two[(two["start"] != two["a_start"]).to_numpy()]      # those that start together are in both
+    a_at = np.concatenate([one["a_at"].to_numpy(), two["a_at"].to_numpy()])
+    b_at = np.concatenate([one["b_at"].to_numpy(), two["b_at"].to_numpy()])
+    return pd.DataFrame({"a_at": a_at, "b_at": b_at, "linked": a.ends[a_at] == b.ends[b_at]}, copy=False)
+
+
+def _groups(pair: Pair, cuts: np.ndarray, a: Side, b: Side) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` of every document; groups end at ``cuts``."""
+    group, names = [], []
+    for side, vocabulary, end in ((a, pair.a, b"|"), (b, pair.b, b";")):
+        g = np.searchsorted(cuts, side.ends)
+        last = np.append(g[1:] != g[:-1], True)
+        group.append(g * 2 + (end == b";"))
+        names.append(np.where(last, vocabulary.names[end][side.ids], vocabulary.names[b","][side.ids]))
     order = np.argsort(np.concatenate(group), kind="stable")
-    names, doc = np.concatenate(names)[order], np.concatenate(doc)[order]
-    cut = np.append(np.searchsorted(doc, np.arange(len(a))), len(doc))
-    return [b"".join(names[lo:hi].tolist())[:-1] for lo, hi in zip(cut[:-1], cut[1:])]
+    names = np.concatenate(names)[order].tolist()
+    cut = np.append(0, np.cumsum(a.counts + b.counts)).tolist()  # groups never cross documents
+    return [b"".join(names[lo:hi])[:-1] for lo, hi in zip(cut[:-1], cut[1:])]
 
 
-def _usable(pair: Pair, texts: list[str | None]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-    """The texts that have tokens, and these."""
-    at = [i for i, t in enumerate(texts) if t]
-    a, b = pair.encode([texts[i] for i in at])
-    good = [j for j, i in enumerate(at) if pair.a.bytes(a[j]) == (raw := b" " + texts[i].encode()) == pair.b.bytes(b[j])]
-    return [at[j] for j in good], [a[j] for j in good], [b[j] for j in good]
+def _usable(pair: Pair, texts: list[str | None]) -> tuple[np.ndarray, Side, Side]:
+    """The places of the texts that have tokens, and these."""
+    at = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    if not len(at):
+        return at, None, None
+    keep, a, b = pair.encode([texts[i] for i in at])
+    return at[keep], a, b
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -190,18 +233,18 @@ def _encoder(files: Broadcast, text_of_groups: bool):
             at, a, b = _usable(pair, texts)
             counts = np.zeros((3, n), np.int64)
             groups, pairs, times, ends = [b""] * n, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-            if at:
-                x = overlaps_of(a, b, (pair.a.size, pair.b.size))
-                links = x[x["a_end"] == x["b_end"]]
-                index = np.array(at)
-                counts[0, at], counts[1, at] = [len(i) for i in a], [len(i) for i in b]
-                counts[2] = np.bincount(index[links["doc"].to_numpy()], minlength=n)
+            if len(at):
+                x = overlaps_of(a, b, pair)
+                a_at = x["a_at"].to_numpy()[x["linked"].to_numpy()]
+                b_at = x["b_at"].to_numpy()[x["linked"].to_numpy()]
+                doc = at[a.docs()[a_at]]
+                counts[0, at], counts[1, at] = a.counts, b.counts
+                counts[2] = np.bincount(doc, minlength=n)
                 size = len(pair.a.tokens), len(pair.b.tokens)
-                code, times = np.unique((index[links["doc"].to_numpy()] * size[0] + links["a"].to_numpy()) * size[1]
-                                        + links["b"].to_numpy(), return_counts=True)
+                code, times = np.unique((doc * size[0] + a.ids[a_at]) * size[1] + b.ids[b_at], return_counts=True)
                 pairs = (code // size[1] % size[0] << 32) | code % size[1]
-                ends = np.append(0, np.cumsum(np.bincount(code // size[1] // size[0], minlength=n)))
-                for i, g in zip(at, _groups(pair, links, a, b)):
+                ends = np.append(0, np.cumsum(np.bincount(code // (size[0] * size[1]), minlength=n)))
+                for i, g in zip(at.tolist(), _groups(pair, np.sort(a.ends[a_at]), a, b)):
                     groups[i] = g if text_of_groups else hashlib.sha256(g).hexdigest().encode()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + n)), part.column("key"), *map(pa.array, counts),
@@ -245,15 +288,16 @@ def overlaps(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "
         pair = load(files)
         for part, texts in _batches(batches):
             at, x, y = _usable(pair, texts)
-            if not at:
+            if not len(at):
                 continue
-            o = overlaps_of(x, y, (pair.a.size, pair.b.size))
-            doc = o["doc"].to_numpy()
-            first = [np.append(0, np.cumsum([len(i) for i in ids]))[doc] for ids in (x, y)]
+            o = overlaps_of(x, y, pair)
+            a_at, b_at = o["a_at"].to_numpy(), o["b_at"].to_numpy()
+            doc = x.docs()[a_at]
+            first = [(np.cumsum(s.counts) - s.counts)[doc] for s in (x, y)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key").take(pa.array(np.array(at)[doc])), pa.array(o["a_at"].to_numpy() - first[0]),
-                 pa.array(o["b_at"].to_numpy() - first[1]), pa.array(o["a"].to_numpy()), pa.array(o["b"].to_numpy()),
-                 pa.array((o["a_end"] == o["b_end"]).to_numpy())], names=["key", "a_at", "b_at", "a", "b", "linked"])
+                [part.column("key").take(pa.array(at[doc])), pa.array(a_at - first[0]), pa.array(b_at - first[1]),
+                 pa.array(x.ids[a_at]), pa.array(y.ids[b_at]), pa.array(o["linked"].to_numpy())],
+                names=["key", "a_at", "b_at", "a", "b", "linked"])
 
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = d.schema["key"].dataType.simpleString()

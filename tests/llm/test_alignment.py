@@ -106,9 +106,10 @@ def test_long_texts_are_cut(spark, encoders):
         assert (got[key][1], got[key][2]) == (len(a), len(b)) and digest
     pair = alignment.Pair(open(A, "rb").read(), open(B, "rb").read())
     text = rows[0][1]
-    assert len(text) > 3 * alignment.STRETCH and not pair._whole
-    a, b = pair.encode([text])
-    assert a[0] == [i for i, _ in tokens(encoders, text)[0]] and b[0] == [i for i, _ in tokens(encoders, text)[1]]
+    assert len(text) > 100_000 and pair._cut
+    keep, a, b = pair.encode([text])
+    assert keep.all() and a.ids.tolist() == [i for i, _ in tokens(encoders, text)[0]]
+    assert b.ids.tolist() == [i for i, _ in tokens(encoders, text)[1]]
 
 
 def test_overlaps(spark, encoders):
