@@ -339,7 +339,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = H
         r = right.withColumnsRenamed({"fp": "fp_", "id": "id_"})
         return d.join(r, (F.col("fp") == F.col("fp_")) & null_safe(F.col("id"), F.col("id_")), how).drop("fp_", "id_")
 
-    asked = stored(_repeated_anchors(d, kind, hot), "anchors")
+    found = d.mapInArrow(_find, f"id {kind}, fp bigint, h bigint")
+    keys = stored(_repeated(found, hot), "anchors")    # stored, so that the join's hot keys can be split
+    asked = stored(found.join(keys, "h").groupBy("fp", "id")
+                   .agg(F.collect_set(F.expr("CASE WHEN NOT hot THEN h END")).alias("asked"),
+                        F.collect_set(F.expr("CASE WHEN hot THEN h END")).alias("hot")), "asked")
     seen = stored(of_text(asked, "inner").select("id", "fp", "text", "asked", "hot")
                   .mapInArrow(_read, f"g bigint, c bigint, id {kind}, fp bigint, at int, n smallint"), "segments")
     first = F.min(F.struct(F.col("id").isNull(), "id", "fp", "at")).alias("one")
@@ -362,13 +366,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = H
             .withColumnRenamed("id", "key"))
 
 
-def _repeated_anchors(d: DataFrame, kind: str, hot: int) -> DataFrame:
-    """(fp, id, asked, hot): the anchors of every text that two ids have, and those of them found more than ``hot`` times."""
-    found = d.mapInArrow(_find, f"id {kind}, fp bigint, h bigint")
-    keys = (found.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"),
-                                   F.count("id").alias("known"))
-            .where((F.col("lo") < F.col("hi")) | (F.col("lo").isNotNull() & (F.col("known") < F.col("c"))))
+def _repeated(found: DataFrame, hot: int) -> DataFrame:
+    """(h, hot): the anchors that two ids have, and whether more than ``hot`` rows do."""
+    keys = found.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"),
+                                  F.count("id").alias("known"))
+    return (keys.where((F.col("lo") < F.col("hi")) | (F.col("lo").isNotNull() & (F.col("known") < F.col("c"))))
             .select("h", (F.col("c") > hot).alias("hot")))
-    return (found.join(keys, "h").groupBy("fp", "id")
-            .agg(F.collect_set(F.expr("CASE WHEN NOT hot THEN h END")).alias("asked"),
-                 F.collect_set(F.expr("CASE WHEN hot THEN h END")).alias("hot")))
