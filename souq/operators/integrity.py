@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from souq.session import ensure_checkpoint_dir
 from souq.sources.dialect import migrate_discount
+from souq.sources.versions import VersionedTable
 
 
 @dataclass(frozen=True)
@@ -436,6 +437,21 @@ def products_after_delete(products: DataFrame, classified: DataFrame) -> DataFra
     return products.join(gone, "product_id", "left_anti")
 
 
+def delete_owned(products: VersionedTable, order_items: DataFrame, requests: DataFrame, batch: str) -> DataFrame:
+    """J-08 + S-09 on a stored table: the requests' statuses, after the deleted products are gone.
+
+    Statuses are judged on the version that the delete started from, also when
+    the batch runs again; a commit between is a ``ConcurrentChange``.
+    """
+    done = products.committed(batch)
+    base = products.version() if done is None else done - 1
+    before = products.read(base)
+    status = owned_delete(before, order_items, requests)
+    if done is None:
+        products.replace(products_after_delete(before, status), batch, base)
+    return status
+
+
 def discount_migration(products: DataFrame) -> DataFrame:
     """S-07 (re-exported for the registry)."""
     return migrate_discount(products)

@@ -607,6 +607,19 @@ SQL["accepted_products"] = f"""
            md5({_esc("coalesce(raw.description, '')")}) AS description_md5
     FROM ok JOIN raw ON raw.arrival_no = ok.arrival_no WHERE ok.is_valid"""
 
+SQL["catalog_after_delete"] = f"""
+    WITH added AS (SELECT product_id, business_id FROM ({SQL["accepted_products"]}) a),
+    req AS (SELECT product_id, business_id FROM m_order_items WHERE status = 'returned'
+            UNION SELECT product_id, business_id + product_id % 3 FROM added WHERE product_id % 3 <> 2),
+    stock AS (SELECT product_id, business_id FROM m_products UNION ALL SELECT product_id, business_id FROM added),
+    judged AS (SELECT r.*, CASE WHEN s.product_id IS NULL THEN 'not_owned'
+                                WHEN r.product_id IN (SELECT product_id FROM m_order_items) THEN 'blocked'
+                                ELSE 'deleted' END AS status
+               FROM req r LEFT JOIN stock s ON s.product_id = r.product_id AND s.business_id = r.business_id)
+    SELECT * FROM judged
+    UNION ALL SELECT product_id, business_id, 'left' FROM stock
+    WHERE product_id NOT IN (SELECT product_id FROM judged WHERE status = 'deleted')"""
+
 
 def _free_numbers(wanted: str, used: str, first: int) -> str:
     """Every row of ``wanted`` (k, arrival_no, base) with the n-th number from ``first`` that ``used`` (k, number) lacks."""

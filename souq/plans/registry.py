@@ -7,6 +7,7 @@ queries, not sampling.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,7 +20,9 @@ from souq.functions.text import slugify
 from souq.operators import (catalog, discovery, intake, integrity, labels, reports, reviews,
                             taxonomy)
 from souq.plans import candidates
+from souq.session import scratch_path
 from souq.sources.dialect import resolve_columns
+from souq.sources.versions import VersionedTable
 from souq.sources.views import MarketViews
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +195,28 @@ def q_owned_delete(spark, d):
     return integrity.owned_delete(v.products, v.order_items, req)
 
 
+def q_catalog_after_delete(spark, d):
+    """S-04, J-08, S-09 on a stored table: accepted products are appended, some sellers delete theirs.
+
+    Requests name returned order lines (blocked, or another seller's) and two
+    thirds of the new products, which nobody has ordered, half of these by
+    another seller.  Rows: each request's status, and the products left.
+    """
+    v = _mv(spark, d)
+    cols = ["product_id", "business_id", "name"]
+    new = q_accepted_products(spark, d).select(*cols)
+    table = VersionedTable(spark, scratch_path(spark, f"souq/products-{uuid.uuid4().hex}"))
+    table.append(v.products.select(*cols), "catalog")
+    table.append(new, "intake")
+    table.append(new, "intake")                        # a repeated job changes nothing
+    k = F.col("product_id")
+    added = table.read().join(v.products.select("product_id"), "product_id", "left_anti")
+    requests = v.order_items.where(F.col("status") == "returned").select("product_id", "business_id").union(
+        added.where(k % 3 != 2).select("product_id", F.col("business_id") + (k % 3))).distinct()
+    status = integrity.delete_owned(table, v.order_items, requests, "requests")
+    return status.unionByName(table.read().select("product_id", "business_id", F.lit("left").alias("status")))
+
+
 def q_delete_survivors(spark, d):
     """Rows and remaining references per table after deleting the unblocked victims of ``delete_plan``."""
     v = _mv(spark, d)
@@ -427,4 +452,5 @@ QUERIES: dict[str, QueryFn] = {
     "unread_counts": q_unread_counts,
     "allocated_usernames": q_allocated_usernames,
     "assigned_slugs": q_assigned_slugs,
+    "catalog_after_delete": q_catalog_after_delete,
 }

@@ -1,9 +1,8 @@
-"""Appends and snapshots (S-02, S-04, S-05, S-09 outputs).
+"""Surrogate keys and plain appends (S-02, S-04, S-05).
 
-Parquet files are immutable, so an INSERT becomes an append of new part
-files and a DELETE becomes a new snapshot written beside the old one.
-Writes are plain DataFrame writes: each task writes its own files, and a
-failed task is retried by Spark without partial output being committed.
+Parquet files are immutable, so an INSERT becomes an append of new part files.
+A plain append that runs again adds its rows again, and an overwritten folder
+is empty while it is written: tables that jobs change are ``versions.VersionedTable``.
 """
 
 from __future__ import annotations
@@ -32,5 +31,5 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """Write a complete new version of a table (the result of a delete)."""
-    df.write.mode("overwrite").format("parquet").save(path)
+    """Write a complete table into a folder that does not exist yet."""
+    df.write.mode("errorifexists").format("parquet").save(path)
