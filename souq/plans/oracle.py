@@ -607,6 +607,20 @@ SQL["accepted_products"] = f"""
            md5({_esc("coalesce(raw.description, '')")}) AS description_md5
     FROM ok JOIN raw ON raw.arrival_no = ok.arrival_no WHERE ok.is_valid"""
 
+SQL["indexed_search"] = """
+    SELECT DISTINCT search, product_id AS id
+    FROM m_product_text JOIN (VALUES (' red ', '%red%'), ('ATION', '%ation%'), ('th_s', '%th_s%'), ('o%ation', '%o%ation%'),
+                                     ('und der', '%und der%'), ('zz', '%zz%'), ('_e_r', '%_e_r%'), ('100\\%', '%100\\%%'))
+         q(search, pattern) ON lower(description) LIKE pattern ESCAPE '\\'"""
+SQL["seller_last_page"] = """
+    WITH most AS (SELECT business_id, count(*) AS n FROM m_products GROUP BY business_id
+                  ORDER BY n DESC, business_id LIMIT 1),
+    ranked AS (SELECT p.*, row_number() OVER (ORDER BY p.created_at DESC, p.product_id) AS rn, n
+               FROM m_products p JOIN most USING (business_id))
+    SELECT r.* EXCLUDE (rn, n), t.description, c.category_name
+    FROM ranked r LEFT JOIN m_product_text t ON t.product_id = r.product_id
+         LEFT JOIN m_categories c ON c.category_id = r.category_id
+    WHERE (rn - 1) // 10 = (n - 1) // 10"""
 SQL["catalog_after_delete"] = f"""
     WITH added AS (SELECT product_id, business_id FROM ({SQL["accepted_products"]}) a),
     req AS (SELECT product_id, business_id FROM m_order_items WHERE status = 'returned'

@@ -17,8 +17,8 @@ from pyspark.sql.types import DecimalType
 
 from souq.functions.labels import BUSINESS_CATEGORIES
 from souq.functions.text import slugify
-from souq.operators import (catalog, discovery, intake, integrity, labels, reports, reviews,
-                            taxonomy)
+from souq.operators import (catalog, discovery, intake, integrity, labels, rank_index, reports, reviews,
+                            taxonomy, text_index)
 from souq.plans import candidates
 from souq.session import scratch_path
 from souq.sources.dialect import resolve_columns
@@ -33,6 +33,7 @@ SEARCH_TEXT = "red"
 SEARCH_CATEGORY = 2          # a root category: itself plus its children
 CATALOG_PAGE = 2
 SELLER = 3
+INDEXED_SEARCHES = [" red ", "ATION", "th_s", "o%ation", "und der", "zz", "_e_r", "0", "100\\%"]
 
 
 def _mv(spark: SparkSession, d: str) -> MarketViews:
@@ -236,6 +237,22 @@ def q_seller_page(spark, d):
                                   product_text=v.product_text)["page"]
 
 
+def q_indexed_search(spark, d):
+    """P-03: searches of the descriptions by the trigram index (built here; a service keeps it)."""
+    v = _mv(spark, d)
+    index = text_index.TextIndex(spark, scratch_path(spark, f"souq/texts-{uuid.uuid4().hex}"))
+    return text_index.searches(index.add(v.product_text, "product_id", "description"), INDEXED_SEARCHES)
+
+
+def q_seller_last_page(spark, d):
+    """O-05: the last page of the seller with the most products, by the rank index."""
+    v = _mv(spark, d)
+    index = rank_index.RankIndex(spark, scratch_path(spark, f"souq/ranks-{uuid.uuid4().hex}")).build(v.products)
+    most = index.counts().orderBy(F.desc("total_products"), "business_id").limit(1).collect()
+    page = index.page(most[0].business_id, most[0].total_pages) if most else index.page(0)
+    return catalog.with_category_name(catalog.with_text(page, v.product_text), v.categories)
+
+
 def q_seller_count(spark, d):
     v = _mv(spark, d)
     return catalog.seller_catalog(v.products, v.categories, business_id=SELLER,
@@ -453,4 +470,6 @@ QUERIES: dict[str, QueryFn] = {
     "allocated_usernames": q_allocated_usernames,
     "assigned_slugs": q_assigned_slugs,
     "catalog_after_delete": q_catalog_after_delete,
+    "indexed_search": q_indexed_search,
+    "seller_last_page": q_seller_last_page,
 }
