@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souq.operators.discovery import keys_of
 from souq.operators.taxonomy import filter_by_category
 
 PAGE_SIZE = 10          # the seller page shows 10 rows (a configured 12 is never used)
@@ -105,8 +106,7 @@ def with_text(products: DataFrame, product_text: DataFrame | None) -> DataFrame:
     """
     if product_text is None or "description" in products.columns:
         return products
-    texts = product_text.select("product_id", "description").join(
-        products.select("product_id").distinct(), "product_id", "left_semi")
+    texts = product_text.select("product_id", "description").join(keys_of(products).distinct(), "product_id", "left_semi")
     return products.join(texts, "product_id", "left")
 
 

@@ -50,21 +50,33 @@ def first_image(images: DataFrame, primary_only: bool | None = None) -> DataFram
     return imgs.groupBy("product_id").agg(F.min_by("image_path", _image_order(imgs)).alias("image"))
 
 
+def keys_of(top: DataFrame, key: str = "product_id") -> DataFrame:
+    """The keys of a top-k or page, read through all its columns.
+
+    A plan that only takes the keys would read fewer columns below, and so
+    could not share its exchanges with the plan of the rows: the tables would
+    be read and grouped once more.  The condition holds for every row.
+    """
+    whole = F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in top.columns])
+    return top.where(F.length(whole) >= 0).select(key)
+
+
 def attach_first_image(top: DataFrame, images: DataFrame, primary_only: bool | None = None,
-                       name: str = "image") -> DataFrame:
+                       name: str = "image", keys: DataFrame | None = None) -> DataFrame:
     """J-04 for the rows of a top-k: one image per row, NULL if none.
 
     Images are reduced to the given products by a semi-join first, whose k
     keys AQE broadcasts, so no other image is shuffled.
     """
-    imgs = primary_images(images, primary_only).join(top.select("product_id"), "product_id", "left_semi")
+    keys = keys_of(top) if keys is None else keys
+    imgs = primary_images(images, primary_only).join(keys, "product_id", "left_semi")
     best = imgs.groupBy("product_id").agg(F.min_by("image_path", _image_order(imgs)).alias(name))
     return top.join(best, "product_id", "left")
 
 
 def attach_description(top: DataFrame, product_text: DataFrame) -> DataFrame:
     """Add ``description`` to the rows of a top-k; texts are reduced by a semi-join before they move."""
-    t = product_text.select("product_id", "description").join(top.select("product_id"), "product_id", "left_semi")
+    t = product_text.select("product_id", "description").join(keys_of(top), "product_id", "left_semi")
     return top.join(t, "product_id", "left")
 
 
@@ -77,7 +89,7 @@ def with_business_name(products: DataFrame, businesses: DataFrame) -> DataFrame:
 def _decorate(top: DataFrame, images: DataFrame, product_text: DataFrame | None,
               order: list[Column]) -> DataFrame:
     out = top if product_text is None else attach_description(top, product_text)
-    return attach_first_image(out, images).select(
+    return attach_first_image(out, images, keys=keys_of(top)).select(
         *top.columns, *(["description"] if product_text is not None else []), "image").orderBy(*order)
 
 

@@ -162,34 +162,39 @@ def orphan_audit(tables: dict[str, DataFrame], fks: list[ForeignKey] = FOREIGN_K
     """(child_table, child_column, parent_table, orphan_keys, orphan_rows) for each key whose
     tables are both present.  NULL references are legal and not counted.
 
-    All references to one parent table are tagged, unioned and counted per
-    (key, reference) first, then meet the parent's keys in a single anti-join:
-    one join per parent table instead of one per foreign key, and each
-    parent is read once.
+    Every table is read once: a row gives its references and, where it is a
+    parent, its own key, each tagged with the parent table it belongs to.  One
+    grouped count by (parent table, key), combined on the map side, then tells
+    how often a key is referenced and whether it exists; no join is needed.
     """
     spark = _spark(tables)
     present = [fk for fk in fks if fk.child in tables and fk.parent in tables]
+    tags = {p: i for i, p in enumerate(dict.fromkeys(fk.parent for fk in present))}
+    slots = {fk: [x for x in present if x.parent == fk.parent].index(fk) for fk in present}
+    meta = spark.createDataFrame([(tags[fk.parent], slots[fk], fk.child, fk.column, fk.parent) for fk in present],
+                                 "tag int, slot int, child_table string, child_column string, parent_table string")
+    zero = F.lit(0).cast("bigint")
+    if not present:
+        return meta.drop("tag", "slot").withColumns({"orphan_keys": zero, "orphan_rows": zero})
+
+    def entry(tag: int, column: str, slot: int) -> str:
+        return f"named_struct('tag', {tag}, 'k', CAST({_q(column)} AS BIGINT), 'slot', {slot})"
+
     parts = []
-    for parent in dict.fromkeys(fk.parent for fk in present):
-        group = [(i, fk) for i, fk in enumerate(present) if fk.parent == parent]
-        refs = reduce(lambda a, b: a.unionByName(b), [
-            tables[fk.child].where(F.col(fk.column).isNotNull())
-                            .select(F.lit(i).alias("fk_no"), F.col(fk.column).cast("bigint").alias("_k"))
-            for i, fk in group])
-        counted = refs.groupBy("fk_no", "_k").agg(F.count(F.lit(1)).alias("_n"))
-        keys = tables[parent].select(F.col(group[0][1].parent_key).cast("bigint").alias("_k"))
-        parts.append(counted.join(keys, "_k", "left_anti"))
-    meta = spark.createDataFrame([(i, fk.child, fk.column, fk.parent) for i, fk in enumerate(present)],
-                                 "fk_no int, child_table string, child_column string, parent_table string")
-    if not parts:
-        return meta.drop("fk_no").withColumns({"orphan_keys": F.lit(0).cast("bigint"),
-                                               "orphan_rows": F.lit(0).cast("bigint")})
-    per_fk = reduce(lambda a, b: a.unionByName(b), parts) \
-        .groupBy("fk_no").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("_n").alias("orphan_rows"))
-    return meta.join(per_fk, "fk_no", "left").select(
-        "child_table", "child_column", "parent_table",
-        F.coalesce("orphan_keys", F.lit(0)).cast("bigint").alias("orphan_keys"),
-        F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows"))
+    for name, df in tables.items():
+        entries = [entry(tags[fk.parent], fk.column, slots[fk]) for fk in present if fk.child == name]
+        entries += [entry(tags[name], fk.parent_key, -1) for fk in present if fk.parent == name and slots[fk] == 0]
+        if entries:
+            parts.append(df.selectExpr(f"explode(array({', '.join(entries)})) AS e").select("e.*"))
+    most = 1 + max(slots.values())
+    found = reduce(lambda a, b: a.unionByName(b), parts).where("k IS NOT NULL").groupBy("tag", "k").agg(
+        F.max(F.col("slot") == -1).alias("held"), *(F.expr(f"count_if(slot = {i})").alias(f"n{i}") for i in range(most)))
+    columns = ", ".join(f"{i}, n{i}" for i in range(most))
+    per_fk = (found.where("NOT held").selectExpr("tag", f"stack({most}, {columns}) AS (slot, n)").where("n > 0")
+              .groupBy("tag", "slot").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_rows")))
+    return meta.join(per_fk, ["tag", "slot"], "left").select(
+        "child_table", "child_column", "parent_table", F.coalesce("orphan_keys", zero).alias("orphan_keys"),
+        F.coalesce("orphan_rows", zero).alias("orphan_rows"))
 
 
 # -- I-02 ---------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ made explicit (DuckDB sorts NULLs last by default, Spark and MySQL first).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from souq.functions.labels import BUSINESS_CATEGORIES, UNKNOWN_LABEL
 from souq.plans.oracle_views import with_views
 
@@ -114,7 +116,44 @@ def _ekey(x: str) -> str:
     return f"lower(strip_accents(rtrim({x})))"
 
 
-from souq.operators.integrity import FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS  # noqa: E402
+class Reference(NamedTuple):
+    child: str
+    column: str
+    parent: str
+    parent_key: str
+    on_delete: str
+
+
+# Fixed values of the schema: the references between the tables that the views carry, with their delete actions.
+_REFERENCES = """
+    categories.parent_id         categories.category_id   set_null
+    businesses.user_id           users.user_id            cascade
+    products.business_id         businesses.business_id   cascade
+    products.category_id         categories.category_id   restrict
+    product_images.product_id    products.product_id      cascade
+    product_reviews.product_id   products.product_id      cascade
+    product_reviews.user_id      users.user_id            cascade
+    cart_items.user_id           users.user_id            cascade
+    cart_items.product_id        products.product_id      cascade
+    orders.user_id               users.user_id            cascade
+    order_items.order_id         orders.order_id          cascade
+    order_items.product_id       products.product_id      restrict
+    order_items.business_id      businesses.business_id   restrict
+    wishlist_items.user_id       users.user_id            cascade
+    wishlist_items.product_id    products.product_id      cascade
+    forum_topics.created_by      users.user_id            cascade
+    forum_posts.topic_id         forum_topics.topic_id    cascade
+    forum_posts.user_id          users.user_id            cascade"""
+_FKS = [Reference(*child.split("."), *parent.split("."), action)
+        for child, parent, action in (line.split() for line in _REFERENCES.split("\n") if line.strip())]
+# Fixed values of the schema: primary keys, and the other unique keys.
+PRIMARY_KEYS = dict(users="user_id", businesses="business_id", categories="category_id", products="product_id",
+                    product_images="image_id", product_reviews="review_id", orders="order_id",
+                    order_items="order_item_id", cart_items="cart_item_id", wishlist_items="wishlist_id",
+                    forum_topics="topic_id", forum_posts="post_id")
+UNIQUE_KEYS = [("users", ("username",)), ("users", ("email",)), ("businesses", ("business_slug",)),
+               ("categories", ("category_slug",)), ("products", ("slug",)), ("forum_topics", ("slug",)),
+               ("cart_items", ("user_id", "product_id")), ("wishlist_items", ("user_id", "product_id"))]
 
 # Fixed values of the schema, written down here apart from the operators' lists, for the columns that the
 # views carry: a constraint that is wrong or absent there shows as a difference.
@@ -159,7 +198,6 @@ ENUMS = {
 
 MAPPED = {"users", "businesses", "categories", "products", "product_images", "product_reviews",
           "orders", "order_items", "cart_items", "wishlist_items", "forum_topics", "forum_posts"}
-_FKS = [fk for fk in FOREIGN_KEYS if fk.child in MAPPED and fk.parent in MAPPED]
 _COLLATED = {"username", "email", "category_slug", "business_slug", "slug"}
 
 

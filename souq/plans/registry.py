@@ -154,8 +154,10 @@ def _tables(v: MarketViews) -> dict[str, DataFrame]:
     return {t: v.table(t) for t in MAPPED_TABLES}
 
 
-def _defective(spark, d) -> dict[str, DataFrame]:
-    return candidates.defective_tables(_mv(spark, d), MAPPED_TABLES)
+def _defective(spark, d, specs: list[dict] | None = None) -> dict[str, DataFrame]:
+    """The defective tables; with ``specs``, those that the given lists of constraints name."""
+    needed = None if specs is None else {k if isinstance(k, str) else k[0] for s in specs for k in s}
+    return candidates.defective_tables(_mv(spark, d), [t for t in MAPPED_TABLES if needed is None or t in needed])
 
 
 def q_orphans(spark, d):
@@ -167,7 +169,7 @@ def q_duplicate_keys(spark, d):
 
 
 def q_enum_violations(spark, d):
-    return integrity.enum_audit(_defective(spark, d))
+    return integrity.enum_audit(_defective(spark, d, [integrity.ENUMS]))
 
 
 def q_null_violations(spark, d):
@@ -175,7 +177,7 @@ def q_null_violations(spark, d):
 
 
 def q_length_violations(spark, d):
-    return integrity.length_audit(_defective(spark, d))
+    return integrity.length_audit(_defective(spark, d, [integrity.VARCHAR_LIMITS, integrity.DECIMAL_SHAPES]))
 
 
 def q_column_violations(spark, d):

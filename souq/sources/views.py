@@ -45,9 +45,13 @@ class MarketViews:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return scan(self.spark, self.base, name)
+        """A driver table; its files are listed once for these views."""
+        if name not in self._raw:
+            self._raw[name] = scan(self.spark, self.base, name)
+        return self._raw[name]
 
     # -- people and sellers -------------------------------------------------
     @cached_property
