@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from souq.llm.common import pieces, utf8_view, work_folder, write_table
 
 FREQUENT = 1 << 17
-PIECE = 1 << 19
+PIECE = 1 << 17
 #: Characters of the parts whose tokens a process remembers.
-HELD = 1 << 22
+HELD = 1 << 21
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict = {}
