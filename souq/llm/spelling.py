@@ -168,6 +168,8 @@ def pairs(words: DataFrame) -> DataFrame:
     forward = _nodes(words, F.col("word")).withColumnRenamed("nodes", "p")
     back = _nodes(words, F.reverse("word")).select("w", F.col("nodes").alias("s"))
     x = words.join(forward, "w").join(back, "w").withColumn("last", F.size("p") - 1)
+    # a word makes many rows: a number that is given is kept, however few bytes the words have
+    x = x.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w")
     skip = F.expr("transform(sequence(0, last - 1), i -> struct(p[i] AS p, s[last - i - 1] AS s, false AS split, "
                   "firsts[i] AS first))")
     split = F.expr("transform(sequence(0, last), i -> struct(p[i] AS p, s[last - i] AS s, true AS split, true AS first))")
