@@ -32,7 +32,7 @@ def primary_images(images: DataFrame, primary_only: bool | None = None) -> DataF
     return images
 
 
-def _image_order(images: DataFrame) -> Column:
+def image_order(images: DataFrame) -> Column:
     # The source's LIMIT 1 has no ORDER BY; we fix (display_order, image_id).
     cols = [c for c in ("display_order", "image_id") if c in images.columns]
     return F.struct(*cols) if cols else F.struct(F.col("image_path"))
@@ -47,7 +47,7 @@ def first_image(images: DataFrame, primary_only: bool | None = None) -> DataFram
     before the shuffle.
     """
     imgs = primary_images(images, primary_only)
-    return imgs.groupBy("product_id").agg(F.min_by("image_path", _image_order(imgs)).alias("image"))
+    return imgs.groupBy("product_id").agg(F.min_by("image_path", image_order(imgs)).alias("image"))
 
 
 def keys_of(top: DataFrame, key: str = "product_id") -> DataFrame:
@@ -70,7 +70,7 @@ def attach_first_image(top: DataFrame, images: DataFrame, primary_only: bool | N
     """
     keys = keys_of(top) if keys is None else keys
     imgs = primary_images(images, primary_only).join(keys, "product_id", "left_semi")
-    best = imgs.groupBy("product_id").agg(F.min_by("image_path", _image_order(imgs)).alias(name))
+    best = imgs.groupBy("product_id").agg(F.min_by("image_path", image_order(imgs)).alias(name))
     return top.join(best, "product_id", "left")
 
 

@@ -57,8 +57,9 @@ def business_cards(businesses: DataFrame) -> DataFrame:
     logo = F.col("logo_path") if "logo_path" in businesses.columns else F.lit(None).cast("string")
     code = F.col("business_category") if "business_category" in businesses.columns \
         else F.lit(None).cast("string")
+    place = F.col("location") if "location" in businesses.columns else None
     return businesses.select(
         "business_id", "business_name",
         image_or_placeholder(logo, BUSINESS_PLACEHOLDER).alias("logo"),
-        location_label("city", "state").alias("location"),
+        location_label("city", "state", place).alias("location"),
         business_category_label(code, badge=True).alias("category_badge"))

@@ -8,15 +8,19 @@ keys on the map side and joins see one row per key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from souq.operators.catalog import with_category_name
-from souq.operators.discovery import first_image
+from souq.operators.discovery import has_primary_flag, image_order
 from souq.operators.reviews import rating_stats, with_mean_rating
 
 MONEY = DecimalType(18, 2)
+#: Rows of a list on the product page.
+DETAIL_ROWS = 4
 CLOSED_ITEM_STATUSES = ["cancelled", "returned"]
 
 
@@ -56,9 +60,13 @@ def product_detail(products: DataFrame, images: DataFrame, reviews: DataFrame,
     def counted(df, name):
         return df.groupBy("product_id").agg(F.count(F.lit(1)).alias(name))
     stats = with_mean_rating(rating_stats(reviews)).select("product_id", "avg_rating", "review_count")
+    order = image_order(images)
+    if has_primary_flag(images):
+        order = F.when(F.col("is_primary").cast("int") == 1, order)
+    shown = images.groupBy("product_id").agg(F.count(F.lit(1)).alias("image_count"),
+                                             F.min_by("image_path", order).alias("image"))
     p = products.select("product_id", "name") \
-                .join(counted(images, "image_count"), "product_id", "left") \
-                .join(first_image(images), "product_id", "left") \
+                .join(shown, "product_id", "left") \
                 .join(stats, "product_id", "left")
     extra = []
     for df, name in ((attributes, "attribute_count"), (tags, "tag_count")):
@@ -72,6 +80,34 @@ def product_detail(products: DataFrame, images: DataFrame, reviews: DataFrame,
                     F.coalesce("review_count", F.lit(0).cast("bigint")).alias("review_count"), *extra)
 
 
+def product_detail_lists(images: DataFrame, attributes: DataFrame, tags: DataFrame, page: int = 1,
+                         page_size: int = DETAIL_ROWS) -> DataFrame:
+    """C-03 as rows: a page of every product's images, attributes and tags, with the totals to page on.
+
+    (product_id, kind, position, item_id, name, value, total).  The three child
+    tables are one tagged union ranked by one window; each task passes on
+    offset + page_size rows of a product's list at most, and the totals are
+    counted on the map side, so no list is gathered whole.
+    """
+    text = lambda c: F.col(c).cast("string")
+    order = F.coalesce("display_order", F.lit(0)).cast("bigint").alias("_order")
+    rows = [images.select("product_id", F.lit("image").alias("kind"), order, F.col("image_id").alias("item_id"),
+                          F.lit(None).cast("string").alias("name"), text("image_path").alias("value")),
+            attributes.select("product_id", F.lit("attribute").alias("kind"), order, F.col("attribute_id").alias("item_id"),
+                              text("attribute_name").alias("name"), text("attribute_value").alias("value")),
+            tags.select("product_id", F.lit("tag").alias("kind"), F.lit(0).cast("bigint").alias("_order"),
+                        F.col("tag_id").alias("item_id"), F.lit(None).cast("string").alias("name"),
+                        text("tag_name").alias("value"))]
+    every = reduce(DataFrame.unionByName, rows)
+    lo = (max(1, page) - 1) * page_size
+    w = Window.partitionBy("product_id", "kind").orderBy("_order", "item_id")
+    listed = every.withColumn("position", F.row_number().over(w)).where(
+        (F.col("position") > lo) & (F.col("position") <= lo + page_size))
+    totals = every.groupBy("product_id", "kind").agg(F.count(F.lit(1)).alias("total"))
+    return listed.join(totals, ["product_id", "kind"]).select(
+        "product_id", "kind", F.col("position").cast("bigint").alias("position"), "item_id", "name", "value", "total")
+
+
 def cart_totals(cart_items: DataFrame, products: DataFrame) -> DataFrame:
     """C-04: per user the cart lines, units and value at current prices."""
     priced = cart_items.join(products.select("product_id", "price"), "product_id", "left")

@@ -48,8 +48,12 @@ def product_ratings(products: DataFrame, reviews: DataFrame, exclude_hidden: boo
     Products without reviews get 0.0 and 0.  Hidden reviews count unless
     ``exclude_hidden`` (the source does not exclude them).
     """
-    stats = with_mean_rating(rating_stats(reviews, exclude_hidden))
-    j = products.select("product_id").join(stats, "product_id", "left")
+    return rated(products, rating_stats(reviews, exclude_hidden))
+
+
+def rated(products: DataFrame, stats: DataFrame) -> DataFrame:
+    """The ratings of every product from (product_id, rating_sum, review_count, rated_count)."""
+    j = products.select("product_id").join(with_mean_rating(stats), "product_id", "left")
     return j.select("product_id",
                     F.coalesce("avg_rating", F.lit(Decimal("0.0")).cast(RATING)).alias("avg_rating"),
                     F.coalesce("review_count", F.lit(0).cast("bigint")).alias("review_count"))

@@ -594,7 +594,8 @@ SQL: dict[str, str] = {
                CASE WHEN business_id % 3 = 0 THEN 'logos/' || business_id
                     ELSE 'assets/images/business-placeholder.jpg' END AS logo,
                CASE WHEN business_id % 4 <> 0 AND city IS NOT NULL AND state IS NOT NULL
-                    THEN city || ', ' || state ELSE 'Location not specified' END AS location,
+                    THEN city || ', ' || state WHEN business_id % 8 = 0 AND state IS NOT NULL THEN 'near ' || state
+                    ELSE 'Location not specified' END AS location,
                CASE {_CARD_BADGES} END AS category_badge
         FROM m_businesses""",
     "delete_survivors": _delete_survivors(),
@@ -608,12 +609,14 @@ SQL: dict[str, str] = {
         SELECT count(*) AS total_products, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages
         FROM m_products WHERE business_id = 3""",
     "category_seed": """
-        SELECT category_id, category_name, category_slug, parent_id FROM m_categories WHERE parent_id IS NULL
+        WITH b AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS category_id, p_brand FROM part)
+        SELECT category_id, p_brand AS category_name,
+               lower(trim(regexp_replace(p_brand, '[^a-zA-Z0-9-]+', '-', 'g'), '-')) AS category_slug,
+               CAST(NULL AS BIGINT) AS parent_id FROM b
         UNION ALL
-        SELECT (SELECT max(category_id) FROM m_categories WHERE parent_id IS NULL) + n_nationkey + 1, n_name,
-               lower(trim(regexp_replace(n_name, '[^a-zA-Z0-9-]+', '-', 'g'), '-')), c.category_id
-        FROM nation JOIN m_categories c ON c.parent_id IS NULL AND c.category_id = n_regionkey + 1
-        WHERE n_nationkey % 6 <> 5""",
+        SELECT (SELECT max(category_id) FROM b) + p_partkey + 1, p_type || ' ' || p_partkey,
+               lower(trim(regexp_replace(p_type || ' ' || p_partkey, '[^a-zA-Z0-9-]+', '-', 'g'), '-')), b.category_id
+        FROM part JOIN b USING (p_brand) WHERE p_partkey % 6 <> 5""",
     "dialect2_catalog": """
         SELECT c.category_id, c.category_name, count(p.product_id) AS product_count
         FROM m_categories c
@@ -645,6 +648,41 @@ SQL["accepted_products"] = f"""
            md5({_esc("coalesce(raw.description, '')")}) AS description_md5
     FROM ok JOIN raw ON raw.arrival_no = ok.arrival_no WHERE ok.is_valid"""
 
+SQL["product_detail_lists"] = """
+    WITH every AS (
+        SELECT product_id, 'image' AS kind, display_order AS o, image_id AS item_id, NULL AS name, image_path AS value
+        FROM m_product_images
+        UNION ALL SELECT p_partkey, 'attribute', 2, p_partkey * 4, 'brand', p_brand FROM part
+        UNION ALL SELECT p_partkey, 'attribute', 1, p_partkey * 4 + 1, 'type', p_type FROM part
+        UNION ALL SELECT p_partkey, 'attribute', 0, p_partkey * 4 + 2, 'size', CAST(p_size AS VARCHAR) FROM part
+        UNION ALL SELECT p_partkey, 'tag', 0, p_partkey * 100 + i - 1, NULL, words[i]
+        FROM (SELECT p_partkey, string_split(p_name, ' ') AS words, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i
+              FROM part) t)
+    SELECT product_id, kind, position, item_id, name, value, total
+    FROM (SELECT *, row_number() OVER (PARTITION BY product_id, kind ORDER BY o, item_id) AS position,
+                 count(*) OVER (PARTITION BY product_id, kind) AS total FROM every) x
+    WHERE position <= 4"""
+SQL["refreshed_ratings"] = """
+    WITH now AS (
+        SELECT product_id, CASE WHEN review_id % 7 = 0 THEN 6 - rating ELSE rating END AS rating
+        FROM m_product_reviews WHERE NOT is_hidden AND review_id % 11 <> 0
+        UNION ALL SELECT product_id, 5 FROM m_product_reviews WHERE review_id % 5 = 0)
+    SELECT p.product_id,
+           CAST(coalesce(((r.s * 20000 + r.n) // (r.n * 2) + 500) // 1000, 0) * 0.1 AS DECIMAL(4,1)) AS avg_rating,
+           coalesce(r.n, 0) AS review_count
+    FROM m_products p LEFT JOIN (SELECT product_id, CAST(sum(rating) AS BIGINT) AS s, count(*) AS n FROM now
+                                 GROUP BY product_id) r ON r.product_id = p.product_id"""
+SQL["refreshed_sales"] = """
+    SELECT p.product_id, CAST(coalesce(sum(i.quantity), 0) AS BIGINT) AS total_sales
+    FROM m_products p LEFT JOIN m_order_items i ON i.product_id = p.product_id
+         AND i.status NOT IN ('cancelled', 'returned') AND i.order_id % 6 <> 0
+    GROUP BY p.product_id"""
+SQL["order_history_rows"] = """
+    SELECT o.user_id, o.order_id, o.created_at, o.order_status, o.payment_status, o.total_amount,
+           coalesce(i.n, 0) AS order_lines, coalesce(i.units, 0) AS units,
+           row_number() OVER (PARTITION BY o.user_id ORDER BY o.created_at DESC, o.order_id) AS position
+    FROM m_orders o LEFT JOIN (SELECT order_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS units
+                               FROM m_order_items GROUP BY order_id) i ON i.order_id = o.order_id"""
 SQL["indexed_search"] = """
     SELECT DISTINCT search, product_id AS id
     FROM m_product_text JOIN (VALUES (' red ', '%red%'), ('ATION', '%ation%'), ('th_s', '%th_s%'), ('o%ation', '%o%ation%'),

@@ -105,7 +105,7 @@ VIEWS: dict[str, str] = {
               FROM events WHERE event_type = 'view') e
         GROUP BY user_id, product_id""",
     "m_forum_posts": """
-        SELECT conv_id * 100 + turn AS post_id, conv_id AS topic_id, conv_id AS user_id,
+        SELECT CAST(CAST(conv_id AS VARCHAR) || lpad(CAST(turn AS VARCHAR), 12, '0') AS DECIMAL(38,0)) AS post_id, conv_id AS topic_id, conv_id AS user_id,
                text AS content, role = 'assistant' AS is_solution,
                CAST(DATE '2024-01-01' + CAST(conv_id % 365 AS INTEGER) AS TIMESTAMP)
                  + to_hours(CAST(turn AS INTEGER)) AS created_at

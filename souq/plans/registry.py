@@ -17,8 +17,8 @@ from pyspark.sql.types import DecimalType
 
 from souq.functions.labels import BUSINESS_CATEGORIES
 from souq.functions.text import slugify
-from souq.operators import (catalog, discovery, intake, integrity, labels, rank_index, reports, reviews,
-                            taxonomy, text_index)
+from souq.operators import (catalog, discovery, history, intake, integrity, labels, rank_index, reports, reviews,
+                            rollups, taxonomy, text_index)
 from souq.plans import candidates
 from souq.session import scratch_path
 from souq.sources.dialect import resolve_columns
@@ -262,15 +262,17 @@ def q_seller_count(spark, d):
 
 
 def q_category_seed(spark, d):
-    """S-03: nations appended below the region that their slug names."""
-    v = _mv(spark, d)
-    regions = v.categories.where("parent_id IS NULL")
-    n, r = v.raw("nation"), v.raw("region")
-    children = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        (F.col("n_nationkey") + 1).cast("bigint").alias("seq"), F.col("n_name").alias("category_name"),
-        slugify("n_name").alias("category_slug"),
-        F.when(F.col("n_nationkey") % 6 == 5, F.lit("no-such-slug")).otherwise(slugify("r_name")).alias("parent_slug"))
-    return taxonomy.add_children_by_parent_slug(regions, children).select(
+    """S-03: every part's type appended below the brand that its slug names; one in six names none."""
+    part = _mv(spark, d).raw("part")
+    k = F.col("p_partkey")
+    number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint")
+    brands = part.select(number.alias("category_id"), F.col("p_brand").alias("category_name"),
+                         slugify("p_brand").alias("category_slug"), F.lit(None).cast("bigint").alias("parent_id")).distinct()
+    children = part.select(
+        (k + 1).cast("bigint").alias("seq"), F.concat("p_type", F.lit(" "), k.cast("string")).alias("category_name"),
+        slugify(F.concat("p_type", F.lit(" "), k.cast("string"))).alias("category_slug"),
+        F.when(k % 6 == 5, F.lit("no-such-slug")).otherwise(slugify("p_brand")).alias("parent_slug"))
+    return taxonomy.add_children_by_parent_slug(brands, children).select(
         "category_id", "category_name", "category_slug", "parent_id")
 
 
@@ -351,6 +353,58 @@ def q_product_detail(spark, d):
     return reports.product_detail(v.products, v.product_images, v.product_reviews)
 
 
+def q_product_detail_lists(spark, d):
+    """C-03: first rows of every product's images, attributes (brand, type, size) and tags (words of the name)."""
+    v = _mv(spark, d)
+    p = v.raw("part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
+    k = F.col("p_partkey")
+    attributes = p.select(k.alias("product_id"), F.posexplode(F.array(*(
+        F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value"))
+        for n, c in (("brand", "p_brand"), ("type", "p_type"), ("size", "p_size"))))).alias("at", "x"))
+    attributes = attributes.select("product_id", (F.col("product_id") * 4 + F.col("at")).alias("attribute_id"),
+                                   F.col("x.name").alias("attribute_name"), F.col("x.value").alias("attribute_value"),
+                                   (2 - F.col("at")).alias("display_order"))
+    tags = p.select(k.alias("product_id"), F.posexplode(F.split("p_name", " ")).alias("at", "tag_name"))
+    tags = tags.select("product_id", (F.col("product_id") * 100 + F.col("at")).alias("tag_id"), "tag_name")
+    return reports.product_detail_lists(v.product_images, attributes, tags)
+
+
+def q_refreshed_ratings(spark, d):
+    """A-03 + A-04 kept by signed changes: reviews come, some are edited, some hidden, new ones follow."""
+    v = _mv(spark, d)
+    k = F.col("review_id")
+    r = v.product_reviews.select("review_id", "product_id", "rating", "is_hidden")
+    edited = r.withColumn("rating", F.when(k % 7 == 0, 6 - F.col("rating")).otherwise(F.col("rating")))
+    rollup = rollups.rating_rollup(spark, scratch_path(spark, f"souq/ratings-{uuid.uuid4().hex}"))
+    shown = ~F.col("is_hidden")
+    rollup.commit(r.where(shown).withColumn("sign", F.lit(1)), "load")
+    for _ in range(2):                                 # the job runs twice
+        rollup.commit(rollups.changes(r.where(shown & (k % 7 == 0)), edited.where(shown & (k % 7 == 0))), "edits")
+    rollup.commit(edited.where(shown & (k % 11 == 0)).withColumn("sign", F.lit(-1)), "hidden")
+    rollup.compact()
+    rollup.commit(r.where(k % 5 == 0).withColumns({"rating": F.lit(5), "sign": F.lit(1)}), "new")
+    return rollups.ratings(rollup, v.products)
+
+
+def q_refreshed_sales(spark, d):
+    """C-09 kept by signed changes: order lines come, one in six orders is returned."""
+    v = _mv(spark, d)
+    lines = v.order_items.select("order_id", "product_id", "quantity", "status")
+    rollup = rollups.sales_rollup(spark, scratch_path(spark, f"souq/sales-{uuid.uuid4().hex}"))
+    rollup.commit(lines.withColumn("sign", F.lit(1)), "load")
+    back = lines.where(F.col("order_id") % 6 == 0)
+    rollup.commit(rollups.changes(back, back.withColumn("status", F.lit("returned"))), "returns")
+    return rollups.total_sales(rollup, v.products)
+
+
+def q_order_history_rows(spark, d):
+    """C-05: every customer's orders, newest first, from the layout bucketed by customer."""
+    v = _mv(spark, d)
+    name = f"order_history_{uuid.uuid4().hex}"
+    stored = history.store_history(v.orders, v.order_items, name, scratch_path(spark, f"souq/{name}"))
+    return history.order_pages(stored)
+
+
 def q_cart_totals(spark, d):
     v = _mv(spark, d)
     return reports.cart_totals(v.cart_items, v.products)
@@ -411,7 +465,8 @@ def q_business_cards(spark, d):
         "logo_path": F.when(k % 3 == 0, F.concat(F.lit("logos/"), k.cast("string"))),
         "business_category": F.element_at(F.array(*[F.lit(c) for c in [*BUSINESS_CATEGORIES, "other-code", ""]]),
                                           (k % (len(BUSINESS_CATEGORIES) + 2) + 1).cast("int")),
-        "city": F.when(k % 4 != 0, F.col("city"))})
+        "city": F.when(k % 4 != 0, F.col("city")),
+        "location": F.when(k % 8 == 0, F.concat(F.lit("near "), F.col("state")))})
     return labels.business_cards(b)
 
 
@@ -474,4 +529,8 @@ QUERIES: dict[str, QueryFn] = {
     "catalog_after_delete": q_catalog_after_delete,
     "indexed_search": q_indexed_search,
     "seller_last_page": q_seller_last_page,
+    "product_detail_lists": q_product_detail_lists,
+    "refreshed_ratings": q_refreshed_ratings,
+    "refreshed_sales": q_refreshed_sales,
+    "order_history_rows": q_order_history_rows,
 }

@@ -38,6 +38,8 @@ ORDER_ITEM_ID = ("CAST(concat(CAST(l_orderkey AS STRING), CAST(l_linenumber AS S
                  "AS DECIMAL(38,0))")
 USER_PRODUCT_ID = "CAST(concat(CAST(user_id AS STRING), lpad(CAST(product_id AS STRING), 12, '0')) AS DECIMAL(38,0))"
 
+POST_ID = "CAST(concat(CAST(conv_id AS STRING), lpad(CAST(turn AS STRING), 12, '0')) AS DECIMAL(38,0))"
+
 
 class MarketViews:
     """Lazy marketplace views over one folder of driver tables."""
@@ -216,7 +218,7 @@ class MarketViews:
     def forum_posts(self) -> DataFrame:
         c = self.raw("conversations")
         return c.select(
-            (F.col("conv_id") * 100 + F.col("turn")).alias("post_id"),
+            F.expr(POST_ID).alias("post_id"),
             F.col("conv_id").alias("topic_id"), F.col("conv_id").alias("user_id"),
             F.col("text").alias("content"), (F.col("role") == "assistant").alias("is_solution"),
             (_days_after("2024-01-01", F.col("conv_id") % 365)

@@ -62,3 +62,18 @@ def test_no_nested_loops_cartesians_or_python(spark, name):
     p = plan(spark, name)
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in p, bad
+
+
+@pytest.mark.parametrize("name", ["top_deals", "newest_products", "trending_sample", "seller_page", "catalog_page"])
+def test_lineitem_is_read_once(spark, name):
+    df = E.queries()[name](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_partkey", final)) == 1
+
+
+def test_the_orphan_audit_reads_every_table_once_and_joins_no_keys(spark):
+    p = plan(spark, "orphans").split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_partkey", p)) == 2      # order items, and the rollup of products
+    assert len(re.findall(r"FileScan parquet \[[^\]]*o_orderkey", p)) == 1
+    assert "SortMergeJoin [k" not in p and "LeftAnti" not in p
