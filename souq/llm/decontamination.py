@@ -49,7 +49,10 @@ NGRAM = 3
 BLOCK = 8                         # items a block
 INDEX_BYTES = 32 << 20
 MARKS = re.compile(r"[^\w\s]+|_+")
-HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
+
+def hit_type(item: T.DataType) -> T.StructType:
+    """A found item, under the benchmark's own type of id."""
+    return T.StructType([T.StructField("item_id", item), T.StructField("score", T.DoubleType()),
                     T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
 
 
@@ -169,7 +172,7 @@ def search(index: Index, text: str, threshold: float = THRESHOLD, overlap: float
 def build_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text",
                   index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
     """Indexes over blocks of items of at most ``index_bytes`` of text each (checked before collecting)."""
-    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"),
+    items = benchmark.select(F.col(f"`{item}`").alias("item"),
                              F.col(f"`{text}`").alias("text")).where("item is not null and text is not null")
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\p{M}\x20\x09-\x0D]+|_+", "")
     size = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
@@ -202,20 +205,22 @@ def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", hits: str = "hits",
-              threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
+              threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES,
+              item: str = "item_id") -> DataFrame:
     """``docs`` with one more column ``hits``: an array of (item_id, score, question_overlap, answer_overlap).
 
     One pass over the texts for each block of items, no shuffle.
     """
-    out = docs.withColumn(hits, F.array().cast(T.ArrayType(HIT)))
-    for index in build_indexes(benchmark, index_bytes=index_bytes):
-        found = _searcher(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap)
+    hit = T.ArrayType(hit_type(benchmark.schema[item].dataType))
+    out = docs.withColumn(hits, F.array().cast(hit))
+    for index in build_indexes(benchmark, item, index_bytes=index_bytes):
+        found = _searcher(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap, hit)
         out = out.withColumn(hits, F.concat(hits, found(F.col(f"`{text}`"))))
     return out
 
 
-def _searcher(shared, threshold: float, overlap: float):
-    @F.udf(T.ArrayType(HIT), useArrow=True)
+def _searcher(shared, threshold: float, overlap: float, hit: T.DataType):
+    @F.udf(hit, useArrow=True)
     def find(text):
         return search(shared.value, text, threshold, overlap) if text else []
     return find

@@ -33,6 +33,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Notices as they are printed by convention.
 TEMPLATES = {
@@ -144,36 +145,15 @@ class Scanner:
         return sorted(row for _, _, row in kept)
 
 
-def scan(self, block: str) -> list[tuple]:
-        """(license, reduction, missing words, added words) of the block's confirmed winners, best first."""
-        best: dict[str, tuple] = {}
-        raw = block.encode()
-        half = MAX_BLOCK // 2
-        for at in range(0, max(1, len(raw) - half), half):
-            part = raw[at:at + MAX_BLOCK]
-            alone = len(self.plain.compress(part))
-            ranked = []
-            for name, words, size, with_template in self.items:
-                spared = (alone - len(with_template.compress(part))) / min(size, alone)
-                if spared >= self.min_reduction:
-                    ranked.append((-spared, name, words))
-            text = None
-            for spared, name, words in sorted(ranked, key=lambda r: r[:2])[:FINALISTS]:
-                text = _words(part.decode(errors="ignore")) if text is None else text
-                missing, added = wording(words, text)
-                if len(missing) <= self.max_missing * len(words) and (name not in best or -spared > best[name][0]):
-                    best[name] = (-spared, missing, added)
-        rows = [(n, *v) for n, v in best.items()]
-        return sorted(rows, key=lambda r: (len(r[2]), len(r[3]), -r[1], r[0]))[:1]
-
-
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
          max_missing: float = MAX_MISSING, min_reduction: float = MIN_REDUCTION) -> DataFrame:
     """One row for each notice: key, its first line (from 0), license, reduction, the wording differences, its lines."""
     templates = dict(templates or TEMPLATES)
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("t")) \
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")) \
         .where(F.col("t").rlike(CANDIDATE))
 
+    kind = texts.schema["key"].dataType
+
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates, max_missing, min_reduction)
         for f in frames:
@@ -186,6 +166,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
                     rows.append((k, line, name, spared, len(missing), len(added), not missing and not added,
                                  " ".join(missing), " ".join(added), block))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            out["key"] = out["key"].astype("Int64")
+            if isinstance(kind, IntegralType):
+                out["key"] = out["key"].astype("Int64")
             yield out
-    return texts.mapInPandas(confirm, SCHEMA)
+    return texts.mapInPandas(confirm, SCHEMA.replace("bigint", kind.simpleString(), 1))

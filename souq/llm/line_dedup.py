@@ -103,9 +103,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removals(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, th, removed): the (line, lines) of the passages to remove from every document that has any."""
-    d = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.xxhash64(f"`{text}`").alias("th"),
+    d = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("th"),
                     F.col(f"`{text}`").alias("text")).where("text is not null")
-    units = write_table(d.mapInArrow(_narrow, "key bigint, th bigint, no int, h bigint"), folder, "units")
+    kind = d.schema["key"].dataType.simpleString()
+    units = write_table(d.mapInArrow(_narrow, f"key {kind}, th bigint, no int, h bigint"), folder, "units")
     twice = write_table(units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
                         .select(F.col("h").alias("h2")), folder, "twice")
     # one row per document; a document's own lines bound the list
@@ -113,7 +114,7 @@ def removals(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "tex
         .groupBy(F.col("key").alias("key2"), F.col("th").alias("th2")).agg(F.collect_set("no").alias("wanted"))
     texts = d.join(named.hint("merge"), null_safe(F.col("key"), F.col("key2")) & (F.col("th") == F.col("th2"))) \
         .select("key", "th", "text", "wanted")
-    texts = write_table(texts.mapInArrow(_texts, "key bigint, th bigint, no int, line int, lines int, h bigint, "
+    texts = write_table(texts.mapInArrow(_texts, f"key {kind}, th bigint, no int, line int, lines int, h bigint, "
                                                  "passage binary"), folder, "candidates")
     place = F.struct(F.col("key").isNull().alias("last"), "key", "th", "no")
     first = texts.groupBy("h", "passage").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -134,7 +135,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
     k, t, r = (fresh_name(docs, x) for x in ("line_key", "line_th", "line_removed"))
     gone = gone.select(F.col("key").alias(k), F.col("th").alias(t), F.col("removed").alias(r))
     # one plan at every size: the list of removals grows with the corpus and is never broadcast
-    out = docs.join(gone.hint("merge"), null_safe(F.col(f"`{key}`").cast("bigint"), F.col(k))
+    out = docs.join(gone.hint("merge"), null_safe(F.col(f"`{key}`"), F.col(k))
                     & (F.xxhash64(f"`{text}`") == F.col(t)), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     drop = F.flatten(F.transform(F.col(r), lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1)))    # may overlap

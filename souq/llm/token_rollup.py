@@ -14,7 +14,8 @@ twice.
 Within a batch a key may occur several times: the last by ``seq`` counts, the
 greatest text on a tie (so repeated rows are one document).  An insert of a
 known key revises it; a revision of an unknown one inserts it; its deletion
-does nothing.  Rows without a key are keyed by their text.  Null text counts 0
+does nothing.  A change that is null or none of these three is an error.  Batch
+names are any text.  Two writers of one batch: one of them fails.  Rows without a key are keyed by their text.  Null text counts 0
 tokens.  Null sources and languages are groups of their own.  Empty batches
 commit and add nothing.  Other columns are ignored.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,20 +66,20 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, folder: str, tokenizer: str, version: str):
         self.spark, self.folder, self.tokenizer, self.version = spark, folder.rstrip("/"), tokenizer, version
 
-    def _path(self, kind: str, batch: str = "*") -> str:
-        return f"{self.folder}/{kind}/{batch}"
+    def _path(self, kind: str, batch: str) -> str:
+        return f"{self.folder}/{kind}/" + quote(batch, safe="").replace(".", "%2E")
 
     def committed(self) -> list[str]:
         """Names of the committed batches."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+        return sorted(unquote(x.getPath().getName()) for x in fs.listStatus(path)) if fs.exists(path) else []
 
     def _mark(self, batch: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self._path("commits", batch))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True).close()
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, False).close()
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         names = self.committed()
@@ -88,15 +90,17 @@ class TokenRollup:
     def counted(self, changes: DataFrame, key: str, text: str, source: str, lang: str, op: str | None,
                 seq: str | None) -> DataFrame:
         """(key, op, source, lang, version, tokens): the last change of every key, counted in every version."""
+        what = F.col(f"`{op}`") if op else F.lit("insert")
+        what = F.when(what.isin(*OPS), what).otherwise(F.raise_error(F.lit(f"a change is one of {', '.join(OPS)}")))
         d = changes.select(
             F.coalesce(F.concat(F.lit("="), F.col(f"`{key}`").cast("string")),
                        F.concat(F.lit("~"), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))).alias("key"),
             (F.col(f"`{seq}`").cast("bigint") if seq else F.lit(0).cast("bigint")).alias("seq"),
-            (F.col(f"`{op}`") if op else F.lit("insert")).alias("op"),
+            what.cast("string").alias("op"),
             F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{lang}`").cast("string").alias("lang"),
             F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("digest"),
             F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words"),
-            F.when(F.col("op") != "delete", F.col(f"`{text}`")).alias("text"))
+            F.when(what != "delete", F.col(f"`{text}`")).alias("text"))
         n = d.mapInArrow(_bpe_counter(self.spark.sparkContext, self.tokenizer),
                          "key string, seq bigint, op string, source string, lang string, digest string, "
                          "n bigint, n_words bigint")
