@@ -27,7 +27,6 @@ not read.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -44,9 +43,11 @@ from pyspark.sql import functions as F
 from souq.llm.common import pieces, utf8_view, work_folder, write_table
 
 FREQUENT = 1 << 17
-PIECE = 1 << 17
+PIECE = 1 << 18
+#: Files of the counts, of which there are as many as pairs of ids at most.
+COUNT_FILES = 16
 #: Characters of the parts whose tokens a process remembers.
-HELD = 1 << 21
+HELD = 1 << 22
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict = {}
@@ -104,8 +105,7 @@ class Pair:
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_proto=b)
         letter = _byte_letters()
-        names = {i: t for t, i in json.loads(a)["model"]["vocab"].items()}
-        names |= {t["id"]: t["content"] for t in json.loads(a).get("added_tokens", ())}
+        names = {i: t for t, i in self._a.get_vocab(with_added_tokens=True).items()}
         self.a = Vocabulary([b"".join(bytes([letter[c]]) if c in letter else c.encode() for c in names.get(i, ""))
                              for i in range(max(names) + 1)])
         n = self._b.get_piece_size()
@@ -143,10 +143,14 @@ class Pair:
         both = ([x.ids for x in self._a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)],
                 self._b.encode(parts, num_threads=1))
         good = np.ones(len(parts), bool)
+        raw = [b" " + p.encode() for p in parts]
+        length, whole = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
         for side, (v, lists) in enumerate(zip((self.a, self.b), both)):
-            good &= [v.bytes(x) == b" " + p.encode() for x, p in zip(lists, parts)]
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter(chain.from_iterable(lists), np.int32, size.sum())
+            ends = np.append(0, np.cumsum(v.size[flat]))[np.cumsum(size)]
+            if not (np.array_equal(ends, np.cumsum(length)) and v.bytes(flat.tolist()) == whole):
+                good &= [v.bytes(x) == r for x, r in zip(lists, raw)]
             self._ids[side] = np.concatenate([self._ids[side], flat])
             self._ends[side] = np.concatenate([self._ends[side], self._ends[side][-1] + np.cumsum(size)])
         self._code.update(zip(parts, range(len(self._good), len(self._good) + len(parts))))
@@ -176,8 +180,7 @@ def load(files: Broadcast) -> Pair:
 
 
 def _frame(name: str, side: Side, size: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"start": side.ends - size[side.ids], "doc": side.docs(), f"{name}_at": np.arange(len(side.ids)),
-                         f"{name}_end": side.ends})
+    return pd.DataFrame({"start": side.ends - size[side.ids], "doc": side.docs(), name: np.arange(len(side.ids))})
 
 
 def overlaps_of(a: Side, b: Side, pair: Pair) -> pd.DataFrame:
@@ -187,10 +190,10 @@ def overlaps_of(a: Side, b: Side, pair: Pair) -> pd.DataFrame:
     """
     left, right = _frame("a", a, pair.a.size), _frame("b", b, pair.b.size)
     one = pd.merge_asof(left, right, on="start", by="doc")
-    two = pd.merge_asof(right, left.assign(a_start=left["start"]), on="start", by="doc")
-    two = two[(two["start"] != two["a_start"]).to_numpy()]      # those that start together are in both
-    a_at = np.concatenate([one["a_at"].to_numpy(), two["a_at"].to_numpy()])
-    b_at = np.concatenate([one["b_at"].to_numpy(), two["b_at"].to_numpy()])
+    two = pd.merge_asof(right, left, on="start", by="doc")
+    new = two["start"].to_numpy() != left["start"].to_numpy()[two["a"].to_numpy()]   # those that start together are in both
+    a_at = np.concatenate([one["a"].to_numpy(), two["a"].to_numpy()[new]])
+    b_at = np.concatenate([one["b"].to_numpy(), two["b"].to_numpy()[new]])
     return pd.DataFrame({"a_at": a_at, "b_at": b_at, "linked": a.ends[a_at] == b.ends[b_at]}, copy=False)
 
 
@@ -318,7 +321,7 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every document."""
     folder = work_folder(docs.sparkSession, "alignment")
     encoded = write_table(encode(docs, a, b, key, text, groups), folder, "encoded")
-    counts = write_table(pair_counts(encoded), folder, "counts")
+    counts = write_table(pair_counts(encoded).coalesce(COUNT_FILES), folder, "counts")
     # the least power of two that at most ``frequent`` pairs reach
     level = F.floor(F.log2("n")).cast("int")
     least, held = 0, 0
