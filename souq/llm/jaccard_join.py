@@ -43,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souq.llm.common import as_long, components, drop_table, fresh_name, hashed_words, mix, null_safe, work_folder, write_table
+from souq.llm.common import (as_long, components, drop_table, fresh_name, hashed_words, mix, null_safe, release,
+                             work_folder, write_table)
 
 SHINGLE = 5
 PERCENT = 80
@@ -170,41 +171,58 @@ class _Join:
         kind = dict(self.docs.dtypes)["key"]
         rows = self.docs.mapInArrow(_signatures, f"key {kind}, n bigint, fa bigint, fb bigint, need int, "
                                     "win array<bigint>")
-        self.rows = write_table(rows.withColumn("row", F.monotonically_increasing_id()), self.folder, "rows")
+        self.windows = self.store(rows.withColumn("row", F.monotonically_increasing_id()), "windows")
+        self.rows = self.store(self.windows.drop("win"), "rows")
         nodes = self.rows.where("n > 0").groupBy("fa", "fb", "n", "need").agg(F.min("key").alias("label"),
                                                                              F.min("row").alias("node"))
-        self.nodes = write_table(nodes, self.folder, "nodes")
+        self.nodes = self.store(nodes, "nodes")
+
+    def store(self, df: DataFrame, name: str, *used: str) -> DataFrame:
+        """``df`` written and reread; the ``used`` tables and the shuffles that made it are then deleted."""
+        df = write_table(df, self.folder, name)
+        for x in used:
+            drop_table(self.spark, self.folder, x)
+        release(self.spark)
+        return df
+
+    def repeated(self, posts: DataFrame, count: str, name: str) -> DataFrame:
+        """The postings whose token others have too, with how many do.
+
+        Counted with partial sums and joined back, so a frequent token's postings need not meet in one task.
+        """
+        n = posts.groupBy(F.col("token").alias("t")).agg(F.count("*").alias(count)).where(F.col(count) > 1)
+        n = self.store(n, f"{name}-tokens")
+        return posts.join(n.hint("merge"), F.col("token") == F.col("t")).drop("t")
 
     def prefixes(self) -> tuple[DataFrame, DataFrame]:
         """(small, big): postings (token, node, n) of the second order's prefixes, by the size of their group."""
         # every row's window is counted (any count gives an order); then the nodes' postings go on
-        posts = self.rows.select(F.col("row").alias("node"), F.explode("win").alias("token"))
-        shared = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-        shared = write_table(shared.join(self.nodes.select("node", "n", "need"), "node"), self.folder, "shared")
+        posts = self.windows.select(F.col("row").alias("node"), F.explode("win").alias("token"))
+        shared = self.repeated(posts, "c", "window").join(self.nodes.select("node", "n", "need"), "node")
+        shared = self.store(shared, "shared", "window-tokens", "windows")
         # shingles of no other window come first in the second order, and cannot be shared
         enough = shared.groupBy(F.col("node").alias("m")).agg(F.count("*").cast("int").alias("have"))
         x = shared.join(enough, F.col("node") == F.col("m")).where("have >= need")
         rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
         x = x.withColumn("r", rank).where("r <= have - need + 1").select("token", "node", "n")
-        x = x.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
-        x = write_table(x, self.folder, "postings")
-        drop_table(self.spark, self.folder, "shared")
+        x = self.store(x, "prefixes", "shared")
+        x = self.store(self.repeated(x, "size", "prefix"), "postings", "prefixes", "prefix-tokens")
         return x.where(F.col("size") <= BIG), x.where(F.col("size") > BIG)
 
     def whole_sets(self, ids: DataFrame, name: str) -> DataFrame:
         """(node, n, tokens, pre1..) of the nodes in ``ids(node)``: their texts are read again by label."""
-        wanted = write_table(self.nodes.select("node", "fa", "fb", "n", "label").join(ids, "node", "left_semi"),
-                             self.folder, f"{name}-wanted")
+        wanted = self.store(self.nodes.select("node", "fa", "fb", "n", "label").join(ids, "node", "left_semi"),
+                            f"{name}-wanted")
         labels = wanted.select(F.col("label").alias("w")).distinct()
         texts = self.docs.join(labels, null_safe(F.col("key"), F.col("w")), "left_semi").select("text")
         sets = texts.mapInArrow(_whole_sets, "n bigint, fa bigint, fb bigint, tokens array<bigint>"
                                 + "".join(f", pre{k} array<bigint>" for k in range(1, ORDERS - 1)))
         sets = sets.join(wanted.select("node", "fa", "fb", "n"), ["fa", "fb", "n"]).drop("fa", "fb")
-        return write_table(sets.dropDuplicates(["node"]), self.folder, f"{name}-sets")
+        return self.store(sets.dropDuplicates(["node"]), f"{name}-sets", f"{name}-wanted")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, of distinct candidates."""
-        pairs = write_table(pairs, self.folder, f"{name}-candidates")
+        pairs = self.store(pairs, f"{name}-candidates")
         sets = self.whole_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), name)
         a = sets.select(*[F.col(c).alias(f"a_{c}") for c in sets.columns])
         b = sets.select(*[F.col(c).alias(f"b_{c}") for c in sets.columns])
@@ -213,9 +231,7 @@ class _Join:
             x = x.where(F.arrays_overlap(f"a_pre{k}", f"b_pre{k}"))
         x = x.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
         x = x.where(100 * F.col("common") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("common")))
-        links = write_table(x.select("a", "b"), self.folder, f"{name}-links")
-        drop_table(self.spark, self.folder, f"{name}-sets")
-        return links
+        return self.store(x.select("a", "b"), f"{name}-links", f"{name}-sets", f"{name}-candidates")
 
     def components(self) -> DataFrame:
         """(node, comp) of all linked nodes."""
@@ -223,7 +239,7 @@ class _Join:
         x, y = _sides(small)
         pairs = x.join(y, F.col("token") == F.col("token2")).where("node < node2").where(
             _sizes_fit(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        tried = write_table(pairs.distinct(), self.folder, "pairs")
+        tried = self.store(pairs.distinct(), "pairs")
         comps = write_table(components(self.verify(tried, "small"), self.folder, "comps0"), self.folder, "components0")
         h = self.open_groups(big, comps, "open0")
         if not h.limit(1).count():
@@ -263,14 +279,13 @@ class _Join:
         """
         sets = self.whole_sets(h.select("node").distinct(), "open")
         posts = sets.select("node", "n", F.explode("tokens").alias("token"))
-        shared = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-        shared = write_table(shared, self.folder, "open-shared")
+        shared = self.store(self.repeated(posts, "c", "open"), "open-shared", "open-sets", "open-tokens")
         need = F.ceil(F.col("n") * PERCENT / 100)
         enough = shared.groupBy(F.col("node").alias("m")).agg(F.count("*").cast("int").alias("have"))
         x = shared.join(enough, F.col("node") == F.col("m")).where(F.col("have") >= need)
         rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
         x = x.withColumn("left", F.col("have") - rank + 1).where(F.col("left") >= need)
-        return write_table(x.select("token", "node", "n", "left"), self.folder, "open-postings")
+        return self.store(x.select("token", "node", "n", "left"), "open-postings", "open-shared")
 
     def open_groups(self, big: DataFrame, comps: DataFrame, name: str) -> DataFrame:
         """Postings (with their component) of the large groups that have more than one component."""
