@@ -29,6 +29,7 @@ one.  Repeated rows are treated alike.  Other columns pass through; a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import json
@@ -42,6 +43,9 @@ from pyspark.sql import functions as F
 from souq.llm.common import fresh_name, null_safe, work_folder, write_table
 
 FAN_IN = 64
+#: Nesting of elements that is kept, and cells of an alignment's table.
+DEPTH = 200
+CELLS = 1 << 20
 MAX_PERIOD = 4                       # tokens in a repeated group
 FIXED_PAGES = 3                      # a text is fixed if it is the same on so many differing pages of a shape or more
 
@@ -70,6 +74,12 @@ FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement advertising ads
                             "commentlist disqus reply replies respond share sharing social related recommended "
                             "pagination pager copyright legal skip search toolbar hidden".split())
 ARTICLE_NAMES = frozenset("article content main post entry story articlebody maincontent postbody".split())
+# What else stands in the names of furniture: a name is one if all its parts are in either set, one at least above.
+LAYOUT_NAMES = frozenset("site page main global primary secondary top bottom left right upper lower first last inner outer box "
+                         "bar list item items wrap wrapper container block section area zone slot region panel pane col column "
+                         "row grid group link links button buttons btn icon icons posts post articles stories story content body "
+                         "head title text form field input thread count meta info tools tool bars more read next prev previous "
+                         "the and of js is has no fixed sticky mobile desktop mini large small big".split())
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
@@ -81,17 +91,24 @@ class Element:
         self.tag, self.sig, self.kind, self.kids = tag, sig, kind, []
 
 
+def _furniture(parts: list[str]) -> bool:
+    """Whether a class or id, in parts, names furniture; short parts before a name are a maker's prefix."""
+    own = [p in FURNITURE_NAMES for p in parts]
+    return any(own) and all(f or p in LAYOUT_NAMES or len(p) <= 3 for f, p in zip(own, parts))
+
+
 def _classify(tag: str, attributes: str) -> tuple[str, str]:
     """Signature and kind ('-' furniture, '+' marked article, '' neither) of a start tag."""
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     names = sorted({x.lower() for k in ("class", "id") for x in re.split(r"[\s\d]+", a.get(k, "")) if x})
-    parts = {p.lower() for k in ("class", "id") for p in NAME_PARTS.findall(a.get(k, ""))} if names else set()
+    named = [[p.lower() for p in NAME_PARTS.findall(x)] for k in ("class", "id") for x in a.get(k, "").split()] if names else []
+    parts = {p for x in named for p in x}
     role = a.get("role", "").lower()
     sig = ".".join([tag, *names]) + (f"@{role}" if role else "")
     style = a.get("style", "").replace(" ", "").lower() if "style" in a else ""
     # body, main and article hold furniture but are none, whatever their classes say of the page's layout
     if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" \
-            or "display:none" in style or (tag not in ("html", "body", "main", "article") and parts & FURNITURE_NAMES):
+            or "display:none" in style or (tag not in ("html", "body", "main", "article") and any(map(_furniture, named))):
         return sig, "-"
     if tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody" \
             or (tag in ("div", "section", "td") and parts & ARTICLE_NAMES):
@@ -100,9 +117,15 @@ def _classify(tag: str, attributes: str) -> tuple[str, str]:
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; unclosed and misnested elements end where their container does."""
+    """The tree of a page; unclosed and misnested elements end where their container does.
+
+    Elements deeper than DEPTH are not nested any further: what they hold belongs to their ancestor at that depth,
+    furniture apart, which holds its own.
+    """
     root = Element("", "", "")
     stack, pos, n = [root], 0, len(page)
+    deep: list[str] = []                                      # open elements below the stack's,
+    mark = None                                               # and the place of the furniture among them
     known: dict[tuple[str, str], tuple[str, str]] = {}
     while pos < n:
         m = TOKEN.match(page, pos)
@@ -115,6 +138,14 @@ def parse(page: str) -> Element:
                 stack[-1].kids.append(m[0][9:-3])
             continue
         tag = tag.lower()
+        if deep and (tag in deep if m[1] else tag in BLOCKS and deep[-1] == "p"):
+            while deep.pop() != (tag if m[1] else "p"):
+                pass
+            if mark is not None and len(deep) <= mark:
+                stack.pop()
+                mark = None
+            if m[1]:
+                continue
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -123,14 +154,14 @@ def parse(page: str) -> Element:
                 if stack[i].tag in SCOPES and tag not in SCOPES and tag not in ("html", "body"):
                     break
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and not deep:
             for i in range(len(stack) - 1, 0, -1):            # a block ends an open paragraph
                 if stack[i].tag == "p":
                     del stack[i:]
                     break
                 if stack[i].tag in SCOPES:
                     break
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if not deep else ():
             if stack[i].tag in CLOSES.get(tag, ()):
                 del stack[i:]
             elif stack[i].tag in SCOPES:
@@ -144,7 +175,13 @@ def parse(page: str) -> Element:
             end = RAW[tag].search(page, pos)
             pos = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(e)
+            if not deep and len(stack) < DEPTH:
+                stack.append(e)
+                continue
+            if e.kind == "-" and mark is None:
+                stack.append(e)
+                mark = len(deep)
+            deep.append(tag)
     return root
 
 
@@ -169,26 +206,78 @@ def align(a: list, b: list) -> list:
         if not a or not b:
             return [x[:OPT] + [True] + x[REP:] for x in a or b]
         return [_merge(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if _same(a[i], b[j]) else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and _same(a[i], b[j]):
-            out.append(_merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(a[i][:OPT] + [True] + a[i][REP:])
-            i += 1
-        else:
-            out.append(b[j][:OPT] + [True] + b[j][REP:])
-            j += 1
+    for x, y in (*_common(a, b), (len(a), len(b))):
+        out += [k[:OPT] + [True] + k[REP:] for k in (*a[i:x], *b[j:y])]
+        if x < len(a) and y < len(b):
+            out.append(_merge(a[x], b[y]))
+        i, j = x + 1, y + 1
     return squash(out)
 
 
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a common subsequence: the longest one, unless its table would have over CELLS cells.
+
+    Longer lists are first cut at the tokens that occur once in each, in the longest run of these that has the same
+    order in both; a stretch that is still too long has nothing in common then.
+    """
+    lo, hi = 0, 0
+    while lo < min(len(a), len(b)) and _same(a[lo], b[lo]):
+        lo += 1
+    while hi < min(len(a), len(b)) - lo and _same(a[-1 - hi], b[-1 - hi]):
+        hi += 1
+    n, m = len(a) - lo - hi, len(b) - lo - hi
+    middle: list[tuple[int, int]] = []
+    if n and m and n * m <= CELLS:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            row, below = best[i], best[i + 1]
+            for j in range(m - 1, -1, -1):
+                row[j] = below[j + 1] + 1 if _same(a[lo + i], b[lo + j]) else max(below[j], row[j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if _same(a[lo + i], b[lo + j]):
+                middle.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    elif n and m:
+        x, y = lo, lo
+        for p, q in (*_anchors(a, b, lo, lo + n, lo + m), (lo + n, lo + m)):
+            if (p - x) * (q - y) <= CELLS:
+                middle += [(x + i, y + j) for i, j in _common(a[x:p], b[y:q])]
+            if p < lo + n:
+                middle.append((p, q))
+            x, y = p + 1, q + 1
+    return [(i, i) for i in range(lo)] + middle + [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
+
+
+def _anchors(a: list, b: list, lo: int, a_end: int, b_end: int) -> list[tuple[int, int]]:
+    """The longest ascending run of places of tokens that are unique on both sides."""
+    name = lambda k: (k[SIG], k[KIND], tuple(x[SIG] for x in k[KIDS]) if k[SIG] == "()" else ())
+    places: list[dict] = []
+    for side, end in ((a, a_end), (b, b_end)):
+        seen: dict = {}
+        for i in range(lo, end):
+            seen[name(side[i])] = None if name(side[i]) in seen else i
+        places.append({k: i for k, i in seen.items() if i is not None})
+    both = sorted((i, places[1][k]) for k, i in places[0].items() if k in places[1])
+    ends: list[int] = []                                      # smallest last place of a run of each length
+    last: list[int] = []
+    before: list[int] = []
+    for at, (_, j) in enumerate(both):
+        k = bisect.bisect_left(ends, j)
+        ends[k:k + 1], last[k:k + 1] = [j], [at]
+        before.append(last[k - 1] if k else -1)
+    run, at = [], last[-1] if last else -1
+    while at >= 0:
+        run.append(both[at])
+        at = before[at]
+    return run[::-1]
+
+
 def squash(kids: list) -> list:
     """Fold adjacent repetitions, of one token first, then of groups of several."""
     out: list = []
