@@ -142,6 +142,21 @@ def username_for(first: Column, last: Column, salt: Column) -> Column:
     return F.lower(F.concat(first, F.lit("."), last, n.cast("string")))
 
 
+def user_role() -> Column:
+    return F.when(F.col("registration_type") == "business", "business_owner").otherwise("customer")
+
+
+def escaped_users(candidates: DataFrame) -> DataFrame:
+    """The candidates with their text fields escaped, as the source does before it validates."""
+    return candidates.withColumns({k: html_escape(F.col(k)) for k in ("first_name", "last_name", "email", "phone")})
+
+
+def checked_users(candidates: DataFrame) -> DataFrame:
+    """V-02 without the check for taken emails: escaped fields, ``role`` and ``error``; passwords are dropped."""
+    return escaped_users(candidates).select("arrival_no", "first_name", "last_name", "email", "phone",
+                                            user_role().alias("role"), user_rule_code().alias("error"))
+
+
 def validate_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """V-02 + J-07: one ``error`` code per candidate (NULL = accepted).
 
@@ -151,9 +166,7 @@ def validate_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
     because sequential requests would reject the later ones.  Passwords are
     only checked, then dropped.
     """
-    c = candidates.withColumns({k: html_escape(F.col(k)) for k in
-                                ("first_name", "last_name", "email", "phone")})
-    c = c.withColumn("error", user_rule_code()).withColumn("_ek", email_key("email"))
+    c = escaped_users(candidates).withColumn("error", user_rule_code()).withColumn("_ek", email_key("email"))
     passing = c.where(F.col("error").isNull()).select("_ek", "arrival_no")
     # earliest arrival per email first: a grouped min combines on the map
     # side, so one email repeated in a third of the batch is one row per task
@@ -164,10 +177,9 @@ def validate_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
     out = c.join(winners, "arrival_no", "left")
     err = F.when(F.col("error").isNotNull(), F.col("error")) \
            .when(F.col("_win").isNull(), F.lit("email_in_use"))
-    role = F.when(F.col("registration_type") == "business", "business_owner").otherwise("customer")
     return out.select(
         "arrival_no", "first_name", "last_name", "email", "phone",
-        role.alias("role"),
+        user_role().alias("role"),
         F.when(err.isNull(), username_for(F.col("first_name"), F.col("last_name"), F.col("email")))
          .alias("username"),
         err.alias("error"))
