@@ -19,6 +19,8 @@ shingles in common.  Two global orders of all shingles filter candidates:
   on whole sets.
 
 Texts of equal sets are one node from the start (the smallest id labels it).
+Every node's first candidate pair is verified first; of the others, only those
+whose nodes are still in different components.
 A shingle in more than ``BIG`` prefixes belongs to a large group of near
 copies.  The members of such groups get new prefixes from their whole sets,
 rarest first among themselves, and are tied to a few members each (some pairs
@@ -240,7 +242,11 @@ class _Join:
         pairs = x.join(y, F.col("token") == F.col("token2")).where("node < node2").where(
             _sizes_fit(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
         tried = self.store(pairs.distinct(), "pairs")
-        comps = write_table(components(self.verify(tried, "small"), self.folder, "comps0"), self.folder, "components0")
+        # one pair of every node first: most groups are near copies, and what these links join needs no more pairs
+        star = self.store(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+        comps = write_table(components(self.verify(star, "star"), self.folder, "star-comps"), self.folder, "components0")
+        rest = self.apart(tried.join(star, ["a", "b"], "left_anti"), comps)
+        comps = self.joined(comps, self.verify(rest, "small"), "comps0")
         h = self.open_groups(big, comps, "open0")
         if not h.limit(1).count():
             return comps
@@ -260,6 +266,12 @@ class _Join:
         rest = self.across(h).join(tried, ["a", "b"], "left_anti")
         return self.joined(comps, self.verify(rest, "last"), "last-comps")
 
+    def apart(self, pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """The pairs whose nodes are in different components."""
+        side = lambda c: comps.select(F.col("node").alias(f"n{c}"), F.col("comp").alias(f"c{c}"))
+        x = pairs.join(side("a"), F.col("a") == F.col("na"), "left").join(side("b"), F.col("b") == F.col("nb"), "left")
+        return x.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
     def joined(self, comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Components after ``links``: only links between different components, each once, are new edges."""
         side = lambda c: comps.select(F.col("node").alias(f"n{c}"), F.col("comp").alias(f"c{c}"))
