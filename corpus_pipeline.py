@@ -52,7 +52,7 @@ STAGES = [
     ("source_mixing", mixing_stage),
 ]
 
-#: Chunk boundaries and BM25 retrieval are not expressible in SQL; tests compare with brute force.
+#: Line runs and BM25 retrieval are not expressible in SQL; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 
