@@ -4,7 +4,24 @@ from __future__ import annotations
 
 import os
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+#: Columns of tables read before, by path and time of change: a footer is read once, files are listed every time.
+_columns: dict[tuple[str, int], StructType] = {}
+
+
+def _changed(spark: SparkSession, path: str) -> int | None:
+    """When the file or folder last changed; None where the file system cannot be asked."""
+    try:
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+    except (Py4JError, PySparkException):              # absent, or Spark Connect
+        return None
 
 
 def scan(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -13,7 +30,15 @@ def scan(spark: SparkSession, base: str, table: str) -> DataFrame:
     Parquet keeps column pruning and filter pushdown: only the columns and
     row groups a plan needs are read.
     """
-    return spark.read.parquet(os.path.join(base, f"{table}.parquet"))
+    path = os.path.join(base, f"{table}.parquet")
+    changed = _changed(spark, path)
+    columns = _columns.get((path, changed)) if changed is not None else None
+    if columns is not None:
+        return spark.read.schema(columns).parquet(path)
+    df = spark.read.parquet(path)
+    if changed is not None:
+        _columns[path, changed] = df.schema
+    return df
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None,

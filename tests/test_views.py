@@ -1,3 +1,4 @@
+import pytest
 import os
 import tempfile
 
@@ -56,3 +57,19 @@ def test_stored_views_fall_back_and_reject_unknown_names(spark):
         raise AssertionError("expected AttributeError")
     except AttributeError:
         pass
+
+
+def test_changed_tables_are_read_anew(spark, tmp_path):
+    from souq.sources.tables import scan
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    assert scan(spark, str(tmp_path), "t").count() == 3
+    assert scan(spark, str(tmp_path), "t").columns == ["id"]                     # by the columns kept
+    spark.range(2).write.mode("append").parquet(path)
+    assert scan(spark, str(tmp_path), "t").count() == 5
+    spark.range(4).selectExpr("id AS a", "'x' AS b").write.mode("overwrite").parquet(path)
+    df = scan(spark, str(tmp_path), "t")
+    assert df.columns == ["a", "b"] and df.count() == 4
+    with pytest.raises(Exception):
+        scan(spark, str(tmp_path), "absent")
