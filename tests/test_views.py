@@ -1,7 +1,8 @@
-import pytest
 import os
 import tempfile
 
+import pytest
+
 from souq.operators import discovery, reviews
 from souq.session import scale_settings
 from souq.sources.views import MarketViews, materialize
