@@ -419,6 +419,30 @@ def surviving_rows(tables: dict[str, DataFrame], plan: DataFrame) -> dict[str, D
     return out
 
 
+def key_sum(key: str) -> Column:
+    """Aggregate: the exact sum of a whole-number key as text, whatever its size (null without keys).
+
+    Packed keys have up to 38 digits, so their sum may not fit a decimal: thirds
+    of 13 digits are summed apart and put together at the end.
+    """
+    k = F.col(key).cast("decimal(38,0)")
+    # not abs(): Spark rounds decimals of more than 34 digits there
+    digits, sign = F.lpad(F.ltrim(k.cast("string"), F.lit("-")), 39, "0"), F.when(k < 0, -1).otherwise(1)
+    third = [F.sum((F.substring(digits, i, 13).cast("bigint") * sign).cast("decimal(20,0)")) for i in (1, 14, 27)]
+    base = F.lit(10 ** 13)
+
+    def carried(high, mid, low):
+        mid = mid + F.call_function("div", low - F.pmod(low, base), base)
+        return (high + F.call_function("div", mid - F.pmod(mid, base), base),
+                *(F.pmod(x, base).cast("bigint").cast("string") for x in (mid, low)))
+    up, down = carried(*third), carried(*(-x for x in third))
+    minus = up[0] < 0
+    high, mid, low = (F.when(minus, y).otherwise(x) for x, y in zip((up[0].cast("string"), *up[1:]),
+                                                                   (down[0].cast("string"), *down[1:])))
+    text = F.ltrim(F.concat(high, F.lpad(mid, 13, "0"), F.lpad(low, 13, "0")), F.lit("0"))
+    return F.concat(F.when(minus, "-").otherwise(""), F.when(text == "", "0").otherwise(text))
+
+
 # -- J-08 + S-09 ----------------------------------------------------------------------------
 def owned_delete(products: DataFrame, order_items: DataFrame, requests: DataFrame) -> DataFrame:
     """Classify (product_id, business_id) delete requests.

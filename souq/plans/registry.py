@@ -226,8 +226,7 @@ def q_delete_survivors(spark, d):
     t = _tables(v)
     plan = integrity.plan_delete(t, "users", v.users.where(~F.col("is_verified")).select("user_id"))
     left = integrity.surviving_rows(t, plan)
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"),
-                    F.sum(F.col(integrity.PRIMARY_KEYS[n]).cast(DecimalType(38, 0))).cast("string").alias("key_sum"))
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), integrity.key_sum(integrity.PRIMARY_KEYS[n]).alias("key_sum"))
              .select(F.lit(n).alias("table_name"), "rows", "key_sum") for n, df in left.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
