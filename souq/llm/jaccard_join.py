@@ -222,10 +222,13 @@ class _Join:
         sets = sets.join(wanted.select("node", "fa", "fb", "n"), ["fa", "fb", "n"]).drop("fa", "fb")
         return self.store(sets.dropDuplicates(["node"]), f"{name}-sets", f"{name}-wanted")
 
-    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link, of distinct candidates."""
+    def verify(self, pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) that link, of distinct candidates; ``sets``: whole sets that have all their nodes."""
         pairs = self.store(pairs, f"{name}-candidates")
-        sets = self.whole_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), name)
+        used = [f"{name}-candidates"]
+        if sets is None:
+            sets = self.whole_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), name)
+            used.append(f"{name}-sets")
         a = sets.select(*[F.col(c).alias(f"a_{c}") for c in sets.columns])
         b = sets.select(*[F.col(c).alias(f"b_{c}") for c in sets.columns])
         x = pairs.join(b, F.col("b") == F.col("b_node")).join(a, F.col("a") == F.col("a_node"))
@@ -233,7 +236,7 @@ class _Join:
             x = x.where(F.arrays_overlap(f"a_pre{k}", f"b_pre{k}"))
         x = x.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
         x = x.where(100 * F.col("common") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("common")))
-        return self.store(x.select("a", "b"), f"{name}-links", f"{name}-sets", f"{name}-candidates")
+        return self.store(x.select("a", "b"), f"{name}-links", *used)
 
     def components(self) -> DataFrame:
         """(node, comp) of all linked nodes."""
@@ -242,11 +245,14 @@ class _Join:
         pairs = x.join(y, F.col("token") == F.col("token2")).where("node < node2").where(
             _sizes_fit(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
         tried = self.store(pairs.distinct(), "pairs")
+        # the texts are read and dealt out by id once for both rounds of these pairs
+        sets = self.whole_sets(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct(), "tried")
         # one pair of every node first: most groups are near copies, and what these links join needs no more pairs
         star = self.store(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
-        comps = write_table(components(self.verify(star, "star"), self.folder, "star-comps"), self.folder, "components0")
+        comps = write_table(components(self.verify(star, "star", sets), self.folder, "star-comps"), self.folder, "components0")
         rest = self.apart(tried.join(star, ["a", "b"], "left_anti"), comps)
-        comps = self.joined(comps, self.verify(rest, "small"), "comps0")
+        comps = self.joined(comps, self.verify(rest, "small", sets), "comps0")
+        drop_table(self.spark, self.folder, "tried-sets")
         h = self.open_groups(big, comps, "open0")
         if not h.limit(1).count():
             return comps
