@@ -42,7 +42,7 @@ from souq.llm.common import as_long, drop_table, hashed_words, release, span_has
 
 CLASSES = 64
 CLUSTERED = 4096
-KNOWN = 1 << 17
+KNOWN = 1 << 19
 MIN_COUNT = 2
 ROUNDS = 2
 PASSES = 6
@@ -356,11 +356,15 @@ def _round(texts: DataFrame, model: Model, trans: np.ndarray, before: DataFrame
         far = far.join(before.select(F.col("w").alias("v"), "cls"), F.col("nb") == F.col("v"), "left")
         far = far.groupBy("w", (F.col("cell") + F.coalesce("cls", F.lit(RARE))).alias("cell")).agg(F.count("*").alias("n"))
         far = far.groupBy("w").agg(F.collect_list(F.struct("cell", "n")).alias("x"))
-        beside = beside.unionByName(far.select("w", F.col("x.cell").alias("cells"), F.col("x.n").alias("counts")))
+        far = far.select("w", F.col("x.cell").alias("cells"), F.col("x.n").alias("counts"))
+        far = write_table(far, folder, f"{name}-far")
+        release(spark)
+        beside = beside.unionByName(far)
     found = beside.repartition("w").sortWithinPartitions("w").mapInArrow(
         _assign(spark.sparkContext.broadcast(trans)), "w bigint, c bigint, cls int, trans binary")
     found = write_table(found, folder, name)
     drop_table(spark, folder, f"{name}-cells")
+    drop_table(spark, folder, f"{name}-far")
     release(spark)
     after = np.zeros(K * K)
     for r in found.where("trans is not null").select("trans").toLocalIterator():       # K ** 2 counts each
