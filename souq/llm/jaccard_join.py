@@ -14,6 +14,11 @@ shingles in common.  Two global orders of all shingles filter candidates:
   |window| - needed(n) + 1 of each window in this order.  So linked sets share a
   shingle of these prefixes, and a set with fewer than needed(n) shingles
   in its window that any other window has needs none: it has no partner.
+* A set's *parities* say for each of ``PARITIES`` hash buckets whether it has an
+  odd number of shingles there.  Two sets differ in at least as many shingles as
+  their parities differ in buckets, and linked sets of x and y differ in at most
+  (x + y) / 9 shingles, so pairs that differ in more buckets are not linked;
+  these few bytes are compared before any whole set is fetched.
 * Pairs must further share a prefix shingle under ``ORDERS`` - 2 more orders
   (by other hashes) and have sizes that fit, before they are verified exactly
   on whole sets.
@@ -54,6 +59,7 @@ ORDERS = 3
 BIG = 32
 TIES = 4
 ROOM = 32
+PARITIES = 1024
 _SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
@@ -106,27 +112,34 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(as_long(flat)))
 
 
+def parities(t: np.ndarray) -> np.ndarray:
+    """64 buckets in each of PARITIES // 64 numbers: the bit is 1 if an odd number of the shingles is there."""
+    odd = np.bincount((mix(t ^ _SALTS[2]) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size, two fingerprints of the set, what its windows need in common, and the window."""
+    """Set size, two fingerprints of the set, what its windows need in common, its parities and the window."""
     for b in batches:
-        take, n, fa, fb, win = [], [], [], [], []
+        take, n, fa, fb, odd, win = [], [], [], [], [], []
 
         def out():
             return pa.RecordBatch.from_arrays(
                 [b.column("key").take(pa.array(take, pa.int64())), pa.array(n, pa.int64()),
                  pa.array(np.array(fa, dtype=np.uint64).view(np.int64)),
                  pa.array(np.array(fb, dtype=np.uint64).view(np.int64)),
-                 pa.array([needed(x) for x in n], pa.int32()), _lists(win)],
-                names=["key", "n", "fa", "fb", "need", "win"])
+                 pa.array([needed(x) for x in n], pa.int32()), _lists(odd), _lists(win)],
+                names=["key", "n", "fa", "fb", "need", "odd", "win"])
         for i, t in shingle_sets(b.column("text")):
             take.append(i)
             n.append(len(t))
             fa.append(t.sum(dtype=np.uint64))
             fb.append(np.bitwise_xor.reduce(mix(t ^ _SALTS[0])) if len(t) else np.uint64(0))
+            odd.append(parities(t))
             win.append(t[:window_length(len(t))])
             if len(take) >= 1000:
                 yield out()
-                take, n, fa, fb, win = [], [], [], [], []
+                take, n, fa, fb, odd, win = [], [], [], [], [], []
         if take:
             yield out()
 
@@ -172,12 +185,14 @@ class _Join:
         self.docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
         kind = dict(self.docs.dtypes)["key"]
         rows = self.docs.mapInArrow(_signatures, f"key {kind}, n bigint, fa bigint, fb bigint, need int, "
-                                    "win array<bigint>")
+                                    "odd array<bigint>, win array<bigint>")
         self.windows = self.store(rows.withColumn("row", F.monotonically_increasing_id()), "windows")
-        self.rows = self.store(self.windows.drop("win"), "rows")
+        self.rows = self.store(self.windows.drop("odd", "win"), "rows")
         nodes = self.rows.where("n > 0").groupBy("fa", "fb", "n", "need").agg(F.min("key").alias("label"),
                                                                              F.min("row").alias("node"))
         self.nodes = self.store(nodes, "nodes")
+        self.odd = self.store(self.windows.join(self.nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
+                              .select(F.col("row").alias("node"), "n", "odd"), "odd")
 
     def store(self, df: DataFrame, name: str, *used: str) -> DataFrame:
         """``df`` written and reread; the ``used`` tables and the shuffles that made it are then deleted."""
@@ -222,6 +237,15 @@ class _Join:
         sets = sets.join(wanted.select("node", "fa", "fb", "n"), ["fa", "fb", "n"]).drop("fa", "fb")
         return self.store(sets.dropDuplicates(["node"]), f"{name}-sets", f"{name}-wanted")
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose parities leave a link possible."""
+        side = lambda c: self.odd.select(F.col("node").alias(f"m{c}"), F.col("n").alias(f"n{c}"),
+                                         F.col("odd").alias(f"odd{c}"))
+        x = pairs.join(side("a"), F.col("a") == F.col("ma")).join(side("b"), F.col("b") == F.col("mb"))
+        differ = F.aggregate(F.zip_with("odda", "oddb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
+                             lambda s, k: s + k)
+        return x.where((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b")
+
     def verify(self, pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) that link, of distinct candidates; ``sets``: whole sets that have all their nodes."""
         pairs = self.store(pairs, f"{name}-candidates")
@@ -246,11 +270,12 @@ class _Join:
             _sizes_fit(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
         tried = self.store(pairs.distinct(), "pairs")
         # the texts are read and dealt out by id once for both rounds of these pairs
-        sets = self.whole_sets(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct(), "tried")
+        open_pairs = self.store(self.likely(tried), "likely")
+        sets = self.whole_sets(open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).distinct(), "tried")
         # one pair of every node first: most groups are near copies, and what these links join needs no more pairs
-        star = self.store(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+        star = self.store(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
         comps = write_table(components(self.verify(star, "star", sets), self.folder, "star-comps"), self.folder, "components0")
-        rest = self.apart(tried.join(star, ["a", "b"], "left_anti"), comps)
+        rest = self.apart(open_pairs.join(star, ["a", "b"], "left_anti"), comps)
         comps = self.joined(comps, self.verify(rest, "small", sets), "comps0")
         drop_table(self.spark, self.folder, "tried-sets")
         h = self.open_groups(big, comps, "open0")
@@ -266,11 +291,11 @@ class _Join:
             before, turn = left, turn + 1
             more = write_table(self.ties(h, turn).join(tried, ["a", "b"], "left_anti"), self.folder, f"ties{turn}")
             tried = tried.union(more)
-            comps = self.joined(comps, self.verify(more, f"turn{turn}"), f"comps{turn}")
+            comps = self.joined(comps, self.verify(self.likely(more), f"turn{turn}"), f"comps{turn}")
         if not left:
             return comps
         rest = self.across(h).join(tried, ["a", "b"], "left_anti")
-        return self.joined(comps, self.verify(rest, "last"), "last-comps")
+        return self.joined(comps, self.verify(self.likely(rest), "last"), "last-comps")
 
     def apart(self, pairs: DataFrame, comps: DataFrame) -> DataFrame:
         """The pairs whose nodes are in different components."""
